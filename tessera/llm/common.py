@@ -88,3 +88,19 @@ def words(text: Column) -> Column:
 def hash60(key: Column) -> Column:
     """The first 60 bits of a key's MD5 as a non-negative long; any engine with MD5 can repeat it."""
     return F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 1, 15), 16, 10).cast("long")
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once a row, even where lambdas use it for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def indices(n: Column) -> Column:
+    """0, 1, ... n - 1; empty for n < 1."""
+    return F.when(n > 0, F.sequence(F.lit(0), (n - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
+
+
+def ascii_lower(text: Column) -> Column:
+    """A-Z in lower case, every other character as it is."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from tessera.llm import mixing
+from tessera.llm import line_dedup, mixing, quality_rules
 
 
 def queries() -> dict:
     return {
+        "op4_line_dedup": line_dedup.op4_line_dedup,
+        "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_mix": mixing.op10_mix,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_line_dedup": line_dedup.SQL,
+        "op9_quality_rules": quality_rules.SQL,
         "op10_mix": mixing.SQL,
     }
