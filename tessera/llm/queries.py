@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tessera.llm import byte_bpe, line_dedup, mixing, quality_rules
+from tessera.llm import byte_bpe, line_dedup, mixing, quality_rules, simhash
 
 
 def queries() -> dict:
     return {
         "op1_byte_bpe": byte_bpe.op1_byte_bpe,
         "op4_line_dedup": line_dedup.op4_line_dedup,
+        "op7_simhash": simhash.op7_simhash,
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_mix": mixing.op10_mix,
     }
