@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tessera.llm import byte_bpe, line_dedup, mixing, quality_rules, simhash
+from tessera.llm import byte_bpe, chat_format, line_dedup, mixing, quality_rules, simhash, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_byte_bpe": byte_bpe.op1_byte_bpe,
         "op4_line_dedup": line_dedup.op4_line_dedup,
+        "op5_url_filter": url_filter.op5_url_filter,
+        "op6_chat_format": chat_format.op6_chat_format,
         "op7_simhash": simhash.op7_simhash,
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_mix": mixing.op10_mix,
@@ -18,6 +20,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_line_dedup": line_dedup.SQL,
+        "op6_chat_format": chat_format.SQL,
         "op9_quality_rules": quality_rules.SQL,
         "op10_mix": mixing.SQL,
     }
