@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import byte_bpe, chat_format, line_dedup, mixing, quality_rules, simhash, url_filter
+from tessera.llm import byte_bpe, chat_format, line_dedup, mixing, quality_rules, simhash, url_filter, warc
 
 
 def queries() -> dict:
     return {
         "op1_byte_bpe": byte_bpe.op1_byte_bpe,
+        "op2_warc": warc.op2_warc,
         "op4_line_dedup": line_dedup.op4_line_dedup,
         "op5_url_filter": url_filter.op5_url_filter,
         "op6_chat_format": chat_format.op6_chat_format,
@@ -19,6 +20,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_warc": warc.SQL,
         "op4_line_dedup": line_dedup.SQL,
         "op6_chat_format": chat_format.SQL,
         "op9_quality_rules": quality_rules.SQL,
