@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from tessera.llm import byte_bpe, chat_format, line_dedup, mixing, quality_rules, simhash, url_filter, warc
+from tessera.llm import byte_bpe, chat_format, line_dedup, mixing, quality_model, quality_rules, simhash, syncmers, url_filter, warc
 
 
 def queries() -> dict:
     return {
         "op1_byte_bpe": byte_bpe.op1_byte_bpe,
         "op2_warc": warc.op2_warc,
+        "op3_syncmers": syncmers.op3_syncmers,
         "op4_line_dedup": line_dedup.op4_line_dedup,
         "op5_url_filter": url_filter.op5_url_filter,
         "op6_chat_format": chat_format.op6_chat_format,
         "op7_simhash": simhash.op7_simhash,
+        "op8_quality_model": quality_model.op8_quality_model,
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_mix": mixing.op10_mix,
     }
