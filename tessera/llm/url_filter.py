@@ -116,9 +116,9 @@ def merged(tree: DataFrame) -> DataFrame:
     by = by.withColumn("merged", F.when(alike, F.col("family")).otherwise(F.col("template")))
     final = by.groupBy("host", "merged").agg(F.sum("labelled").alias("labelled"), F.sum("good").alias("good"))
     everywhere = by.groupBy("merged").agg(F.sum("labelled").alias("some"), F.sum("good").alias("some_good"))
-    total = by.agg(F.coalesce((F.sum("good") + 1.0) / (F.sum("labelled") + 2.0), F.lit(0.5)).alias("total"))
-    final = final.join(everywhere, "merged").crossJoin(F.broadcast(total))  # one row
-    over = (F.col("some_good") + F.col("total") * PRIOR) / (F.col("some") + PRIOR)
+    total = by.agg(F.coalesce((F.sum("good") + 1.0) / (F.sum("labelled") + 2.0), F.lit(0.5))).first()[0]  # one number
+    final = final.join(everywhere, "merged")
+    over = (F.col("some_good") + F.lit(total * PRIOR)) / (F.col("some") + PRIOR)
     final = final.withColumn("purity", (F.col("good") + over * PRIOR) / (F.col("labelled") + PRIOR))
     named = by.select("host", "template", "merged").join(final.select("host", "merged", "purity", "labelled"), ["host", "merged"])
     return stored(tree.select("host", "shape", "template").join(named, ["host", "template"]).select("host", "shape", F.concat(F.lit("/"), F.array_join("merged", "/")).alias("template"), "purity", "labelled"), "url-templates")
