@@ -102,8 +102,8 @@ def mix(docs: DataFrame, weights: list[int] = (3, 1, 2), share: float = 1.5, mos
     got = stored(plan(stored(sized(docs, text, source, doc_id), "mix-sizes"), weights, share, most), "mix-plan")
     name = fresh(docs, "mix")
     out = with_plan(docs, source, got)
-    times = fresh(out, "times")
-    return out.withColumn(times, F.explode(F.sequence(F.lit(1).cast("long"), F.greatest(copies(col(doc_id), col(name)), F.lit(1)))).cast("long")).filter(copies(col(doc_id), col(name)) >= col(times)).drop(name, times)
+    times, n = fresh(out, "times"), copies(col(doc_id), col(name)).cast("int")
+    return out.filter(n > 0).withColumn(times, F.explode(F.array_repeat(F.lit(1), n))).drop(name, times)
 
 
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,17 @@ those listed under one word (65 at most) are within two bits of each other.
 Both ways together give the same components as all pairs, at most
 crowd / 2 + 65 rows a fingerprint and key.
 
+A similarity of 0.8 on shingles is some ten bits of 64, too many for blocks that
+select anything. :func:`near_groups` therefore takes wide fingerprints, of
+``BLOCK_COUNT`` blocks with ``BLOCK_BITS`` bits: a pair of Jaccard similarity j,
+whose bits agree with probability p = 1 - acos(2j / (1 + j)) / pi, shares a
+block with probability 1 - (1 - p ** BLOCK_BITS) ** BLOCK_COUNT (0.93 for j =
+0.8, 0.98 for 0.83, above 0.999 from 0.88), and the Hamming distance over all
+bits then estimates the similarity with a standard error under 0.02. Blocks that
+more than ``crowd`` fingerprints share are worked off by leaders, drawn by hash:
+every leader is compared with all of the block, and those within reach of one
+are settled, until none is left.
+
 Defined results: a null or blank text has fingerprint zero, linked like any
 other; texts of fewer words than a shingle are one shingle; repeated rows share
 a component; documents without an id never are a component's id unless all of it
@@ -113,6 +124,144 @@ def grouped(prints: DataFrame, bits: int = 2, blocks: int = BLOCKS, crowd: int =
     return named.join(least, "root").select("fp", "component_id", "n")
 
 
+# --- wide fingerprints, for a similarity on shingles ---
+
+#: Blocks of a wide fingerprint and their bits; bits that 0.8 is to differ in at most, with one standard error.
+BLOCK_COUNT, BLOCK_BITS = 96, 22
+WIDE = BLOCK_COUNT * BLOCK_BITS
+WIDE_CROWD, LEADERS = 64, 32
+_LANES, _ODD = np.uint64(0x0101010101010101), np.uint64(0x9E3779B97F4A7C15)
+
+
+def most_bits(similarity: float) -> int:
+    """The Hamming distance of wide fingerprints that stands for a Jaccard similarity, with one standard error added."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(WIDE * share + np.sqrt(WIDE * share * (1 - share)))
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def wide_bits(hashes: list[list[int]]) -> np.ndarray:
+    """The majority of each of ``WIDE`` bits, for the shingle hashes of some texts: an array of texts by bits.
+
+    A shingle's bits are its hash mixed with a counter. Bits are counted in byte
+    lanes, for at most 255 shingles at a time.
+    """
+    words = -(-WIDE // 64)
+    n = np.array([len(h) for h in hashes], np.int64)
+    counts = np.zeros((len(hashes), words * 64), np.int32)
+    flat = np.array([x for h in hashes for x in h], np.uint64)
+    firsts = np.cumsum(n) - n
+    begins = np.concatenate([np.arange(f, f + m, 255) for f, m in zip(firsts, n)]) if len(flat) else np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(len(n)), -(-n // 255))
+    step = 24  # segments at once: some megabytes of lanes
+    for a in range(0, len(begins), step):
+        lo, hi = begins[a], begins[a + step] if a + step < len(begins) else len(flat)
+        rows = _mixed(flat[lo:hi, None] + (np.arange(1, words + 1, dtype=np.uint64) * _ODD)[None, :])
+        for b in range(8):
+            lanes = np.add.reduceat((rows >> np.uint64(b)) & _LANES, begins[a : a + step] - lo, axis=0)
+            np.add.at(counts, (owner[a : a + step, None], np.arange(b, words * 64, 8)[None, :]), lanes.view(np.uint8).reshape(len(lanes), -1))
+    return counts[:, :WIDE] * 2 > n[:, None]
+
+
+def wide_fingerprints(docs: DataFrame, k: int = 5, text: str = "text", name: str = "wide") -> DataFrame:
+    """``docs`` without the text, with its wide fingerprint as bytes."""
+    kept = [c for c in docs.columns if c != text]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, out = batch.column(batch.schema.get_field_index(text)).to_pylist(), []
+            for a in range(0, len(texts), 64):
+                bits = wide_bits([shingle_hashes(x or "", k) for x in texts[a : a + 64]])
+                out += [x.tobytes() for x in np.packbits(bits, axis=1)]
+            yield pa.RecordBatch.from_arrays([*batch.select(kept).columns, pa.array(out, pa.binary())], [*kept, name])
+
+    return docs.mapInArrow(run, T.StructType([docs.schema[c] for c in kept] + [T.StructField(name, T.BinaryType())]))
+
+
+def _bits(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
+def _blocks(distinct: DataFrame) -> DataFrame:
+    """(key, id) for each block of each fingerprint (id, wide)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight = (1 << np.arange(BLOCK_BITS - 1, -1, -1)).astype(np.int64)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 512):
+                part = batch.slice(a, 512)
+                bits = np.unpackbits(_bits(part.column(1)), axis=1)[:, :WIDE].reshape(-1, BLOCK_COUNT, BLOCK_BITS)
+                keys = bits @ weight + (np.arange(BLOCK_COUNT, dtype=np.int64) << BLOCK_BITS)
+                ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), BLOCK_COUNT)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids)], ["key", "id"])
+
+    return distinct.select("id", "wide").mapInArrow(run, "key long, id long")
+
+
+def _verified(pairs: DataFrame, distinct: DataFrame, bits: int) -> DataFrame:
+    """Those of the pairs (u, v) whose fingerprints differ in at most ``bits`` places."""
+    d = distinct.select("id", "wide")
+    both = pairs.join(d.toDF("u", "x"), "u").join(d.toDF("v", "y"), "v").select("u", "v", "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = np.bitwise_count(_bits(batch.column(2)) ^ _bits(batch.column(3))).sum(axis=1, dtype=np.int64) <= bits
+            yield batch.select(["u", "v"]).filter(pa.array(near))
+
+    return both.mapInArrow(run, "u long, v long")
+
+
+def wide_links(distinct: DataFrame, bits: int, crowd: int = WIDE_CROWD) -> DataFrame:
+    """(u, v): verified links between the ids of different wide fingerprints (id, wide)."""
+    keyed = _blocks(distinct)
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    met = stored(keyed.join(shared, "key"), "wide-met")
+    few = met.filter(F.col("n") <= crowd)
+    pairs = few.select("key", F.col("id").alias("u")).join(few.select("key", F.col("id").alias("v")), "key").filter("u < v").select("u", "v").distinct()
+    links = stored(_verified(pairs, distinct, bits), "wide-links")
+    members = met.filter(F.col("n") > crowd).select("key", "id")
+    left, turn = members, 0
+    while not left.isEmpty():
+        draw = F.pmod(F.xxhash64("id", "key", F.lit(turn)), F.lit(1 << 30))
+        sizes = left.groupBy("key").agg(F.count("*").alias("open"), F.min(F.struct(draw.alias("draw"), "id")).alias("first"))
+        leaders = left.join(sizes, "key").filter((F.col("id") == F.col("first.id")) | (draw * F.col("open") < F.lit(LEADERS << 30))).select("key", F.col("id").alias("leader"))
+        leaders = stored(leaders, "wide-leaders")
+        asked = members.join(leaders, "key").filter("id <> leader")
+        found = stored(_verified(asked.select(F.col("id").alias("u"), F.col("leader").alias("v")).distinct(), distinct, bits), "wide-links")
+        settled = asked.join(found.select(F.col("u").alias("id"), F.col("v").alias("leader")), ["id", "leader"], "left_semi").select("key", "id").unionByName(leaders.select("key", F.col("leader").alias("id")))
+        left = stored(left.join(settled.distinct(), ["key", "id"], "left_anti"), "wide-open")
+        links, turn = links.unionByName(found), turn + 1
+    return links.distinct()
+
+
+def near_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id", crowd: int = WIDE_CROWD) -> DataFrame:
+    """(d, th, keeper, keeper_th): for each document, by id and text hash, the one of its group that stays, the least."""
+    rows = docs.select(F.coalesce(col(doc_id).cast("long"), F.lit((1 << 63) - 1)).alias("d"), F.xxhash64(text_or_empty(text)).alias("th"), col(text).alias("text"))
+    prints = stored(wide_fingerprints(rows, k), "wide-prints")
+    mark = F.xxhash64("wide")  # of 264 bytes: two fingerprints with one mark are compared as their first
+    distinct = stored(prints.groupBy(mark.alias("id")).agg(F.min("wide").alias("wide"), F.min(F.struct("d", "th")).alias("rep")), "wide-distinct")
+    roots = components(wide_links(distinct, most_bits(similarity), crowd))
+    named = stored(distinct.join(roots, distinct["id"] == roots["node"], "left").select("id", "rep", F.coalesce("root", "id").alias("root")), "wide-roots")
+    least = named.groupBy("root").agg(F.min("rep").alias("keeper"))
+    named = named.join(least, "root").select("id", "keeper")
+    return prints.select("d", "th", mark.alias("id")).join(named, "id").select("d", "th", F.col("keeper.d").alias("keeper"), F.col("keeper.th").alias("keeper_th"))
+
+
+def dedup_near(docs: DataFrame, k: int = 5, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id", crowd: int = WIDE_CROWD) -> DataFrame:
+    """One document of each group of near-duplicates: that of the least id, and one row of it."""
+    d, th, turn = (fresh(docs, x) for x in ("near_d", "near_th", "near_turn"))
+    stay = near_groups(docs, k, similarity, text, doc_id, crowd).select(F.col("keeper").alias(d), F.col("keeper_th").alias(th)).distinct()
+    keyed = docs.withColumns({d: F.coalesce(col(doc_id).cast("long"), F.lit((1 << 63) - 1)), th: F.xxhash64(text_or_empty(text))})
+    out = keyed.join(stored(stay, "near-stay"), [d, th], "left_semi")
+    once = F.row_number().over(Window.partitionBy(col(d), col(th)).orderBy(col(d)))
+    return out.withColumn(turn, once).filter(col(turn) == 1).select(*map(col, docs.columns))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract: doc_id, fingerprint, component_id for each document; shingles of three words, links at two bits."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
