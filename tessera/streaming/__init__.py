@@ -1,0 +1,70 @@
+"""Structured Streaming: running hexagon counts, windows over event time, online models by micro-batch."""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from tessera.operators.binning import HEX, hexed
+
+
+def source(spark: SparkSession, path: str, schema, fmt: str = "parquet", **options) -> DataFrame:
+    """A stream of the files of a folder, or of one file by its name."""
+    folder, _, name = path.rstrip("/").rpartition("/")
+    reader = spark.readStream.format(fmt).schema(schema).options(**options)
+    return reader.option("pathGlobFilter", name).load(folder) if "." in name else reader.load(path)
+
+
+def hex_counts(pixels: DataFrame, width: float = 24.0, n_move: int = 1, key: str = "Count") -> DataFrame:
+    """Running counts by cell, for update or complete mode."""
+    return hexed(pixels, width, n_move).groupBy(*HEX).agg(F.sum(key).alias("tot"))
+
+
+def windowed(events: DataFrame, size: str = "1 hour", slide: str | None = None, late: str = "10 minutes", by: tuple[str, ...] = ("event_type",), ts: str = "ts", value: str = "value") -> DataFrame:
+    """Counts and sums by window of event time; rows later than the watermark are left out."""
+    w = F.window(ts, size, slide) if slide else F.window(ts, size)
+    return events.withWatermark(ts, late).groupBy(w.alias("w"), *by).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *by, "n", "total")
+
+
+def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes", by: tuple[str, ...] = ("user_id",), ts: str = "ts") -> DataFrame:
+    """Counts by session: events closer than the gap belong together."""
+    return events.withWatermark(ts, late).groupBy(F.session_window(ts, gap).alias("w"), *by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *by, "n")
+
+
+def drained(stream: DataFrame, mode: str = "complete") -> DataFrame:
+    """The state after all available input, by way of a memory table: for results of bounded size and for tests."""
+    name = f"drained_{uuid.uuid4().hex}"
+    run = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return stream.sparkSession.table(name)
+
+
+def each_batch(stream: DataFrame, do: Callable[[DataFrame, int], None], checkpoint: str | None = None) -> StreamingQuery:
+    """Run a function on each micro-batch until the input is used up; with a checkpoint it resumes where it stopped."""
+    writer = stream.writeStream.foreachBatch(do).trigger(availableNow=True)
+    return (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
+
+
+def online_model(stream: DataFrame, model, prepare: Callable[[DataFrame], DataFrame], total: float, checkpoint: str | None = None):
+    """Update a model with each micro-batch of units that ``prepare`` makes of it."""
+
+    def step(batch: DataFrame, _: int) -> None:
+        units = prepare(batch)
+        if not units.isEmpty():
+            model.update(units, total)
+
+    each_batch(stream, step, checkpoint).awaitTermination()
+    return model
+
+
+def write_hex_counts(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Partial counts by cell of each micro-batch, appended; a later sum by cell gives the totals. Replayed batches overwrite themselves."""
+
+    def step(batch: DataFrame, i: int) -> None:
+        batch.groupBy(*HEX).agg(F.sum("Count").alias("tot")).write.mode("overwrite").parquet(f"{path}/batch={i}")
+
+    return each_batch(stream, step, checkpoint)
