@@ -56,10 +56,9 @@ def moves(n_move: int, width: float) -> int:
 
 def register(spark: SparkSession) -> None:
     """SQL functions hex_q and hex_r (x, y, radius, ox, oy), and the table function hex_offsets(n)."""
-    size, q, r = "radius", "((0.5773502691896257D * x - y / 3D) / radius + ox)", "((0.6666666666666666D * y) / radius + oy)"
-    del size
+    q, r = "((0.5773502691896257D * x - y / 3D) / radius + ox)", "((0.6666666666666666D * y) / radius + oy)"
     dq, dr = f"({q} - rint({q}))", f"({r} - rint({r}))"
     args = "x DOUBLE, y DOUBLE, radius DOUBLE, ox DOUBLE, oy DOUBLE"
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION hex_q({args}) RETURNS BIGINT RETURN CAST(CASE WHEN abs({dq}) < abs({dr}) THEN rint({q}) ELSE rint({q}) + rint({dq} + {dr} / 2D) END AS BIGINT)")
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION hex_r({args}) RETURNS BIGINT RETURN CAST(CASE WHEN abs({dq}) < abs({dr}) THEN rint({r}) + rint({dr} + {dq} / 2D) ELSE rint({r}) END AS BIGINT)")
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION hex_offsets(n INT) RETURNS TABLE (ox INT, oy INT) RETURN SELECT CAST(a.id AS INT), CAST(b.id AS INT) FROM range(n) a, range(n) b")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION hex_offsets(n INT) RETURNS TABLE (ox INT, oy INT) RETURN SELECT o.i DIV n, o.i % n FROM (SELECT explode(sequence(0, n * n - 1)) AS i) o")

@@ -94,7 +94,7 @@ def decode(pixels: DataFrame, anchors: DataFrame, model: DataFrame, side: float
     spread = tiled(a.select("*", F.inline(F.array_distinct(near))), side, halo, box=box).dropDuplicates(["tx", "ty", "ax", "ay"])
 
     def one(key, tile: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame({"X": [], "Y": [], "theta": []})
+        out = pd.DataFrame({"X": np.zeros(0), "Y": np.zeros(0), "theta": np.zeros(0, object)})
         if len(near) < least or not len(tile):
             return out
         near, tile = near.sort_values(["ax", "ay"]), tile.sort_values(["X", "Y", "gene"])

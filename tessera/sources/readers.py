@@ -85,10 +85,12 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def matrix_market(spark: SparkSession, path: str) -> DataFrame:
     """(gene_idx, barcode_idx, Count) of a coordinate matrix; comments and the size line are left out."""
-    lines = numbered_lines(spark, path).filter(~F.col("text").startswith("%"))
-    first = lines.agg(F.min("line")).first()[0]
+    lines = numbered_lines(spark, path)
+    # The size line is the one after the comments, in whichever of the files they are.
+    comments = [r.line for r in lines.filter(F.col("text").startswith("%")).select("line").collect()]
+    lines = lines.filter(~F.col("text").startswith("%") & ~F.col("line").isin([c + 1 for c in comments]))
     part = F.split("text", r"\s+")
-    return lines.filter(F.col("line") > (first or 0)).select(part[0].cast("long").alias("gene_idx"), part[1].cast("long").alias("barcode_idx"), part[2].cast("double").cast("int").alias("Count"))
+    return lines.select(part[0].cast("long").alias("gene_idx"), part[1].cast("long").alias("barcode_idx"), part[2].cast("double").cast("int").alias("Count"))
 
 
 def solo(df: DataFrame, counts: str = "counts") -> DataFrame:
