@@ -21,7 +21,6 @@ import base64
 import heapq
 import unicodedata
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import fresh
+from tessera.llm.common import fresh, mapped
 
-#: Code points that one scan takes, the width of its blocks, and code points in a batch of texts.
-BLOCK, WIDTH, CHUNK = 1 << 20, 512, 1 << 20
+#: Code points that one scan takes, the width of its blocks, and code points (or tokens) in a batch of texts.
+BLOCK, WIDTH, CHUNK = 1 << 19, 512, 1 << 19
 #: Merged pieces that a worker keeps, and the longest piece that it keeps.
-CACHE_PIECES, CACHE_BYTES = 300_000, 64
+CACHE_PIECES, CACHE_BYTES = 250_000, 64
 #: The mark between two texts, above all code points.
 END = 0x110000
 
@@ -207,8 +206,9 @@ class Vocabulary(dict):
         self.start = np.cumsum(self.length) - self.length
         self.bytes = np.frombuffer(b"".join(by_id), np.uint8)
 
-    def __missing__(self, piece: bytes) -> tuple[int, ...]:
-        ids = merge(piece, self.ranks)
+    def __missing__(self, piece: bytes) -> bytes:
+        """The ids of a piece as 32-bit integers in a row, which are small to keep and joined at once."""
+        ids = np.array(merge(piece, self.ranks), np.int32).tobytes()
         if len(piece) <= CACHE_BYTES:
             if len(self) >= CACHE_PIECES:
                 self.clear()
@@ -230,10 +230,10 @@ class Vocabulary(dict):
         lo, hi = np.searchsorted(starts, stops - lengths).tolist(), np.searchsorted(starts, stops).tolist()
         get, counts, out = self.__getitem__, np.zeros(len(texts), np.int64), []
         for k, (i, j) in enumerate(zip(lo, hi)):
-            ids = list(chain.from_iterable(map(get, [data[a:b] for a, b in zip(places[i:j], places[i + 1 : j + 1])])))
-            counts[k] = len(ids)
-            out.append(np.array(ids, np.int32))
-        ids = np.concatenate(out) if out else np.zeros(0, np.int32)
+            ids = b"".join(map(get, [data[a:b] for a, b in zip(places[i:j], places[i + 1 : j + 1])]))
+            counts[k] = len(ids) // 4
+            out.append(ids)
+        ids = np.frombuffer(b"".join(out), np.int32)
         return counts, ids, self.offsets(counts, ids)
 
     def offsets(self, counts: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -308,7 +308,7 @@ def encode(docs: DataFrame, ranks: str, text: str = "text", ids: str = "ids", of
                 yield pa.RecordBatch.from_arrays([*part.columns, _list(counts, got), _list(counts, places)], [*kept, ids, offsets])
 
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(x, T.ArrayType(T.IntegerType())) for x in (ids, offsets)])
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, schema)
 
 
 def decode(tokens: DataFrame, ranks: str, ids: str = "ids", offsets: str = "offsets", decoded: str = "decoded", keep_ids: bool = True) -> DataFrame:
@@ -322,14 +322,14 @@ def decode(tokens: DataFrame, ranks: str, ids: str = "ids", offsets: str = "offs
         for batch in batches:
             lists, places = batch.column(batch.schema.get_field_index(ids)), batch.column(batch.schema.get_field_index(offsets))
             n = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            for a, b in _chunks(n.tolist(), CHUNK):
+            for a, b in _chunks(n.tolist(), CHUNK // 2):
                 got = lists.slice(a, b - a).flatten().to_numpy(zero_copy_only=False)
                 sizes, out = vocabulary.decode_batch(n[a:b].astype(np.int64), got, places.slice(a, b - a).flatten().to_numpy(zero_copy_only=False))
                 bounds = pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
                 column = pa.Array.from_buffers(pa.binary(), b - a, [None, bounds, pa.py_buffer(np.ascontiguousarray(out))])
                 yield pa.RecordBatch.from_arrays([*batch.select(kept).slice(a, b - a).columns, column], [*kept, decoded])
 
-    return tokens.mapInArrow(run, T.StructType([tokens.schema[c] for c in kept] + [T.StructField(decoded, T.BinaryType())]))
+    return mapped(tokens, run, T.StructType([tokens.schema[c] for c in kept] + [T.StructField(decoded, T.BinaryType())]))
 
 
 def digests(docs: DataFrame, ranks: str) -> DataFrame:

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII white space, as a regex class body: space and tab to carriage return.
 WS = r"\x20\x09-\x0D"
@@ -52,6 +53,30 @@ def drop_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+#: Rows of text in an Arrow batch: what a Python worker holds at once, beside what it makes of them.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to ``BATCH_ROWS``, as rows here are whole texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
+def mapped(df: DataFrame, run, schema: T.StructType | str) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` for columns of any name: Spark itself does not find names with dots there."""
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    given, numbered = df.columns, T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(schema.fields)])
+
+    def renamed(batches):
+        for out in run(b.rename_columns(given) for b in batches):
+            yield out.rename_columns(numbered.names)
+
+    small_batches(df.sparkSession)
+    return df.toDF(*(f"c{i}" for i in range(len(given)))).mapInArrow(renamed, numbered).toDF(*schema.names)
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import col, stored
+from tessera.llm.common import col, mapped, stored
 
 #: Labelled rows that a fit takes at most.
 MOST_LABELLED = 20_000
@@ -89,7 +89,7 @@ def measured(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], lists], [*keep, "features"])
 
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("features", T.ArrayType(T.DoubleType()))])
-    return docs.select(*map(col, keep), col(text)).mapInArrow(run, schema)
+    return mapped(docs.select(*map(col, keep), col(text)), run, schema)
 
 
 @dataclass
@@ -223,7 +223,7 @@ def scored(measures: DataFrame, model: Additive, name: str = "score") -> DataFra
             x = batch.column(batch.schema.get_field_index("features")).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*batch.select(kept).columns, pa.array(model.score(x))], [*kept, name])
 
-    return measures.mapInArrow(run, T.StructType([measures.schema[c] for c in kept] + [T.StructField(name, T.DoubleType())]))
+    return mapped(measures, run, T.StructType([measures.schema[c] for c in kept] + [T.StructField(name, T.DoubleType())]))
 
 
 def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import col, fresh, partitions
+from tessera.llm.common import col, fresh, mapped, partitions
 
 K, S, SIZE = 15, 5, 96
 #: Code points hashed at once.
@@ -114,14 +114,15 @@ def likeness(a: np.ndarray, b: np.ndarray, size: int = SIZE) -> float:
 def fingerprints(docs: DataFrame, text: str = "text", name: str = "fingerprint", k: int = K, s: int = S, size: int = SIZE) -> DataFrame:
     """``docs`` with the fingerprint of each text."""
     name = fresh(docs, name)
+    names = [*docs.columns, name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [x or "" for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
             got = [as_text(x) for x in sketches(texts, k, s, size)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.string())], [*docs.columns, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.string())], names)
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.StringType())]))
+    return mapped(docs, run, T.StructType([*docs.schema.fields, T.StructField(name, T.StringType())]))
 
 
 def _place(key: Column, bounds: list) -> Column:
@@ -199,7 +200,7 @@ def against_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
                     ids, texts, ended = ids[-1:], texts[-1:], bool(extra)
                     chars = len(texts[0])
 
-    return in_order(docs, doc_id, text).mapInArrow(run, PAIRS)
+    return mapped(in_order(docs, doc_id, text), run, PAIRS)
 
 
 def op3_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,7 +221,7 @@ def matches(left: DataFrame, right: DataFrame, key: str = "doc_id", text: str =
                 doc, at, h = anchors([x or "" for x in batch.column(1).to_pylist()], k, s)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array(h.astype(np.int64)), pa.array(at)], [name, "h", f"at_{name}"])
 
-        out = docs.select(col(key).alias(name), col(text)).mapInArrow(run, T.StructType([T.StructField(name, docs.schema[key].dataType), T.StructField("h", T.LongType()), T.StructField(f"at_{name}", T.LongType())]))
+        out = mapped(docs.select(col(key).alias(name), col(text)), run, T.StructType([T.StructField(name, docs.schema[key].dataType), T.StructField("h", T.LongType()), T.StructField(f"at_{name}", T.LongType())]))
         return out.groupBy(name, "h").agg(F.min(f"at_{name}").alias(f"at_{name}"))
 
     both = placed(left, "left_id").join(placed(right, "right_id"), "h")

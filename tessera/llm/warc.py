@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import col, scratch_path, stored
+from tessera.llm.common import col, mapped, scratch_path, stored
 
 #: Bytes of an ARC segment; payloads of at least so many bytes are written once.
 ARC_BYTES, LEAST_BYTES = 1 << 21, 100
@@ -153,7 +153,7 @@ def convert(archives: DataFrame, content: str = "content", payloads: bool = True
 
         yield from _batches(rows(), COLUMNS, TYPES)
 
-    return archives.select(content).mapInArrow(run, RECORD)
+    return mapped(archives.select(content), run, RECORD)
 
 
 def to_arc(pages: DataFrame, url: str = "url", html: str = "html", key: str = "page_id", version: int = 1, date: str = "20240101000000") -> DataFrame:
@@ -176,7 +176,7 @@ def to_arc(pages: DataFrame, url: str = "url", html: str = "html", key: str = "p
             if size:
                 yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["content"])
 
-    return pages.select(*map(col, (url, html, key))).mapInArrow(run, "content binary")
+    return mapped(pages.select(*map(col, (url, html, key))), run, "content binary")
 
 
 # --- WARC ---
@@ -295,7 +295,7 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
         yield from _batches(rows(), [x.split()[0] for x in READ.split(", ")], TYPES)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path).select("content")
-    return files.mapInArrow(run, READ)
+    return mapped(files, run, READ)
 
 
 def page_key(head: str = "head") -> Column:
