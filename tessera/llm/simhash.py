@@ -17,12 +17,17 @@ A similarity of 0.8 on shingles is some ten bits of 64, too many for blocks that
 select anything. :func:`near_groups` therefore takes wide fingerprints, of
 ``BLOCK_COUNT`` blocks with ``BLOCK_BITS`` bits: a pair of Jaccard similarity j,
 whose bits agree with probability p = 1 - acos(2j / (1 + j)) / pi, shares a
-block with probability 1 - (1 - p ** BLOCK_BITS) ** BLOCK_COUNT (0.93 for j =
+block with probability 1 - (1 - p ** BLOCK_BITS) ** BLOCK_COUNT (0.94 for j =
 0.8, 0.98 for 0.83, above 0.999 from 0.88), and the Hamming distance over all
-bits then estimates the similarity with a standard error under 0.02. Blocks that
-more than ``crowd`` fingerprints share are worked off by leaders, drawn by hash:
-every leader is compared with all of the block, and those within reach of one
-are settled, until none is left.
+bits then estimates the similarity with a standard error under 0.02. Two texts
+with nothing in common share a block by chance once in 2 ** BLOCK_BITS; a corpus
+of many more documents than that wants wider blocks, and more of them.
+
+Blocks that more than ``crowd`` fingerprints share are worked off by leaders,
+those first that are in most of such blocks: a leader is compared with all of
+the block, and those within reach of it are settled, in its group. Leaders are
+doubled each round until none is left unsettled, so a block of copies costs its
+size and not its square.
 
 Defined results: a null or blank text has fingerprint zero, linked like any
 other; texts of fewer words than a shingle are one shingle; repeated rows share
@@ -38,11 +43,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import col, fresh, stored, text_or_empty
+from tessera.llm.common import col, fresh, mapped, stored, text_or_empty
 from tessera.llm.components import components
 
 SEED = 42
@@ -86,7 +91,7 @@ def fingerprints(docs: DataFrame, k: int = 5, text: str = "text", name: str = "f
             got = [_fingerprint(shingle_hashes(x or "", k)) for x in texts]
             yield pa.RecordBatch.from_arrays([*batch.select(kept).columns, pa.array(got, pa.int64())], [*kept, name])
 
-    return docs.mapInArrow(run, T.StructType([docs.schema[c] for c in kept] + [T.StructField(name, T.LongType())]))
+    return mapped(docs, run, T.StructType([docs.schema[c] for c in kept] + [T.StructField(name, T.LongType())]))
 
 
 def block_masks(bits: int, blocks: int) -> list[int]:
@@ -127,10 +132,12 @@ def grouped(prints: DataFrame, bits: int = 2, blocks: int = BLOCKS, crowd: int =
 # --- wide fingerprints, for a similarity on shingles ---
 
 #: Blocks of a wide fingerprint and their bits; bits that 0.8 is to differ in at most, with one standard error.
-BLOCK_COUNT, BLOCK_BITS = 96, 22
+BLOCK_COUNT, BLOCK_BITS = 160, 25
 WIDE = BLOCK_COUNT * BLOCK_BITS
-WIDE_CROWD, LEADERS = 64, 32
-_LANES, _ODD = np.uint64(0x0101010101010101), np.uint64(0x9E3779B97F4A7C15)
+LONGS = -(-WIDE // 64)
+WIDE_CROWD, LAST = 2, 8
+_LANES = np.uint64(0x0101010101010101)
+_FACTORS = np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 63, LONGS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def most_bits(similarity: float) -> int:
@@ -139,52 +146,69 @@ def most_bits(similarity: float) -> int:
     return int(WIDE * share + np.sqrt(WIDE * share * (1 - share)))
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+def _added(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ones, twos): the sums of three bits in every place."""
+    x = a ^ b
+    return x ^ c, (a & b) | (x & c)
 
 
 def wide_bits(hashes: list[list[int]]) -> np.ndarray:
     """The majority of each of ``WIDE`` bits, for the shingle hashes of some texts: an array of texts by bits.
 
-    A shingle's bits are its hash mixed with a counter. Bits are counted in byte
-    lanes, for at most 255 shingles at a time.
+    A shingle's bits are its hash times fixed odd numbers, the high half folded
+    into the low one. Seven shingles are added in all places at once; these sums
+    are added up in byte lanes, 36 at a time, which a byte can hold.
     """
-    words = -(-WIDE // 64)
+    words = len(_FACTORS)
     n = np.array([len(h) for h in hashes], np.int64)
+    sevens = -(-n // 7)
     counts = np.zeros((len(hashes), words * 64), np.int32)
-    flat = np.array([x for h in hashes for x in h], np.uint64)
-    firsts = np.cumsum(n) - n
-    begins = np.concatenate([np.arange(f, f + m, 255) for f, m in zip(firsts, n)]) if len(flat) else np.zeros(0, np.int64)
-    owner = np.repeat(np.arange(len(n)), -(-n // 255))
-    step = 24  # segments at once: some megabytes of lanes
+    total, firsts = int(sevens.sum()), np.cumsum(sevens) - sevens
+    if not total:
+        return counts[:, :WIDE] > 0
+    flat, real = np.zeros(total * 7, np.uint64), np.zeros(total * 7, bool)
+    for f, h in zip(firsts.tolist(), hashes):
+        flat[f * 7 : f * 7 + len(h)] = h
+        real[f * 7 : f * 7 + len(h)] = True
+    begins = np.concatenate([np.arange(f, f + m, 36) for f, m in zip(firsts, sevens)])
+    owner = np.repeat(np.arange(len(n)), -(-sevens // 36))
+    step = 8  # segments at once: what the processor's cache holds
     for a in range(0, len(begins), step):
-        lo, hi = begins[a], begins[a + step] if a + step < len(begins) else len(flat)
-        rows = _mixed(flat[lo:hi, None] + (np.arange(1, words + 1, dtype=np.uint64) * _ODD)[None, :])
+        lo, hi = int(begins[a]), int(begins[a + step]) if a + step < len(begins) else total
+        rows = flat[lo * 7 : hi * 7, None] * _FACTORS[None, :]
+        rows ^= rows >> np.uint64(32)
+        rows[~real[lo * 7 : hi * 7]] = 0
+        r = rows.reshape(hi - lo, 7, words)
+        s1, c1 = _added(r[:, 0], r[:, 1], r[:, 2])
+        s2, c2 = _added(r[:, 3], r[:, 4], r[:, 5])
+        ones, c3 = _added(s1, s2, r[:, 6])
+        twos, fours = _added(c1, c2, c3)
+        at, own = begins[a : a + step] - lo, owner[a : a + step]
         for b in range(8):
-            lanes = np.add.reduceat((rows >> np.uint64(b)) & _LANES, begins[a : a + step] - lo, axis=0)
-            np.add.at(counts, (owner[a : a + step, None], np.arange(b, words * 64, 8)[None, :]), lanes.view(np.uint8).reshape(len(lanes), -1))
+            shift = np.uint64(b)
+            lanes = ((ones >> shift) & _LANES) + (((twos >> shift) & _LANES) << np.uint64(1)) + (((fours >> shift) & _LANES) << np.uint64(2))
+            sums = np.add.reduceat(lanes, at, axis=0).view(np.uint8).reshape(len(at), -1)
+            for i, d in enumerate(own.tolist()):
+                counts[d, b::8] += sums[i]
     return counts[:, :WIDE] * 2 > n[:, None]
 
 
 def wide_fingerprints(docs: DataFrame, k: int = 5, text: str = "text", name: str = "wide") -> DataFrame:
-    """``docs`` without the text, with its wide fingerprint as bytes."""
+    """``docs`` without the text, with its wide fingerprint as an array of longs; the bits beyond ``WIDE`` are 0."""
     kept = [c for c in docs.columns if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, out = batch.column(batch.schema.get_field_index(text)).to_pylist(), []
+            texts, out = batch.column(batch.schema.get_field_index(text)).to_pylist(), [np.zeros(0, np.int64)]
             for a in range(0, len(texts), 64):
-                bits = wide_bits([shingle_hashes(x or "", k) for x in texts[a : a + 64]])
-                out += [x.tobytes() for x in np.packbits(bits, axis=1)]
-            yield pa.RecordBatch.from_arrays([*batch.select(kept).columns, pa.array(out, pa.binary())], [*kept, name])
-
-    return docs.mapInArrow(run, T.StructType([docs.schema[c] for c in kept] + [T.StructField(name, T.BinaryType())]))
-
+                bits = np.packbits(wide_bits([shingle_hashes(x or "", k) for x in texts[a : a + 64]]), axis=1)
+                row = np.zeros((len(bits), LONGS * 8), np.uint8)
+                row[:, : bits.shape[1]] = bits
+                out.append(row.view(">i8").astype(np.int64).ravel())
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * LONGS, pa.int32()), pa.array(np.concatenate(out)))
+            yield pa.RecordBatch.from_arrays([*batch.select(kept).columns, lists], [*kept, name])
 
-def _bits(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+    return mapped(docs, run, T.StructType([docs.schema[c] for c in kept] + [T.StructField(name, T.ArrayType(T.LongType()))]))
 
 
 def _blocks(distinct: DataFrame) -> DataFrame:
@@ -195,47 +219,48 @@ def _blocks(distinct: DataFrame) -> DataFrame:
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
-                bits = np.unpackbits(_bits(part.column(1)), axis=1)[:, :WIDE].reshape(-1, BLOCK_COUNT, BLOCK_BITS)
+                rows = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(">i8").view(np.uint8).reshape(part.num_rows, -1)
+                bits = np.unpackbits(rows, axis=1)[:, :WIDE].reshape(-1, BLOCK_COUNT, BLOCK_BITS)
                 keys = bits @ weight + (np.arange(BLOCK_COUNT, dtype=np.int64) << BLOCK_BITS)
                 ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), BLOCK_COUNT)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids)], ["key", "id"])
 
-    return distinct.select("id", "wide").mapInArrow(run, "key long, id long")
+    return mapped(distinct.select("id", "wide"), run, "key long, id long")
 
 
-def _verified(pairs: DataFrame, distinct: DataFrame, bits: int) -> DataFrame:
-    """Those of the pairs (u, v) whose fingerprints differ in at most ``bits`` places."""
-    d = distinct.select("id", "wide")
-    both = pairs.join(d.toDF("u", "x"), "u").join(d.toDF("v", "y"), "v").select("u", "v", "x", "y")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            near = np.bitwise_count(_bits(batch.column(2)) ^ _bits(batch.column(3))).sum(axis=1, dtype=np.int64) <= bits
-            yield batch.select(["u", "v"]).filter(pa.array(near))
-
-    return both.mapInArrow(run, "u long, v long")
+def _distance(a: str, b: str) -> Column:
+    """The bits in which two wide fingerprints differ."""
+    return sum((F.bit_count(F.get(F.col(a), F.lit(i)).bitwiseXOR(F.get(F.col(b), F.lit(i)))) for i in range(1, LONGS)), F.bit_count(F.get(F.col(a), F.lit(0)).bitwiseXOR(F.get(F.col(b), F.lit(0)))))
 
 
 def wide_links(distinct: DataFrame, bits: int, crowd: int = WIDE_CROWD) -> DataFrame:
-    """(u, v): verified links between the ids of different wide fingerprints (id, wide)."""
+    """(u, v): verified links between the ids of different wide fingerprints (id, wide).
+
+    The distance is a condition of the join on blocks, so that pairs which only
+    share a block are never rows.
+    """
     keyed = _blocks(distinct)
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    met = stored(keyed.join(shared, "key"), "wide-met")
+    met = keyed.join(shared, "key")
+    met = stored(met.withColumnRenamed("id", "member").join(distinct.select("id", "wide"), F.col("member") == F.col("id")).select("key", "id", "n", "wide"), "wide-met")
     few = met.filter(F.col("n") <= crowd)
-    pairs = few.select("key", F.col("id").alias("u")).join(few.select("key", F.col("id").alias("v")), "key").filter("u < v").select("u", "v").distinct()
-    links = stored(_verified(pairs, distinct, bits), "wide-links")
-    members = met.filter(F.col("n") > crowd).select("key", "id")
-    left, turn = members, 0
+    links = few.select("key", F.col("id").alias("u"), F.col("wide").alias("x")).join(few.select("key", F.col("id").alias("v"), F.col("wide").alias("y")), "key").filter((F.col("u") < F.col("v")) & (_distance("x", "y") <= bits)).select("u", "v")
+    links = stored(links, "wide-links")
+    crowded = met.filter(F.col("n") > crowd)
+    often = crowded.groupBy("id").agg(F.count("*").alias("deg")).withColumnRenamed("id", "member")
+    left = stored(crowded.select("key", "id").join(often, F.col("id") == F.col("member")).select("key", "id", "deg"), "wide-open")
+    turn = 0
     while not left.isEmpty():
         draw = F.pmod(F.xxhash64("id", "key", F.lit(turn)), F.lit(1 << 30))
-        sizes = left.groupBy("key").agg(F.count("*").alias("open"), F.min(F.struct(draw.alias("draw"), "id")).alias("first"))
-        leaders = left.join(sizes, "key").filter((F.col("id") == F.col("first.id")) | (draw * F.col("open") < F.lit(LEADERS << 30))).select("key", F.col("id").alias("leader"))
-        leaders = stored(leaders, "wide-leaders")
-        asked = members.join(leaders, "key").filter("id <> leader")
-        found = stored(_verified(asked.select(F.col("id").alias("u"), F.col("leader").alias("v")).distinct(), distinct, bits), "wide-links")
-        settled = asked.join(found.select(F.col("u").alias("id"), F.col("v").alias("leader")), ["id", "leader"], "left_semi").select("key", "id").unionByName(leaders.select("key", F.col("leader").alias("id")))
+        sizes = left.groupBy("key").agg(F.count("*").alias("open"), F.max(F.struct("deg", "id")).alias("first"))
+        drawn = (F.col("open") <= LAST) | (draw * F.col("open") < F.lit((1 << min(turn, 30)) << 30)) if turn else F.lit(False)
+        leaders = left.join(sizes, "key").filter((F.col("id") == F.col("first.id")) | drawn).select("key", "id")
+        leaders = stored(crowded.select("key", "id", "wide").join(leaders, ["key", "id"], "left_semi").withColumnsRenamed({"id": "leader", "wide": "y"}), "wide-leaders")
+        found = crowded.select("key", "id", "wide").join(leaders, "key").filter((F.col("id") != F.col("leader")) & (_distance("wide", "y") <= bits))
+        found = stored(found.select("key", "id", "leader"), "wide-found")
+        settled = found.select("key", "id").unionByName(leaders.select("key", F.col("leader").alias("id")))
         left = stored(left.join(settled.distinct(), ["key", "id"], "left_anti"), "wide-open")
-        links, turn = links.unionByName(found), turn + 1
+        links, turn = links.unionByName(found.select(F.col("id").alias("u"), F.col("leader").alias("v"))), turn + 1
     return links.distinct()
 
 
@@ -243,8 +268,8 @@ def near_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, text: str
     """(d, th, keeper, keeper_th): for each document, by id and text hash, the one of its group that stays, the least."""
     rows = docs.select(F.coalesce(col(doc_id).cast("long"), F.lit((1 << 63) - 1)).alias("d"), F.xxhash64(text_or_empty(text)).alias("th"), col(text).alias("text"))
     prints = stored(wide_fingerprints(rows, k), "wide-prints")
-    mark = F.xxhash64("wide")  # of 264 bytes: two fingerprints with one mark are compared as their first
-    distinct = stored(prints.groupBy(mark.alias("id")).agg(F.min("wide").alias("wide"), F.min(F.struct("d", "th")).alias("rep")), "wide-distinct")
+    mark = F.xxhash64("wide")  # two fingerprints with one mark, if there ever are such, are one
+    distinct = stored(prints.groupBy(mark.alias("id")).agg(F.any_value("wide").alias("wide"), F.min(F.struct("d", "th")).alias("rep")), "wide-distinct")
     roots = components(wide_links(distinct, most_bits(similarity), crowd))
     named = stored(distinct.join(roots, distinct["id"] == roots["node"], "left").select("id", "rep", F.coalesce("root", "id").alias("root")), "wide-roots")
     least = named.groupBy("root").agg(F.min("rep").alias("keeper"))
