@@ -20,6 +20,7 @@ from __future__ import annotations
 import base64
 import heapq
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,7 @@ from tessera.llm.common import fresh, mapped
 #: Code points that one scan takes, the width of its blocks, and code points (or tokens) in a batch of texts.
 BLOCK, WIDTH, CHUNK = 1 << 19, 512, 1 << 19
 #: Merged pieces that a worker keeps, and the longest piece that it keeps.
-CACHE_PIECES, CACHE_BYTES = 250_000, 64
+CACHE_PIECES, CACHE_BYTES = 400_000, 64
 #: The mark between two texts, above all code points.
 END = 0x110000
 
@@ -149,27 +150,26 @@ def piece_starts(points: np.ndarray) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
+def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The ids of a piece: the pair of lowest rank is joined, the leftmost of equals, until no pair has a rank."""
     if (whole := ranks.get(piece)) is not None:
-        return (whole,)
-    none, get = 1 << 60, ranks.get
+        return [whole]
     if len(piece) > 256:
         return _merge_long(piece, ranks)
-    parts = [piece[i : i + 1] for i in range(len(piece))]
+    none, get = 1 << 60, ranks.get
+    cuts = list(range(len(piece) + 1))  # where parts begin and end
     pairs = [get(piece[i : i + 2], none) for i in range(len(piece) - 1)]
     while pairs and (least := min(pairs)) < none:
         i = pairs.index(least)
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        del pairs[i]
+        del cuts[i + 1], pairs[i]
         if i < len(pairs):
-            pairs[i] = get(parts[i] + parts[i + 1], none)
+            pairs[i] = get(piece[cuts[i] : cuts[i + 2]], none)
         if i:
-            pairs[i - 1] = get(parts[i - 1] + parts[i], none)
-    return tuple(ranks[p] for p in parts)
+            pairs[i - 1] = get(piece[cuts[i - 1] : cuts[i + 1]], none)
+    return [ranks[piece[i:j]] for i, j in zip(cuts, cuts[1:])]
 
 
-def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
+def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """As merge, with a heap: a piece of n bytes takes about n log n steps."""
     n = len(piece)
     end = list(range(1, n + 1))  # of the part that begins here
@@ -189,7 +189,7 @@ def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
                 heapq.heappush(heap, (r, i, end[stop]))
         if (h := before[i]) >= 0 and (r := ranks.get(piece[h:stop])) is not None:
             heapq.heappush(heap, (r, h, stop))
-    return tuple(ranks[piece[i : end[i]]] for i in range(n) if alive[i])
+    return [ranks[piece[i : end[i]]] for i in range(n) if alive[i]]
 
 
 class Vocabulary(dict):
@@ -198,6 +198,7 @@ class Vocabulary(dict):
     def __init__(self, data: bytes):
         super().__init__()
         self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in data.splitlines() if x)}
+        self.old: dict[bytes, bytes] = {}
         size = max(self.ranks.values(), default=-1) + 1
         by_id = [b""] * size
         for token, i in self.ranks.items():
@@ -207,10 +208,17 @@ class Vocabulary(dict):
         self.bytes = np.frombuffer(b"".join(by_id), np.uint8)
 
     def __missing__(self, piece: bytes) -> bytes:
-        """The ids of a piece as 32-bit integers in a row, which are small to keep and joined at once."""
-        ids = np.array(merge(piece, self.ranks), np.int32).tobytes()
+        """The ids of a piece as 32-bit integers in a row, which are small to keep and joined at once.
+
+        The cache has two halves: when the new one is full it becomes the old
+        one, and what is asked for again moves up, so frequent pieces stay.
+        """
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = array("i", merge(piece, self.ranks)).tobytes()
         if len(piece) <= CACHE_BYTES:
-            if len(self) >= CACHE_PIECES:
+            if len(self) >= CACHE_PIECES // 2:
+                self.old = dict(self)
                 self.clear()
             self[piece] = ids
         return ids

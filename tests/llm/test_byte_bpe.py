@@ -55,6 +55,12 @@ def test_blocks_do_not_matter(vocabulary, reference, monkeypatch):
     check(vocabulary, reference, ["it's  a\n\n test of 'll  blocks   ", "", "   ", "x're"])
 
 
+def test_small_cache(reference, monkeypatch):
+    monkeypatch.setattr(b, "CACHE_PIECES", 6)
+    with open(b.vocabulary_path(), "rb") as f:
+        check(b.Vocabulary(f.read()), reference, ["the the of the and of the cat sat on the mat of the cat " * 3])
+
+
 def test_functions_compose():
     t = b.COMPOSE.astype(int)
     n = len(t)
