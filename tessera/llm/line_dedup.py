@@ -56,7 +56,11 @@ class LineRuns:
         return [self.spark.table(x) for level in self.levels for x in level]
 
     def add(self, lines: DataFrame) -> DataFrame:
-        """Take a batch of (h1, h2, n_docs, last_doc), one row a line hash; returns the lines that no earlier batch had."""
+        """Take a batch of (h1, h2, n_docs, last_doc), one row a line hash.
+
+        Returns the lines that no earlier batch had, as a table that stands until the next batch.
+        """
+        self._compact()
         new = lines
         for run in self.runs():
             new = new.join(run.select("h1", "h2"), ["h1", "h2"], "left_anti")
@@ -68,9 +72,7 @@ class LineRuns:
         name = self._write(new)
         self.levels = self.levels or [[]]
         self.levels[0].append(name)
-        out = self.spark.table(name)
-        self._compact()
-        return out if name in self.paths else self.spark.table(self.levels[-1][-1])
+        return self.spark.table(name)
 
     def _compact(self) -> None:
         k = 0

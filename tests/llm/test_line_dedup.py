@@ -48,11 +48,14 @@ def test_edge_rows(spark):
 def test_runs(spark):
     runs = d.LineRuns(spark, fan_in=2)
     batch = lambda lo, hi: spark.range(lo, hi).select(F.col("id").alias("h1"), (F.col("id") * 7).alias("h2"), F.lit(1).cast("long").alias("n_docs"), (F.lit(lo) + F.col("id")).alias("last_doc"))
-    new = [runs.add(batch(a, b)) for a, b in ((0, 100), (50, 150), (120, 130), (0, 10))]
-    del new
-    assert [len(x) for x in runs.levels] == [0, 0, 1]  # four batches, compacted twice
-    every = runs.runs()[0]
-    assert every.count() == 150 and every.select("h1").distinct().count() == 150
+    new = [runs.add(batch(a, b)).count() for a, b in ((0, 100), (50, 150), (120, 130), (0, 10), (0, 160))]
+    assert new == [100, 50, 0, 0, 10]
+    assert [len(x) for x in runs.levels] == [1, 0, 1]  # five batches, compacted at two levels
+    assert sum(x.count() for x in runs.runs()) == 160
+    runs.close()
+    runs = d.LineRuns(spark, fan_in=3)
+    for a, b in ((0, 100), (50, 150), (120, 130), (0, 10)):
+        runs.add(batch(a, b))
     twice = runs.frequent(2)
     assert twice.count() == 70 and runs.frequent(3).count() == 0
     assert twice.filter("h1 = 125").first().last_doc == 245 and runs.frequent(1).count() == 150
