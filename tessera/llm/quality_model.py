@@ -9,8 +9,8 @@ same with trees over pairs, for the pairs that explain most of what is left. A
 score is the sum of the values of a document's bins, through the logistic
 function: additions of whole columns.
 
-The fit takes at most ``MOST_LABELLED`` labelled documents, those with the least
-hashes of their ids: a bounded sample, drawn the same way at every size.
+The fit takes at most ``MOST_LABELLED`` labelled rows: of more, a share by the hash
+of the id is filtered on the executors, and only that comes to the driver.
 
 Defined results: a null text is empty, and empty texts are scored like others;
 null labels are ignored; labels of documents that do not exist as well; several
@@ -207,11 +207,16 @@ def remainder(doc_id: str = "doc_id"):
 
 
 def train(measures: DataFrame, labels: DataFrame, label: str = "quality", most: int = MOST_LABELLED) -> Additive:
-    """A model from ``measures`` (doc_id, features) and ``labels``, from at most ``most`` of the labelled rows."""
+    """A model from ``measures`` (doc_id, features) and ``labels``; of more than ``most`` labelled rows a share by hash is taken."""
     given = labels.select("doc_id", col(label).cast("double").alias("y")).filter("y IS NOT NULL")
-    rows = measures.join(given, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "y", "features").limit(most).select("features", "y").toPandas()
-    x = np.array(rows["features"].tolist(), float).reshape(-1, len(FEATURES))
-    return fit(x, rows["y"].to_numpy(float))
+    rows = stored(measures.join(given, "doc_id").select(F.xxhash64("doc_id").alias("h"), "features", "y"), "quality-labelled")
+    n = rows.count()
+    if n > most:  # a little less than the share, so that chance does not lead above it
+        rows = rows.filter(F.pmod("h", F.lit(1 << 20)) < int((most - 4 * most**0.5) / n * (1 << 20)))
+    got = rows.toPandas()
+    x, y, h = np.array(got["features"].tolist(), float).reshape(-1, len(FEATURES)), got["y"].to_numpy(float), got["h"].to_numpy()
+    order = np.lexsort((*x.T, y, h))  # sums do not depend on the order of arrival
+    return fit(x[order], y[order])
 
 
 def scored(measures: DataFrame, model: Additive, name: str = "score") -> DataFrame:
