@@ -97,6 +97,50 @@ def _anchor_theta(spark: SparkSession, d: str) -> DataFrame:
     return v.arrayed(p, ["hx", "hy"], "factor", "p", 4).join(anchors(spark, d), ["hx", "hy"]).select(F.struct("hx", "hy").alias("key"), "x", "y", "theta")
 
 
+@query(A + " SELECT a.hx, a.hy, b.hx AS nx, b.hy AS ny, round(sqrt((a.ax - b.ax) * (a.ax - b.ax) + (a.ay - b.ay) * (a.ay - b.ay)), 6) AS d FROM anchors a JOIN anchors b ON b.hx BETWEEN a.hx - 4 AND a.hx + 4 AND b.hy BETWEEN a.hy - 4 AND a.hy + 4 WHERE sqrt((a.ax - b.ax) * (a.ax - b.ax) + (a.ay - b.ay) * (a.ay - b.ay)) <= 50")
+def anchor_graph(spark: SparkSession, d: str) -> DataFrame:
+    """Anchors within twice the radius of each other, themselves included."""
+    a = anchors(spark, d)
+    left = a.select("hx", "hy", F.col("x").alias("ax"), F.col("y").alias("ay"))
+    right = a.select(F.col("hx").alias("nx"), F.col("hy").alias("ny"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    return rounded(sp.radius_join(left, right, 50.0, "ax", "ay", "bx", "by").select("hx", "hy", "nx", "ny", "d"))
+
+
+@query(A + """, c AS (SELECT CAST(round_even(X / 20.0::DOUBLE, 0) AS BIGINT) AS px, CAST(round_even(Y / 20.0::DOUBLE, 0) AS BIGINT) AS py, CAST(sum(Count) AS BIGINT) AS n FROM px WHERE Count > 40 GROUP BY 1, 2),
+e AS (SELECT CAST(a.range AS BIGINT) AS px, CAST(b.range AS BIGINT) AS py FROM range(30) a, range(30) b), m AS (SELECT * FROM e ANTI JOIN c USING (px, py)),
+r AS (SELECT m.px, m.py, c.n, row_number() OVER (PARTITION BY m.px, m.py ORDER BY (m.px - c.px) * (m.px - c.px) + (m.py - c.py) * (m.py - c.py), c.px, c.py) AS rn FROM m JOIN c ON c.px BETWEEN m.px - 2 AND m.px + 2 AND c.py BETWEEN m.py - 2 AND m.py + 2 WHERE (m.px - c.px) * (m.px - c.px) + (m.py - c.py) * (m.py - c.py) <= 4)
+SELECT px, py, n FROM c UNION ALL SELECT px, py, n FROM r WHERE rn = 1""")
+def raster_filled(spark: SparkSession, d: str) -> DataFrame:
+    """Raster counts, with empty cells of a corner filled from the nearest within two cells."""
+    known = b.raster(px(spark, d).filter("Count > 40"), 20.0, "X", "Y").groupBy("px", "py").agg(F.sum("Count").alias("n"))
+    cells = spark.range(900).select((F.col("id") % 30).alias("px"), F.floor(F.col("id") / 30).alias("py"))
+    return rasters.filled(cells, known, 2, "n")
+
+
+@query(f"""WITH {PX}, e AS (SELECT min(X) AS x0, max(X) AS x1 FROM px), k AS (SELECT greatest(1, CAST(ceil((x1 - 100.0 + 1 - x0) / 170.0) AS INT)) AS n, x0 FROM e)
+SELECT CAST(greatest(0, least(n - 1, CAST(ceil((X - (x0 + 15.0::DOUBLE)) / 170.0::DOUBLE) AS INT) - 1)) AS INT) AS tile, count(*) AS n FROM px, k GROUP BY 1""")
+def tile_owner(spark: SparkSession, d: str) -> DataFrame:
+    """Pixels by the one tile of the x axis that they belong to."""
+    p = px(spark, d)
+    x0, x1, _, _ = b.extent(p)
+    return p.groupBy(b.owner(F.col("X"), x0, x1, 200.0, 30.0).cast("int").alias("tile")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {PX} SELECT CAST(floor((Y - 10.0::DOUBLE) / 75.0::DOUBLE) AS BIGINT) AS win, CAST(sum(CASE WHEN grp = 'A' THEN 1 ELSE 0 END) AS BIGINT) AS A, CAST(sum(CASE WHEN grp = 'N' THEN 1 ELSE 0 END) AS BIGINT) AS N FROM px GROUP BY 1")
+def window_dummies(spark: SparkSession, d: str) -> DataFrame:
+    """Indicator columns summed by window of the minor axis."""
+    out = filters.dummies(px(spark, d), "grp", ["A", "N"]).withColumn("win", b.minor_windows(F.col("Y"), 10.0, 75.0))
+    return out.groupBy("win").agg(F.sum("A").alias("A"), F.sum("N").alias("N"))
+
+
+@query(f"""WITH {UNITS}, s AS (SELECT (unit + 1) % 500 AS unit, gene, n AS bn FROM counts), j AS (SELECT coalesce(c.unit, s.unit) AS unit, coalesce(c.gene, s.gene) AS gene, coalesce(c.n, 0) AS n, coalesce(bn, 0) AS buffer_n FROM counts c FULL JOIN s ON c.unit = s.unit AND c.gene = s.gene)
+SELECT unit, gene, n, buffer_n, round(sum(buffer_n) OVER (PARTITION BY unit) / (sum(buffer_n) OVER (PARTITION BY unit) + 100.0::DOUBLE), 6) AS buffer_weight FROM j""")
+def augmented_units(spark: SparkSession, d: str) -> DataFrame:
+    """Units with the counts of the unit before as their surroundings."""
+    c = unit_counts(spark, d)
+    return rounded(matrix.augmented(c, c.withColumn("unit", (F.col("unit") + 1) % 500), 100.0))
+
+
 # --- markers ---
 
 DE = f"""WITH {LABELLED}, a0 AS (SELECT gene, factor, sum(n) AS a FROM labelled GROUP BY ALL), g AS (SELECT gene, sum(a) AS gt FROM a0 GROUP BY gene HAVING sum(a) >= 50),

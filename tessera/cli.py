@@ -8,6 +8,8 @@ import json
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import hexgrid
+from tessera.functions.colours import from_hex
 from tessera.functions.vectors import posterior_counts, with_top
 from tessera.operators import binning, markers, rasters, regions
 from tessera.operators.decode import decode
@@ -23,11 +25,17 @@ OPTIONS = {
     "make_sge_by_hexagon": {"hex_width": 24.0, "n_move": 1, "density": 0.1, "key": "Count"},
     "fit_model": {"n_factor": 12, "restarts": 5, "epochs": 1, "train": 0.5, "min_ct_unit": 50, "min_ct_feature": 50, "seed": 0},
     "transform": {"model": "", "n_move": 3, "hex_width": 24.0, "min_ct": 20.0},
-    "decode": {"model": "", "anchors": "", "radius": 25.0, "halflife": 0.7, "side": 500.0, "halo": 50.0, "share": 0.2, "top": 3},
-    "markers": {"min_ct": 50.0, "p": 1e-3, "fold": 1.5, "min_output": 10},
+    "slda_decode": {"model": "", "anchors": "", "radius": 25.0, "halflife": 0.7, "side": 500.0, "halo": 50.0, "share": 0.2, "top": 3},
+    "de_bulk": {"min_ct": 50.0, "p": 1e-3, "fold": 1.5, "min_output": 10},
     "factor_report": {"markers": "", "colours": "", "n_top": 20, "min_top": 10},
-    "choose_colour": {"n_factor": 12, "width": 24.0, "n_move": 1, "seed": 0},
-    "plot": {"colours": "", "um": 1.0, "top": 3},
+    "choose_color": {"n_factor": 12, "width": 24.0, "n_move": 1, "seed": 0},
+    "plot_base": {"colours": "", "um": 1.0, "fill": 0},
+    "plot_hexagon": {"colours": "", "um": 1.0, "width": 24.0},
+    "plot_pixel_full": {"colours": "", "um": 1.0, "top": 3},
+    "plot_pixel_multi": {"channels": "", "um": 1.0, "top": 3, "cut": 0.1},
+    "plot_pixel_single": {"n_factor": 12, "um": 1.0, "top": 3, "least": 100},
+    "block_index": {"n_factor": 12, "top": 3, "block": 2000.0, "scale": 100.0, "off_x": 0.0, "off_y": 0.0},
+    "format": {"platform": "xenium", "scale": 0.12, "quality": 13.0},
     "init_model_from_pseudobulk": {"model": "", "epochs": 0, "scale": 0.0, "min_ct_unit": 50, "min_ct_feature": 50},
     "run_together": {"train_widths": "12", "n_factors": "12", "restarts": 10, "epochs": 3, "n_move": 2, "top": 3, "dry_run": False, "jobs": 1},
 }
@@ -84,20 +92,51 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         theta = workflow.transform(Lda.load(spark, a.model), counts, spark, a.min_ct)
         save(theta, "/anchors")
         save(posterior_counts(theta.select("unit", "theta"), counts), "/posterior")
-    elif a.verb == "decode":
+    elif a.verb == "slda_decode":
         got = decode(readers.pixels(spark, a.input), read(a.anchors).select("x", "y", "theta"), Lda.load(spark, a.model).matrix(spark), a.side, a.halo, a.radius, a.halflife, a.share)
         save(with_top(got, a.top))
-    elif a.verb == "markers":
+    elif a.verb == "de_bulk":
         save(markers.with_pvalues(markers.ranked(markers.chi_square(read(a.input), a.min_ct), a.p, a.fold, a.min_output)))
     elif a.verb == "factor_report":
         table = markers.factor_table(read(a.input), read(a.markers), a.n_top, min_top=a.min_top)
         save(table, "/table")
         sinks.write_bytes(spark, f"{a.output}/report.html", sinks.report([r.asDict() for r in table.orderBy(F.desc("weight")).collect()]).encode())
-    elif a.verb == "choose_colour":
+    elif a.verb == "choose_color":
         save(spark.createDataFrame(workflow.factor_colours(read(a.input), a.n_factor, a.width, a.n_move, a.seed), "Name string, Color_index int, R double, G double, B double"))
-    elif a.verb == "plot":
-        cells = rasters.top_rgb(read(a.input), a.um, read(a.colours).withColumn("factor", F.col("Name").cast("int")), a.top)
+    elif a.verb in ("plot_base", "plot_hexagon", "plot_pixel_full"):
+        colours = read(a.colours).withColumn("factor", F.col("Name").cast("int"))
+        if a.verb == "plot_pixel_full":
+            cells = rasters.top_rgb(read(a.input), a.um, colours, a.top)
+        elif a.verb == "plot_hexagon":
+            units = read(a.input)
+            edge = units.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+            lo, hi = (int(min(edge[0], edge[2]) / a.um) - 1, int(max(edge[1], edge[3]) / a.um) + 1)
+            grid = spark.range(lo, hi + 1).select(F.col("id").alias("px"), F.explode(F.sequence(F.lit(lo).cast("long"), F.lit(hi).cast("long"))).alias("py"))
+            known = units.withColumn("_h", hexgrid.pixel_to_hex(F.col("x"), F.col("y"), hexgrid.radius_of(a.width))).select(F.col("_h.hx").alias("hx"), F.col("_h.hy").alias("hy"), "theta")
+            painted = rasters.hexagon_cells(known, grid, a.um, a.width).select("px", "py", F.posexplode("theta").alias("factor", "p"))
+            cells = rasters.mixed(painted, colours)
+        else:
+            cells = rasters.mixed(rasters.mean_values(read(a.input), a.um), colours).withColumn("rgb", F.array("r", "g", "b"))
+            if a.fill:
+                box = cells.agg(F.min("px"), F.max("px"), F.min("py"), F.max("py")).first()
+                grid = spark.range(box[0], box[1] + 1).select(F.col("id").alias("px"), F.explode(F.sequence(F.lit(box[2]), F.lit(box[3]))).alias("py"))
+                cells = rasters.filled(grid, cells.select("px", "py", "rgb"), a.fill, "rgb")
+            cells = cells.select("px", "py", *(F.get("rgb", F.lit(i)).alias(c) for i, c in enumerate("rgb")))
         sinks.write_bytes(spark, a.output, sinks.png(rasters.image(cells)))
+    elif a.verb == "plot_pixel_multi":
+        chosen = [(int(k), from_hex(c)) for k, c in (x.split(":") for x in a.channels.split(","))]
+        sinks.write_bytes(spark, a.output, sinks.png(rasters.image(rasters.channels(read(a.input), a.um, chosen, a.top, a.cut))))
+    elif a.verb == "plot_pixel_single":
+        maps = rasters.single_factors(read(a.input), a.um, a.n_factor, a.top, a.least).persist()
+        for r in maps.select("factor").distinct().collect():  # one image a factor
+            one = maps.filter(F.col("factor") == r.factor).select("px", "py", *(F.col("p").alias(c) for c in "rgb"))
+            sinks.write_bytes(spark, f"{a.output}/factor_{r.factor}.png", sinks.png(rasters.image(one)))
+    elif a.verb == "block_index":
+        sinks.write_blocks(read(a.input), a.output, a.n_factor, a.top, a.block, a.scale, a.off_x, a.off_y)
+    elif a.verb == "format":
+        raw = spark.read.parquet(a.input) if a.input.rstrip("/").endswith(".parquet") else spark.read.option("header", True).option("inferSchema", True).csv(a.input)
+        made = {"cosmx": lambda: readers.cosmx(raw, a.scale), "vizgen": lambda: readers.vizgen(raw), "xenium": lambda: readers.xenium(raw, a.quality)}[a.platform]()
+        save(made, "/pixels"), save(readers.feature_totals(made), "/features"), save(binning.bounding_box(made), "/bbox")
     elif a.verb == "init_model_from_pseudobulk":
         from tessera.operators import matrix
 

@@ -97,3 +97,16 @@ def coherence(counts: DataFrame, theta: DataFrame, markers: DataFrame) -> DataFr
     s = both.groupBy("factor").agg(F.sum(term).alias("score0"))
     mass = theta.groupBy("factor").agg(F.sum("p").alias("_p"))
     return s.join(mass, "factor").select("factor", "score0", (F.col("score0") / F.col("_p")).alias("score"))
+
+
+def pair_information(counts: DataFrame, markers: DataFrame, pseudo: float = 1.0) -> DataFrame:
+    """(factor, pmi): the mean pointwise mutual information of a factor's markers over units, with a pseudo-count."""
+    n = counts.select("unit").distinct().count()
+    present = counts.filter("n > 0").select("unit", "gene").distinct()
+    single = present.groupBy("gene").agg(F.count("*").alias("c"))
+    m = markers.select("factor", "gene").distinct()
+    pairs = m.withColumnRenamed("gene", "gi").join(m.withColumnRenamed("gene", "gj"), "factor").filter("gi < gj")
+    both = present.withColumnRenamed("gene", "gi").join(F.broadcast(pairs.select("gi", "gj").distinct()), "gi").join(present.withColumnRenamed("gene", "gj"), ["unit", "gj"]).groupBy("gi", "gj").agg(F.count("*").alias("cij"))
+    out = pairs.join(both, ["gi", "gj"], "left").join(single.toDF("gi", "ci"), "gi").join(single.toDF("gj", "cj"), "gj")
+    pmi = F.log((F.coalesce("cij", F.lit(0)) + pseudo) * (n + pseudo) / ((F.col("ci") + pseudo) * (F.col("cj") + pseudo)))
+    return out.groupBy("factor").agg(F.avg(pmi).alias("pmi"))

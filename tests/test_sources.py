@@ -120,6 +120,14 @@ def test_whole_run(spark, tmp_path):
     main(["run_together", "--input", str(tmp_path / "p.parquet"), "--output", out, "--train-widths", "10", "--n-factors", "3", "--restarts", "1", "--epochs", "2"], spark)
     assert "<table>" in (tmp_path / "out" / "nF3.d_10" / "report.html").read_text()
     assert spark.read.parquet(f"{out}/nF3.d_10/pixels").count() > 1000
+    decoded, colours, anchors = (f"{out}/nF3.d_10/{x}" for x in ("pixels", "colours", "anchors"))
+    main(["plot_pixel_multi", "--input", decoded, "--output", f"{out}/multi.png", "--channels", "0:#ff0000,1:#00ff00"], spark)
+    main(["plot_pixel_single", "--input", decoded, "--output", f"{out}/single", "--n-factor", "3", "--least", "1"], spark)
+    main(["plot_base", "--input", anchors, "--output", f"{out}/base.png", "--colours", colours, "--um", "4", "--fill", "2"], spark)
+    main(["plot_hexagon", "--input", anchors, "--output", f"{out}/hex.png", "--colours", colours, "--um", "2", "--width", "10"], spark)
+    main(["block_index", "--input", decoded, "--output", f"{out}/blocks", "--n-factor", "3"], spark)
+    assert all((tmp_path / "out" / f).read_bytes()[:4] == b"\x89PNG" for f in ("multi.png", "base.png", "hex.png", "single/factor_0.png"))
+    assert readers.blocks(spark, f"{out}/blocks")[0].count() == spark.read.parquet(decoded).count()
     main(["make_dge", "--input", str(tmp_path / "p.parquet"), "--output", out + "/dge", "--hex-width", "10", "--min-ct", "5"], spark)
     assert spark.read.parquet(out + "/dge").count() > 0
-    assert {a.dest for a in parser()._subparsers._group_actions[0].choices["decode"]._actions} >= {"radius", "halflife", "share"}
+    assert {a.dest for a in parser()._subparsers._group_actions[0].choices["slda_decode"]._actions} >= {"radius", "halflife", "share"}
