@@ -430,14 +430,14 @@ def _units(spark: SparkSession, d: str) -> tuple[DataFrame, list]:
 def lda_fit(spark: SparkSession, d: str) -> DataFrame:
     """A topic model of the documents' words: gene, factor, lambda."""
     units, genes = _units(spark, d)
-    return Lda(genes, 6, seed=3).fit(units, 2).relabelled().matrix(spark)
+    return Lda(genes, 6, seed=3).fit(units, 2, 2048).relabelled().matrix(spark)
 
 
 @query()
 def lda_transform(spark: SparkSession, d: str) -> DataFrame:
     """Factor probabilities of the documents."""
     units, genes = _units(spark, d)
-    return v.with_top(Lda(genes, 6, seed=3).fit(units, 2).transform(units), 3)
+    return v.with_top(Lda(genes, 6, seed=3).fit(units, 2, 2048).transform(units), 3)
 
 
 def _model(spark: SparkSession, d: str) -> DataFrame:

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.hexgrid import area_of, radius_of
@@ -64,7 +64,7 @@ def triangles(centres: DataFrame, longest: float, block: float | None = None) ->
     Triangulated by blocks with a margin of twice that length, of which a
     triangle's own block keeps it; a task holds the points of one block.
     """
-    side, margin = block or 40 * longest, 2 * longest
+    side, margin = block or 4 * longest, 2 * longest
     at = F.array(*(F.struct(bucket(F.col("x") + dx, side).alias("bx"), bucket(F.col("y") + dy, side).alias("by")) for dx in (-margin, 0.0, margin) for dy in (-margin, 0.0, margin)))
     dealt = centres.select("x", "y").distinct().select("x", "y", F.inline(F.array_distinct(at)))
 
@@ -81,30 +81,48 @@ def triangles(centres: DataFrame, longest: float, block: float | None = None) ->
     return dealt.groupBy("bx", "by").applyInPandas(one, "x1 double, y1 double, x2 double, y2 double, x3 double, y3 double")
 
 
-def in_triangles(pixels: DataFrame, tri: DataFrame, longest: float, buffer: float, key: list[str]) -> DataFrame:
-    """Pixels within ``buffer`` of a triangle: listed by bucket, then measured exactly."""
-    reach = longest + buffer
-    cx, cy = (F.col("x1") + F.col("x2") + F.col("x3")) / 3, (F.col("y1") + F.col("y2") + F.col("y3")) / 3
-    t = tri.withColumns({"_cx": cx, "_cy": cy})
-    near = F.array(*(F.struct((bucket(F.col("_cx"), reach) + i).alias("_bx"), (bucket(F.col("_cy"), reach) + j).alias("_by")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    t = t.select("x1", "y1", "x2", "y2", "x3", "y3", F.inline(near))
-    x, y = F.col("X"), F.col("Y")
+def _reached(x: Column, y: Column, reach: float) -> Column:
+    """Whether a point is within ``reach`` of the triangle x1 ... y3, inside it included."""
 
-    def side(a: str, b: str):
+    def side(a: str, b: str) -> Column:
         return (F.col(f"x{b}") - F.col(f"x{a}")) * (y - F.col(f"y{a}")) - (F.col(f"y{b}") - F.col(f"y{a}")) * (x - F.col(f"x{a}"))
 
+    def far(a: str, b: str) -> Column:
+        ux, uy = F.col(f"x{b}") - F.col(f"x{a}"), F.col(f"y{b}") - F.col(f"y{a}")
+        along = F.least(F.greatest(((x - F.col(f"x{a}")) * ux + (y - F.col(f"y{a}")) * uy) / F.greatest(ux * ux + uy * uy, F.lit(1e-30)), F.lit(0.0)), F.lit(1.0))
+        return F.hypot(x - F.col(f"x{a}") - along * ux, y - F.col(f"y{a}") - along * uy)
+
     s = [side("1", "2"), side("2", "3"), side("3", "1")]
     within = ((s[0] >= 0) & (s[1] >= 0) & (s[2] >= 0)) | ((s[0] <= 0) & (s[1] <= 0) & (s[2] <= 0))
+    return within | (F.least(far("1", "2"), far("2", "3"), far("3", "1")) <= F.lit(float(reach)))
 
-    def far(a: str, b: str):
-        ux, uy = F.col(f"x{b}") - F.col(f"x{a}"), F.col(f"y{b}") - F.col(f"y{a}")
-        along = F.least(F.greatest(((x - F.col(f"x{a}")) * ux + (y - F.col(f"y{a}")) * uy) / F.greatest(ux * ux + uy * uy, F.lit(1e-30)), F.lit(0.0)), F.lit(1.0))
-        dx, dy = x - F.col(f"x{a}") - along * ux, y - F.col(f"y{a}") - along * uy
-        return dx * dx + dy * dy
 
-    reached = within | (F.least(far("1", "2"), far("2", "3"), far("3", "1")) <= F.lit(float(buffer) ** 2))
-    p = pixels.withColumns({"_px": bucket(x, reach), "_py": bucket(y, reach)})
-    return p.join(t, (F.col("_px") == F.col("_bx")) & (F.col("_py") == F.col("_by")) & reached, "left_semi").drop("_px", "_py")
+def _celled(tri: DataFrame, buffer: float, width: float) -> DataFrame:
+    """Triangles under the cells (_bx, _by) that their box, wider by the buffer, touches."""
+    ends = lambda f, c: f(*(F.col(f"{c}{i}") for i in (1, 2, 3)))
+
+    def cells(c: str) -> Column:
+        return F.sequence(bucket(ends(F.least, c) - buffer, width), bucket(ends(F.greatest, c) + buffer, width))
+
+    return tri.withColumn("_bx", F.explode(cells("x"))).withColumn("_by", F.explode(cells("y")))
+
+
+def in_triangles(pixels: DataFrame, tri: DataFrame, buffer: float) -> DataFrame:
+    """Pixels within ``buffer`` of a triangle.
+
+    Small cells that are covered as a whole are found from the triangles alone;
+    pixels there need an equi-join only. The others, along the rim, are measured
+    against the triangles of their cell.
+    """
+    fine, coarse = buffer / 2, 2.0 * buffer
+    middle = lambda c: (F.col(c) + F.lit(0.5)) * F.lit(fine)
+    covered = _celled(tri, buffer, fine).filter(_reached(middle("_bx"), middle("_by"), buffer - fine * 0.5**0.5)).select("_bx", "_by").distinct()
+    p = pixels.withColumns({"_bx": bucket(F.col("X"), fine), "_by": bucket(F.col("Y"), fine)})
+    sure = p.join(covered, ["_bx", "_by"], "left_semi").drop("_bx", "_by")
+    rim = p.join(covered, ["_bx", "_by"], "left_anti").withColumns({"_px": bucket(F.col("X"), coarse), "_py": bucket(F.col("Y"), coarse)}).drop("_bx", "_by")
+    t = _celled(tri, buffer, coarse)
+    near = rim.join(t, (F.col("_px") == F.col("_bx")) & (F.col("_py") == F.col("_by")) & _reached(F.col("X"), F.col("Y"), buffer), "left_semi").drop("_px", "_py")
+    return sure.unionByName(near)
 
 
 def filter_by_density(pixels: DataFrame, width: float | None = None, radius: float = 15, n_move: int = 2, key: str = "Count", least: float = 0.02, min_area: float = 0.0, **options) -> tuple[DataFrame, DataFrame, Cutoffs]:
@@ -113,12 +131,12 @@ def filter_by_density(pixels: DataFrame, width: float | None = None, radius: flo
     units = hex_units(pixels, width, n_move, key, min_ct=0, density=least).persist()
     cut = density_cutoffs(units, width, **options)
     longest, buffer = 2 * 3**0.5 * radius_of(width), radius_of(width)
-    lenient = triangles(units.filter(F.col("tot") >= cut.lenient), longest)
+    lenient = triangles(units.filter(F.col("tot") >= cut.lenient), longest).persist()
     strict = triangles(units.filter(F.col("tot") >= cut.strict), longest)
     if min_area > 0:
         lenient, strict = (large(x, min_area) for x in (lenient, strict))
-    kept = in_triangles(pixels, lenient, longest, buffer, [])
-    totals = in_triangles(pixels, strict, longest, buffer, []).groupBy("gene").agg(F.sum(key).alias("total"))
+    kept = in_triangles(pixels, lenient, buffer)
+    totals = in_triangles(pixels, strict, buffer).groupBy("gene").agg(F.sum(key).alias("total"))
     return kept, totals, cut
 
 

@@ -113,8 +113,14 @@ def test_density_region(spark):
     rng = np.random.default_rng(2)
     dense, sparse = rng.uniform(0, 200, (24000, 2)), rng.uniform(0, 600, (9000, 2))
     p = spark.createDataFrame([(float(x), float(y), "g", 1) for x, y in np.vstack([dense, sparse])], "X double, Y double, gene string, Count int")
-    kept, totals, cut = regions.filter_by_density(p, radius=10, min_area=500.0)
+    kept, totals, cut = regions.filter_by_density(p, radius=10)
     inner = kept.filter("X between 10 and 190 and Y between 10 and 190").count() / ((dense > 10).all(1) & (dense < 190).all(1)).sum()
     outer = kept.filter("X > 260 or Y > 260").count() / ((sparse > 260).any(1)).sum()
     assert inner > 0.99 and outer < 0.05 and cut.dense_mean > cut.sparse_mean and totals.count() == 1
     assert regions.filter_by_anchors(p, 20).count() > 0
+
+
+def test_small_groups_of_triangles_go(spark):
+    rows = [(0.0, 0.0, 2.0, 0.0, 0.0, 2.0), (2.0, 0.0, 0.0, 2.0, 2.0, 2.0), (9.0, 9.0, 10.0, 9.0, 9.0, 10.0)]
+    tri = spark.createDataFrame(rows, "x1 double, y1 double, x2 double, y2 double, x3 double, y3 double")
+    assert regions.large(tri, 3.0).count() == 2
