@@ -290,14 +290,22 @@ def _list(counts: np.ndarray, values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values))
 
 
+def _binary(sizes: np.ndarray, data: np.ndarray) -> pa.Array:
+    bounds = pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, bounds, pa.py_buffer(np.ascontiguousarray(data))])
+
+
 def _broadcast(spark: SparkSession, path: str) -> Broadcast:
     with open(path, "rb") as f:
         return spark.sparkContext.broadcast(f.read())
 
 
-def encode(docs: DataFrame, ranks: str, text: str = "text", ids: str = "ids", offsets: str = "offsets", keep_text: bool = True) -> DataFrame:
+def encode(docs: DataFrame, ranks: str, text: str = "text", ids: str = "ids", offsets: str = "offsets", keep_text: bool = True, decoded: str | None = None) -> DataFrame:
     """``docs`` with the token ids of a text column and their byte offsets.
 
+    With ``decoded`` the ids are decoded again in the same pass, into a column of
+    that name: one Python worker a task holds the vocabulary and not two.
+
     ``ranks`` is the vocabulary file, read by the driver and broadcast: its size
     is that of the vocabulary. ``keep_text=False`` leaves the text column out.
     """
@@ -312,10 +320,13 @@ def encode(docs: DataFrame, ranks: str, text: str = "text", ids: str = "ids", of
             rest = batch.select(kept)
             for a, b in _chunks(list(map(len, texts)), CHUNK):
                 counts, got, places = vocabulary.encode_batch(texts[a:b])
-                part = rest.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns, _list(counts, got), _list(counts, places)], [*kept, ids, offsets])
+                made = [_list(counts, got), _list(counts, places)]
+                if back:
+                    made.append(_binary(*vocabulary.decode_batch(counts, got, places)))
+                yield pa.RecordBatch.from_arrays([*rest.slice(a, b - a).columns, *made], [*kept, ids, offsets, *back])
 
-    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(x, T.ArrayType(T.IntegerType())) for x in (ids, offsets)])
+    back = [fresh(docs, decoded)] if decoded else []
+    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(x, T.ArrayType(T.IntegerType())) for x in (ids, offsets)] + [T.StructField(x, T.BinaryType()) for x in back])
     return mapped(docs, run, schema)
 
 
@@ -333,19 +344,16 @@ def decode(tokens: DataFrame, ranks: str, ids: str = "ids", offsets: str = "offs
             for a, b in _chunks(n.tolist(), CHUNK // 2):
                 got = lists.slice(a, b - a).flatten().to_numpy(zero_copy_only=False)
                 sizes, out = vocabulary.decode_batch(n[a:b].astype(np.int64), got, places.slice(a, b - a).flatten().to_numpy(zero_copy_only=False))
-                bounds = pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-                column = pa.Array.from_buffers(pa.binary(), b - a, [None, bounds, pa.py_buffer(np.ascontiguousarray(out))])
-                yield pa.RecordBatch.from_arrays([*batch.select(kept).slice(a, b - a).columns, column], [*kept, decoded])
+                yield pa.RecordBatch.from_arrays([*batch.select(kept).slice(a, b - a).columns, _binary(sizes, out)], [*kept, decoded])
 
     return mapped(tokens, run, T.StructType([tokens.schema[c] for c in kept] + [T.StructField(decoded, T.BinaryType())]))
 
 
 def digests(docs: DataFrame, ranks: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row of (doc_id, text)."""
-    tokens = encode(docs.select("doc_id", "text"), ranks, keep_text=False)
+    tokens = encode(docs.select("doc_id", "text"), ranks, keep_text=False, decoded="decoded")
     ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256)
-    tokens = tokens.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), "ids", "offsets")
-    return decode(tokens, ranks, keep_ids=False).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return tokens.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def vocabulary_path() -> str:
