@@ -38,7 +38,7 @@ def query(sql: str | None = None):
 
 A = f"WITH {PX}, {anchors_sql()}"
 NU = math.log(0.5) / math.log(0.7)
-#: Pixels of the tests of spatial joins: those of a corner, so that the other engine can compare all pairs.
+#: Pixels of three spatial joins whose SQL is over a corner; the queries named _all take all pixels.
 CORNER = "X < 300 AND Y < 300"
 
 
@@ -46,6 +46,27 @@ def _corner(spark: SparkSession, d: str) -> DataFrame:
     return px(spark, d).filter((F.col("X") < 300) & (F.col("Y") < 300))
 
 
+def _everywhere(name: str) -> str:
+    """The SQL of a query over the corner, over all pixels."""
+    return S[name].replace(f" WHERE {CORNER}", "")
+
+
+def _radius_edges(pixels: DataFrame, a: DataFrame) -> DataFrame:
+    e = sp.radius_join(pixels.select("X", "Y").distinct(), a, 13.0)
+    return rounded(e.withColumn("w", sp.edge_weight(F.col("d"), 13.0, NU)).select("X", "Y", "hx", "hy", "d", "w"))
+
+
+def _knn_join(pixels: DataFrame, a: DataFrame) -> DataFrame:
+    p = pixels.select("X", "Y").distinct().withColumn("key", F.struct("X", "Y"))
+    return sp.nearest(p, a.withColumn("tie", F.struct("hx", "hy")), 25.0, "key", "tie", 3).select("X", "Y", "hx", "hy", "rank")
+
+
+def _knn_impute(pixels: DataFrame, a: DataFrame) -> DataFrame:
+    p = pixels.select("X", "Y").distinct().withColumn("key", F.struct("X", "Y"))
+    e = sp.radius_join(p, a, 20.0, strict=True).withColumn("w", sp.edge_weight(F.col("d"), 20.0, NU)).withColumn("value", F.array(F.col("tot").cast("double")))
+    return rounded(sp.imputed(e, "key", "w", "value").select("key.X", "key.Y", F.get("value", F.lit(0)).alias("value")))
+
+
 @query(A + " SELECT X, Y, gene, Count FROM px WHERE EXISTS (SELECT 1 FROM anchors WHERE (X - ax) * (X - ax) + (Y - ay) * (Y - ay) < 49.3::DOUBLE AND abs(X - ax) < 8)")
 def nearest_anchor_filter(spark: SparkSession, d: str) -> DataFrame:
     r = math.sqrt(49.3)
@@ -54,23 +75,36 @@ def nearest_anchor_filter(spark: SparkSession, d: str) -> DataFrame:
 
 @query(A + f", c AS (SELECT DISTINCT X, Y FROM px WHERE {CORNER}), e AS (SELECT X, Y, hx, hy, sqrt((X - ax) * (X - ax) + (Y - ay) * (Y - ay)) AS d FROM c JOIN anchors ON abs(X - ax) <= 13 AND abs(Y - ay) <= 13) SELECT round(X, 6) AS X, round(Y, 6) AS Y, hx, hy, round(d, 6) AS d, round(1.0::DOUBLE - pow(d / 13.0::DOUBLE, {NU!r}::DOUBLE), 6) AS w FROM e WHERE d <= 13")
 def radius_edges(spark: SparkSession, d: str) -> DataFrame:
-    e = sp.radius_join(_corner(spark, d).select("X", "Y").distinct(), anchors(spark, d), 13.0)
-    return rounded(e.withColumn("w", sp.edge_weight(F.col("d"), 13.0, NU)).select("X", "Y", "hx", "hy", "d", "w"))
+    return _radius_edges(_corner(spark, d), anchors(spark, d))
+
+
+@query(_everywhere("radius_edges"))
+def radius_edges_all(spark: SparkSession, d: str) -> DataFrame:
+    """:func:`radius_edges` over all pixels."""
+    return _radius_edges(px(spark, d), anchors(spark, d))
 
 
 @query(A + f", c AS (SELECT DISTINCT X, Y FROM px WHERE {CORNER}), e AS (SELECT X, Y, hx, hy, sqrt((X - ax) * (X - ax) + (Y - ay) * (Y - ay)) AS d FROM c JOIN anchors ON abs(X - ax) <= 25 AND abs(Y - ay) <= 25), k AS (SELECT *, row_number() OVER (PARTITION BY X, Y ORDER BY d, hx, hy) AS rank FROM e WHERE d <= 25) SELECT X, Y, hx, hy, CAST(rank AS INT) AS rank FROM k WHERE rank <= 3")
 def knn_join(spark: SparkSession, d: str) -> DataFrame:
-    p = _corner(spark, d).select("X", "Y").distinct().withColumn("key", F.struct("X", "Y"))
-    a = anchors(spark, d).withColumn("tie", F.struct("hx", "hy"))
-    return sp.nearest(p, a, 25.0, "key", "tie", 3).select("X", "Y", "hx", "hy", "rank")
+    return _knn_join(_corner(spark, d), anchors(spark, d))
+
+
+@query(_everywhere("knn_join"))
+def knn_join_all(spark: SparkSession, d: str) -> DataFrame:
+    """:func:`knn_join` over all pixels."""
+    return _knn_join(px(spark, d), anchors(spark, d))
 
 
 @query(A + f""", c AS (SELECT DISTINCT X, Y FROM px WHERE {CORNER}), t AS (SELECT hx, hy, ax, ay, tot::DOUBLE AS tot FROM anchors), e AS (SELECT X, Y, tot, sqrt((X - ax) * (X - ax) + (Y - ay) * (Y - ay)) AS d FROM c JOIN t ON abs(X - ax) <= 20 AND abs(Y - ay) <= 20),
 w AS (SELECT *, 1.0::DOUBLE - pow(d / 20.0::DOUBLE, {NU!r}::DOUBLE) AS w FROM e WHERE d < 20) SELECT round(w.X, 6) AS X, round(w.Y, 6) AS Y, round(sum(w * tot) / sum(w), 6) AS value FROM w GROUP BY w.X, w.Y""")
 def knn_impute(spark: SparkSession, d: str) -> DataFrame:
-    p = _corner(spark, d).select("X", "Y").distinct().withColumn("key", F.struct("X", "Y"))
-    e = sp.radius_join(p, anchors(spark, d), 20.0, strict=True).withColumn("w", sp.edge_weight(F.col("d"), 20.0, NU)).withColumn("value", F.array(F.col("tot").cast("double")))
-    return rounded(sp.imputed(e, "key", "w", "value").select("key.X", "key.Y", F.get("value", F.lit(0)).alias("value")))
+    return _knn_impute(_corner(spark, d), anchors(spark, d))
+
+
+@query(_everywhere("knn_impute"))
+def knn_impute_all(spark: SparkSession, d: str) -> DataFrame:
+    """:func:`knn_impute` over all pixels."""
+    return _knn_impute(px(spark, d), anchors(spark, d))
 
 
 NEIGHBOURS = """n AS (SELECT a.hx AS hx, a.hy AS hy, b.hx AS nx, b.hy AS ny FROM anchors a JOIN anchors b ON (b.hx - a.hx, b.hy - a.hy) IN ((1, 0), (-1, 0), (0, 1), (0, -1), (1, -1), (-1, 1)))"""
