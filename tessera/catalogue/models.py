@@ -151,6 +151,32 @@ def raster_filled(spark: SparkSession, d: str) -> DataFrame:
     return rasters.filled(cells, known, 2, "n")
 
 
+def _grid(binned: DataFrame) -> DataFrame:
+    """All raster cells px, py of the rectangle that holds those of ``binned``."""
+    px0, px1, py0, py1 = b.extent(binned, "px", "py")
+    if px0 is None:
+        return binned.select("px", "py").limit(0)
+    w, h = px1 - px0 + 1, py1 - py0 + 1
+    return binned.sparkSession.range(w * h).select((F.col("id") % w + px0).alias("px"), (F.floor(F.col("id") / w) + py0).alias("py"))
+
+
+GRID = """e AS (SELECT a.px, b.py FROM (SELECT unnest(range(min(px), max(px) + 1)) AS px FROM c) a, (SELECT unnest(range(min(py), max(py) + 1)) AS py FROM c) b)"""
+
+
+@query(A + f""", c AS (SELECT CAST(round_even(X / 20.0::DOUBLE, 0) AS BIGINT) AS px, CAST(round_even(Y / 20.0::DOUBLE, 0) AS BIGINT) AS py, CAST(sum(Count) AS BIGINT) AS n FROM px GROUP BY 1, 2),
+{GRID}, m AS (SELECT * FROM e ANTI JOIN c USING (px, py)),
+r AS (SELECT m.px, m.py, c.n, row_number() OVER (PARTITION BY m.px, m.py ORDER BY (m.px - c.px) * (m.px - c.px) + (m.py - c.py) * (m.py - c.py), c.px, c.py) AS rn FROM m JOIN c ON c.px BETWEEN m.px - 2 AND m.px + 2 AND c.py BETWEEN m.py - 2 AND m.py + 2 WHERE (m.px - c.px) * (m.px - c.px) + (m.py - c.py) * (m.py - c.py) <= 4)
+SELECT px, py, n FROM c UNION ALL SELECT px, py, n FROM r WHERE rn = 1""")
+def raster_filled_all(spark: SparkSession, d: str) -> DataFrame:
+    """Raster counts of all pixels, with empty cells of the whole extent filled from the nearest within two cells."""
+    return _raster_filled_all(px(spark, d))
+
+
+def _raster_filled_all(pixels: DataFrame) -> DataFrame:
+    known = b.raster(pixels, 20.0, "X", "Y").groupBy("px", "py").agg(F.sum("Count").alias("n"))
+    return rasters.filled(_grid(known), known, 2, "n")
+
+
 @query(f"""WITH {PX}, e AS (SELECT min(X) AS x0, max(X) AS x1 FROM px), k AS (SELECT greatest(1, CAST(ceil((x1 - 100.0 + 1 - x0) / 170.0) AS INT)) AS n, x0 FROM e)
 SELECT CAST(greatest(0, least(n - 1, CAST(ceil((X - (x0 + 15.0::DOUBLE)) / 170.0::DOUBLE) AS INT) - 1)) AS INT) AS tile, count(*) AS n FROM px, k GROUP BY 1""")
 def tile_owner(spark: SparkSession, d: str) -> DataFrame:
@@ -330,6 +356,17 @@ def hex_raster(spark: SparkSession, d: str) -> DataFrame:
     return rasters.hexagon_cells(anchors(spark, d).select("hx", "hy", "tot"), cells, 10.0, 24.0).select("hx", "hy", "px", "py", "tot")
 
 
+@query(S["hex_raster"].replace(S["hex_raster"][S["hex_raster"].index("cells AS ("):S["hex_raster"].index(", q0 AS")], f"c AS (SELECT CAST(round_even(X / 10.0::DOUBLE, 0) AS BIGINT) AS px, CAST(round_even(Y / 10.0::DOUBLE, 0) AS BIGINT) AS py FROM px), {GRID.replace('e AS', 'cells AS', 1)}"))
+def hex_raster_all(spark: SparkSession, d: str) -> DataFrame:
+    """:func:`hex_raster` with the cells of the pixels' whole extent."""
+    return _hex_raster_all(px(spark, d), anchors(spark, d))
+
+
+def _hex_raster_all(pixels: DataFrame, a: DataFrame) -> DataFrame:
+    cells = _grid(b.raster(pixels, 10.0, "X", "Y"))
+    return rasters.hexagon_cells(a.select("hx", "hy", "tot"), cells, 10.0, 24.0).select("hx", "hy", "px", "py", "tot")
+
+
 @query(f"WITH {PX}, n AS (SELECT {CELL}, grp, count(*) AS n FROM px GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY px, py ORDER BY n DESC, CASE grp WHEN 'A' THEN 'first' ELSE grp END) AS rn FROM n) SELECT px, py, CASE grp WHEN 'A' THEN 'first' ELSE grp END AS category FROM r WHERE rn = 1")
 def raster_categories(spark: SparkSession, d: str) -> DataFrame:
     return rasters.categories(px(spark, d), 20.0, "grp", spark.createDataFrame([("A", "first")], "`From` string, `To` string"), "X", "Y")

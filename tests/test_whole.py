@@ -34,3 +34,23 @@ def test_joins_take_all_pixels(points):
             want[q] = sum(x * t for x, t in w) / sum(x for x, _ in w)
     got = {(r.X, r.Y): r.value for r in m._knn_impute(p, s).collect()}
     assert set(got) == set(want) and all(got[q] == pytest.approx(want[q], abs=1e-5) for q in want)
+
+
+def test_rasters_take_the_whole_extent(points):
+    at, a, p, s = points
+    count = {}
+    for i, (x, y) in enumerate(at):
+        c = (round(x / 20), round(y / 20))
+        count[c] = count.get(c, 0) + 1 + i % 50
+    xs, ys = zip(*count)
+    want = dict(count)
+    for c in ((x, y) for x in range(min(xs), max(xs) + 1) for y in range(min(ys), max(ys) + 1)):
+        if c not in count and (d := min(((c[0] - x) ** 2 + (c[1] - y) ** 2, (x, y)) for x, y in count))[0] <= 4:
+            want[c] = count[d[1]]
+    got = [((r.px, r.py), r.n) for r in m._raster_filled_all(p).collect()]
+    assert dict(got) == want and len(got) == len(want)
+    assert any(max(c) >= 30 for c in set(want) - set(count)) and any(min(c) < 0 for c in want)
+    cells = m._grid(m.b.raster(p, 10.0, "X", "Y")).collect()
+    px, py = ([round(q[i] / 10) for q in at] for i in (0, 1))
+    assert sorted(cells) == [(x, y) for x in range(min(px), max(px) + 1) for y in range(min(py), max(py) + 1)]
+    assert m._raster_filled_all(p.limit(0)).count() == 0
