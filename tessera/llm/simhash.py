@@ -194,14 +194,14 @@ def wide_bits(hashes: list[list[int]]) -> np.ndarray:
 
 
 def wide_fingerprints(docs: DataFrame, k: int = 5, text: str = "text", name: str = "wide") -> DataFrame:
-    """``docs`` without the text, with its wide fingerprint as an array of longs; the bits beyond ``WIDE`` are 0."""
+    """``docs`` without the text, with the wide fingerprint of its distinct shingles as an array of longs; the bits beyond ``WIDE`` are 0."""
     kept = [c for c in docs.columns if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, out = batch.column(batch.schema.get_field_index(text)).to_pylist(), [np.zeros(0, np.int64)]
             for a in range(0, len(texts), 64):
-                bits = np.packbits(wide_bits([shingle_hashes(x or "", k) for x in texts[a : a + 64]]), axis=1)
+                bits = np.packbits(wide_bits([list(set(shingle_hashes(x or "", k))) for x in texts[a : a + 64]]), axis=1)
                 row = np.zeros((len(bits), LONGS * 8), np.uint8)
                 row[:, : bits.shape[1]] = bits
                 out.append(row.view(">i8").astype(np.int64).ravel())

@@ -161,3 +161,14 @@ def test_distance_measures_similarity():
         a, b = s.wide_bits([base[:n].tolist(), np.concatenate([base[:k], base[n:]]).tolist()])
         assert abs(int((a ^ b).sum()) - s.WIDE * np.arccos(2 * j / (1 + j)) / np.pi) < 90
     assert s.most_bits(0.9) < s.most_bits(0.8)
+
+
+def test_repeated_phrases_count_once(spark):
+    rng = np.random.default_rng(11)
+    words = lambda n: " ".join(f"r{rng.integers(1 << 40)}" for _ in range(n))
+    phrase, rest = words(8), words(200)
+    texts = [f"{words(1004)}\n" + " ".join([phrase] * 60), f"{words(1004)}\n" + " ".join([phrase] * 60)]
+    texts += [f"{rest} " + " ".join([phrase] * n) for n in (3, 61)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert jaccard(*texts[:2]) < 0.02 and jaccard(*texts[2:]) == 1
+    assert {r.d: r.keeper for r in s.near_groups(df).collect()} == {0: 0, 1: 1, 2: 2, 3: 2}
