@@ -4,8 +4,9 @@ Paths become templates. First each segment takes a shape, so that numbers,
 hashes and slugs are one segment each. Then, level by level under each host, a
 segment stays literal if it has a good share of its parent's pages, and becomes
 a wildcard otherwise. Branches of a template that differ in one literal segment
-are merged if their labelled rates do not differ significantly from those of all
-branches together (two-proportion test). A template is rejected if its purity,
+are merged if their labelled rates do not differ significantly from those of the
+other branches together (two-proportion test), from the deepest level up; what
+has been merged below counts as one branch above. A template is rejected if its purity,
 the share of good pages among its labelled ones, is too low; it is smoothed with
 the purity of the same template over all hosts, and that one with the purity of
 all labelled pages.
@@ -101,19 +102,30 @@ def templates(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
     return merged(tree)
 
 
-def merged(tree: DataFrame) -> DataFrame:
-    """Merge branches alike in their labels, and give each template its smoothed purity."""
-    by = tree.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("good").alias("good"))
-    # A branch's siblings have the same template but for its first segment.
-    family = F.concat(F.array(F.lit("*")), F.slice("template", 2, F.greatest(F.size("template"), F.lit(1))))
-    by = by.withColumn("family", F.when(F.size("template") > 0, family).otherwise(F.col("template")))
-    pooled = by.groupBy("host", "family").agg(F.sum("labelled").alias("all"), F.sum("good").alias("all_good"))
-    by = stored(by.join(pooled, ["host", "family"]), "url-branches")
+def merged_at(by: DataFrame, k: int) -> DataFrame:
+    """``by`` (host, template, merged, labelled, good) with branches merged that differ in segment k of ``merged``, from 0.
+
+    Below the first level a shape stays apart from literals and wildcards, and a branch without siblings stays as it is.
+    """
+    seg, m = F.get("merged", F.lit(k)), F.col("merged")
+    at = by.filter(seg.isNotNull() if k == 0 else seg.isNotNull() & ~seg.startswith("<")).groupBy("host", "merged").agg(F.sum("labelled").alias("labelled"), F.sum("good").alias("good"))
+    # A branch's siblings have the same template but for this segment.
+    at = at.withColumn("family", F.concat(F.slice("merged", 1, k), F.array(F.lit("*")), F.slice(m, k + 2, F.size(m))))
+    pooled = at.groupBy("host", "family").agg(F.sum("labelled").alias("all"), F.sum("good").alias("all_good"), F.count("*").alias("branches"))
+    at = at.join(pooled, ["host", "family"]).filter(F.lit(k == 0) | (F.col("branches") > 1))
     rest = F.col("all") - F.col("labelled")
     p, q, pool = (F.try_divide(*map(F.expr, x)) for x in (("good", "labelled"), ("all_good - good", "`all` - labelled"), ("all_good", "`all`")))
     z = F.try_divide(F.abs(p - q), F.sqrt(pool * (1 - pool) * (F.try_divide(F.lit(1.0), F.col("labelled")) + F.try_divide(F.lit(1.0), rest))))
     alike = F.coalesce(z < MERGE_Z, F.lit(True)) | (F.col("labelled") == 0)
-    by = by.withColumn("merged", F.when(alike, F.col("family")).otherwise(F.col("template")))
+    to = at.filter(alike).select("host", "merged", "family")
+    return by.join(to, ["host", "merged"], "left").select("host", "template", F.coalesce("family", "merged").alias("merged"), "labelled", "good")
+
+
+def merged(tree: DataFrame) -> DataFrame:
+    """Merge branches alike in their labels, level by level, and give each template its smoothed purity."""
+    by = stored(tree.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("good").alias("good")).withColumn("merged", F.col("template")), "url-branches")
+    for k in reversed(range(by.agg(F.coalesce(F.max(F.size("template")), F.lit(0))).first()[0])):
+        by = stored(merged_at(by, k), "url-branches")
     final = by.groupBy("host", "merged").agg(F.sum("labelled").alias("labelled"), F.sum("good").alias("good"))
     everywhere = by.groupBy("merged").agg(F.sum("labelled").alias("some"), F.sum("good").alias("some_good"))
     total = by.agg(F.coalesce((F.sum("good") + 1.0) / (F.sum("labelled") + 2.0), F.lit(0.5))).first()[0]  # one number

@@ -61,3 +61,14 @@ def test_query(spark, sf):
         rule, verdict = max(fits, key=lambda x: len(x[0]), default=(None, None))
         g = got[r.page_id]
         assert (g.host, g.path, g.rule) == (host, path, rule) and g.verdict == (verdict or g.verdict)
+
+
+def test_deep_branches_merge(spark):
+    """Under one first segment, a branch without labels takes the rate of its siblings; branches that differ stay apart."""
+    rows = [(i, f"http://h.net/en/{('shop', 'forum', 'new')[i % 3]}/{i}") for i in range(300)]
+    rows += [(1000 + i, f"http://h.net/fr/{('good', 'bad')[i % 2]}/{i}") for i in range(200)] + [(2000 + i, f"http://g.net/about/{i}") for i in range(400)]
+    labels = [(i, int(i >= 2000 or i >= 1000 and i % 2 == 0)) for i, _ in rows if i >= 1000 or i % 3 < 2]
+    pages, given = spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, good int")
+    got = {r.page_id: r.verdict for r in u.judged(pages, labels=given).collect()}
+    assert {got[i].template for i in range(300)} == {"/*/*/<n>"} and {got[i].verdict for i in range(300)} == {"block"}
+    assert (got[1000].template, got[1001].template) == ("/*/good/<n>", "/*/bad/<n>") and (got[1000].verdict, got[1001].verdict) == ("allow", "block")
