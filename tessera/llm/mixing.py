@@ -6,8 +6,9 @@ bucket is split by the next bits of the hash. The outcome is one threshold a
 source, so that choosing documents is a filter and nothing is sorted. Thresholds
 are nested: a larger budget keeps every document that a smaller one took.
 
-Defined results: a null text counts 0 words; documents without a source form
-one source, the last; repeated rows are documents of their own and share their
+Defined results: a null text counts 0 words; a document without an id has the
+hash of its text in place of the id's; documents without a source form one
+source, the last; repeated rows are documents of their own and share their
 fate; an empty table gives an empty result; other columns are kept or ignored.
 """
 
@@ -24,11 +25,16 @@ BITS, LEVELS, HASH_BITS = 12, 4, 60
 BROADCAST_SOURCES = 100_000
 
 
+def hash_of(doc_id: Column, text: Column) -> Column:
+    """The hash of a document: that of its id, or of its text if it has no id."""
+    return hash60(F.coalesce(doc_id.cast("string"), F.concat(F.lit("\0"), F.sha2(text.cast("binary"), 256))))
+
+
 def sized(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, source, size, h): the words of each document and its hash."""
     return docs.select(
         col(doc_id).alias("doc_id"), col(source).alias("source"),
-        n_words(text_or_empty(text)).alias("size"), hash60(col(doc_id)).alias("h"),
+        n_words(text_or_empty(text)).alias("size"), hash_of(col(doc_id), text_or_empty(text)).alias("h"),
     )
 
 
@@ -92,9 +98,9 @@ def with_plan(df: DataFrame, source: str, the_plan: DataFrame) -> DataFrame:
     return df.join(side, col(source).eqNullSafe(col(key))).drop(key)
 
 
-def copies(doc_id: Column, mix: Column) -> Column:
+def copies(doc_id: Column, text: Column, mix: Column) -> Column:
     """How often the mix takes a document."""
-    return mix["base"] + (hash60(doc_id) < mix["threshold"]).cast("long")
+    return mix["base"] + (hash_of(doc_id, text) < mix["threshold"]).cast("long")
 
 
 def mix(docs: DataFrame, weights: list[int] = (3, 1, 2), share: float = 1.5, most: float = 2.0, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
@@ -102,7 +108,7 @@ def mix(docs: DataFrame, weights: list[int] = (3, 1, 2), share: float = 1.5, mos
     got = stored(plan(stored(sized(docs, text, source, doc_id), "mix-sizes"), weights, share, most), "mix-plan")
     name = fresh(docs, "mix")
     out = with_plan(docs, source, got)
-    times, n = fresh(out, "times"), copies(col(doc_id), col(name)).cast("int")
+    times, n = fresh(out, "times"), copies(col(doc_id), text_or_empty(text), col(name)).cast("int")
     return out.filter(n > 0).withColumn(times, F.explode(F.array_repeat(F.lit(1), n))).drop(name, times)
 
 

@@ -63,3 +63,15 @@ def test_many_levels(spark):
     df = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.lit("a b c d e").alias("text"))
     taken = x.mix(df, [1], 0.37).count() * 5
     assert abs(taken - 0.37 * 25_000) <= 5
+
+
+def test_documents_without_an_id_reach_the_target(spark):
+    rows = [(None if i % 3 else i, "ab"[i % 2], f"t{i} " * (1 + i * 7 % 90)) for i in range(1500)] + [(None, "c", f"c{i} " * (1 + i % 50)) for i in range(500)]
+    out = x.mix(frame(spark, rows)).collect()
+    sizes, taken = {}, {}
+    for _, s, t in rows:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    for r in out:
+        taken[r.source] = taken.get(r.source, 0) + len(r.text.split())
+    assert all(abs(taken[s] - goal) <= 90 for s, goal in targets(sizes).items())
+    assert x.mix(frame(spark, [(None, "a", "w " * 50)])).count() in (1, 2)
