@@ -14,20 +14,25 @@ Both ways together give the same components as all pairs, at most
 crowd / 2 + 65 rows a fingerprint and key.
 
 A similarity of 0.8 on shingles is some ten bits of 64, too many for blocks that
-select anything. :func:`near_groups` therefore takes wide fingerprints, of
-``BLOCK_COUNT`` blocks with ``BLOCK_BITS`` bits: a pair of Jaccard similarity j,
-whose bits agree with probability p = 1 - acos(2j / (1 + j)) / pi, shares a
-block with probability 1 - (1 - p ** BLOCK_BITS) ** BLOCK_COUNT (0.94 for j =
-0.8, 0.98 for 0.83, above 0.999 from 0.88), and the Hamming distance over all
-bits then estimates the similarity with a standard error under 0.02. Two texts
-with nothing in common share a block by chance once in 2 ** BLOCK_BITS; a corpus
-of many more documents than that wants wider blocks, and more of them.
+select anything. :func:`near_groups` therefore takes wide fingerprints of the
+distinct shingles. Their ``WIDE`` bits are cut twice into ``BLOCK_COUNT`` blocks
+of ``BLOCK_BITS``, once in order and once in strides, so that two blocks share a
+bit at most. A pair of Jaccard similarity j, whose bits agree with probability
+p = 1 - acos(2j / (1 + j)) / pi, shares a block with a probability of about
+1 - (1 - p ** BLOCK_BITS) ** (2 * BLOCK_COUNT): 0.995 for j = 0.8, above 0.999
+from 0.82. Pairs that share a block are candidates if their first ``HEAD`` longs
+differ in no more bits than 0.8 does with four standard errors, which loses one
+in 30,000 at 0.8; the exact Jaccard similarity of their shingles then decides.
+Two texts with nothing in common share a block by chance once in 2 **
+BLOCK_BITS; a corpus of many more documents than that wants wider blocks, and
+more of them.
 
 Blocks that more than ``crowd`` fingerprints share are worked off by leaders,
 those first that are in most of such blocks: a leader is compared with all of
-the block, and those within reach of it are settled, in its group. Leaders are
+the block, and those similar to it are settled, in its group. Leaders are
 doubled each round until none is left unsettled, so a block of copies costs its
-size and not its square.
+size and not its square. Two that different leaders settled are not compared in
+that block; this is the one place where pairs that share a block may be missed.
 
 Defined results: a null or blank text has fingerprint zero, linked like any
 other; texts of fewer words than a shingle are one shingle; repeated rows share
@@ -37,7 +42,7 @@ lacks ids; an empty table gives an empty result; other columns stay.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -131,19 +136,21 @@ def grouped(prints: DataFrame, bits: int = 2, blocks: int = BLOCKS, crowd: int =
 
 # --- wide fingerprints, for a similarity on shingles ---
 
-#: Blocks of a wide fingerprint and their bits; bits that 0.8 is to differ in at most, with one standard error.
-BLOCK_COUNT, BLOCK_BITS = 160, 25
+#: Blocks of a wide fingerprint in one cut, and their bits; longs that candidates are found by.
+BLOCK_COUNT, BLOCK_BITS, HEAD = 160, 25, 16
 WIDE = BLOCK_COUNT * BLOCK_BITS
 LONGS = -(-WIDE // 64)
-WIDE_CROWD, LAST = 2, 8
+WIDE_CROWD, LAST = 8, 8
+#: Rows of a table that is broadcast at most.
+BROADCAST_IDS = 200_000
 _LANES = np.uint64(0x0101010101010101)
 _FACTORS = np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 63, LONGS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def most_bits(similarity: float) -> int:
-    """The Hamming distance of wide fingerprints that stands for a Jaccard similarity, with one standard error added."""
-    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(WIDE * share + np.sqrt(WIDE * share * (1 - share)))
+    """The Hamming distance of ``HEAD`` longs up to which a pair of a Jaccard similarity is a candidate: the mean and four standard errors."""
+    share, n = np.arccos(2 * similarity / (1 + similarity)) / np.pi, HEAD * 64
+    return int(n * share + 4 * np.sqrt(n * share * (1 - share)))
 
 
 def _added(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -212,41 +219,65 @@ def wide_fingerprints(docs: DataFrame, k: int = 5, text: str = "text", name: str
 
 
 def _blocks(distinct: DataFrame) -> DataFrame:
-    """(key, id) for each block of each fingerprint (id, wide)."""
+    """(key, id) for each block, of both cuts, of each fingerprint (id, wide)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = (1 << np.arange(BLOCK_BITS - 1, -1, -1)).astype(np.int64)
+        weight, n = (1 << np.arange(BLOCK_BITS - 1, -1, -1)).astype(np.int64), 2 * BLOCK_COUNT
         for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
                 rows = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(">i8").view(np.uint8).reshape(part.num_rows, -1)
-                bits = np.unpackbits(rows, axis=1)[:, :WIDE].reshape(-1, BLOCK_COUNT, BLOCK_BITS)
-                keys = bits @ weight + (np.arange(BLOCK_COUNT, dtype=np.int64) << BLOCK_BITS)
-                ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), BLOCK_COUNT)
+                bits = np.unpackbits(rows, axis=1)[:, :WIDE]
+                in_order, in_strides = bits.reshape(-1, BLOCK_COUNT, BLOCK_BITS) @ weight, weight @ bits.reshape(-1, BLOCK_BITS, BLOCK_COUNT)
+                keys = np.concatenate([in_order, in_strides], axis=1) + (np.arange(n, dtype=np.int64) << BLOCK_BITS)
+                ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), n)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids)], ["key", "id"])
 
     return mapped(distinct.select("id", "wide"), run, "key long, id long")
 
 
 def _distance(a: str, b: str) -> Column:
-    """The bits in which two wide fingerprints differ."""
-    return sum((F.bit_count(F.get(F.col(a), F.lit(i)).bitwiseXOR(F.get(F.col(b), F.lit(i)))) for i in range(1, LONGS)), F.bit_count(F.get(F.col(a), F.lit(0)).bitwiseXOR(F.get(F.col(b), F.lit(0)))))
+    """The bits in which the heads of two wide fingerprints differ."""
+    return sum((F.bit_count(F.get(F.col(a), F.lit(i)).bitwiseXOR(F.get(F.col(b), F.lit(i)))) for i in range(1, HEAD)), F.bit_count(F.get(F.col(a), F.lit(0)).bitwiseXOR(F.get(F.col(b), F.lit(0)))))
 
 
-def wide_links(distinct: DataFrame, bits: int, crowd: int = WIDE_CROWD) -> DataFrame:
-    """(u, v): verified links between the ids of different wide fingerprints (id, wide).
+def _sets(texts: DataFrame, k: int) -> DataFrame:
+    """(id, shingles): the distinct shingle hashes of texts (id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 64):
+                part = batch.slice(a, 64)
+                sets = [np.unique(np.array(shingle_hashes(x or "", k), np.uint64)).view(np.int64) for x in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
+
+    return mapped(texts.select("id", "text"), run, "id long, shingles array<long>")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of different pairs (u, v) whose sets have at least a Jaccard similarity. Narrow pairs meet v first, which may be a leader."""
+    both = pairs.join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("y")), "v").join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("x")), "u")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.filter(shared / (F.size("x") + F.size("y") - shared) >= F.lit(float(similarity))).select("u", "v")
+
+
+def wide_links(distinct: DataFrame, similarity: float, sets_of: Callable[[DataFrame], DataFrame], crowd: int = WIDE_CROWD) -> DataFrame:
+    """(u, v): links between the ids of different wide fingerprints (id, wide) whose shingles are alike.
 
     The distance is a condition of the join on blocks, so that pairs which only
-    share a block are never rows.
+    share a block are never rows. ``sets_of`` gives (id, shingles) for a table
+    of ids: those of candidates and of crowded blocks only.
     """
-    keyed = _blocks(distinct)
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    met = keyed.join(shared, "key")
-    met = stored(met.withColumnRenamed("id", "member").join(distinct.select("id", "wide"), F.col("member") == F.col("id")).select("key", "id", "n", "wide"), "wide-met")
+    bits = most_bits(similarity)
+    met = _blocks(distinct).withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1")
+    head = distinct.select(F.col("id").alias("member"), F.slice("wide", 1, HEAD).alias("wide"))
+    met = stored(met.join(head, F.col("member") == F.col("id")).select("key", "id", "n", "wide"), "wide-met")
     few = met.filter(F.col("n") <= crowd)
-    links = few.select("key", F.col("id").alias("u"), F.col("wide").alias("x")).join(few.select("key", F.col("id").alias("v"), F.col("wide").alias("y")), "key").filter((F.col("u") < F.col("v")) & (_distance("x", "y") <= bits)).select("u", "v")
-    links = stored(links, "wide-links")
+    pairs = few.select("key", F.col("id").alias("u"), F.col("wide").alias("x")).join(few.select("key", F.col("id").alias("v"), F.col("wide").alias("y")), "key").filter((F.col("u") < F.col("v")) & (_distance("x", "y") <= bits)).select("u", "v")
+    pairs = stored(pairs.distinct(), "wide-pairs")
     crowded = met.filter(F.col("n") > crowd)
+    sets = sets_of(pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).unionByName(crowded.select("id")).distinct())
+    links = stored(_alike(pairs, sets, similarity), "wide-links")
     often = crowded.groupBy("id").agg(F.count("*").alias("deg")).withColumnRenamed("id", "member")
     left = stored(crowded.select("key", "id").join(often, F.col("id") == F.col("member")).select("key", "id", "deg"), "wide-open")
     turn = 0
@@ -258,9 +289,10 @@ def wide_links(distinct: DataFrame, bits: int, crowd: int = WIDE_CROWD) -> DataF
         leaders = stored(crowded.select("key", "id", "wide").join(leaders, ["key", "id"], "left_semi").withColumnsRenamed({"id": "leader", "wide": "y"}), "wide-leaders")
         found = crowded.select("key", "id", "wide").join(leaders, "key").filter((F.col("id") != F.col("leader")) & (_distance("wide", "y") <= bits))
         found = stored(found.select("key", "id", "leader"), "wide-found")
-        settled = found.select("key", "id").unionByName(leaders.select("key", F.col("leader").alias("id")))
+        near = stored(_alike(found.select(F.col("id").alias("u"), F.col("leader").alias("v")).distinct(), sets, similarity), "wide-near")
+        settled = found.join(near, (F.col("id") == F.col("u")) & (F.col("leader") == F.col("v")), "left_semi").select("key", "id").unionByName(leaders.select("key", F.col("leader").alias("id")))
         left = stored(left.join(settled.distinct(), ["key", "id"], "left_anti"), "wide-open")
-        links, turn = links.unionByName(found.select(F.col("id").alias("u"), F.col("leader").alias("v"))), turn + 1
+        links, turn = links.unionByName(near), turn + 1
     return links.distinct()
 
 
@@ -270,7 +302,13 @@ def near_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, text: str
     prints = stored(wide_fingerprints(rows, k), "wide-prints")
     mark = F.xxhash64("wide")  # two fingerprints with one mark, if there ever are such, are one
     distinct = stored(prints.groupBy(mark.alias("id")).agg(F.any_value("wide").alias("wide"), F.min(F.struct("d", "th")).alias("rep")), "wide-distinct")
-    roots = components(wide_links(distinct, most_bits(similarity), crowd))
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        wanted = stored(ids.join(distinct.select("id", "rep"), "id").select("id", "rep.d", "rep.th"), "wide-wanted")
+        wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+        return stored(_sets(rows.join(wanted, ["d", "th"]).select("id", "text").dropDuplicates(["id"]), k), "wide-sets")
+
+    roots = components(wide_links(distinct, similarity, sets_of, crowd))
     named = stored(distinct.join(roots, distinct["id"] == roots["node"], "left").select("id", "rep", F.coalesce("root", "id").alias("root")), "wide-roots")
     least = named.groupBy("root").agg(F.min("rep").alias("keeper"))
     named = named.join(least, "root").select("id", "keeper")
