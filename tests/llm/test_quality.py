@@ -90,3 +90,13 @@ def test_edge_rows(spark):
     labels = spark.createDataFrame([(1, None, 0), (3, 1, 0), (3, 0, 0), (99, 1, 0)], "doc_id long, quality int, features int")
     out = m.scored(got, m.train(got, labels))
     assert out.filter(F.col("score").between(0, 1)).count() == docs.count()
+
+
+def test_limits_as_given_remove_lines_and_documents(spark):
+    """In a host of 270 documents: a menu in 60 goes, and 90 that are mostly one shared line are rejected."""
+    own = [" ".join(f"w{i}x{j}" for j in range(90)) for i in range(180)]
+    rows = [(i, "s", f"{t}\nMenu of the site" if i < 60 else t) for i, t in enumerate(own)]
+    rows += [(200 + i, "s", " ".join(f"only{k}" for k in range(60)) + f"\nrest{i} is short") for i in range(90)]
+    got = {x.doc_id: x.quality for x in r.judged(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
+    assert all(got[i].kept and got[i].left_text == own[i] for i in range(180))
+    assert all(not got[200 + i].kept and not got[200 + i].base_failed for i in range(90))
