@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ def scratch_root(spark: SparkSession) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", root)
@@ -37,14 +38,38 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{scratch_root(spark)}/tessera/{tag}-{uuid.uuid4().hex}"
 
 
+#: Paths written within each open :func:`finished`, which deletes them.
+_scopes: list[list[str]] = []
+
+
+def written(df: DataFrame, path: str, *partition_by: str) -> DataFrame:
+    """``df`` as Parquet at a path, read again."""
+    df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def stored(df: DataFrame, tag: str, *partition_by: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again.
 
     This cuts lineage: later passes read the table and survive lost executors.
     """
     path = scratch_path(df.sparkSession, tag)
-    df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    for scope in _scopes[-1:]:
+        scope.append(path)
+    return written(df, path, *partition_by)
+
+
+def finished(spark: SparkSession, tag: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The stored result of ``make``; the tables that were stored on the way are deleted, as nothing reads them any more."""
+    path = scratch_path(spark, tag)
+    for scope in _scopes[-1:]:
+        scope.append(path)
+    _scopes.append([])
+    try:
+        return written(make(), path)
+    finally:
+        for x in _scopes.pop():
+            drop_path(spark, x)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

@@ -34,6 +34,10 @@ doubled each round until none is left unsettled, so a block of copies costs its
 size and not its square. Two that different leaders settled are not compared in
 that block; this is the one place where pairs that share a block may be missed.
 
+Texts that are the same but for lines they repeat are copies to
+:func:`near_groups`, whatever their shingles say: both have the same lines in
+the same order of first places.
+
 Defined results: a null or blank text has fingerprint zero, linked like any
 other; texts of fewer words than a shingle are one shingle; repeated rows share
 a component; documents without an id never are a component's id unless all of it
@@ -296,9 +300,14 @@ def wide_links(distinct: DataFrame, similarity: float, sets_of: Callable[[DataFr
     return links.distinct()
 
 
+def once_lines(text: Column) -> Column:
+    """The hash of a text's different lines in the order of their first places."""
+    return F.xxhash64(F.array_join(F.array_distinct(F.split(text, "\n", -1)), "\n"))
+
+
 def near_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id", crowd: int = WIDE_CROWD) -> DataFrame:
     """(d, th, keeper, keeper_th): for each document, by id and text hash, the one of its group that stays, the least."""
-    rows = docs.select(F.coalesce(col(doc_id).cast("long"), F.lit((1 << 63) - 1)).alias("d"), F.xxhash64(text_or_empty(text)).alias("th"), col(text).alias("text"))
+    rows = docs.select(F.coalesce(col(doc_id).cast("long"), F.lit((1 << 63) - 1)).alias("d"), F.xxhash64(text_or_empty(text)).alias("th"), col(text).alias("text"), once_lines(text_or_empty(text)).alias("once"))
     prints = stored(wide_fingerprints(rows, k), "wide-prints")
     mark = F.xxhash64("wide")  # two fingerprints with one mark, if there ever are such, are one
     distinct = stored(prints.groupBy(mark.alias("id")).agg(F.any_value("wide").alias("wide"), F.min(F.struct("d", "th")).alias("rep")), "wide-distinct")
@@ -308,7 +317,10 @@ def near_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, text: str
         wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
         return stored(_sets(rows.join(wanted, ["d", "th"]).select("id", "text").dropDuplicates(["id"]), k), "wide-sets")
 
-    roots = components(wide_links(distinct, similarity, sets_of, crowd))
+    lines = prints.select("once", mark.alias("id")).distinct()
+    several = lines.groupBy("once").agg(F.min("id").alias("u"), F.max("id").alias("top")).filter("u < top").select("once", "u")
+    copies = lines.join(several, "once").select("u", F.col("id").alias("v")).filter("u <> v")
+    roots = components(wide_links(distinct, similarity, sets_of, crowd).unionByName(copies))
     named = stored(distinct.join(roots, distinct["id"] == roots["node"], "left").select("id", "rep", F.coalesce("root", "id").alias("root")), "wide-roots")
     least = named.groupBy("root").agg(F.min("rep").alias("keeper"))
     named = named.join(least, "root").select("id", "keeper")
