@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.byte_bpe import encode, vocabulary_path
-from tessera.llm.common import col, fresh, stored
+from tessera.llm.common import col, finished, fresh
 from tessera.llm.line_dedup import dedup_lines
 from tessera.llm.mixing import mix
 from tessera.llm.quality_rules import filter_quality
@@ -60,10 +60,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = stored(docs, "stage-" + name.replace(" ", "-"))
-    return docs
+    """All stages over documents; what a stage reads or stores on the way is deleted when its result is written."""
+
+    def after(n: int) -> DataFrame:
+        if not n:
+            return spark.read.parquet(f"{sf_dir}/documents.parquet")
+        name, stage = STAGES[n - 1]
+        return finished(spark, "stage-" + name.replace(" ", "-"), lambda: stage(spark, after(n - 1), sf_dir))
+
+    return STAGES[-1][1](spark, after(len(STAGES) - 1), sf_dir)
