@@ -25,9 +25,9 @@ from tessera.llm.common import WS, WS_CHARS, ascii_lower, col, fresh, indices, l
 
 MIN_WORDS, REPEAT_SHARE = 50, 0.5
 #: A line goes if it is in at least so many distinct documents of the host, and in more than this share of them.
-LINE_DOCS, LINE_SHARE = 50, 0.2
-#: A document goes if less than this share of its words remains.
-LEFT_SHARE = 0.2
+LINE_DOCS, LINE_SHARE = 5, 0.05
+#: A document goes if less than this share of its words remains: a quarter of it was lines of the host.
+LEFT_SHARE = 0.75
 BROADCAST_HOSTS = 10_000
 BROADCAST_LINES = 200_000
 
@@ -153,9 +153,9 @@ l AS (SELECT r, source, t, translate(trim(x, ' ' || chr(9) || chr(10) || chr(11)
     len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS n FROM (SELECT r, source, t, unnest(lines) AS x FROM w)),
 hosts AS (SELECT source, count(DISTINCT t) AS n FROM d GROUP BY source),
 freq AS (SELECT a.source, a.k FROM (SELECT source, k, count(DISTINCT t) AS n FROM l WHERE k <> '' GROUP BY source, k) a
-    JOIN hosts h ON a.source IS NOT DISTINCT FROM h.source WHERE a.n >= 50 AND a.n > h.n * 0.2::DOUBLE),
+    JOIN hosts h ON a.source IS NOT DISTINCT FROM h.source WHERE a.n >= 5 AND a.n > h.n * 0.05::DOUBLE),
 gone AS (SELECT r, sum(l.n) AS n FROM l JOIN freq f ON l.source IS NOT DISTINCT FROM f.source AND l.k = f.k GROUP BY r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-    NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT (gone.r IS NOT NULL AND n_words - gone.n < n_words * 0.2::DOUBLE) AS kept
+    NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT (gone.r IS NOT NULL AND n_words - gone.n < n_words * 0.75::DOUBLE) AS kept
 FROM m LEFT JOIN gone USING (r)
 """

@@ -1,3 +1,7 @@
+import os
+import re
+from collections import defaultdict
+
 import edge
 import numpy as np
 import pytest
@@ -51,6 +55,37 @@ def test_frequent_lines(spark):
     assert r.filter_quality(edge.empty(spark)).count() == 0
 
 
+def by_lines(rows, line_docs=5, line_share=0.05, left_share=0.75):
+    """{doc_id: (kept, text without the lines of the host)} of rows (doc_id, source, text), by definition."""
+    key = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(" \t\n\x0b\x0c\r"))
+    n_words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t))
+    holders, hosts = defaultdict(set), defaultdict(set)
+    for _, s, t in rows:
+        hosts[s].add(t or "")
+        for x in (t or "").split("\n"):
+            holders[s, key(x)].add(t or "")
+    out = {}
+    for i, s, t in rows:
+        t = t or ""
+        many = {x for x in map(key, t.split("\n")) if x and len(holders[s, x]) >= line_docs and len(holders[s, x]) > line_share * len(hosts[s])}
+        left, w = "\n".join(x for x in t.split("\n") if key(x) not in many), re.findall(r"[^\x20\x09-\x0D]+", t)
+        failed = len(w) < 50 or 100 * repeats(w) > 50 * len(w)
+        out[i] = (not failed and n_words(left) >= left_share * len(w), left, failed)
+    return out
+
+
+def test_lines_decide_on_the_tables(spark, sf):
+    """On a table with hosts of fifty documents, lines go from many documents and some documents go with them."""
+    d = os.path.join(os.path.dirname(sf), "sf0.01")
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    want = by_lines([(x.doc_id, x.source, x.text) for x in docs.collect()])
+    assert {x.doc_id: x.kept for x in r.op9_quality_rules(spark, d).collect()} == {i: kept for i, (kept, _, _) in want.items()}
+    assert any(not kept and not failed for kept, _, failed in want.values())
+    left = {x.doc_id: x.text for x in r.filter_quality(docs).collect()}
+    assert left == {i: text for i, (kept, text, _) in want.items() if kept}
+    assert sum(left[x.doc_id] != x.text for x in docs.collect() if x.doc_id in left) > 50
+
+
 # --- model ---
 
 
