@@ -6,20 +6,27 @@ alone, so an edit disturbs the anchors that overlap it and no others: texts
 that share a passage share its anchors, at places that differ by one shift.
 Every run of k - s + 1 k-mers has a syncmer in it.
 
-A fingerprint is the sketch of the ``size`` least different anchor hashes, eight
-hexadecimal digits each. The likeness of two fingerprints estimates the Jaccard
-similarity of their anchor sets from the least ``size`` of both together.
+A fingerprint is the sketch of the ``size`` least different anchor hashes, each
+with the place where the text has it first: eight hexadecimal digits each. The
+likeness of two fingerprints matches their anchors by position: of the least
+``size`` hashes of both together, those count as shared that both have in the
+same order of places (the longest such chain). Without moved parts this is an
+estimate of the Jaccard similarity of the anchor sets; parts that were moved
+past each other count once.
 
 Defined results: a null or empty text has the empty fingerprint, and two empty
 fingerprints have likeness 1; a text without a syncmer has one anchor, the hash
 of all of it; repeated rows have equal fingerprints; an empty table gives an
-empty result; other columns stay. Documents are in the order of doc_id, null
-first, those of equal doc_id by their text.
+empty result. :func:`fingerprints` keeps other columns, :func:`against_next`
+gives :data:`PAIRS` alone. Documents are in the order of doc_id (a whole number),
+null first, those of equal doc_id by a hash of their text, then by their text;
+rows of one id and one text are one task's work.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import col, fresh, mapped, partitions
+from tessera.llm.common import col, fresh, mapped, partitions, text_or_empty
 
 K, S, SIZE = 15, 5, 96
 #: Code points hashed at once.
@@ -79,36 +86,49 @@ def anchors(texts: list[str], k: int = K, s: int = S) -> tuple[np.ndarray, np.nd
     return np.concatenate(which), np.concatenate(place), np.concatenate(found)
 
 
+_HASH, _PLACE = np.uint64(32), np.uint64(0xFFFFFFFF)
+
+
 def sketches(texts: list[str], k: int = K, s: int = S, size: int = SIZE) -> list[np.ndarray]:
-    """The least different anchor hashes of each text, ascending."""
-    doc, _, h = anchors(texts, k, s)
-    keys = np.unique((doc.astype(np.uint64) << np.uint64(32)) | h)
-    doc, h = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    """The least different anchor hashes of each text, ascending, in the high 32 bits; the first place of each in the low ones."""
+    doc, place, h = anchors(texts, k, s)
+    keys, first = np.unique((doc.astype(np.uint64) << _HASH) | h, return_index=True)
+    doc, found = (keys >> _HASH).astype(np.int64), (keys << _HASH) | (place[first].astype(np.uint64) & _PLACE)
     ends = np.searchsorted(doc, np.arange(len(texts) + 1))
     out = []
     for i, text in enumerate(texts):
         a, b = ends[i], ends[i + 1]
         if a == b and text:
             digest = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=4).digest()
-            out.append(np.frombuffer(digest, ">u4").astype(np.uint32))
+            out.append(np.frombuffer(digest, ">u4").astype(np.uint64) << _HASH)
         else:
-            out.append(h[a : min(b, a + size)])
+            out.append(found[a : min(b, a + size)])
     return out
 
 
 def as_text(sketch: np.ndarray) -> str:
-    return sketch.astype(">u4").tobytes().hex()
+    return sketch.astype(">u8").tobytes().hex()
+
+
+def in_line(places: np.ndarray) -> int:
+    """The length of the longest rising subsequence."""
+    if len(places) < 2 or (places[1:] > places[:-1]).all():
+        return len(places)
+    ends: list[int] = []
+    for x in places.tolist():
+        i = bisect_left(ends, x)
+        ends[i : i + 1] = [x]
+    return len(ends)
 
 
 def likeness(a: np.ndarray, b: np.ndarray, size: int = SIZE) -> float:
-    """The estimated Jaccard similarity of the anchors behind two sketches."""
+    """The share of anchors that two sketches have in common in the same order of places."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    both = np.sort(np.concatenate([a, b]))
-    twice = both[1:] == both[:-1]
-    new = np.append(True, ~twice)
-    kept = np.cumsum(new) <= size  # of the union, the least
-    return float(np.count_nonzero(twice & kept[1:]) / np.count_nonzero(new & kept))
+    x, y = a >> _HASH, b >> _HASH
+    both = np.union1d(x, y)[:size]  # of the union, the least
+    _, i, j = np.intersect1d(x[x <= both[-1]], y[y <= both[-1]], assume_unique=True, return_indices=True)
+    return in_line((b[j] & _PLACE)[np.argsort(a[i] & _PLACE)]) / len(both)
 
 
 def fingerprints(docs: DataFrame, text: str = "text", name: str = "fingerprint", k: int = K, s: int = S, size: int = SIZE) -> DataFrame:
@@ -125,18 +145,32 @@ def fingerprints(docs: DataFrame, text: str = "text", name: str = "fingerprint",
     return mapped(docs, run, T.StructType([*docs.schema.fields, T.StructField(name, T.StringType())]))
 
 
-def _place(key: Column, bounds: list) -> Column:
-    """How many of the ascending bounds are at or below the key: a search tree of comparisons."""
+def _numbers(values: list) -> Column:
+    """A constant array of longs, null for None: one expression whatever its length."""
+    return F.transform(F.split(F.lit(",".join("" if x is None else str(x) for x in values)), ","), lambda x: x.try_cast("long"))
+
+
+def _place(d: Column, h: Column, bounds: list[tuple[int, int]]) -> Column:
+    """How many of the ascending bounds (id, hash) are at or below (d, h): a binary search, of as many steps as the number has bits."""
     if not bounds:
         return F.lit(0)
+    ids, hashes = _numbers([x for x, _ in bounds]), _numbers([x for _, x in bounds])
+    steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
+
+    def step(at: Column, s: Column) -> Column:
+        x, y = F.get(ids, at + s - 1), F.get(hashes, at + s - 1)
+        return F.when((x < d) | ((x == d) & (y <= h)), at + s).otherwise(at)
+
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), step)
 
-    def tree(a: int, b: int) -> Column:
-        if a == b:
-            return F.lit(a)
-        m = (a + b) // 2
-        return F.when(key < bounds[m], tree(a, m)).otherwise(tree(m + 1, b))
 
-    return tree(0, len(bounds))
+def _bounds(cuts: list[int]) -> list[tuple[int, int]]:
+    """Bounds from quantiles of ids. An id that is several quantiles holds whole parts: it is divided by hash into as many."""
+    out = []
+    for x in sorted(set(cuts)):
+        m = cuts.count(x)
+        out += [(x, j * (1 << 64) // m - (1 << 63)) for j in range(m)]
+    return out
 
 
 def in_order(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -148,20 +182,21 @@ def in_order(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     """
     spark = docs.sparkSession
     n, least = partitions(spark), -(1 << 63)
-    d = docs.select(F.coalesce(col(doc_id).cast("long"), F.lit(least)).alias("d"), col(doc_id).alias("doc_id"), col(text).alias("text"))
+    d = docs.select(F.coalesce(col(doc_id).cast("long"), F.lit(least)).alias("d"), F.xxhash64(text_or_empty(text)).alias("h"), col(doc_id).alias("doc_id"), col(text).alias("text"))
     cuts = d.agg(F.percentile_approx("d", [i / n for i in range(1, n)], 100 * n)).first()[0] if n > 1 else None
-    bounds = sorted(set(cuts or []))
-    part = _place(F.col("d"), bounds)
-    firsts = {r["p"]: r["m"] for r in d.groupBy(part.alias("p")).agg(F.min("d").alias("m")).collect()}  # one row a part
+    bounds = _bounds(cuts or [])
+    part = _place(F.col("d"), F.col("h"), bounds)
+    firsts = {r["p"]: tuple(r["m"]) for r in d.groupBy(part.alias("p")).agg(F.min(F.struct("d", "h")).alias("m")).collect()}  # one row a part
     used = sorted(firsts)
     before = {p: used[i - 1] for i, p in enumerate(used)}  # the first part is after the last
-    lead = [firsts.get(p) for p in range(len(bounds) + 1)]
-    target = [before.get(p) for p in range(len(bounds) + 1)]
-    own = F.struct(part.alias("part"), F.lit(False).alias("extra"))
-    other = F.struct(F.get(F.array(*(F.lit(x).cast("int") for x in target)), part).alias("part"), F.lit(True).alias("extra"))
-    leads = F.col("d") == F.get(F.array(*(F.lit(x).cast("long") for x in lead)), part)
-    moved = d.select("d", "doc_id", "text", F.inline(F.when(leads, F.array(own, other)).otherwise(F.array(own))))
-    return moved.repartitionById(max(n, 1), F.col("part")).sortWithinPartitions("part", "extra", "d", "text").select("part", "extra", "doc_id", "text")
+    parts = range(len(bounds) + 1)
+    lead = [_numbers([firsts.get(p, (None, None))[i] for p in parts]) for i in (0, 1)]
+    own = F.struct(F.col("part"), F.lit(False).alias("extra"))
+    other = F.struct(F.get(_numbers([before.get(p) for p in parts]), F.col("part")).cast("int").alias("part"), F.lit(True).alias("extra"))
+    leads = (F.col("d") == F.get(lead[0], F.col("part"))) & (F.col("h") == F.get(lead[1], F.col("part")))
+    placed = d.withColumn("part", part)
+    moved = placed.select("d", "h", "doc_id", "text", F.inline(F.when(leads, F.array(own, other)).otherwise(F.array(own))))
+    return moved.repartitionById(max(n, 1), F.col("part")).sortWithinPartitions("part", "extra", "d", "h", "text").select("part", "extra", "doc_id", "text")
 
 
 PAIRS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -211,8 +246,10 @@ def op3_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def matches(left: DataFrame, right: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, s: int = S) -> DataFrame:
     """(left_id, right_id, shift, n): how many anchors two documents share at each displacement.
 
-    Hashes that one text has many times meet once, at their first place, so that
-    a repeated passage adds one row.
+    ``left`` is a stated set of queries, held against all of ``right``: an anchor
+    of n texts there gives n rows a query that has it. Hashes that one text has
+    many times meet once, at their first place, so that a repeated passage adds
+    one row.
     """
 
     def placed(docs: DataFrame, name: str) -> DataFrame:

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tessera.llm import syncmers as s
 
@@ -80,3 +81,53 @@ def test_matches(spark):
     b = spark.createDataFrame([(2, "something else " + passage), (3, "no such thing in here at all")], "doc_id long, text string")
     best = s.matches(a, b).orderBy("n", ascending=False).first()
     assert (best.left_id, best.right_id, best["shift"]) == (1, 2, 9) and best.n >= 3
+
+
+def test_likeness_by_definition():
+    """Against sets and a quadratic search for the longest chain, for texts with moved and repeated parts."""
+    rng = np.random.default_rng(5)
+    parts = ["".join(map(chr, rng.integers(97, 123, 400))) for _ in range(6)]
+    texts = ["".join(parts[i] for i in order) for order in ((0, 1, 2, 3), (3, 2, 1, 0), (1, 0, 3, 2), (0, 0, 1), (4, 5), (0, 1, 4, 3), (2,))]
+    prints = s.sketches(texts)
+    for x, p in zip(texts, prints):
+        first = {}
+        for at, h in zip(*s.anchors([x])[1:]):
+            first.setdefault(int(h), int(at))
+        assert s.as_text(p) == "".join(f"{h:08x}{first[h]:08x}" for h in sorted(first)[: s.SIZE])
+    for a in prints:
+        for b in prints:
+            x, y = ({int(v) >> 32: int(v) & 0xFFFFFFFF for v in p} for p in (a, b))
+            both = sorted({*x, *y})[: s.SIZE]
+            pairs = sorted((x[h], y[h]) for h in both if h in x and h in y)
+            best = []
+            for i, (_, v) in enumerate(pairs):
+                best.append(1 + max((best[j] for j in range(i) if pairs[j][1] < v), default=0))
+            assert s.likeness(a, b) == max(best, default=0) / len(both) == s.likeness(b, a)
+    same, turned = s.likeness(prints[0], prints[0]), s.likeness(prints[0], prints[1])
+    assert same == 1 and turned < 0.45  # the same four parts, but one of them in line at a time
+
+
+@pytest.mark.parametrize("parts", [2, 8, 30])
+def test_hot_ids_are_split(spark, parts):
+    """A third of the rows without an id and a third with one id: every row once, in order, and no part with a third of them."""
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text number {i} of the table") for i in range(600)]
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = s.in_order(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).select("*", F.spark_partition_id().alias("at")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    mine = [r for r in got if not r.extra]
+    assert sorted((r.doc_id is not None, r.doc_id, r.text) for r in mine if r.doc_id is not None) == sorted((True, i, t) for i, t in rows if i is not None) and len(mine) == 600
+    sizes = np.bincount([r.part for r in mine])
+    assert sizes.max() < 600 * 3 / parts
+    by = {p: [r for r in got if r.part == p] for p in {r.part for r in mine}}
+    for a, b in zip(sorted(by), [*sorted(by)[1:], min(by)]):
+        assert (by[a][-1].extra, by[a][-1].text) == (True, by[b][0].text)
+        assert len({r["at"] for r in by[a]}) == 1
+
+
+def test_place_is_a_count(spark):
+    bounds = s._bounds([3, 5, 5, 5, 9])
+    rows = [(d, h) for d in (-(1 << 63), 2, 3, 5, 8, 9, 10) for h in (-(1 << 63), -1, 0, 1 << 62, (1 << 63) - 1)]
+    got = spark.createDataFrame(rows, "d long, h long").select("d", "h", s._place(F.col("d"), F.col("h"), bounds).alias("p")).collect()
+    assert [r.p for r in got] == [sum(b <= (r.d, r.h) for b in bounds) for r in got] and len(bounds) == 5
