@@ -14,6 +14,8 @@ fate; an empty table gives an empty result; other columns are kept or ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,8 @@ from tessera.llm.common import col, fresh, hash60, n_words, stored, text_or_empt
 BITS, LEVELS, HASH_BITS = 12, 4, 60
 #: So many sources are broadcast at most; more are joined by a shuffle.
 BROADCAST_SOURCES = 100_000
+#: Rows that come to the driver from one histogram of sources.
+BUCKETS = 4096
 
 
 def hash_of(doc_id: Column, text: Column) -> Column:
@@ -43,17 +47,57 @@ def targets(sizes: DataFrame, weights: list[int], share: float, most: float) ->
 
     Sources by code point, null last, have the weights in turn. No target is
     above ``most`` times its source; the excess goes to the others by weight.
+    Sources may be as many as hosts: they are numbered by sorted ranges, and the
+    level is found by histograms, so no task sees all of them.
     """
+    order = F.col("source").asc_nulls_last()
     by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    turn = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*map(F.lit, map(float, weights))), (turn % len(weights)) + 1)
-    t = by_source.withColumns({"turn": turn}).withColumns({"w": weight, "most": F.col("source_size") * F.lit(float(most))})
-    full = Window.orderBy(F.col("most") / F.col("w"), "turn")
-    before, onward = full.rowsBetween(Window.unboundedPreceding, -1), full.rowsBetween(0, Window.unboundedFollowing)
-    everything = Window.partitionBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    t = t.withColumn("level", (F.sum("source_size").over(everything) * F.lit(float(share)) - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / F.sum("w").over(onward))
-    found = F.min(F.when(F.col("level") <= F.col("most") / F.col("w"), F.struct(F.col("most") / F.col("w"), "turn", "level"))).over(everything)
-    return t.select("source", "source_size", F.least(found["level"] * F.col("w"), "most").alias("target"))
+    ranged = stored(by_source.repartitionByRange(order).withColumn("range", F.spark_partition_id()), "mix-sources")
+    before = ranged.groupBy("range").agg(F.count("*").alias("n"))  # one row a partition
+    before = before.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    turn = F.col("before") + F.row_number().over(Window.partitionBy("range").orderBy(order)) - 1
+    weight = F.element_at(F.array(*map(F.lit, map(float, weights))), (turn % len(weights)).cast("int") + 1)
+    t = ranged.join(F.broadcast(before), "range").withColumn("w", weight).withColumn("most", F.col("source_size") * F.lit(float(most)))
+    t = stored(t.select("source", "source_size", "w", "most"), "mix-weights")
+    level = _level(t, share)
+    return t.select("source", "source_size", F.least(F.lit(level).cast("double") * F.col("w"), "most").alias("target"))
+
+
+def _level(t: DataFrame, share: float) -> float | None:
+    """The level at which sources (source_size, w, most), each taking level * w but ``most`` at the utmost, take ``share`` of all words; None if all take the utmost.
+
+    Sources become full in the order of most / w. The bucket of this order that
+    holds the level is divided until it has few different places; a bucket's
+    sums are what comes to the driver.
+    """
+    t = t.withColumn("full", F.col("most") / F.col("w"))
+    total, end, n = t.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.max("full"), F.count_distinct("full")).first()
+    goal, lo, full, open_w = total * float(share), 0.0, 0.0, 0.0  # the words of full sources below the bucket, the weights above it
+    hi = math.nextafter(end or 0.0, math.inf)
+
+    def sums(key: Column) -> list:
+        return t.filter((F.col("full") >= lo) & (F.col("full") < hi)).groupBy(key.alias("k")).agg(F.sum("most").alias("most"), F.sum("w").alias("w"), F.count_distinct("full").alias("n")).orderBy("k").collect()
+
+    while n > BUCKETS and (width := (hi - lo) / BUCKETS) > 1e-9:
+        rows = sums(F.least(F.floor((F.col("full") - F.lit(lo)) / F.lit(width)), F.lit(BUCKETS - 1)))
+        rest = sum(r.w for r in rows)
+        for r in rows:
+            rest -= r.w
+            top = hi if r.k == BUCKETS - 1 else lo + (r.k + 1) * width
+            if full + r.most + top * (rest + open_w) >= goal or r is rows[-1]:
+                break
+            full += r.most
+        n, open_w = r.n, open_w + rest
+        # A margin on either side, as edges are rounded; what is in it belongs to the bucket.
+        lo, hi = max(lo, lo + r.k * width - width / 64), min(hi, top + width / 64)
+        full, open_w = t.agg(*(F.coalesce(F.sum(F.when(c, F.col(x))), F.lit(0.0)) for c, x in ((F.col("full") < lo, "most"), (F.col("full") >= hi, "w")))).first()
+    rows = sums(F.col("full"))
+    rest = open_w + sum(r.w for r in rows)
+    for r in rows:
+        if (goal - full) / rest <= r.k:
+            return (goal - full) / rest
+        full, rest = full + r.most, rest - r.w
+    return (goal - full) / rest if rest > 0 else None
 
 
 def plan(sizes: DataFrame, weights: list[int] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:

@@ -54,12 +54,11 @@ def repeat_words(w: Column) -> Column:
     return F.when(F.size(w) < 4, F.lit(0)).otherwise(let(w, of)).cast("long")
 
 
-def base(text: Column) -> dict[str, Column]:
-    """The measures of one text; ``words`` arrays are made once for both that need them."""
+def measures(text: Column) -> dict[str, Column]:
+    """The measures of one text beside those of its words."""
     blank_free = F.translate(text, WS_CHARS, "")
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(f"[^{WS}]"))
     return {
-        "of_words": let(words(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeat_words(w).alias("n_repeat_words"))),
         "word_chars": F.char_length(blank_free).cast("long"),
         "n_symbols": (F.char_length(blank_free) - F.char_length(F.translate(blank_free, "#*$%&|<>", ""))).cast("long"),
         "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
@@ -94,41 +93,52 @@ def frequent_lines(docs: DataFrame, text: str = "text", host: str = "source", li
     return stored(above.groupBy("host").agg(F.sort_array(F.collect_list("line")).alias("lines")), "quality-frequent")
 
 
-def judged(docs: DataFrame, text: str = "text", host: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, left_share: float = LEFT_SHARE, remove_lines: bool = True) -> DataFrame:
-    """``docs`` with a struct ``quality`` (a free name): the measures, ``kept``, and ``left_text``, the text without frequent lines."""
+def without_lines(text: Column, gone: Column) -> Column:
+    """A text without the lines whose keys are in an array; null if it has none of them. Each line is hashed once."""
+    lines = F.split(text, "\n", -1)
+
+    def cut(keys: Column) -> Column:
+        rest = lambda c: F.filter(lines, lambda x, i: ~F.coalesce(F.array_contains(c, F.get(keys, i)), F.lit(False)))
+        return let(F.array_intersect(keys, gone), lambda c: F.when(F.size(c) > 0, F.array_join(rest(c), "\n")))
+
+    return F.when(gone.isNotNull(), let(F.transform(lines, line_key), cut))
+
+
+def judged(docs: DataFrame, text: str = "text", host: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, left_share: float = LEFT_SHARE, measured: bool = True) -> DataFrame:
+    """``docs`` with a struct ``quality`` (a free name): the measures (unless not ``measured``), ``kept``, ``left_text``, the text without frequent lines, and ``cut_text``, the same, null where nothing was removed.
+
+    All is made once a row, in a generator, as a filter on ``kept`` below the
+    projection would make it again.
+    """
     frequent = frequent_lines(docs, text, host, line_docs, line_share)
     few = (frequent.agg(F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()[0]) <= BROADCAST_LINES
-    q, host2, lines = fresh(docs, "quality"), fresh(docs, "quality_host"), fresh(docs, "quality_lines")
+    q, host2, lines, made = (fresh(docs, x) for x in ("quality", "quality_host", "quality_lines", "quality_made"))
     side = frequent.select(F.col("host").alias(host2), F.col("lines").alias(lines))
     out = docs.join(F.broadcast(side) if few else side, col(host).eqNullSafe(col(host2)), "left")
-    t, n = text_or_empty(text), fresh(docs, "quality_base")
-    cut = fresh(docs, "quality_cut")
-    measured = base(t)
-    # Which of the document's own lines are frequent: mostly none.
-    hit = F.array_intersect(F.array_distinct(line_keys(t)), col(lines))
-    out = out.withColumn(cut, F.when(col(lines).isNotNull(), hit))
-    left = F.when(F.coalesce(F.size(col(cut)), F.lit(0)) > 0, F.array_join(F.filter(F.split(t, "\n", -1), lambda x: ~F.coalesce(F.array_contains(col(cut), line_key(x)), F.lit(False))), "\n")).otherwise(t)
-    out = out.withColumns({n: F.struct(*(v.alias(k) for k, v in measured.items())), fresh(docs, "quality_left"): left})
-    left = col(fresh(docs, "quality_left"))
-    n_words, n_repeat = col(n)["of_words"]["n_words"], col(n)["of_words"]["n_repeat_words"]
-    failed = base_failed(n_words, n_repeat)
-    # An empty set of frequent lines leaves all words; else the words that remain are counted.
-    depleted = F.when(F.coalesce(F.size(col(cut)), F.lit(0)) > 0, F.regexp_count(left, F.lit(f"[^{WS}]+")) < n_words * F.lit(left_share)).otherwise(F.lit(False))
-    out = out.withColumn(q, F.struct(
-        n_words.alias("n_words"), col(n)["word_chars"].alias("word_chars"), col(n)["n_symbols"].alias("n_symbols"), col(n)["n_dup_lines"].alias("n_dup_lines"), n_repeat.alias("n_repeat_words"),
-        failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), left.alias("left_text"),
-    ))
-    return out.drop(host2, lines, n, cut, fresh(docs, "quality_left"))
+    t = text_or_empty(text)
+
+    def verdict(w: Column, repeat: Column, left: Column) -> Column:
+        failed, n = base_failed(F.size(w), repeat), F.size(w).cast("long")
+        depleted = left.isNotNull() & (F.regexp_count(left, F.lit(f"[^{WS}]+")) < n * F.lit(left_share))
+        return F.struct(n.alias("n_words"), repeat.alias("n_repeat_words"), failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), left.alias("cut_text"))
+
+    judge = let(words(t), lambda w: let(repeat_words(w), lambda r: let(without_lines(t, col(lines)), lambda left: verdict(w, r, left))))
+    others = F.struct(*(v.alias(k) for k, v in measures(t).items())) if measured else F.lit(None)
+    out = out.select(*map(col, docs.columns), F.explode(F.array(F.struct(judge.alias("judge"), others.alias("others")))).alias(made))
+    j, o = col(made)["judge"], col(made)["others"]
+    fields = [j["n_words"], *([o["word_chars"], o["n_symbols"], o["n_dup_lines"]] if measured else []), j["n_repeat_words"], j["base_failed"], j["kept"], F.coalesce(j["cut_text"], t), j["cut_text"]]
+    names = ["n_words", *(["word_chars", "n_symbols", "n_dup_lines"] if measured else []), "n_repeat_words", "base_failed", "kept", "left_text", "cut_text"]
+    return out.withColumn(q, F.struct(*(f.alias(n) for f, n in zip(fields, names)))).drop(made)
 
 
 def filter_quality(docs: DataFrame, text: str = "text", host: str = "source", **limits) -> DataFrame:
     """The documents that pass, without the lines above the limits; a column n_chars follows the text."""
     q = fresh(docs, "quality")
-    out = judged(docs, text, host, **limits).filter(col(q)["kept"])
-    changed = col(q)["left_text"] != text_or_empty(text)
-    new = {text: F.when(changed, col(q)["left_text"]).otherwise(col(text))}
+    out = judged(docs, text, host, measured=False, **limits).filter(col(q)["kept"])
+    left = col(q)["cut_text"]
+    new = {text: F.coalesce(left, col(text))}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(changed, F.char_length(col(q)["left_text"]).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        new["n_chars"] = F.coalesce(F.char_length(left).cast(docs.schema["n_chars"].dataType), F.col("n_chars"))
     return out.withColumns(new).select(*map(col, docs.columns))
 
 

@@ -47,6 +47,7 @@ lacks ids; an empty table gives an empty result; other columns stay.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -268,30 +269,38 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 def wide_links(distinct: DataFrame, similarity: float, sets_of: Callable[[DataFrame], DataFrame], crowd: int = WIDE_CROWD) -> DataFrame:
     """(u, v): links between the ids of different wide fingerprints (id, wide) whose shingles are alike.
 
-    The distance is a condition of the join on blocks, so that pairs which only
-    share a block are never rows. ``sets_of`` gives (id, shingles) for a table
-    of ids: those of candidates and of crowded blocks only.
+    Blocks move as (key, id). Fingerprints are fetched for the members of small
+    blocks, where the distance is a condition of the join, so that pairs which
+    only share a block are never rows; and for different pairs of member and
+    leader, of which near copies have one and not one a block. ``sets_of`` gives
+    (id, shingles) for a table of ids: those of candidates and of crowded blocks.
     """
-    bits = most_bits(similarity)
-    met = _blocks(distinct).withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1")
-    head = distinct.select(F.col("id").alias("member"), F.slice("wide", 1, HEAD).alias("wide"))
-    met = stored(met.join(head, F.col("member") == F.col("id")).select("key", "id", "n", "wide"), "wide-met")
-    few = met.filter(F.col("n") <= crowd)
-    pairs = few.select("key", F.col("id").alias("u"), F.col("wide").alias("x")).join(few.select("key", F.col("id").alias("v"), F.col("wide").alias("y")), "key").filter((F.col("u") < F.col("v")) & (_distance("x", "y") <= bits)).select("u", "v")
-    pairs = stored(pairs.distinct(), "wide-pairs")
-    crowded = met.filter(F.col("n") > crowd)
-    sets = sets_of(pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).unionByName(crowded.select("id")).distinct())
-    links = stored(_alike(pairs, sets, similarity), "wide-links")
-    often = crowded.groupBy("id").agg(F.count("*").alias("deg")).withColumnRenamed("id", "member")
-    left = stored(crowded.select("key", "id").join(often, F.col("id") == F.col("member")).select("key", "id", "deg"), "wide-open")
-    turn = 0
+    bits, head = most_bits(similarity), distinct.select("id", F.slice("wide", 1, HEAD).alias("wide"))
+
+    by_key = Window.partitionBy("key")
+    met = stored(_blocks(distinct).withColumn("n", F.count("*").over(by_key)).filter("n > 1"), "wide-met")
+    few = stored(met.filter(F.col("n") <= crowd).join(head, "id").select("key", "id", "wide"), "wide-few")
+    pairs = few.select("key", F.col("id").alias("u"), F.col("wide").alias("x")).join(few.select("key", F.col("id").alias("v"), F.col("wide").alias("y")), "key")
+    pairs = stored(pairs.filter((F.col("u") < F.col("v")) & (_distance("x", "y") <= bits)).select("u", "v").distinct(), "wide-pairs")
+    crowded = met.filter(F.col("n") > crowd).select("key", "id")
+    often = crowded.withColumn("deg", F.count("*").over(Window.partitionBy("id")))
+    led = stored(often.withColumn("leader", F.max(F.struct("deg", "id")).over(by_key)["id"]).filter("id <> leader"), "wide-led")
+    first = led.select(F.col("id").alias("u"), F.col("leader").alias("v")).distinct().join(head.toDF("u", "x"), "u").join(head.toDF("v", "y"), "v")
+    first = stored(first.filter(_distance("x", "y") <= bits).select("u", "v"), "wide-close")
+    ids = [x.select(F.col(c).alias("id")) for x in (pairs, first) for c in "uv"]
+    sets = sets_of(reduce(DataFrame.unionByName, ids, crowded.select("id")).distinct())
+    near = stored(_alike(first, sets, similarity), "wide-near")
+    links = stored(_alike(pairs, sets, similarity), "wide-links").unionByName(near)
+    left = stored(led.join(near, (F.col("id") == F.col("u")) & (F.col("leader") == F.col("v")), "left_anti").select("key", "id", "deg"), "wide-open")
+    turn = 1
     while not left.isEmpty():
         draw = F.pmod(F.xxhash64("id", "key", F.lit(turn)), F.lit(1 << 30))
         sizes = left.groupBy("key").agg(F.count("*").alias("open"), F.max(F.struct("deg", "id")).alias("first"))
-        drawn = (F.col("open") <= LAST) | (draw * F.col("open") < F.lit((1 << min(turn, 30)) << 30)) if turn else F.lit(False)
+        drawn = (F.col("open") <= LAST) | (draw * F.col("open") < F.lit((1 << min(turn, 30)) << 30))
         leaders = left.join(sizes, "key").filter((F.col("id") == F.col("first.id")) | drawn).select("key", "id")
-        leaders = stored(crowded.select("key", "id", "wide").join(leaders, ["key", "id"], "left_semi").withColumnsRenamed({"id": "leader", "wide": "y"}), "wide-leaders")
-        found = crowded.select("key", "id", "wide").join(leaders, "key").filter((F.col("id") != F.col("leader")) & (_distance("wide", "y") <= bits))
+        leaders = stored(leaders.join(head, "id").select("key", F.col("id").alias("leader"), F.col("wide").alias("y")), "wide-leaders")
+        block = crowded.join(leaders.select("key").distinct(), "key", "left_semi").join(head, "id")
+        found = block.join(leaders, "key").filter((F.col("id") != F.col("leader")) & (_distance("wide", "y") <= bits))
         found = stored(found.select("key", "id", "leader"), "wide-found")
         near = stored(_alike(found.select(F.col("id").alias("u"), F.col("leader").alias("v")).distinct(), sets, similarity), "wide-near")
         settled = found.join(near, (F.col("id") == F.col("u")) & (F.col("leader") == F.col("v")), "left_semi").select("key", "id").unionByName(leaders.select("key", F.col("leader").alias("id")))

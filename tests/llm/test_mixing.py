@@ -75,3 +75,15 @@ def test_documents_without_an_id_reach_the_target(spark):
         taken[r.source] = taken.get(r.source, 0) + len(r.text.split())
     assert all(abs(taken[s] - goal) <= 90 for s, goal in targets(sizes).items())
     assert x.mix(frame(spark, [(None, "a", "w " * 50)])).count() in (1, 2)
+
+
+@pytest.mark.parametrize("buckets", [4, 4096])
+@pytest.mark.parametrize("share", [0.3, 1.5, 2.5])
+def test_level_of_many_sources(spark, monkeypatch, buckets, share):
+    """Thousands of sources of very different sizes, by histograms of a few buckets: the same targets as one after the other."""
+    monkeypatch.setattr(x, "BUCKETS", buckets)
+    sizes = {f"s{i:05d}": (i * 7919) % 97 * (1 + (i % 50 == 0) * 10_000) for i in range(2000)} | {None: 10**7}
+    df = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, size long")
+    got = {r.source: r.target for r in x.targets(df, [3, 1, 2], share, 2.0).collect()}
+    want = targets(sizes, share=share) if share < 2 else {s: 2.0 * n for s, n in sizes.items()}
+    assert set(got) == set(want) and all(got[s] == pytest.approx(want[s], rel=1e-9, abs=1e-9) for s in got)
