@@ -151,9 +151,9 @@ def block_index(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {PX} SELECT count(*) AS inclusive, count(*) FILTER (WHERE X > 100 AND X < 500 AND Y > 200 AND Y < 700) AS strict FROM px WHERE X >= 100 AND X <= 500 AND Y >= 200 AND Y <= 700")
 def bbox_filter(spark: SparkSession, d: str) -> DataFrame:
-    p = px(spark, d)
-    strict = f.in_box(p, 100, 500, 200, 700, inclusive=False).agg(F.count("*").alias("strict"))
-    return f.in_box(p, 100, 500, 200, 700).agg(F.count("*").alias("inclusive")).join(F.broadcast(strict), F.lit(True))
+    inner = f.in_box(px(spark, d), 100, 500, 200, 700)
+    x, y = F.col("X"), F.col("Y")
+    return inner.agg(F.count("*").alias("inclusive"), F.count(F.when((x > 100) & (x < 500) & (y > 200) & (y < 700), 1)).alias("strict"))
 
 
 # --- features and matrices ---

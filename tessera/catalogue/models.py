@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera import streaming
-from tessera.catalogue.adapters import LABELLED, PX, THETA, UNITS, anchors, anchors_sql, hexed_sql, labelled, px, rounded, table, theta0, theta_long, tokens, unit_counts
+from tessera.catalogue.adapters import LABELLED, PX, THETA, UNITS, anchors, anchors_sql, centre_sql, hexed_sql, labelled, px, rounded, table, theta0, theta_long, tokens, unit_counts
 from tessera.functions import special
 from tessera.functions import vectors as v
 from tessera.functions.hexgrid import radius_of
@@ -38,17 +39,6 @@ def query(sql: str | None = None):
 
 A = f"WITH {PX}, {anchors_sql()}"
 NU = math.log(0.5) / math.log(0.7)
-#: Pixels of three spatial joins whose SQL is over a corner; the queries named _all take all pixels.
-CORNER = "X < 300 AND Y < 300"
-
-
-def _corner(spark: SparkSession, d: str) -> DataFrame:
-    return px(spark, d).filter((F.col("X") < 300) & (F.col("Y") < 300))
-
-
-def _everywhere(name: str) -> str:
-    """The SQL of a query over the corner, over all pixels."""
-    return S[name].replace(f" WHERE {CORNER}", "")
 
 
 def _radius_edges(pixels: DataFrame, a: DataFrame) -> DataFrame:
@@ -73,37 +63,19 @@ def nearest_anchor_filter(spark: SparkSession, d: str) -> DataFrame:
     return sp.near_any(px(spark, d), anchors(spark, d), r).select("X", "Y", "gene", "Count")
 
 
-@query(A + f", c AS (SELECT DISTINCT X, Y FROM px WHERE {CORNER}), e AS (SELECT X, Y, hx, hy, sqrt((X - ax) * (X - ax) + (Y - ay) * (Y - ay)) AS d FROM c JOIN anchors ON abs(X - ax) <= 13 AND abs(Y - ay) <= 13) SELECT round(X, 6) AS X, round(Y, 6) AS Y, hx, hy, round(d, 6) AS d, round(1.0::DOUBLE - pow(d / 13.0::DOUBLE, {NU!r}::DOUBLE), 6) AS w FROM e WHERE d <= 13")
+@query(A + f", c AS (SELECT DISTINCT X, Y FROM px), e AS (SELECT X, Y, hx, hy, sqrt((X - ax) * (X - ax) + (Y - ay) * (Y - ay)) AS d FROM c JOIN anchors ON abs(X - ax) <= 13 AND abs(Y - ay) <= 13) SELECT round(X, 6) AS X, round(Y, 6) AS Y, hx, hy, round(d, 6) AS d, round(1.0::DOUBLE - pow(d / 13.0::DOUBLE, {NU!r}::DOUBLE), 6) AS w FROM e WHERE d <= 13")
 def radius_edges(spark: SparkSession, d: str) -> DataFrame:
-    return _radius_edges(_corner(spark, d), anchors(spark, d))
-
-
-@query(_everywhere("radius_edges"))
-def radius_edges_all(spark: SparkSession, d: str) -> DataFrame:
-    """:func:`radius_edges` over all pixels."""
     return _radius_edges(px(spark, d), anchors(spark, d))
 
 
-@query(A + f", c AS (SELECT DISTINCT X, Y FROM px WHERE {CORNER}), e AS (SELECT X, Y, hx, hy, sqrt((X - ax) * (X - ax) + (Y - ay) * (Y - ay)) AS d FROM c JOIN anchors ON abs(X - ax) <= 25 AND abs(Y - ay) <= 25), k AS (SELECT *, row_number() OVER (PARTITION BY X, Y ORDER BY d, hx, hy) AS rank FROM e WHERE d <= 25) SELECT X, Y, hx, hy, CAST(rank AS INT) AS rank FROM k WHERE rank <= 3")
+@query(A + f", c AS (SELECT DISTINCT X, Y FROM px), e AS (SELECT X, Y, hx, hy, sqrt((X - ax) * (X - ax) + (Y - ay) * (Y - ay)) AS d FROM c JOIN anchors ON abs(X - ax) <= 25 AND abs(Y - ay) <= 25), k AS (SELECT *, row_number() OVER (PARTITION BY X, Y ORDER BY d, hx, hy) AS rank FROM e WHERE d <= 25) SELECT X, Y, hx, hy, CAST(rank AS INT) AS rank FROM k WHERE rank <= 3")
 def knn_join(spark: SparkSession, d: str) -> DataFrame:
-    return _knn_join(_corner(spark, d), anchors(spark, d))
-
-
-@query(_everywhere("knn_join"))
-def knn_join_all(spark: SparkSession, d: str) -> DataFrame:
-    """:func:`knn_join` over all pixels."""
     return _knn_join(px(spark, d), anchors(spark, d))
 
 
-@query(A + f""", c AS (SELECT DISTINCT X, Y FROM px WHERE {CORNER}), t AS (SELECT hx, hy, ax, ay, tot::DOUBLE AS tot FROM anchors), e AS (SELECT X, Y, tot, sqrt((X - ax) * (X - ax) + (Y - ay) * (Y - ay)) AS d FROM c JOIN t ON abs(X - ax) <= 20 AND abs(Y - ay) <= 20),
+@query(A + f""", c AS (SELECT DISTINCT X, Y FROM px), t AS (SELECT hx, hy, ax, ay, tot::DOUBLE AS tot FROM anchors), e AS (SELECT X, Y, tot, sqrt((X - ax) * (X - ax) + (Y - ay) * (Y - ay)) AS d FROM c JOIN t ON abs(X - ax) <= 20 AND abs(Y - ay) <= 20),
 w AS (SELECT *, 1.0::DOUBLE - pow(d / 20.0::DOUBLE, {NU!r}::DOUBLE) AS w FROM e WHERE d < 20) SELECT round(w.X, 6) AS X, round(w.Y, 6) AS Y, round(sum(w * tot) / sum(w), 6) AS value FROM w GROUP BY w.X, w.Y""")
 def knn_impute(spark: SparkSession, d: str) -> DataFrame:
-    return _knn_impute(_corner(spark, d), anchors(spark, d))
-
-
-@query(_everywhere("knn_impute"))
-def knn_impute_all(spark: SparkSession, d: str) -> DataFrame:
-    """:func:`knn_impute` over all pixels."""
     return _knn_impute(px(spark, d), anchors(spark, d))
 
 
@@ -112,15 +84,15 @@ NEIGHBOURS = """n AS (SELECT a.hx AS hx, a.hy AS hy, b.hx AS nx, b.hy AS ny FROM
 
 @query(A + ", " + NEIGHBOURS + " SELECT hx, hy, nx, ny FROM n")
 def lattice_neighbors(spark: SparkSession, d: str) -> DataFrame:
-    a = anchors(spark, d).withColumn("key", F.struct("hx", "hy"))
-    return sp.lattice_neighbours(a, "key", reach=24.0).select("key.hx", "key.hy", F.col("other.hx").alias("nx"), F.col("other.hy").alias("ny"))
+    a = anchors(spark, d).withColumn("key", F.struct("hx", "hy")).persist()
+    return sp.on_lattice(a, "key", 24.0).select("key.hx", "key.hy", F.col("other.hx").alias("nx"), F.col("other.hy").alias("ny"))
 
 
 @query(A + f""", {NEIGHBOURS}, g AS (SELECT hx, hy, CAST(gene AS INT) % 4 AS factor, sum(Count)::DOUBLE AS n FROM hexed SEMI JOIN anchors USING (hx, hy) GROUP BY ALL), t AS (SELECT *, n / sum(n) OVER (PARTITION BY hx, hy) AS p FROM g)
 SELECT a.factor AS a, b.factor AS b, round(sum(a.p * b.p), 6) AS w FROM n JOIN t a ON n.hx = a.hx AND n.hy = a.hy JOIN t b ON n.nx = b.hx AND n.ny = b.hy GROUP BY a.factor, b.factor""")
 def factor_proximity(spark: SparkSession, d: str) -> DataFrame:
-    u = _anchor_theta(spark, d)
-    near = sp.lattice_neighbours(u, "key", reach=24.0)
+    u = _anchor_theta(spark, d).persist()
+    near = sp.on_lattice(u, "key", 24.0)
     return rounded(sp.proximity(near, u, "key").select(F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"), "w"))
 
 
@@ -140,17 +112,6 @@ def anchor_graph(spark: SparkSession, d: str) -> DataFrame:
     return rounded(sp.radius_join(left, right, 50.0, "ax", "ay", "bx", "by").select("hx", "hy", "nx", "ny", "d"))
 
 
-@query(A + """, c AS (SELECT CAST(round_even(X / 20.0::DOUBLE, 0) AS BIGINT) AS px, CAST(round_even(Y / 20.0::DOUBLE, 0) AS BIGINT) AS py, CAST(sum(Count) AS BIGINT) AS n FROM px WHERE Count > 40 GROUP BY 1, 2),
-e AS (SELECT CAST(a.range AS BIGINT) AS px, CAST(b.range AS BIGINT) AS py FROM range(30) a, range(30) b), m AS (SELECT * FROM e ANTI JOIN c USING (px, py)),
-r AS (SELECT m.px, m.py, c.n, row_number() OVER (PARTITION BY m.px, m.py ORDER BY (m.px - c.px) * (m.px - c.px) + (m.py - c.py) * (m.py - c.py), c.px, c.py) AS rn FROM m JOIN c ON c.px BETWEEN m.px - 2 AND m.px + 2 AND c.py BETWEEN m.py - 2 AND m.py + 2 WHERE (m.px - c.px) * (m.px - c.px) + (m.py - c.py) * (m.py - c.py) <= 4)
-SELECT px, py, n FROM c UNION ALL SELECT px, py, n FROM r WHERE rn = 1""")
-def raster_filled(spark: SparkSession, d: str) -> DataFrame:
-    """Raster counts, with empty cells of a corner filled from the nearest within two cells."""
-    known = b.raster(px(spark, d).filter("Count > 40"), 20.0, "X", "Y").groupBy("px", "py").agg(F.sum("Count").alias("n"))
-    cells = spark.range(900).select((F.col("id") % 30).alias("px"), F.floor(F.col("id") / 30).alias("py"))
-    return rasters.filled(cells, known, 2, "n")
-
-
 def _grid(binned: DataFrame) -> DataFrame:
     """All raster cells px, py of the rectangle that holds those of ``binned``."""
     px0, px1, py0, py1 = b.extent(binned, "px", "py")
@@ -167,7 +128,7 @@ GRID = """e AS (SELECT a.px, b.py FROM (SELECT unnest(range(min(px), max(px) + 1
 {GRID}, m AS (SELECT * FROM e ANTI JOIN c USING (px, py)),
 r AS (SELECT m.px, m.py, c.n, row_number() OVER (PARTITION BY m.px, m.py ORDER BY (m.px - c.px) * (m.px - c.px) + (m.py - c.py) * (m.py - c.py), c.px, c.py) AS rn FROM m JOIN c ON c.px BETWEEN m.px - 2 AND m.px + 2 AND c.py BETWEEN m.py - 2 AND m.py + 2 WHERE (m.px - c.px) * (m.px - c.px) + (m.py - c.py) * (m.py - c.py) <= 4)
 SELECT px, py, n FROM c UNION ALL SELECT px, py, n FROM r WHERE rn = 1""")
-def raster_filled_all(spark: SparkSession, d: str) -> DataFrame:
+def raster_filled(spark: SparkSession, d: str) -> DataFrame:
     """Raster counts of all pixels, with empty cells of the whole extent filled from the nearest within two cells."""
     return _raster_filled_all(px(spark, d))
 
@@ -348,17 +309,11 @@ def raster_channels(spark: SparkSession, d: str) -> DataFrame:
 _SIZE = radius_of(24.0)
 
 
-@query(f"""WITH {PX}, {anchors_sql()}, cells AS (SELECT CAST(a.range AS BIGINT) AS px, CAST(b.range AS BIGINT) AS py FROM range(0, 100) a, range(0, 100) b), q0 AS (SELECT px, py, ({math.sqrt(3) / 3!r}::DOUBLE * (px * 10.0::DOUBLE) - (py * 10.0::DOUBLE) / 3.0::DOUBLE) / {_SIZE!r}::DOUBLE + 0.0::DOUBLE AS q, ({2 / 3!r}::DOUBLE * (py * 10.0::DOUBLE)) / {_SIZE!r}::DOUBLE + 0.0::DOUBLE AS r FROM cells),
+@query(f"""WITH {PX}, {anchors_sql()}, c AS (SELECT CAST(round_even(X / 10.0::DOUBLE, 0) AS BIGINT) AS px, CAST(round_even(Y / 10.0::DOUBLE, 0) AS BIGINT) AS py FROM px), {GRID.replace('e AS', 'cells AS', 1)}, q0 AS (SELECT px, py, ({math.sqrt(3) / 3!r}::DOUBLE * (px * 10.0::DOUBLE) - (py * 10.0::DOUBLE) / 3.0::DOUBLE) / {_SIZE!r}::DOUBLE + 0.0::DOUBLE AS q, ({2 / 3!r}::DOUBLE * (py * 10.0::DOUBLE)) / {_SIZE!r}::DOUBLE + 0.0::DOUBLE AS r FROM cells),
 q1 AS (SELECT *, round_even(q, 0) AS rx, round_even(r, 0) AS ry FROM q0), q2 AS (SELECT px, py, CAST(CASE WHEN abs(q - rx) < abs(r - ry) THEN rx ELSE rx + round_even((q - rx) + (r - ry) / 2.0::DOUBLE, 0) END AS BIGINT) AS hx, CAST(CASE WHEN abs(q - rx) < abs(r - ry) THEN ry + round_even((r - ry) + (q - rx) / 2.0::DOUBLE, 0) ELSE ry END AS BIGINT) AS hy FROM q1)
 SELECT hx, hy, px, py, CAST(tot AS BIGINT) AS tot FROM q2 JOIN anchors USING (hx, hy)""")
 def hex_raster(spark: SparkSession, d: str) -> DataFrame:
-    cells = spark.range(10_000).select((F.col("id") % 100).alias("px"), F.floor(F.col("id") / 100).alias("py"))
-    return rasters.hexagon_cells(anchors(spark, d).select("hx", "hy", "tot"), cells, 10.0, 24.0).select("hx", "hy", "px", "py", "tot")
-
-
-@query(S["hex_raster"].replace(S["hex_raster"][S["hex_raster"].index("cells AS ("):S["hex_raster"].index(", q0 AS")], f"c AS (SELECT CAST(round_even(X / 10.0::DOUBLE, 0) AS BIGINT) AS px, CAST(round_even(Y / 10.0::DOUBLE, 0) AS BIGINT) AS py FROM px), {GRID.replace('e AS', 'cells AS', 1)}"))
-def hex_raster_all(spark: SparkSession, d: str) -> DataFrame:
-    """:func:`hex_raster` with the cells of the pixels' whole extent."""
+    """Raster cells of the pixels' whole extent with the hexagon that they are in."""
     return _hex_raster_all(px(spark, d), anchors(spark, d))
 
 
@@ -377,8 +332,9 @@ def raster_categories(spark: SparkSession, d: str) -> DataFrame:
 RING = [(100.0, 100.0), (700.0, 150.0), (600.0, 800.0), (400.0, 400.0), (150.0, 700.0)]
 
 
-def _inside_sql() -> str:
-    terms = [f"CASE WHEN (Y < {y1}::DOUBLE) <> (Y < {y2}::DOUBLE) AND X < ({x2}::DOUBLE - {x1}::DOUBLE) * (Y - {y1}::DOUBLE) / ({y2}::DOUBLE - {y1}::DOUBLE) + {x1}::DOUBLE THEN 1 ELSE 0 END" for (x1, y1), (x2, y2) in zip(RING, RING[1:] + RING[:1]) if y1 != y2]
+def _inside_sql(*rings: list, x: str = "X", y: str = "Y") -> str:
+    """The even-odd rule for the rings of one polygon."""
+    terms = [f"CASE WHEN ({y} < {y1}::DOUBLE) <> ({y} < {y2}::DOUBLE) AND {x} < ({x2}::DOUBLE - {x1}::DOUBLE) * ({y} - {y1}::DOUBLE) / ({y2}::DOUBLE - {y1}::DOUBLE) + {x1}::DOUBLE THEN 1 ELSE 0 END" for ring in rings or (RING,) for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]) if y1 != y2]
     return "(" + " + ".join(terms) + ") % 2 = 1"
 
 
@@ -390,9 +346,51 @@ def polygon_filter(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {PX} SELECT gene, count(*) AS n FROM px WHERE {_inside_sql()} GROUP BY gene")
 def polygon_join(spark: SparkSession, d: str) -> DataFrame:
     """Distinct places meet the edges of their strip; pixels follow their place."""
-    p = px(spark, d).withColumn("_row", F.struct("X", "Y"))
-    inside = sp.within(p.select("X", "Y", "_row").distinct(), readers.edges(spark, [RING]), 50.0, key="_row")
-    return p.join(inside.select("X", "Y"), ["X", "Y"], "left_semi").groupBy("gene").agg(F.count("*").alias("n"))
+    return sp.within(px(spark, d), readers.edges(spark, [RING])).groupBy("gene").agg(F.count("*").alias("n"))
+
+
+#: Two polygons that overlap; one with a hole in which there is another polygon.
+OVERLAP = [[RING], [[(300.0, 120.0), (900.0, 120.0), (900.0, 620.0), (300.0, 620.0)]]]
+HOLED = [[[(50.0, 50.0), (950.0, 80.0), (900.0, 930.0), (80.0, 900.0)], [(250.0, 250.0), (750.0, 260.0), (720.0, 740.0), (260.0, 700.0)]], [[(400.0, 400.0), (600.0, 420.0), (500.0, 600.0)]]]
+
+
+def _any_of(polygons: list, **names) -> str:
+    return "(" + " OR ".join(_inside_sql(*rings, **names) for rings in polygons) + ")"
+
+
+def _twice(spark: SparkSession, d: str) -> DataFrame:
+    """Pixels, each of them twice."""
+    return px(spark, d).withColumn("_i", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_i")
+
+
+@query(f"WITH {PX} SELECT gene, 2 * count(*) AS n, CAST(2 * sum(Count) AS BIGINT) AS total FROM px WHERE {_any_of(OVERLAP)} GROUP BY gene")
+def polygon_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """Repeated pixels in polygons that overlap: all rows of a place in either are kept."""
+    return sp.within(_twice(spark, d), readers.polygon_edges(spark, OVERLAP)).groupBy("gene").agg(F.count("*").alias("n"), F.sum("Count").alias("total"))
+
+
+@query(f"WITH {PX} SELECT X, Y, gene, Count FROM px WHERE {_any_of(HOLED)}")
+def polygon_holes(spark: SparkSession, d: str) -> DataFrame:
+    """Pixels in a polygon with a hole, or in one that is in the hole."""
+    return sp.within(px(spark, d), readers.polygon_edges(spark, HOLED)).select("X", "Y", "gene", "Count")
+
+
+@query(A + f" SELECT hx, hy, CAST(tot AS BIGINT) AS tot FROM anchors WHERE {_any_of(HOLED, x='ax', y='ay')}")
+def hex_boundary(spark: SparkSession, d: str) -> DataFrame:
+    """Hexagons whose centre is inside a boundary."""
+    return sp.within(anchors(spark, d), readers.polygon_edges(spark, HOLED), x="x", y="y").select("hx", "hy", "tot")
+
+
+COARSE = f"WITH {PX}, {hexed_sql(240.0, 1)}, far AS (SELECT hx, hy, {centre_sql(240.0, 1)[0]} AS ax, {centre_sql(240.0, 1)[1]} AS ay FROM hexed GROUP BY ox, oy, hx, hy)"
+
+
+@query(COARSE + ", c AS (SELECT DISTINCT X, Y FROM px), k AS (SELECT X, Y, hx, hy, row_number() OVER (PARTITION BY X, Y ORDER BY sqrt((X - ax) * (X - ax) + (Y - ay) * (Y - ay)), hx, hy) AS rank FROM c, far) SELECT X, Y, hx, hy, CAST(rank AS INT) AS rank FROM k WHERE rank <= 3")
+def knn_any(spark: SparkSession, d: str) -> DataFrame:
+    """The three nearest of few far-off points for each place, found in widening rings."""
+    p = px(spark, d)
+    far = b.hex_units(p, 240.0, 1, min_ct=0).select("hx", "hy", "x", "y", F.struct("hx", "hy").alias("tie"))
+    places = p.select("X", "Y").distinct().withColumn("key", F.struct("X", "Y"))
+    return sp.nearest_any(places, far, 40.0, "key", "tie", 3).select("X", "Y", "hx", "hy", "rank")
 
 
 @query("""WITH l AS (SELECT r_name AS lane, CAST(n_nationkey AS VARCHAR) AS tile, CAST(n_nationkey // 5 AS INT) AS row, CAST(n_nationkey % 5 AS INT) AS col FROM nation JOIN region ON n_regionkey = r_regionkey),
@@ -506,9 +504,10 @@ def lda_fit(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def lda_transform(spark: SparkSession, d: str) -> DataFrame:
-    """Factor probabilities of the documents."""
+    """Factor probabilities of the documents by a given model, whose factors each prefer the words of one remainder by four."""
     units, genes = _units(spark, d)
-    return v.with_top(Lda(genes, 6, seed=3).fit(units, 2, 2048).transform(units), 3)
+    lam = np.where(np.arange(len(genes))[None, :] % 6 == np.arange(6)[:, None], 40.0, 10.0)
+    return v.with_top(Lda(genes, 6, lam=lam).transform(units), 3)
 
 
 def _model(spark: SparkSession, d: str) -> DataFrame:

@@ -11,32 +11,35 @@ from pyspark.sql import functions as F
 from tessera.functions import hexgrid
 from tessera.functions.colours import from_hex
 from tessera.functions.vectors import posterior_counts, with_top
-from tessera.operators import binning, markers, rasters, regions
+from tessera.operators import binning, filters, markers, rasters, regions, spatial
 from tessera.operators.decode import decode
-from tessera.operators.lda import Lda, from_pseudobulk
+from tessera.operators.lda import Lda
 from tessera.plans import workflow
 from tessera.sources import readers, sinks
 
+#: What all raster images can be shown by: corner of the origin, exchanged axes, a box.
+VIEW = {"origin": "upper", "transpose": False, "xmin": "", "xmax": "", "ymin": "", "ymax": ""}
 OPTIONS = {
-    "filter_by_density": {"radius": 15.0, "n_move": 2, "quartile": 2, "least": 0.02, "least_dense": 0.1},
+    "filter_by_density": {"radius": 15.0, "n_move": 2, "quartile": 2, "least": 0.02, "least_dense": 0.1, "outlines": False},
+    "filter_by_density_windows": {"width": 24.0, "n_move": 2, "least": 0.02, "least_dense": 0.1, "windows": 1, "axis": "Y", "precision": 0.0, "hard": 0.0},
     "filter_by_boundary": {"boundary": "", "unit": 1.0, "dx": 0.0, "dy": 0.0, "transpose": False},
     "make_spatial_minibatch": {"batch_size": 500.0, "batch_buff": 50.0, "mu_scale": 26.67, "min_pixel": 100},
-    "make_dge": {"n_move": 3, "hex_width": 24.0, "min_ct": 20.0, "density": 0.2, "key": "Count", "mu_scale": 1.0},
-    "make_sge_by_hexagon": {"hex_width": 24.0, "n_move": 1, "density": 0.1, "key": "Count"},
-    "fit_model": {"n_factor": 12, "restarts": 5, "epochs": 1, "train": 0.5, "min_ct_unit": 50, "min_ct_feature": 50, "seed": 0},
-    "transform": {"model": "", "n_move": 3, "hex_width": 24.0, "min_ct": 20.0},
+    "make_dge": {"n_move": 3, "hex_width": 24.0, "min_ct": 20.0, "density": 0.2, "key": "Count", "mu_scale": 1.0, "boundary": "", "group_within": "", "debug": 0},
+    "make_sge_by_hexagon": {"hex_width": 24.0, "n_move": 1, "density": 0.1, "key": "Count", "boundary": "", "overlap": 0.0},
+    "fit_model": {"norm": "none", "by_epoch": False, "alpha": 1.0, "n_factor": 12, "restarts": 5, "epochs": 1, "train": 0.5, "min_ct_unit": 50, "min_ct_feature": 50, "seed": 0},
+    "transform": {"model": "", "norm": "none", "n_move": 3, "hex_width": 24.0, "min_ct": 20.0},
     "slda_decode": {"model": "", "anchors": "", "radius": 25.0, "halflife": 0.7, "side": 500.0, "halo": 50.0, "share": 0.2, "top": 3},
     "de_bulk": {"min_ct": 50.0, "p": 1e-3, "fold": 1.5, "min_output": 10},
     "factor_report": {"markers": "", "colours": "", "n_top": 20, "min_top": 10},
-    "choose_color": {"n_factor": 12, "width": 24.0, "n_move": 1, "seed": 0},
-    "plot_base": {"colours": "", "um": 1.0, "fill": 0},
-    "plot_hexagon": {"colours": "", "um": 1.0, "width": 24.0},
-    "plot_pixel_full": {"colours": "", "um": 1.0, "top": 3},
+    "choose_color": {"n_factor": 12, "width": 24.0, "n_move": 1, "seed": 0, "circle": False, "even": False, "top_color": "#fcd217"},
+    "plot_base": {"colours": "", "um": 1.0, "fill": 0, "top_image": False, "by_factor": False, "category": "", "names": "", **VIEW},
+    "plot_hexagon": {"colours": "", "um": 1.0, "width": 24.0, **VIEW},
+    "plot_pixel_full": {"colours": "", "um": 1.0, "top": 3, "top_only": False, "category": "", "names": "", "background": "#000000", **VIEW},
     "plot_pixel_multi": {"channels": "", "um": 1.0, "top": 3, "cut": 0.1},
     "plot_pixel_single": {"n_factor": 12, "um": 1.0, "top": 3, "least": 100},
     "block_index": {"n_factor": 12, "top": 3, "block": 2000.0, "scale": 100.0, "off_x": 0.0, "off_y": 0.0},
-    "format": {"platform": "xenium", "scale": 0.12, "quality": 13.0},
-    "init_model_from_pseudobulk": {"model": "", "epochs": 0, "scale": 0.0, "min_ct_unit": 50, "min_ct_feature": 50},
+    "format": {"platform": "xenium", "scale": 0.12, "quality": 13.0, "positions": "", "barcodes": "", "features": ""},
+    "init_model_from_pseudobulk": {"model": "", "epochs": 0, "scale": 0.0, "reorder": False, "min_ct_unit": 50, "min_ct_feature": 50},
     "run_together": {"train_widths": "12", "n_factors": "12", "restarts": 10, "epochs": 3, "n_move": 2, "top": 3, "dry_run": False, "jobs": 1},
 }
 
@@ -54,6 +57,35 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def boxed(df, a: argparse.Namespace, x: str, y: str):
+    """Rows in the box of the options that are given."""
+    for name, c, low in (("xmin", x, True), ("xmax", x, False), ("ymin", y, True), ("ymax", y, False)):
+        if getattr(a, name) != "":
+            end = float(getattr(a, name))
+            df = df.filter(F.col(c) >= end if low else F.col(c) <= end)
+    return df
+
+
+def painted(spark: SparkSession, a: argparse.Namespace, cells, path: str) -> None:
+    """One image of cells (px, py, r, g, b)."""
+    ground = from_hex(getattr(a, "background", "#000000"))
+    image = rasters.image(cells, ground, origin=getattr(a, "origin", "upper"))
+    sinks.write_bytes(spark, path, sinks.png(rasters.oriented(image, getattr(a, "transpose", False))))
+
+
+def category_cells(spark: SparkSession, a: argparse.Namespace, df, colours, x: str, y: str):
+    """Cells in the colours of their most frequent category, renamed by a map if there is one."""
+    names = readers.category_map(spark, a.names) if a.names else None
+    by = rasters.categories(df, a.um, a.category, names, x, y)
+    return rasters.with_colours(by, colours, "category").select("px", "py", *(F.col(c).alias(c.lower()) for c in "RGB"))
+
+
+def edges_of(spark: SparkSession, path: str, unit: float = 1.0, dx: float = 0.0, dy: float = 0.0, transpose: bool = False):
+    """The edges of a boundary file's polygons, their coordinates times ``unit`` and then moved."""
+    shapes = readers.boundary(readers.text_of(spark, path))
+    return readers.polygon_edges(spark, [readers.scaled(r, unit, dx / unit, dy / unit, transpose) for r in shapes])
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     a = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("tessera").getOrCreate()
@@ -63,33 +95,35 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         kept, totals, cut = regions.filter_by_density(readers.pixels(spark, a.input), radius=a.radius, n_move=a.n_move, quartile=a.quartile, least=a.least, least_dense=a.least_dense)
         save(kept, "/pixels"), save(totals, "/features")
         sinks.write_bytes(spark, f"{a.output}/cutoffs.json", json.dumps(cut.__dict__).encode())
+        if a.outlines:
+            for name, tri in zip(("lenient", "strict"), regions.dense_triangles(readers.pixels(spark, a.input), cut, radius=a.radius, n_move=a.n_move, least=a.least)):
+                sinks.write_bytes(spark, f"{a.output}/{name}.geojson", sinks.geojson(regions.outline(tri)).encode())
+    elif a.verb == "filter_by_density_windows":
+        save(regions.filter_by_anchors(readers.pixels(spark, a.input), a.width, a.n_move, a.least, least_dense=a.least_dense, windows=a.windows, axis=a.axis, precision=a.precision, hard=a.hard))
     elif a.verb == "filter_by_boundary":
-        from tessera.operators.spatial import within
-
-        text = readers.text_of(spark, a.boundary)
-        rings = readers.geojson(text) if text.lstrip().startswith("{") else readers.svg_path(text)
-        rings = readers.scaled(rings, a.unit, a.dx, a.dy, a.transpose)
-        ys = [y for r in rings for _, y in r]
-        rows = readers.pixels(spark, a.input).withColumn("_row", F.xxhash64("X", "Y", "gene"))
-        save(within(rows, readers.edges(spark, rings), max(1e-9, (max(ys) - min(ys)) / 64)).drop("_row"))
+        save(spatial.within(readers.pixels(spark, a.input), edges_of(spark, a.boundary, a.unit, a.dx, a.dy, a.transpose)))
     elif a.verb == "make_spatial_minibatch":
         p = readers.pixels(spark, a.input)
         save(binning.tiled(p, a.batch_size * a.mu_scale, a.batch_buff * a.mu_scale, a.min_pixel))
     elif a.verb == "make_dge":
-        p = readers.pixels(spark, a.input, a.key, a.mu_scale)
-        save(binning.centred(binning.dge(p, a.hex_width, a.n_move, a.key, min_ct=a.min_ct, density=a.density), a.hex_width, a.n_move).withColumn("unit", binning.unit_id()))
+        groups = tuple(x for x in a.group_within.split(",") if x)
+        p = filters.limited(readers.pixels(spark, a.input, a.key, a.mu_scale, keep=groups), a.debug)
+        out = binning.centred(binning.dge(p, a.hex_width, a.n_move, a.key, groups=groups, min_ct=a.min_ct, density=a.density), a.hex_width, a.n_move)
+        out = spatial.within(out, edges_of(spark, a.boundary), x="x", y="y") if a.boundary else out
+        save(out.withColumn("unit", binning.unit_id(*groups, *binning.HEX)))
     elif a.verb == "make_sge_by_hexagon":
-        p = readers.pixels(spark, a.input, a.key)
-        cells = binning.hex_units(p, a.hex_width, a.n_move, a.key, min_ct=0, density=a.density, centre="mean").select(*binning.HEX, "x", "y")
-        sinks.write_matrix(binning.dge(p, a.hex_width, a.n_move, a.key, min_ct=0, density=a.density).join(cells, binning.HEX), p, a.output)
+        p, moves = readers.pixels(spark, a.input, a.key), binning.moves_for_overlap(a.overlap) if a.overlap else a.n_move
+        cells = binning.hex_units(p, a.hex_width, moves, a.key, min_ct=0, density=a.density, centre="mean").select(*binning.HEX, "x", "y")
+        cells = spatial.within(cells, edges_of(spark, a.boundary), x="x", y="y") if a.boundary else cells
+        sinks.write_matrix(binning.dge(p, a.hex_width, moves, a.key, min_ct=0, density=a.density).join(cells, binning.HEX), p, a.output)
     elif a.verb == "fit_model":
-        o = workflow.DEFAULTS | {k: getattr(a, k) for k in ("restarts", "epochs", "train", "min_ct_unit", "min_ct_feature", "seed")}
+        o = workflow.DEFAULTS | {k: getattr(a, k) for k in ("restarts", "epochs", "train", "min_ct_unit", "min_ct_feature", "seed", "norm", "by_epoch", "alpha")}
         model, scores = workflow.fit(read(a.input).select("unit", "gene", F.col("n").cast("double").alias("n")), a.n_factor, o)
         model.save(spark, f"{a.output}/model")
         save(scores, "/coherence")
     elif a.verb == "transform":
         counts = workflow.counts_of(readers.pixels(spark, a.input), a.hex_width, a.n_move, a.min_ct)
-        theta = workflow.transform(Lda.load(spark, a.model), counts, spark, a.min_ct)
+        theta = workflow.transform(Lda.load(spark, a.model), counts, spark, a.min_ct, a.norm)
         save(theta, "/anchors")
         save(posterior_counts(theta.select("unit", "theta"), counts), "/posterior")
     elif a.verb == "slda_decode":
@@ -102,27 +136,40 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         save(table, "/table")
         sinks.write_bytes(spark, f"{a.output}/report.html", sinks.report([r.asDict() for r in table.orderBy(F.desc("weight")).collect()]).encode())
     elif a.verb == "choose_color":
-        save(spark.createDataFrame(workflow.factor_colours(read(a.input), a.n_factor, a.width, a.n_move, a.seed), "Name string, Color_index int, R double, G double, B double"))
+        save(spark.createDataFrame(workflow.factor_colours(read(a.input), a.n_factor, a.width, a.n_move, a.seed, a.circle, a.even, a.top_color), "Name string, Color_index int, R double, G double, B double"))
     elif a.verb in ("plot_base", "plot_hexagon", "plot_pixel_full"):
-        colours = read(a.colours).withColumn("factor", F.col("Name").cast("int"))
+        colours, (x, y) = read(a.colours), ("X", "Y") if a.verb == "plot_pixel_full" else ("x", "y")
+        shown = boxed(read(a.input), a, x, y)
+        if getattr(a, "category", ""):
+            painted(spark, a, category_cells(spark, a, shown, colours, x, y), a.output)
+            return
+        colours = colours.withColumn("factor", F.col("Name").cast("int"))
         if a.verb == "plot_pixel_full":
-            cells = rasters.top_rgb(read(a.input), a.um, colours, a.top)
+            if a.top_only:
+                shown = shown.withColumn("P1", F.lit(1.0))
+            cells = rasters.top_rgb(shown, a.um, colours, 1 if a.top_only else a.top)
         elif a.verb == "plot_hexagon":
-            units = read(a.input)
-            edge = units.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-            lo, hi = (int(min(edge[0], edge[2]) / a.um) - 1, int(max(edge[1], edge[3]) / a.um) + 1)
-            grid = spark.range(lo, hi + 1).select(F.col("id").alias("px"), F.explode(F.sequence(F.lit(lo).cast("long"), F.lit(hi).cast("long"))).alias("py"))
-            known = units.withColumn("_h", hexgrid.pixel_to_hex(F.col("x"), F.col("y"), hexgrid.radius_of(a.width))).select(F.col("_h.hx").alias("hx"), F.col("_h.hy").alias("hy"), "theta")
-            painted = rasters.hexagon_cells(known, grid, a.um, a.width).select("px", "py", F.posexplode("theta").alias("factor", "p"))
-            cells = rasters.mixed(painted, colours)
+            edge = shown.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+            ends = [[int(edge[i] / a.um) - 1, int(edge[i + 1] / a.um) + 1] for i in (0, 2)]
+            grid = spark.range(ends[0][0], ends[0][1] + 1).select(F.col("id").alias("px"), F.explode(F.sequence(*(F.lit(v).cast("long") for v in ends[1]))).alias("py"))
+            known = shown.withColumn("_h", hexgrid.pixel_to_hex(F.col("x"), F.col("y"), hexgrid.radius_of(a.width))).select(F.col("_h.hx").alias("hx"), F.col("_h.hy").alias("hy"), "theta")
+            cells = rasters.mixed(rasters.hexagon_cells(known, grid, a.um, a.width).select("px", "py", F.posexplode("theta").alias("factor", "p")), colours)
         else:
-            cells = rasters.mixed(rasters.mean_values(read(a.input), a.um), colours).withColumn("rgb", F.array("r", "g", "b"))
+            means = rasters.mean_values(shown, a.um).persist()
+            if a.top_image:
+                top = rasters.top_cells(means).withColumn("p", F.lit(1.0))
+                painted(spark, a, rasters.mixed(top, colours), f"{a.output}.top.png")
+            if a.by_factor:
+                for r in means.select("factor").distinct().collect():  # one image a factor
+                    one = means.filter(F.col("factor") == r.factor).select("px", "py", *(F.col("p").alias(c) for c in "rgb"))
+                    painted(spark, a, one, f"{a.output}.factor_{r.factor}.png")
+            cells = rasters.mixed(means, colours).withColumn("rgb", F.array("r", "g", "b"))
             if a.fill:
                 box = cells.agg(F.min("px"), F.max("px"), F.min("py"), F.max("py")).first()
                 grid = spark.range(box[0], box[1] + 1).select(F.col("id").alias("px"), F.explode(F.sequence(F.lit(box[2]), F.lit(box[3]))).alias("py"))
                 cells = rasters.filled(grid, cells.select("px", "py", "rgb"), a.fill, "rgb")
             cells = cells.select("px", "py", *(F.get("rgb", F.lit(i)).alias(c) for i, c in enumerate("rgb")))
-        sinks.write_bytes(spark, a.output, sinks.png(rasters.image(cells)))
+        painted(spark, a, cells, a.output)
     elif a.verb == "plot_pixel_multi":
         chosen = [(int(k), from_hex(c)) for k, c in (x.split(":") for x in a.channels.split(","))]
         sinks.write_bytes(spark, a.output, sinks.png(rasters.image(rasters.channels(read(a.input), a.um, chosen, a.top, a.cut))))
@@ -134,20 +181,21 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     elif a.verb == "block_index":
         sinks.write_blocks(read(a.input), a.output, a.n_factor, a.top, a.block, a.scale, a.off_x, a.off_y)
     elif a.verb == "format":
-        raw = spark.read.parquet(a.input) if a.input.rstrip("/").endswith(".parquet") else spark.read.option("header", True).option("inferSchema", True).csv(a.input)
-        made = {"cosmx": lambda: readers.cosmx(raw, a.scale), "vizgen": lambda: readers.vizgen(raw), "xenium": lambda: readers.xenium(raw, a.quality)}[a.platform]()
+        table = lambda path: spark.read.parquet(path) if path.rstrip("/").endswith(".parquet") else spark.read.option("header", True).option("inferSchema", True).csv(path)
+        if a.platform == "visium":  # the input is the matrix, its names are lists without a header
+            names = [readers.numbered_lines(spark, x) for x in (a.barcodes, a.features)]
+            barcodes = names[0].select(F.col("line").alias("barcode_idx"), F.trim("text").alias("barcode"))
+            part = F.split("text", "\t")
+            features = names[1].select(F.col("line").alias("gene_idx"), F.coalesce(F.get(part, F.lit(1)), F.get(part, F.lit(0))).alias("gene"))
+            made = readers.visium(table(a.positions), barcodes, features, readers.matrix_market(spark, a.input), a.scale)
+        else:
+            made = {"cosmx": lambda r: readers.cosmx(r, a.scale), "vizgen": readers.vizgen, "xenium": lambda r: readers.xenium(r, a.quality)}[a.platform](table(a.input))
         save(made, "/pixels"), save(readers.feature_totals(made), "/features"), save(binning.bounding_box(made), "/bbox")
     elif a.verb == "init_model_from_pseudobulk":
-        from tessera.operators import matrix
-
         counts = read(a.input).select("unit", "gene", F.col("n").cast("double").alias("n"))
-        index = matrix.features(counts, a.min_ct_feature)
-        total = counts.agg(F.sum("n")).first()[0] or 0.0
-        model = from_pseudobulk(readers.model(spark, a.model), [r.gene for r in index.orderBy("idx").collect()], scale=a.scale, total=total)
-        kept = spark.createDataFrame([(g, i) for i, g in enumerate(model.genes)], "gene string, idx int")
-        units = matrix.units(counts, kept, a.min_ct_unit)
-        (model.fit(units, a.epochs) if a.epochs else model).save(spark, f"{a.output}/model")
-        save(model.transform(units), "/theta")
+        model, theta, post = workflow.from_pseudobulk_counts(readers.model(spark, a.model), counts, a.epochs, a.scale, a.min_ct_feature, a.min_ct_unit, a.reorder)
+        model.save(spark, f"{a.output}/model")
+        save(theta, "/theta"), save(post, "/posterior")
     elif a.verb == "run_together":
         widths, factors = [float(x) for x in a.train_widths.split(",")], [int(x) for x in a.n_factors.split(",")]
         g = workflow.graph(spark, a.input, a.output, train_widths=widths, n_factors=factors, restarts=a.restarts, epochs=a.epochs, n_move=a.n_move, top=a.top)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 
 from tessera.functions.special import circle_layout, line_layout
@@ -26,6 +24,8 @@ def turbo(t: np.ndarray) -> np.ndarray:
 def from_hex(text: str) -> tuple[float, float, float]:
     h = text.lstrip("#")
     h = "".join(c * 2 for c in h) if len(h) == 3 else h
+    if len(h) != 6:
+        raise ValueError(f"no colour: {text}")
     return tuple(int(h[i : i + 2], 16) / 255 for i in (0, 2, 4))
 
 
@@ -53,22 +53,43 @@ def abundance(weight: np.ndarray) -> np.ndarray:
     return w / w.sum()
 
 
+def place_of(colour: str, steps: int = 1000) -> float:
+    """The place in [0, 1] whose colour on the map is nearest to a colour; what is no colour counts as :data:`TOP`."""
+    try:
+        wanted = from_hex(colour)
+    except ValueError:
+        wanted = from_hex(TOP)
+    far = ((turbo(np.arange(steps + 1) / steps) - wanted) ** 2).sum(1)
+    return float(far.argmin() / steps)
+
+
 def places(near: np.ndarray, weight: np.ndarray | None = None, top: str = TOP, circle: bool = False, seed: int = 0) -> np.ndarray:
-    """Places in [0, 1] on the colour map: neighbours far apart, and the heaviest factor at the wanted colour."""
-    k = len(near)
-    w = np.full(k, 1 / k) if weight is None else np.asarray(weight, float) / np.sum(weight)
-    grid = turbo(np.arange(200) / 200)
-    wanted = from_hex(top if re.fullmatch(r"#(?:[0-9a-fA-F]{3}){1,2}", top) else TOP)
-    anchor = np.abs(grid - np.array(wanted)).sum(1).argmin() / 200 * 2 * np.pi
+    """Places in [0, 1) on the colour map: neighbours far apart, and the heaviest factor at the wanted colour.
+
+    Factors in the order of their layout take shares of the map by weight; a
+    factor's place is the middle of its share, and all are turned together.
+    """
+    w = np.full(len(near), 1.0) if weight is None else np.asarray(weight, float)
     order = np.argsort(circle_layout(near, seed=seed) if circle else line_layout(near, seed=seed), kind="stable")
-    angle = np.empty(k)
-    angle[order] = (np.cumsum(w[order]) - w[order] / 2) * 2 * np.pi
-    return np.mod(angle + anchor - angle[np.argmax(w)], 2 * np.pi) / (2 * np.pi)
+    middle = np.empty(len(w))
+    middle[order] = (np.cumsum(w[order]) - w[order] / 2) / w.sum()
+    return (middle + place_of(top) - middle[w.argmax()]) % 1
+
+
+#: Places are stretched to the map from here on, as its first colours are very dark.
+DARK = 0.05
+
+
+def stretched(at: np.ndarray) -> np.ndarray:
+    """Places from their least and greatest to [:data:`DARK`, 1]."""
+    at = np.asarray(at, float)
+    span = np.ptp(at)
+    return DARK + (1 - DARK) * ((at - at.min()) / span if span else np.zeros(len(at)))
 
 
 def table(at: np.ndarray, names: list[str] | None = None) -> list[tuple]:
-    """(Name, Color_index, R, G, B) of places; colours keep a twentieth from the ends of the map."""
-    rgb = turbo(0.05 + 0.9 * np.asarray(at))
+    """(Name, Color_index, R, G, B) of places, which are stretched over the map."""
+    rgb = turbo(stretched(at))
     rank = np.argsort(np.argsort(at, kind="stable"), kind="stable")
     return [(n, int(r), *map(float, c)) for n, r, c in zip(names or map(str, range(len(at))), rank, rgb)]
 

@@ -7,6 +7,8 @@ what a task holds. A pixel in the overlap of tiles belongs to one of them only.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -77,13 +79,51 @@ def decode(pixels: DataFrame, anchors: DataFrame, model: DataFrame, side: float
     its size is features times factors. Tiles with fewer than ``least`` anchors
     are left out.
     """
+
+    def out(tile: Solved) -> pd.DataFrame:
+        return pd.DataFrame({"X": tile.xy[tile.own, 0], "Y": tile.xy[tile.own, 1], "theta": list(tile.phi[tile.own])})
+
+    return _tiles(pixels, anchors, model, out, "X double, Y double, theta array<double>", side, halo, r, halflife, share, rounds, least)
+
+
+def decoded_anchors(pixels: DataFrame, anchors: DataFrame, model: DataFrame, side: float = 500, halo: float = 50, r: float = 25, halflife: float = 0.7, share: float = 0.2, rounds: int = 30, least: int = LEAST_ANCHORS) -> DataFrame:
+    """(tx, ty, x, y, avg_size, theta): anchors of each tile after decoding, with the counts of the pixels that belong to them."""
+
+    def out(tile: Solved) -> pd.DataFrame:
+        t = np.exp(expected_log(tile.gamma))
+        size = np.bincount(tile.ax, tile.psi * tile.count[tile.px], len(t))
+        return pd.DataFrame({"x": tile.anchors[:, 0], "y": tile.anchors[:, 1], "avg_size": size, "theta": list(t / t.sum(1, keepdims=True))}).assign(tx=tile.key[0], ty=tile.key[1])
+
+    return _tiles(pixels, anchors, model, out, "x double, y double, avg_size double, theta array<double>, tx int, ty int", side, halo, r, halflife, share, rounds, least)
+
+
+@dataclass
+class Solved:
+    """A tile after inference: linked pixels (place, counts, phi, whether the tile owns them), anchors and edges, sums by factor and gene, and the last bound."""
+
+    key: tuple
+    xy: np.ndarray
+    count: np.ndarray
+    phi: np.ndarray
+    own: np.ndarray
+    anchors: np.ndarray
+    gamma: np.ndarray
+    px: np.ndarray
+    ax: np.ndarray
+    psi: np.ndarray
+    stats: np.ndarray
+    bound: float
+
+
+def _tiles(pixels: DataFrame, anchors: DataFrame, model: DataFrame, out: Callable[[Solved], pd.DataFrame], schema: str, side: float, halo: float, r: float, halflife: float, share: float, rounds: int, least: int) -> DataFrame:
+    """``out`` of each tile after inference."""
     rows = model.toPandas()
     wide = rows.pivot_table(index="gene", columns="factor", values="lambda", aggfunc="sum", fill_value=0.0)
     log_beta = expected_log(np.maximum(wide.to_numpy(float), 0.5).T)
     at = {str(g): i for i, g in enumerate(wide.index)}
     box = extent(pixels)
     if box[0] is None:
-        return pixels.select("X", "Y").withColumn("theta", F.array().cast("array<double>"))
+        return pixels.sparkSession.createDataFrame([], schema)
     x0, x1, y0, y1 = box
     p = tiled(pixels.select("X", "Y", F.col("gene").cast("string").alias("gene"), F.col("Count").cast("double").alias("n")), side, halo, box=box)
     p = p.withColumn("own", (F.col("tx") == owner(F.col("X"), x0, x1, side, halo)) & (F.col("ty") == owner(F.col("Y"), y0, y1, side, halo)))
@@ -92,32 +132,91 @@ def decode(pixels: DataFrame, anchors: DataFrame, model: DataFrame, side: float
     hold = lambda c, lo, hi: F.least(F.greatest(c, F.lit(lo)), F.lit(hi))
     near = F.array(*(F.struct(hold(F.col("ax") + dx, x0, x1).alias("X"), hold(F.col("ay") + dy, y0, y1).alias("Y")) for dx in (-r, 0.0, r) for dy in (-r, 0.0, r)))
     spread = tiled(a.select("*", F.inline(F.array_distinct(near))), side, halo, box=box).dropDuplicates(["tx", "ty", "ax", "ay"])
+    names, kinds = zip(*(x.split() for x in schema.split(", ")))
 
     def one(key, tile: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame({"X": np.zeros(0), "Y": np.zeros(0), "theta": np.zeros(0, object)})
+        none = pd.DataFrame({c: np.zeros(0, {"double": float, "int": int}.get(t, object)) for c, t in zip(names, kinds)})
         if len(near) < least or not len(tile):
-            return out
+            return none
         near, tile = near.sort_values(["ax", "ay"]), tile.sort_values(["X", "Y", "gene"])
         tile = tile.assign(i=tile.gene.map(at)).dropna(subset=["i"])
         if not len(tile):
-            return out
+            return none
         place, points = pd.factorize(pd.MultiIndex.from_frame(tile[["X", "Y"]]))
-        xy = np.array([*points])
+        xy, genes, counts = np.array([*points]), tile.i.to_numpy(int), tile.n.to_numpy()
         theta = prior(np.array(near.theta.tolist(), float), share)
         px, ax, w = edges(xy, near[["ax", "ay"]].to_numpy(float), r, halflife)
         linked = np.unique(px)
         if not len(linked):
-            return out
+            return none
         renumber = np.full(len(xy), -1)
         renumber[linked] = np.arange(len(linked))
-        xb = _sums(place, tile.n.to_numpy()[:, None] * log_beta.T[tile.i.astype(int)], len(xy))[linked]
-        phi, *_ = couple(renumber[px], ax, w, len(linked), theta, xb, rounds)
+        xb = _sums(place, counts[:, None] * log_beta.T[genes], len(xy))[linked]
+        phi, gamma, psi, trail = couple(renumber[px], ax, w, len(linked), theta, xb, rounds)
         own = np.zeros(len(xy), bool)
         own[place] = tile.own.to_numpy()
-        keep = own[linked]
-        return pd.DataFrame({"X": xy[linked][keep, 0], "Y": xy[linked][keep, 1], "theta": list(phi[keep])})
+        mine = renumber[place]
+        used = mine >= 0
+        used[used] &= own[linked][mine[used]]
+        stats = np.stack([np.bincount(genes[used], counts[used] * phi[mine[used], k], len(at)) for k in range(theta.shape[1])])
+        done = Solved(key, xy[linked], np.bincount(place, counts, len(xy))[linked], phi, own[linked], near[["ax", "ay"]].to_numpy(float), gamma, renumber[px], ax, psi, stats, trail[-1])
+        return out(done)[[*names]]
 
-    return p.groupBy("tx", "ty").cogroup(spread.groupBy("tx", "ty")).applyInPandas(one, "X double, Y double, theta array<double>")
+    return p.groupBy("tx", "ty").cogroup(spread.groupBy("tx", "ty")).applyInPandas(one, schema)
+
+
+def decontaminated(lam: np.ndarray, theta: np.ndarray, links: np.ndarray, zeta: float, rounds: int = 30, tol: float = 1e-4) -> np.ndarray:
+    """Factor by gene sums less a share ``zeta`` of what spatial neighbours may have leaked into them.
+
+    ``links`` are pairs of neighbouring anchors, each in both directions; an
+    anchor is its own neighbour besides. Factors keep their totals.
+    """
+    n, total = len(theta), lam.sum(1, keepdims=True)
+    pairs = np.concatenate([np.asarray(links, int).reshape(-1, 2), np.repeat(np.arange(n)[:, None], 2, axis=1)])
+    degree = np.bincount(pairs[:, 0], minlength=n)
+    around = _sums(pairs[:, 0], theta[pairs[:, 1]], n) / degree[:, None]
+    near = theta.T @ around / theta.sum(0)[:, None]
+    np.fill_diagonal(near, 0)
+    for _ in range(rounds):
+        rest = np.maximum(lam - zeta * total * (near @ (lam / lam.sum(1, keepdims=True))), 0)
+        new = rest / rest.sum(1, keepdims=True) * total
+        change = (np.abs(new - lam).max(1) / lam.sum(1)).mean()
+        lam = new
+        if change <= tol:
+            break
+    return lam
+
+
+def learned(pixels: DataFrame, anchors: DataFrame, model: DataFrame, steps: int = 3, tau0: float = 1.0, kappa: float = 0.7, eta: float = 0.1, zeta: float = 0.0, side: float = 500, halo: float = 50, r: float = 25, **options) -> tuple[DataFrame, list[float]]:
+    """(model (gene, factor, lambda), bound by step): the model learned further from the pixels themselves.
+
+    A step infers all tiles, sums expected counts by factor and gene, and moves
+    the model by (tau0 + step) ** -kappa. With ``zeta`` the sums of each tile are
+    freed of what neighbouring factors leaked in. What comes to the driver is as
+    large as the model.
+    """
+    spark, bounds = pixels.sparkSession, []
+    o = {"halflife": 0.7, "share": 0.2, "rounds": 30, "least": LEAST_ANCHORS} | options
+
+    def sums(tile: Solved) -> pd.DataFrame:
+        stats = tile.stats + eta
+        if zeta > 0:
+            i, j, d = grid_pairs(tile.anchors, tile.anchors, 2 * r)
+            stats = decontaminated(stats, tile.gamma / tile.gamma.sum(1, keepdims=True), np.stack([i, j], 1)[d > 0], zeta)
+        k, g = np.indices(stats.shape)
+        return pd.DataFrame({"factor": np.append(k.ravel(), -1), "gene": np.append(g.ravel(), 0), "v": np.append(stats.ravel(), tile.bound)})
+
+    for step in range(steps):
+        rows = model.toPandas().pivot_table(index="gene", columns="factor", values="lambda", aggfunc="sum", fill_value=0.0)
+        got = _tiles(pixels, anchors, model, sums, "factor int, gene int, v double", side, halo, r, **o).groupBy("factor", "gene").agg(F.sum("v").alias("v")).toPandas()
+        bounds.append(float(got.loc[got.factor < 0, "v"].sum()))
+        got, new = got[got.factor >= 0], np.zeros(rows.shape)
+        new[got.gene.to_numpy(), got.factor.to_numpy()] = got.v.to_numpy()
+        rho = (tau0 + step) ** -kappa
+        lam = (1 - rho) * rows.to_numpy(float) + rho * new
+        k, g = np.indices(lam.T.shape)
+        model = spark.createDataFrame(pd.DataFrame({"gene": rows.index.astype(str).to_numpy()[g.ravel()], "factor": rows.columns.to_numpy(int)[k.ravel()], "lambda": lam.T.ravel()}), "gene string, factor int, `lambda` double")
+    return model, bounds
 
 
 def pixel_posterior_counts(decoded: DataFrame, pixels: DataFrame) -> DataFrame:

@@ -63,3 +63,27 @@ def train_test(unit: Column, train: float, seed: int = 0) -> Column:
     """Whether a unit is for training: a share by hash of seed and unit, which any engine with MD5 can repeat."""
     digest = F.md5(F.concat(F.lit(f"{seed}:"), unit.cast("string")).cast("binary"))
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") % 1_000_000 < int(train * 1_000_000)
+
+
+def limited(df: DataFrame, most: int = 0) -> DataFrame:
+    """The first rows only, for a trial run; all if ``most`` is 0."""
+    return df.limit(most) if most > 0 else df
+
+
+def sampled(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
+    """n rows by the least hashes of seed and key: the same ones in every run; a top-n, not a sort of all rows."""
+    order = F.xxhash64(F.lit(seed), F.col(key))
+    return df.orderBy(order, F.col(key)).limit(n)
+
+
+def even_slices(n: int, parts: int) -> list[tuple[int, int]]:
+    """[start, end) of at most ``parts`` slices of n items whose sizes differ by one at most; at least one."""
+    parts = max(1, min(parts, n))
+    return [(n * i // parts, n * (i + 1) // parts) for i in range(parts)]
+
+
+def sliced(df: DataFrame, parts: int, order: str) -> DataFrame:
+    """``df`` with ``slice``, the number of its even slice in an order, from 0: bounds are quantiles, so no task sorts all rows."""
+    cuts = df.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 10_000)).first()[0] if parts > 1 else None
+    at = sum((F.when(F.col(order) > F.lit(c), 1).otherwise(0) for c in cuts or []), F.lit(0))
+    return df.withColumn("slice", at)

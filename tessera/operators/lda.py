@@ -3,7 +3,10 @@
 The model is a small K x M matrix on the driver. A step sends it to the tasks,
 which infer the units of one batch, a block at a time, and return expected
 counts by factor and gene; these are summed by Spark, and only the K x M sums
-come back. Batches are hash buckets of units, so that a step is a filter.
+come back. Batches are hash buckets of units; a group of batches is held in
+memory while its steps are made, so that an epoch reads the units once. Random
+starts are hashes of seed, step and unit: a model does not depend on how units
+are partitioned, nor on executors that are lost.
 """
 
 from __future__ import annotations
@@ -26,6 +29,36 @@ from tessera.operators.matrix import parts
 EPS = 1e-100
 #: Units inferred together by a task.
 BLOCK = 512
+#: Batches whose units are held in memory together.
+GROUP = 64
+
+
+def starts(keys: np.ndarray, k: int) -> np.ndarray:
+    """Random numbers like Gamma(100, 0.01), a row of k for each 64-bit key, by hashing and a cube of a normal number."""
+    at = keys.astype(np.int64).view(np.uint64)[:, None] + np.arange(1, 2 * k + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        at = (at ^ (at >> np.uint64(shift))) * np.uint64(factor)
+    u = ((at ^ (at >> np.uint64(31))) >> np.uint64(11)).astype(float) / (1 << 53)
+    z = np.sqrt(-2 * np.log(1 - u[:, :k])) * np.cos(2 * np.pi * u[:, k:])
+    return (1 - 1 / 900 + z / 30) ** 3
+
+
+def unmixed(stats: np.ndarray, lam: np.ndarray, penalty: float, ambient: np.ndarray | None = None, ambient_only: bool = False) -> np.ndarray:
+    """Expected counts (K x M) less a share ``penalty`` of each factor's total, taken as what leaks in from elsewhere, and scaled up again.
+
+    Elsewhere are the other factors by their weight and the ambient profile, or
+    the ambient profile only.
+    """
+    leak = penalty * stats.sum(1, keepdims=True)
+    if ambient_only and ambient is not None:
+        from_others = np.broadcast_to(ambient, stats.shape)
+    else:
+        profile, weight = lam / lam.sum(1, keepdims=True), lam.sum(1) / lam.sum()
+        mix = weight @ profile
+        if ambient is not None:  # weighs as much as all factors
+            weight, mix = weight / 2, (mix + ambient) / 2
+        from_others = mix - weight[:, None] * profile
+    return np.maximum((stats - leak * from_others) / (1 - penalty), EPS)
 
 
 def infer(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, n: int, beta: np.ndarray, alpha: float | np.ndarray, start: np.ndarray | None = None, rounds: int = 100, tol: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
@@ -90,6 +123,9 @@ class Lda:
     seed: int = 0
     lam: np.ndarray | None = None
     step: int = 0
+    penalty: float = 0.0
+    ambient: np.ndarray | None = None
+    ambient_only: bool = False
     meta: dict = field(default_factory=dict)
 
     def __post_init__(self) -> None:
@@ -98,26 +134,31 @@ class Lda:
         if self.lam is None:
             self.lam = np.random.Generator(np.random.PCG64(self.seed)).gamma(100.0, 0.01, (self.k, len(self.genes)))
 
+        if self.ambient is not None:
+            self.ambient = np.asarray(self.ambient, float) / np.sum(self.ambient)
+
     def beta(self) -> np.ndarray:
         return np.exp(expected_log(self.lam))
 
     # --- learning ---
 
     def expected(self, units: DataFrame) -> tuple[np.ndarray, int]:
-        """(sums K x M, number of units): one expectation step over all of ``units``."""
-        beta, alpha, seed, k, m = self.beta(), self.alpha, self.seed + self.step, self.k, len(self.genes)
+        """(sums K x M, number of units): one expectation step over all of ``units``. An ambient profile takes part as a fixed factor."""
+        beta, alpha, k, m = self.beta(), self.alpha, self.k, len(self.genes)
+        if self.ambient is not None:  # as sure of itself as the factors are on average
+            beta = np.vstack([beta, np.exp(expected_log(self.ambient[None] * self.lam.sum(1).mean() + EPS))])
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total, n = np.zeros((k, m)), 0
             for b in _blocks(batches):
                 rows, cols, vals = _coo(b)
-                first = np.random.Generator(np.random.PCG64([seed, int(b["tot"].sum()) % (1 << 31), len(b)])).gamma(100.0, 0.01, (len(b), k))
-                total += infer(rows, cols, vals, len(b), beta, alpha, first)[1]
+                total += infer(rows, cols, vals, len(b), beta, alpha, starts(b["h"].to_numpy(), len(beta)))[1][:k]
                 n += len(b)
             i, j = np.nonzero(total)
             yield pd.DataFrame({"k": np.append(i, -1), "idx": np.append(j, 0), "v": np.append(total[i, j], float(n))})
 
-        got = units.select("idx", "cnt", "tot").mapInPandas(run, "k long, idx long, v double").groupBy("k", "idx").agg(F.sum("v").alias("v")).toPandas()
+        first = F.xxhash64(F.lit(self.seed), F.lit(self.step), "unit").alias("h")
+        got = units.select("idx", "cnt", first).mapInPandas(run, "k long, idx long, v double").groupBy("k", "idx").agg(F.sum("v").alias("v")).toPandas()
         n = int(got.loc[got.k < 0, "v"].sum())
         got = got[got.k >= 0]
         sums = np.zeros((k, m))
@@ -128,6 +169,8 @@ class Lda:
         """One stochastic step with the units of a batch, of ``total`` units in all."""
         sums, n = self.expected(units)
         if n:
+            if self.penalty > 0 and self.step > 3:
+                sums = unmixed(sums, self.lam, self.penalty, self.ambient, self.ambient_only)
             self.step += 1
             rho = (self.tau + self.step) ** -self.kappa
             self.lam = (1 - rho) * self.lam + rho * (self.eta + total / n * sums)
@@ -140,14 +183,32 @@ class Lda:
         self.lam = self.eta + sums
         return n
 
-    def fit(self, units: DataFrame, epochs: int = 1, batch_size: int = 512, total: int | None = None) -> Lda:
-        """Stochastic learning: every epoch visits all batches, in another order."""
-        n = total or units.count()
+    def fit(self, units: DataFrame, epochs: float = 1, batch_size: int = 512, total: int | None = None) -> Lda:
+        """Stochastic learning: every epoch visits all batches, in another order; a fraction of an epoch visits that share of them.
+
+        Units are spread over all cores. Groups of batches follow each other in
+        random order, and so do the batches of a group.
+        """
+        spark = units.sparkSession
+        cores = max(spark.sparkContext.defaultParallelism, 1)
+        dealt = units.repartition(max(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))), "unit").persist()
+        n = total or dealt.count()
         batches = max(1, n // batch_size)
-        dealt = units.withColumn("_b", F.pmod(F.xxhash64(F.lit(self.seed), "unit"), F.lit(batches))).persist()
-        for epoch in range(epochs):
-            for b in np.random.Generator(np.random.PCG64([self.seed, epoch])).permutation(batches):
-                self.update(dealt.filter(F.col("_b") == int(b)), n)
+        dealt = dealt.withColumn("_b", F.pmod(F.xxhash64(F.lit(self.seed), "unit"), F.lit(batches)))
+        epoch, left = 0, max(1, round(epochs * batches)) if epochs > 0 else 0
+        while left > 0:
+            rng = np.random.Generator(np.random.PCG64([self.seed, epoch]))
+            for g in rng.permutation(-(-batches // GROUP)):
+                mine = rng.permutation(np.arange(g * GROUP, min(batches, (g + 1) * GROUP)))[:left]
+                if not len(mine):
+                    break
+                held = dealt if batches <= GROUP else dealt.filter(F.col("_b").between(int(g) * GROUP, int(g) * GROUP + GROUP - 1)).persist()
+                for b in mine:
+                    self.update(held.filter(F.col("_b") == int(b)) if batches > 1 else held, n)
+                if held is not dealt:
+                    held.unpersist()
+                left -= len(mine)
+            epoch += 1
         dealt.unpersist()
         return self
 
@@ -201,7 +262,7 @@ class Lda:
     def save(self, spark, path: str) -> None:
         """Parquet for the matrix, JSON for the rest; nothing is pickled."""
         self.matrix(spark).write.mode("overwrite").parquet(f"{path}/matrix")
-        meta = {"k": self.k, "alpha": self.alpha, "eta": self.eta, "tau": self.tau, "kappa": self.kappa, "seed": self.seed, "step": self.step, "genes": [str(g) for g in self.genes], "meta": self.meta}
+        meta = {"k": self.k, "alpha": self.alpha, "eta": self.eta, "tau": self.tau, "kappa": self.kappa, "seed": self.seed, "step": self.step, "penalty": self.penalty, "ambient": None if self.ambient is None else self.ambient.tolist(), "ambient_only": self.ambient_only, "genes": [str(g) for g in self.genes], "meta": self.meta}
         spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
     @classmethod
@@ -221,6 +282,8 @@ def from_pseudobulk(model: DataFrame, genes: list, min_total: float = 50, pseudo
     wide = wide[wide.sum(axis=1) >= min_total]
     kept = [g for g in map(str, genes) if g in wide.index]
     lam = wide.loc[kept].to_numpy(float).T + pseudo
+    if not kept:
+        raise ValueError("the model and the counts have no gene in common")
     if scale > 0 and lam.sum() > 0:
         lam *= scale * total / lam.sum()
     return Lda(kept, lam.shape[0], lam=lam, **options)

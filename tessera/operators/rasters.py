@@ -86,6 +86,40 @@ def categories(df: DataFrame, um: float, column: str, names: DataFrame | None =
     return n.groupBy("px", "py").agg(best.alias("b")).select("px", "py", F.col("b.c").alias("category"))
 
 
+def with_colours(df: DataFrame, colours: DataFrame, on: str = "Name", names: dict[str, str] | None = None, missing: tuple[float, float, float] = (0.5, 0.5, 0.5)) -> DataFrame:
+    """``df`` with the R, G, B of a label's row in a colour table, labels renamed first; labels without a colour get ``missing``."""
+    label = F.col(on).cast("string")
+    for a, b in (names or {}).items():
+        label = F.when(F.col(on).cast("string") == a, F.lit(b)).otherwise(label)
+    c = F.broadcast(colours.select(F.col("Name").cast("string").alias("_name"), *(F.col(x).alias(f"_{x}") for x in "RGB")))  # one row a label
+    out = df.withColumn("_label", label).join(c, F.col("_label") == F.col("_name"), "left")
+    return out.withColumns({x: F.coalesce(F.col(f"_{x}"), F.lit(float(m))) for x, m in zip("RGB", missing)}).drop("_label", "_name", "_R", "_G", "_B")
+
+
+def outlines(rings: list[list[tuple[float, float]]], um: float = 1.0, ink: tuple[int, int, int] = (255, 255, 255)) -> np.ndarray:
+    """The edges of rings as an image, x along the rows: a boundary to look at."""
+    points = np.array([p for r in rings for p in r], float).reshape(-1, 2) / um
+    if not len(points):
+        return np.zeros((1, 1, 3), np.uint8)
+    base = np.floor(points.min(0))
+    shape = (np.ceil(points.max(0)) - base + 1).astype(int)
+    out = np.zeros((*shape, 3), np.uint8)
+    for r in rings:
+        for a, b in zip(r, r[1:] + r[:1]):
+            a, b = (np.array(p, float) / um - base for p in (a, b))
+            steps = int(np.abs(b - a).max()) * 2 + 2
+            line = np.rint(a + (b - a) * np.linspace(0, 1, steps)[:, None]).astype(int)
+            out[line[:, 0], line[:, 1]] = ink
+    return out
+
+
+def oriented(image: np.ndarray, transpose: bool = False, upside_down: bool = False, mirrored: bool = False) -> np.ndarray:
+    """An image with its axes exchanged, its rows or its columns reversed, in this order."""
+    out = image.transpose(1, 0, 2) if transpose else image
+    out = out[::-1] if upside_down else out
+    return np.ascontiguousarray(out[:, ::-1] if mirrored else out)
+
+
 def with_argmax(df: DataFrame, value: str = "theta") -> DataFrame:
     return df.withColumn("factor", argmax(F.col(value)))
 

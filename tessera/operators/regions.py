@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.hexgrid import area_of, radius_of
 from tessera.functions.special import delaunay, mixture, posterior
-from tessera.operators.binning import hex_units
+from tessera.operators.binning import hex_units, minor_windows
 from tessera.operators.spatial import bucket, near_any
 
 
@@ -130,16 +130,24 @@ def filter_by_density(pixels: DataFrame, width: float | None = None, radius: flo
     width = width or radius * 3**0.5
     units = hex_units(pixels, width, n_move, key, min_ct=0, density=least).persist()
     cut = density_cutoffs(units, width, **options)
-    longest, buffer = 2 * 3**0.5 * radius_of(width), radius_of(width)
-    lenient = triangles(units.filter(F.col("tot") >= cut.lenient), longest).persist()
-    strict = triangles(units.filter(F.col("tot") >= cut.strict), longest)
-    if min_area > 0:
-        lenient, strict = (large(x, min_area) for x in (lenient, strict))
-    kept = in_triangles(pixels, lenient, buffer)
-    totals = in_triangles(pixels, strict, buffer).groupBy("gene").agg(F.sum(key).alias("total"))
+    lenient, strict = (x.persist() for x in _regions(units, cut, width, min_area))
+    kept = in_triangles(pixels, lenient, radius_of(width))
+    totals = in_triangles(pixels, strict, radius_of(width)).groupBy("gene").agg(F.sum(key).alias("total"))
     return kept, totals, cut
 
 
+def _regions(units: DataFrame, cut: Cutoffs, width: float, min_area: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    longest = 2 * 3**0.5 * radius_of(width)
+    out = (triangles(units.filter(F.col("tot") >= c), longest) for c in (cut.lenient, cut.strict))
+    return tuple(large(x, min_area) if min_area > 0 else x for x in out)
+
+
+def dense_triangles(pixels: DataFrame, cut: Cutoffs, width: float | None = None, radius: float = 15, n_move: int = 2, key: str = "Count", least: float = 0.02, min_area: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """The triangles of the lenient and of the strict region for given cutoffs."""
+    width = width or radius * 3**0.5
+    return _regions(hex_units(pixels, width, n_move, key, min_ct=0, density=least), cut, width, min_area)
+
+
 def large(tri: DataFrame, area: float, rounds: int = 50) -> DataFrame:
     """Triangles of connected groups with at least this area; triangles that share a corner are connected."""
     t = tri.withColumn("id", F.xxhash64("x1", "y1", "x2", "y2", "x3", "y3")).persist()
@@ -158,8 +166,78 @@ def large(tri: DataFrame, area: float, rounds: int = 50) -> DataFrame:
     return both.join(keep, "g", "left_semi").drop("g", "_a", "id")
 
 
+def window_cut(counts: np.ndarray, many: np.ndarray, area: float, least_dense: float) -> float:
+    """The least count of a dense unit in a window, from the table of its units' counts.
+
+    Two normals on the logarithms; three where the sparse part is more than half
+    as dense as the dense one, or the dense one too sparse. If it still is too
+    sparse, the least density itself; if two parts are nearly as dense, all units.
+    """
+    if len(counts) < 2:
+        return float(counts[0]) if len(counts) else 0.0
+    x, w, dense, next_, cut = np.log10(counts), many.astype(float), 0.0, 0.0, 0.0
+    for parts in (2, 3):
+        share, mean, dev = mixture(x, w, parts)
+        kept = counts[posterior(x, share, mean, dev) == parts - 1]
+        dense, next_ = 10 ** mean[-1] / area, 10 ** mean[-2] / area
+        cut = float(kept.min()) if len(kept) else float(counts.max())
+        if next_ <= 0.5 * dense and dense >= least_dense:
+            break
+    if dense < least_dense:
+        return least_dense * area
+    return float(counts.min()) if next_ > 0.7 * dense else cut
+
+
+def dense_anchors(pixels: DataFrame, width: float = 24, n_move: int = 2, least: float = 0.02, least_dense: float = 0.1, windows: int = 1, axis: str = "Y", precision: float = 0.0, hard: float = 0.0) -> DataFrame:
+    """(x, y): centres of dense units, judged apart in windows of equal width along an axis and for each lattice offset.
+
+    What comes to the driver is the table of different counts by window and offset.
+    """
+    lo, hi = pixels.agg(F.min(axis), F.max(axis)).first()
+    if lo is None:
+        return pixels.sparkSession.createDataFrame([], "x double, y double")
+    place = F.least(F.greatest(minor_windows(F.col(axis), lo, (hi - lo + 1) / windows), F.lit(0)), F.lit(windows - 1)).cast("int")
+    units = hex_units(pixels.withColumn("win", place), width, n_move, groups=("win",), min_ct=0, density=least).persist()
+    area, by = area_of(width), ["win", "ox", "oy"]
+    if hard > 0:
+        dense = units.filter(F.col("tot") > hard * area)
+    else:
+        table = units.groupBy(*by, F.rint("tot").alias("tot")).agg(F.count("*").alias("n")).toPandas().sort_values([*by, "tot"])
+        cuts = [(*map(int, k), window_cut(t.tot.to_numpy(float), t.n.to_numpy(), area, least_dense)) for k, t in table.groupby(by)]
+        cuts = pixels.sparkSession.createDataFrame(cuts, "win int, ox int, oy int, cut double")
+        dense = units.join(F.broadcast(cuts), by).filter(F.col("tot") >= F.col("cut"))
+    if precision > 0:
+        step = F.lit(float(precision))
+        dense = dense.withColumns({c: F.rint(F.greatest(F.col(c), F.lit(0.0)) / step) * step for c in "xy"})
+    return dense.select("x", "y").distinct()
+
+
 def filter_by_anchors(pixels: DataFrame, width: float = 24, n_move: int = 2, least: float = 0.02, **options) -> DataFrame:
-    """Pixels nearer than a radius to the centre of a dense unit."""
-    units = hex_units(pixels, width, n_move, min_ct=0, density=least).persist()
-    cut = density_cutoffs(units, width, **options)
-    return near_any(pixels, units.filter(F.col("tot") >= cut.lenient).select("x", "y"), radius_of(width))
+    """Pixels nearer than a radius to the centre of a dense unit; the options are those of :func:`dense_anchors`."""
+    return near_any(pixels, dense_anchors(pixels, width, n_move, least, **options), radius_of(width))
+
+
+def outline(tri: DataFrame) -> list[list[tuple[float, float]]]:
+    """The closed outlines of a region of triangles: sides of one triangle only, joined end to end. The rim comes to the driver, not the region."""
+    ends = [F.struct(F.col(f"x{a}").alias("xa"), F.col(f"y{a}").alias("ya"), F.col(f"x{b}").alias("xb"), F.col(f"y{b}").alias("yb")) for a, b in ((1, 2), (2, 3), (3, 1))]
+    side = tri.distinct().select(F.inline(F.array(*ends)))
+    turned = F.struct("xa", "ya") > F.struct("xb", "yb")
+    one_way = side.select(*(F.when(turned, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in (("xa", "xb"), ("ya", "yb"), ("xb", "xa"), ("yb", "ya"))))
+    rim = one_way.groupBy("xa", "ya", "xb", "yb").agg(F.count("*").alias("n")).filter("n = 1").drop("n")
+    links: dict = {}
+    for r in sorted(map(tuple, rim.collect())):
+        links.setdefault(r[:2], []).append(r[2:])
+        links.setdefault(r[2:], []).append(r[:2])
+    rings = []
+    for start in sorted(links):
+        while links[start]:
+            ring, at = [start], start
+            while links[at]:
+                to = links[at].pop(0)
+                links[to].remove(at)
+                at = to
+                if at == start:
+                    break
+                ring.append(at)
+            rings.append(ring)
+    return rings

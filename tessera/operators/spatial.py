@@ -9,9 +9,13 @@ join splits.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.hexgrid import pixel_to_hex, radius_of
+
 
 def bucket(c: Column, width: float) -> Column:
     return F.floor(c / F.lit(float(width))).cast("long")
@@ -45,6 +49,34 @@ def nearest(left: DataFrame, right: DataFrame, r: float, key: str, tie: str, k:
     return radius_join(left, right, r, **names).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` without its lineage, in the checkpoint folder; kept in memory where none is set, which serves a few rounds only."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
+def nearest_any(left: DataFrame, right: DataFrame, r: float, key: str, tie: str, k: int = 1, x: str = "X", y: str = "Y", rx: str = "x", ry: str = "y") -> DataFrame:
+    """The k nearest points of ``right`` for each ``key`` of ``left`` however far they are, with d and rank; equal distances by ``tie``.
+
+    Rows that have k points within r are done; the others look again within
+    twice the distance, until it spans the extent of both sides.
+    """
+    ends = [t.agg(F.min(a), F.max(a), F.min(b), F.max(b)).first() for t, a, b in ((left, x, y), (right, rx, ry))]
+    if None in (ends[0][0], ends[1][0]):
+        return nearest(left, right, r, key, tie, k, x=x, y=y, rx=rx, ry=ry)
+    span = math.hypot(*(max(e[i + 1] for e in ends) - min(e[i] for e in ends) for i in (0, 2)))
+    left, right, out = cut(left), cut(right), None
+    while True:
+        got = cut(nearest(left, right, r, key, tie, k, x=x, y=y, rx=rx, ry=ry))
+        if r >= span:
+            return got if out is None else out.unionByName(got)
+        full = got.filter(F.col("rank") == k).select(key)
+        done = got.join(full, key, "left_semi")
+        out = done if out is None else out.unionByName(done)
+        left, r = cut(left.join(full, key, "left_anti")), 2 * r
+        if left.isEmpty():
+            return out
+
+
 def edge_weight(d: Column, r: float, nu: float) -> Column:
     """1 - (d / r) ** nu."""
     return F.lit(1.0) - F.pow(d / F.lit(float(r)), F.lit(float(nu)))
@@ -72,6 +104,18 @@ def lattice_neighbours(points: DataFrame, key: str, x: str = "x", y: str = "y",
     return pairs.filter(F.col("d") < least + slack).withColumn("_n", F.row_number().over(w)).filter("_n <= 6").select(key, "other")
 
 
+def on_lattice(points: DataFrame, key: str, spacing: float, x: str = "x", y: str = "y") -> DataFrame:
+    """(key, other): neighbours of points that are centres of a hexagonal lattice with this distance between centres.
+
+    A centre's six neighbours are six steps of its cell's coordinates: one
+    equi-join, without distances. Centres of n sliding lattices are those of one
+    lattice with an n-th of the distance.
+    """
+    at = points.select(F.col(key), pixel_to_hex(F.col(x), F.col(y), radius_of(spacing)).alias("_h")).select(key, F.col("_h.hx").alias("_q"), F.col("_h.hy").alias("_r"))
+    steps = [F.struct((F.col("_q") + i).alias("_q"), (F.col("_r") + j).alias("_r")) for i, j in ((1, 0), (-1, 0), (0, 1), (0, -1), (1, -1), (-1, 1))]
+    return at.select(key, F.inline(F.array(*steps))).join(at.withColumnRenamed(key, "other"), ["_q", "_r"]).select(key, "other")
+
+
 def proximity(neighbours: DataFrame, theta: DataFrame, key: str, value: str = "theta") -> DataFrame:
     """(a, b, w): for factors a and b, the sum over neighbouring points of their products."""
     t = theta.select(F.col(key), F.col(value).alias("_t"))
@@ -98,15 +142,25 @@ def inside(x: Column, y: Column, rings: list[list[tuple[float, float]]]) -> Colu
     return crossed % 2 == 1
 
 
-def within(df: DataFrame, edges: DataFrame, height: float, x: str = "X", y: str = "Y", key: str = "_row") -> DataFrame:
-    """Rows inside polygons given as edges (x1, y1, x2, y2), for polygons of any number of edges.
+def within(df: DataFrame, edges: DataFrame, height: float | None = None, x: str = "X", y: str = "Y") -> DataFrame:
+    """Rows whose place is inside any of the polygons given as edges (x1, y1, x2, y2, and ``polygon`` if there are several).
 
-    Edges are listed under the strips of ``height`` that they cross, so a point
-    meets the edges of its strip only. ``key`` names a column that identifies rows.
+    A place is in a polygon if an odd number of its edges is to the right, so
+    the rings of one polygon cut holes; polygons that overlap are united. Edges
+    are listed under the cells of their own strip (``height``) that their
+    polygon's box covers, so a place meets polygons around it only; by default
+    cells are as large as the mean edge is high and the mean polygon wide. Rows
+    of one place are judged once and kept together.
     """
-    lo, hi = F.least("y1", "y2"), F.greatest("y1", "y2")
-    listed = edges.filter("y1 <> y2").select("*", F.explode(F.sequence(bucket(lo, height), bucket(hi, height))).alias("_s"))
-    at = (F.col("x2") - F.col("x1")) * (F.col(y) - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")
-    cross = ((F.col(y) < F.col("y1")) != (F.col(y) < F.col("y2"))) & (F.col(x) < at)
-    odd = df.withColumn("_s", bucket(F.col(y), height)).join(listed, "_s").filter(cross).groupBy(key).agg(F.count("*").alias("_n")).filter("_n % 2 = 1")
-    return df.join(odd, key, "left_semi")
+    e = edges if "polygon" in edges.columns else edges.withColumn("polygon", F.lit(0))
+    box = e.groupBy("polygon").agg(F.min(F.least("x1", "x2")).alias("_lo"), F.max(F.greatest("x1", "x2")).alias("_hi"))
+    e = e.join(box, "polygon").filter("y1 <> y2")
+    mean = e.agg(F.avg(F.abs(F.col("y1") - F.col("y2"))), F.avg(F.col("_hi") - F.col("_lo"))).first()  # two numbers
+    high, wide = max(height or mean[0] or 1.0, 1e-9), max(mean[1] or 1.0, 1e-9)
+    strips = F.sequence(bucket(F.least("y1", "y2"), high), bucket(F.greatest("y1", "y2"), high))
+    listed = e.withColumn("_s", F.explode(strips)).withColumn("_c", F.explode(F.sequence(bucket(F.col("_lo"), wide), bucket(F.col("_hi"), wide))))
+    places = df.select(F.col(x).alias("_x"), F.col(y).alias("_y")).distinct().withColumns({"_s": bucket(F.col("_y"), high), "_c": bucket(F.col("_x"), wide)})
+    at = (F.col("x2") - F.col("x1")) * (F.col("_y") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")
+    cross = ((F.col("_y") < F.col("y1")) != (F.col("_y") < F.col("y2"))) & (F.col("_x") < at)
+    odd = places.join(listed, ["_s", "_c"]).filter(cross).groupBy("_x", "_y", "polygon").agg(F.count("*").alias("_n")).filter("_n % 2 = 1")
+    return df.join(odd.select("_x", "_y"), (F.col(x) == F.col("_x")) & (F.col(y) == F.col("_y")), "left_semi")

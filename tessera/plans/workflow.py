@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from itertools import product
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,8 +12,8 @@ from tessera.functions import colours
 from tessera.functions.vectors import argmax, long, posterior_counts, with_top
 from tessera.operators import binning, markers, matrix, rasters
 from tessera.operators.decode import decode, pixel_posterior_counts
-from tessera.operators.lda import Lda, restarts
-from tessera.operators.spatial import lattice_neighbours, proximity
+from tessera.operators.lda import Lda, from_pseudobulk, restarts
+from tessera.operators.spatial import on_lattice, proximity
 from tessera.plans.stages import Graph
 from tessera.sources import readers, sinks
 
@@ -31,36 +32,89 @@ def counts_of(pixels: DataFrame, width: float, n_move: int, min_ct: float) -> Da
     return out.select(binning.unit_id().alias("unit"), "gene", F.col("n").cast("double").alias("n"), "x", "y")
 
 
+def model_units(counts: DataFrame, index: DataFrame, min_ct: float, norm: str = "none") -> DataFrame:
+    """Packed units with enough counts of the indexed genes; ``norm`` is none, log (by the unit's sum) or size (by its size factor)."""
+    if norm == "none":
+        return matrix.units(counts, index, min_ct)
+    known = counts.join(index.select("gene"), "gene", "left_semi")
+    enough = known.groupBy("unit").agg(F.sum("n").alias("s")).filter(F.col("s") >= min_ct).select("unit")
+    x = matrix.log_normalised(known.join(enough, "unit", "left_semi").select("unit", "gene", "n"), norm == "size")
+    return matrix.units(x.withColumnRenamed("x", "n"), index, 0)
+
+
 def fit(counts: DataFrame, k: int, o: dict) -> tuple[Lda, DataFrame]:
-    """(model, coherence): restarts on a share of the units, then more epochs over all with the best."""
+    """(model, coherence): restarts on a share of the units, then more epochs with the best.
+
+    A unit's epoch is the first two characters of its id, the lattice offset:
+    one epoch is one pass over the tissue. Restarts take the first epoch, and
+    further ones go on with the others in turn; the first is taken up where the
+    restarts left it, with the share that they held back.
+    """
+    o = DEFAULTS | {"norm": "none", "by_epoch": False, "alpha": 1.0} | o
     index = matrix.features(counts, o["min_ct_feature"]).persist()
     genes = [r.gene for r in index.orderBy("idx").select("gene").collect()]  # some tens of thousands of names
-    units = matrix.units(counts, index, o["min_ct_unit"]).persist()
-    model, scores = restarts(units, counts, genes, k, o["restarts"], o["train"], 1, o["seed"], alpha=1.0)
-    return model.fit(units, o["epochs"]).relabelled(), scores
-
-
-def transform(model: Lda, counts: DataFrame, spark: SparkSession, min_ct: float = 20) -> DataFrame:
+    units = model_units(counts, index, o["min_ct_unit"], o["norm"]).persist()
+    if not o["by_epoch"]:
+        model, scores = restarts(units, counts, genes, k, o["restarts"], o["train"], 1, o["seed"], alpha=o["alpha"])
+        return model.fit(units, o["epochs"]).relabelled(), scores
+    marked = matrix.epochs(units)
+    passes = [r.epoch for r in marked.select("epoch").distinct().orderBy("epoch").collect()]  # one a lattice offset
+    first = marked.filter(F.col("epoch") == passes[0]).drop("epoch").persist()
+    model, scores = restarts(first, counts, genes, k, o["restarts"], o["train"], 1, o["seed"], alpha=o["alpha"])
+    done, at = 0.0, 0
+    while done < o["epochs"]:
+        part = first if at == 0 else marked.filter(F.col("epoch") == passes[at]).drop("epoch")
+        share = min(1 - o["train"] if done == 0 else 1.0, o["epochs"] - done)
+        model.fit(part, share)
+        done, at = done + share, (at + 1) % len(passes)
+    return model.relabelled(), scores
+
+
+def from_pseudobulk_counts(model: DataFrame, counts: DataFrame, epochs: int = 0, scale: float = 0.0, min_ct_feature: float = 50, min_ct_unit: float = 50, reorder: bool = False, seed: int = 0) -> tuple[Lda, DataFrame, DataFrame]:
+    """(model, theta, posterior counts) from a pseudobulk table (gene, factor, lambda).
+
+    Genes of the counts that the model lacks take no part in inference, but have
+    posterior counts; ``reorder`` numbers factors by their posterior counts.
+    """
+    spark = counts.sparkSession
+    index = matrix.features(counts, min_ct_feature).persist()
+    known = [r.gene for r in index.orderBy("idx").select("gene").collect()]
+    in_model = counts.join(model.select(F.col("gene").cast("string").alias("gene")).distinct(), "gene", "left_semi")
+    total = in_model.agg(F.sum("n")).first()[0] or 0.0
+    start = from_pseudobulk(model, known, scale=scale, total=total, seed=seed)
+    kept = spark.createDataFrame([(g, i) for i, g in enumerate(start.genes)], "gene string, idx int")
+    units = matrix.units(counts, kept, min_ct_unit).persist()
+    start = start.fit(units, epochs) if epochs else start
+    all_genes = counts.join(index.select("gene"), "gene", "left_semi").select("unit", "gene", "n")
+    if reorder:
+        mass = posterior_counts(start.transform(units), all_genes).groupBy("factor").agg(F.sum("cnt").alias("c")).toPandas()  # one row a factor
+        weight = np.zeros(start.k)
+        weight[mass.factor.to_numpy(int)] = mass.c.to_numpy(float)
+        start.lam = start.lam[np.argsort(-weight, kind="stable")]
+    theta = start.transform(units)
+    return start, theta, posterior_counts(theta, all_genes)
+
+
+def transform(model: Lda, counts: DataFrame, spark: SparkSession, min_ct: float = 20, norm: str = "none") -> DataFrame:
     """(unit, x, y, topK, topP, theta) of units with counts of the model's genes."""
     index = spark.createDataFrame([(str(g), i) for i, g in enumerate(model.genes)], "gene string, idx int")
-    units = matrix.units(counts, index, min_ct)
+    units = model_units(counts, index, min_ct, norm)
     at = counts.groupBy("unit").agg(F.first("x").alias("x"), F.first("y").alias("y"))
     return model.transform(units).join(at, "unit").select("unit", "x", "y", argmax(F.col("theta")).alias("topK"), F.array_max("theta").alias("topP"), "theta")
 
 
-def factor_colours(anchors: DataFrame, k: int, width: float, n_move: int, seed: int = 0) -> list[tuple]:
-    """Colours for factors from the neighbourhood of anchors: only K x K sums come to the driver."""
-    spacing = width / n_move
-    near = lattice_neighbours(anchors, "unit", reach=spacing, slack=0.5)
+def factor_colours(anchors: DataFrame, k: int, width: float, n_move: int, seed: int = 0, circle: bool = False, even: bool = False, top: str = colours.TOP, names: list[str] | None = None) -> list[tuple]:
+    """Colours for factors from the neighbourhood of anchors: only K x K sums come to the driver. ``even``: the same share of the map for each factor."""
+    anchors = anchors.select("unit", "x", "y", "theta").persist()
+    near = on_lattice(anchors, "unit", width / n_move)
     w = proximity(near, anchors.select("unit", "theta"), "unit").toPandas()
-    import numpy as np
-
     sums = np.zeros((k, k))
     sums[w.a.to_numpy(int), w.b.to_numpy(int)] = w.w.to_numpy(float)
     mass = long(anchors.select("theta")).groupBy("factor").agg(F.sum("p").alias("p")).toPandas()
     weight = np.full(k, 1e-9)
     weight[mass.factor.to_numpy(int)] += mass.p.to_numpy(float)
-    return colours.table(colours.places(colours.similarity(sums), colours.abundance(weight), seed=seed))
+    anchors.unpersist()
+    return colours.table(colours.places(colours.similarity(sums), None if even else colours.abundance(weight), top, circle, seed), names)
 
 
 def graph(spark: SparkSession, pixels_path: str, out: str, **options) -> Graph:

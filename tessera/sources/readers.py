@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,11 +30,11 @@ def tsv(spark: SparkSession, path: str, schema: str | None = None, header: bool
     return out.repartition(repartition) if repartition else out
 
 
-def pixels(spark: SparkSession, path: str, key: str = "Count", mu_scale: float = 1.0, schema: str | None = None) -> DataFrame:
-    """X, Y, gene, and counts of a pixel table (Parquet or text), in micrometres."""
+def pixels(spark: SparkSession, path: str, key: str = "Count", mu_scale: float = 1.0, schema: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """X, Y, gene, counts and the columns ``keep`` of a pixel table (Parquet or text), in micrometres."""
     out = spark.read.parquet(path) if path.rstrip("/").endswith(".parquet") else tsv(spark, path, schema)
     out = normalised(out, "xy")
-    out = out.select(F.col("X").cast("double").alias("X"), F.col("Y").cast("double").alias("Y"), F.col("gene").cast("string").alias("gene"), F.col(key))
+    out = out.select(F.col("X").cast("double").alias("X"), F.col("Y").cast("double").alias("Y"), F.col("gene").cast("string").alias("gene"), F.col(key), *keep)
     return micrometres(out, mu_scale) if mu_scale != 1 else out
 
 
@@ -181,22 +182,35 @@ def category_map(spark: SparkSession, path: str) -> DataFrame:
 # --- geometry ---
 
 
-def geojson(text: str) -> list[list[tuple[float, float]]]:
-    """The rings of all polygons of a GeoJSON text."""
+def polygons(text: str) -> list[list[list[tuple[float, float]]]]:
+    """The polygons of a GeoJSON text, each a list of its rings: the outline, then its holes."""
 
-    def rings(g: dict) -> list:
+    def found(g: dict) -> list:
         kind = g.get("type")
-        if kind == "FeatureCollection":
-            return [r for f in g["features"] for r in rings(f["geometry"])]
+        if kind in ("FeatureCollection", "GeometryCollection"):
+            return [x for part in g["features" if kind == "FeatureCollection" else "geometries"] for x in found(part)]
         if kind == "Feature":
-            return rings(g["geometry"])
-        if kind == "GeometryCollection":
-            return [r for x in g["geometries"] for r in rings(x)]
-        polygons = {"Polygon": lambda c: [c], "MultiPolygon": lambda c: c}.get(kind, lambda c: [])(g.get("coordinates", []))
-        return [[(float(x), float(y)) for x, y, *_ in ring] for polygon in polygons for ring in polygon]
+            return found(g["geometry"]) if g.get("geometry") else []
+        return {"Polygon": lambda c: [c], "MultiPolygon": lambda c: c}.get(kind, lambda c: [])(g.get("coordinates", []))
+
+    def ring(points: list) -> list[tuple[float, float]]:
+        out = [(float(x), float(y)) for x, y, *_ in points]
+        return out[:-1] if len(out) > 1 and out[0] == out[-1] else out
 
-    out = rings(json.loads(text))
-    return [r[:-1] if len(r) > 1 and r[0] == r[-1] else r for r in out]
+    return [[ring(r) for r in polygon] for polygon in found(json.loads(text))]
+
+
+def geojson(text: str) -> list[list[tuple[float, float]]]:
+    """The rings of all polygons of a GeoJSON text."""
+    return [r for polygon in polygons(text) for r in polygon]
+
+
+def boundary(text: str) -> list[list[list[tuple[float, float]]]]:
+    """The polygons of a boundary file: GeoJSON, or SVG paths, one polygon a line (after a header ``path``, in its last column)."""
+    if text.lstrip().startswith("{"):
+        return polygons(text)
+    lines = [x.split("\t")[-1] for x in text.splitlines() if x.strip()]
+    return [svg_path(x) for x in (lines[1:] if lines and lines[0].strip() == "path" else lines)]
 
 
 def svg_path(text: str, steps: int = 8) -> list[list[tuple[float, float]]]:
@@ -247,10 +261,44 @@ def scaled(rings: list[list[tuple[float, float]]], unit: float = 1.0, dx: float
     return [[(y, x) for x, y in r] for r in moved] if transpose else moved
 
 
+EDGES = "x1 double, y1 double, x2 double, y2 double"
+
+
 def edges(spark: SparkSession, rings: list[list[tuple[float, float]]]) -> DataFrame:
-    """(x1, y1, x2, y2) of all edges."""
-    rows = [(*a, *b) for r in rings for a, b in zip(r, r[1:] + r[:1])]
-    return spark.createDataFrame([tuple(map(float, x)) for x in rows], "x1 double, y1 double, x2 double, y2 double")
+    """(x1, y1, x2, y2) of all edges of one polygon's rings."""
+    return polygon_edges(spark, [rings]).drop("polygon")
+
+
+def polygon_edges(spark: SparkSession, shapes: list[list[list[tuple[float, float]]]]) -> DataFrame:
+    """(x1, y1, x2, y2, polygon) of all edges of polygons."""
+    rows = [(*map(float, (*a, *b)), i) for i, rings in enumerate(shapes) for r in rings for a, b in zip(r, r[1:] + r[:1])]
+    return spark.createDataFrame(rows, EDGES + ", polygon int")
+
+
+# --- images ---
+
+
+def tiff_extent(data: bytes) -> dict[str, float]:
+    """width and height in pixels of a TIFF's first image, and xmax and ymax in micrometres if an OME description gives pixel sizes."""
+    order = {b"II": "<", b"MM": ">"}.get(data[:2])
+    if order is None or struct.unpack(order + "H", data[2:4])[0] != 42:
+        raise ValueError("no classic TIFF")
+    at = struct.unpack(order + "I", data[4:8])[0]
+    tags = {}
+    for i in range(struct.unpack(order + "H", data[at : at + 2])[0]):
+        entry = data[at + 2 + 12 * i : at + 14 + 12 * i]
+        tag, kind, n = struct.unpack(order + "HHI", entry[:8])
+        if tag in (256, 257):
+            tags[tag] = struct.unpack(order + ("H" if kind == 3 else "I"), entry[8 : 10 if kind == 3 else 12])[0]
+        elif tag == 270:
+            start = struct.unpack(order + "I", entry[8:12])[0]
+            tags[tag] = data[start : start + n].decode("utf-8", "replace") if n > 4 else ""
+    out = {"width": float(tags[256]), "height": float(tags[257])}
+    for axis, size in (("X", "width"), ("Y", "height")):
+        found = re.search(rf'PhysicalSize{axis}="([0-9.eE+-]+)"', tags.get(270, ""))
+        if found:
+            out[f"{axis.lower()}max"] = out[size] * float(found[1])
+    return out
 
 
 # --- chip layout ---
