@@ -24,15 +24,20 @@ from 0.82. Pairs that share a block are candidates if their first ``HEAD`` longs
 differ in no more bits than 0.8 does with four standard errors, which loses one
 in 30,000 at 0.8; the exact Jaccard similarity of their shingles then decides.
 Two texts with nothing in common share a block by chance once in 2 **
-BLOCK_BITS; a corpus of many more documents than that wants wider blocks, and
-more of them.
-
-Blocks that more than ``crowd`` fingerprints share are worked off by leaders,
-those first that are in most of such blocks: a leader is compared with all of
-the block, and those similar to it are settled, in its group. Leaders are
-doubled each round until none is left unsettled, so a block of copies costs its
-size and not its square. Two that different leaders settled are not compared in
-that block; this is the one place where pairs that share a block may be missed.
+BLOCK_BITS. From 2 ** 24 documents on, :func:`cut_for` takes a bit more for each
+doubling, so that a document still meets less than one by chance in a block, and
+as many blocks more as keep the probability for pairs at the limit.
+
+Blocks that more than ``crowd`` fingerprints share are worked off by leaders. In
+the first round a block's leader is the one that is in most of such blocks, and
+all others are compared with it. The links so far, those of small blocks
+included, make groups; members of one group need no further link, so that a
+block of copies costs its size and not its square. Only those outside of a
+block's greatest group go on: drawn as leaders, they are compared with all of the
+block's other groups, and those similar to a leader are settled. Leaders are
+doubled each round until none is left. Two of different groups that different
+leaders settled are not compared in that block; this is the one place where
+pairs that share a block may be missed.
 
 Texts that are the same but for lines they repeat are copies to
 :func:`near_groups`, whatever their shingles say: both have the same lines in
@@ -46,9 +51,11 @@ lacks ids; an empty table gives an empty result; other columns stay.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -142,19 +149,56 @@ def grouped(prints: DataFrame, bits: int = 2, blocks: int = BLOCKS, crowd: int =
 # --- wide fingerprints, for a similarity on shingles ---
 
 #: Blocks of a wide fingerprint in one cut, and their bits; longs that candidates are found by.
-BLOCK_COUNT, BLOCK_BITS, HEAD = 160, 25, 16
-WIDE = BLOCK_COUNT * BLOCK_BITS
-LONGS = -(-WIDE // 64)
+BLOCK_COUNT, BLOCK_BITS, HEAD = 160, 25, 62
+
+
+class Cut(NamedTuple):
+    """How wide fingerprints are cut: ``count`` blocks of ``bits`` bits, in order and again in strides."""
+
+    bits: int = BLOCK_BITS
+    count: int = BLOCK_COUNT
+
+    @property
+    def wide(self) -> int:
+        return self.bits * self.count
+
+    @property
+    def longs(self) -> int:
+        return -(-self.wide // 64)
+
+
+CUT = Cut()
+WIDE, LONGS = CUT.wide, CUT.longs
+#: The probability with which a pair at the limit shares no block.
+MISSED = 0.005
 WIDE_CROWD, LAST = 8, 8
 #: Rows of a table that is broadcast at most.
 BROADCAST_IDS = 200_000
 _LANES = np.uint64(0x0101010101010101)
-_FACTORS = np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 63, LONGS, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _factors(n: int) -> np.ndarray:
+    return np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+_FACTORS = _factors(LONGS)
+
+
+def agreement(similarity: float) -> float:
+    """The probability with which a bit is equal in two fingerprints of a Jaccard similarity."""
+    return 1 - float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def cut_for(n: int, similarity: float = 0.8) -> Cut:
+    """Blocks for n documents: so wide that unlike texts rarely share one, so many that alike ones nearly always do."""
+    bits = max(BLOCK_BITS, (max(n, 1) - 1).bit_length() + 1)
+    count = math.ceil(math.log(MISSED) / math.log1p(-(agreement(similarity) ** bits)) / 2)
+    return Cut(bits, max(count, -(-HEAD * 64 // bits)))
 
 
 def most_bits(similarity: float) -> int:
     """The Hamming distance of ``HEAD`` longs up to which a pair of a Jaccard similarity is a candidate: the mean and four standard errors."""
-    share, n = np.arccos(2 * similarity / (1 + similarity)) / np.pi, HEAD * 64
+    share, n = 1 - agreement(similarity), HEAD * 64
     return int(n * share + 4 * np.sqrt(n * share * (1 - share)))
 
 
@@ -164,20 +208,21 @@ def _added(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.
     return x ^ c, (a & b) | (x & c)
 
 
-def wide_bits(hashes: list[list[int]]) -> np.ndarray:
-    """The majority of each of ``WIDE`` bits, for the shingle hashes of some texts: an array of texts by bits.
+def wide_bits(hashes: list[list[int]], cut: Cut = CUT) -> np.ndarray:
+    """The majority of each of ``cut.wide`` bits, for the shingle hashes of some texts: an array of texts by bits.
 
     A shingle's bits are its hash times fixed odd numbers, the high half folded
     into the low one. Seven shingles are added in all places at once; these sums
     are added up in byte lanes, 36 at a time, which a byte can hold.
     """
-    words = len(_FACTORS)
+    factors, width = _FACTORS if cut == CUT else _factors(cut.longs), cut.wide
+    words = len(factors)
     n = np.array([len(h) for h in hashes], np.int64)
     sevens = -(-n // 7)
     counts = np.zeros((len(hashes), words * 64), np.int32)
     total, firsts = int(sevens.sum()), np.cumsum(sevens) - sevens
     if not total:
-        return counts[:, :WIDE] > 0
+        return counts[:, :width] > 0
     flat, real = np.zeros(total * 7, np.uint64), np.zeros(total * 7, bool)
     for f, h in zip(firsts.tolist(), hashes):
         flat[f * 7 : f * 7 + len(h)] = h
@@ -187,7 +232,7 @@ def wide_bits(hashes: list[list[int]]) -> np.ndarray:
     step = 8  # segments at once: what the processor's cache holds
     for a in range(0, len(begins), step):
         lo, hi = int(begins[a]), int(begins[a + step]) if a + step < len(begins) else total
-        rows = flat[lo * 7 : hi * 7, None] * _FACTORS[None, :]
+        rows = flat[lo * 7 : hi * 7, None] * factors[None, :]
         rows ^= rows >> np.uint64(32)
         rows[~real[lo * 7 : hi * 7]] = 0
         r = rows.reshape(hi - lo, 7, words)
@@ -202,39 +247,39 @@ def wide_bits(hashes: list[list[int]]) -> np.ndarray:
             sums = np.add.reduceat(lanes, at, axis=0).view(np.uint8).reshape(len(at), -1)
             for i, d in enumerate(own.tolist()):
                 counts[d, b::8] += sums[i]
-    return counts[:, :WIDE] * 2 > n[:, None]
+    return counts[:, :width] * 2 > n[:, None]
 
 
-def wide_fingerprints(docs: DataFrame, k: int = 5, text: str = "text", name: str = "wide") -> DataFrame:
-    """``docs`` without the text, with the wide fingerprint of its distinct shingles as an array of longs; the bits beyond ``WIDE`` are 0."""
+def wide_fingerprints(docs: DataFrame, k: int = 5, text: str = "text", name: str = "wide", cut: Cut = CUT) -> DataFrame:
+    """``docs`` without the text, with the wide fingerprint of its distinct shingles as an array of longs; the bits beyond ``cut.wide`` are 0."""
     kept = [c for c in docs.columns if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, out = batch.column(batch.schema.get_field_index(text)).to_pylist(), [np.zeros(0, np.int64)]
             for a in range(0, len(texts), 64):
-                bits = np.packbits(wide_bits([list(set(shingle_hashes(x or "", k))) for x in texts[a : a + 64]]), axis=1)
-                row = np.zeros((len(bits), LONGS * 8), np.uint8)
+                bits = np.packbits(wide_bits([list(set(shingle_hashes(x or "", k))) for x in texts[a : a + 64]], cut), axis=1)
+                row = np.zeros((len(bits), cut.longs * 8), np.uint8)
                 row[:, : bits.shape[1]] = bits
                 out.append(row.view(">i8").astype(np.int64).ravel())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * LONGS, pa.int32()), pa.array(np.concatenate(out)))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * cut.longs, pa.int32()), pa.array(np.concatenate(out)))
             yield pa.RecordBatch.from_arrays([*batch.select(kept).columns, lists], [*kept, name])
 
     return mapped(docs, run, T.StructType([docs.schema[c] for c in kept] + [T.StructField(name, T.ArrayType(T.LongType()))]))
 
 
-def _blocks(distinct: DataFrame) -> DataFrame:
+def _blocks(distinct: DataFrame, cut: Cut = CUT) -> DataFrame:
     """(key, id) for each block, of both cuts, of each fingerprint (id, wide)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, n = (1 << np.arange(BLOCK_BITS - 1, -1, -1)).astype(np.int64), 2 * BLOCK_COUNT
+        weight, n = (1 << np.arange(cut.bits - 1, -1, -1)).astype(np.int64), 2 * cut.count
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
                 rows = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(">i8").view(np.uint8).reshape(part.num_rows, -1)
-                bits = np.unpackbits(rows, axis=1)[:, :WIDE]
-                in_order, in_strides = bits.reshape(-1, BLOCK_COUNT, BLOCK_BITS) @ weight, weight @ bits.reshape(-1, BLOCK_BITS, BLOCK_COUNT)
-                keys = np.concatenate([in_order, in_strides], axis=1) + (np.arange(n, dtype=np.int64) << BLOCK_BITS)
+                bits = np.unpackbits(rows, axis=1)[:, :cut.wide]
+                in_order, in_strides = bits.reshape(-1, cut.count, cut.bits) @ weight, weight @ bits.reshape(-1, cut.bits, cut.count)
+                keys = np.concatenate([in_order, in_strides], axis=1) + (np.arange(n, dtype=np.int64) << cut.bits)
                 ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), n)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids)], ["key", "id"])
 
@@ -266,7 +311,7 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.filter(shared / (F.size("x") + F.size("y") - shared) >= F.lit(float(similarity))).select("u", "v")
 
 
-def wide_links(distinct: DataFrame, similarity: float, sets_of: Callable[[DataFrame], DataFrame], crowd: int = WIDE_CROWD) -> DataFrame:
+def wide_links(distinct: DataFrame, similarity: float, sets_of: Callable[[DataFrame], DataFrame], crowd: int = WIDE_CROWD, cut: Cut = CUT) -> DataFrame:
     """(u, v): links between the ids of different wide fingerprints (id, wide) whose shingles are alike.
 
     Blocks move as (key, id). Fingerprints are fetched for the members of small
@@ -278,29 +323,36 @@ def wide_links(distinct: DataFrame, similarity: float, sets_of: Callable[[DataFr
     bits, head = most_bits(similarity), distinct.select("id", F.slice("wide", 1, HEAD).alias("wide"))
 
     by_key = Window.partitionBy("key")
-    met = stored(_blocks(distinct).withColumn("n", F.count("*").over(by_key)).filter("n > 1"), "wide-met")
+    met = stored(_blocks(distinct, cut).withColumn("n", F.count("*").over(by_key)).filter("n > 1"), "wide-met")
     few = stored(met.filter(F.col("n") <= crowd).join(head, "id").select("key", "id", "wide"), "wide-few")
     pairs = few.select("key", F.col("id").alias("u"), F.col("wide").alias("x")).join(few.select("key", F.col("id").alias("v"), F.col("wide").alias("y")), "key")
     pairs = stored(pairs.filter((F.col("u") < F.col("v")) & (_distance("x", "y") <= bits)).select("u", "v").distinct(), "wide-pairs")
     crowded = met.filter(F.col("n") > crowd).select("key", "id")
     often = crowded.withColumn("deg", F.count("*").over(Window.partitionBy("id")))
-    led = stored(often.withColumn("leader", F.max(F.struct("deg", "id")).over(by_key)["id"]).filter("id <> leader"), "wide-led")
-    first = led.select(F.col("id").alias("u"), F.col("leader").alias("v")).distinct().join(head.toDF("u", "x"), "u").join(head.toDF("v", "y"), "v")
+    led = stored(often.withColumn("leader", F.max(F.struct("deg", "id")).over(by_key)["id"]), "wide-led")
+    first = led.filter("id <> leader").select(F.col("id").alias("u"), F.col("leader").alias("v")).distinct().join(head.toDF("u", "x"), "u").join(head.toDF("v", "y"), "v")
     first = stored(first.filter(_distance("x", "y") <= bits).select("u", "v"), "wide-close")
     ids = [x.select(F.col(c).alias("id")) for x in (pairs, first) for c in "uv"]
     sets = sets_of(reduce(DataFrame.unionByName, ids, crowded.select("id")).distinct())
-    near = stored(_alike(first, sets, similarity), "wide-near")
-    links = stored(_alike(pairs, sets, similarity), "wide-links").unionByName(near)
-    left = stored(led.join(near, (F.col("id") == F.col("u")) & (F.col("leader") == F.col("v")), "left_anti").select("key", "id", "deg"), "wide-open")
-    turn = 1
+    links = stored(_alike(pairs.unionByName(first).distinct(), sets, similarity), "wide-links")
+    if led.isEmpty():
+        return links
+    # Members of one group need no further link: a block is open to those that are not of its greatest group.
+    roots = components(links)
+    marked = led.join(roots, F.col("id") == F.col("node"), "left").select("key", "id", "deg", F.coalesce("root", "id").alias("root"))
+    marked = stored(marked, "wide-marked")
+    groups = marked.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("groups"))
+    groups = groups.filter("groups > 1").select("key", F.col("main.root").alias("main"))
+    left = stored(marked.join(groups, "key").filter("root <> main").select("key", "id", "deg", "root"), "wide-open")
+    turn = 0
     while not left.isEmpty():
         draw = F.pmod(F.xxhash64("id", "key", F.lit(turn)), F.lit(1 << 30))
         sizes = left.groupBy("key").agg(F.count("*").alias("open"), F.max(F.struct("deg", "id")).alias("first"))
         drawn = (F.col("open") <= LAST) | (draw * F.col("open") < F.lit((1 << min(turn, 30)) << 30))
-        leaders = left.join(sizes, "key").filter((F.col("id") == F.col("first.id")) | drawn).select("key", "id")
-        leaders = stored(leaders.join(head, "id").select("key", F.col("id").alias("leader"), F.col("wide").alias("y")), "wide-leaders")
-        block = crowded.join(leaders.select("key").distinct(), "key", "left_semi").join(head, "id")
-        found = block.join(leaders, "key").filter((F.col("id") != F.col("leader")) & (_distance("wide", "y") <= bits))
+        leaders = left.join(sizes, "key").filter((F.col("id") == F.col("first.id")) | drawn).select("key", "id", "root")
+        leaders = stored(leaders.join(head, "id").select("key", F.col("id").alias("leader"), F.col("root").alias("other"), F.col("wide").alias("y")), "wide-leaders")
+        block = marked.join(leaders.select("key").distinct(), "key", "left_semi").select("key", "id", "root").join(head, "id")
+        found = block.join(leaders, "key").filter((F.col("root") != F.col("other")) & (_distance("wide", "y") <= bits))
         found = stored(found.select("key", "id", "leader"), "wide-found")
         near = stored(_alike(found.select(F.col("id").alias("u"), F.col("leader").alias("v")).distinct(), sets, similarity), "wide-near")
         settled = found.join(near, (F.col("id") == F.col("u")) & (F.col("leader") == F.col("v")), "left_semi").select("key", "id").unionByName(leaders.select("key", F.col("leader").alias("id")))
@@ -314,10 +366,11 @@ def once_lines(text: Column) -> Column:
     return F.xxhash64(F.array_join(F.array_distinct(F.split(text, "\n", -1)), "\n"))
 
 
-def near_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id", crowd: int = WIDE_CROWD) -> DataFrame:
+def near_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id", crowd: int = WIDE_CROWD, cut: Cut | None = None) -> DataFrame:
     """(d, th, keeper, keeper_th): for each document, by id and text hash, the one of its group that stays, the least."""
     rows = docs.select(F.coalesce(col(doc_id).cast("long"), F.lit((1 << 63) - 1)).alias("d"), F.xxhash64(text_or_empty(text)).alias("th"), col(text).alias("text"), once_lines(text_or_empty(text)).alias("once"))
-    prints = stored(wide_fingerprints(rows, k), "wide-prints")
+    cut = cut or cut_for(docs.count(), similarity)
+    prints = stored(wide_fingerprints(rows, k, cut=cut), "wide-prints")
     mark = F.xxhash64("wide")  # two fingerprints with one mark, if there ever are such, are one
     distinct = stored(prints.groupBy(mark.alias("id")).agg(F.any_value("wide").alias("wide"), F.min(F.struct("d", "th")).alias("rep")), "wide-distinct")
 
@@ -329,7 +382,7 @@ def near_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, text: str
     lines = prints.select("once", mark.alias("id")).distinct()
     several = lines.groupBy("once").agg(F.min("id").alias("u"), F.max("id").alias("top")).filter("u < top").select("once", "u")
     copies = lines.join(several, "once").select("u", F.col("id").alias("v")).filter("u <> v")
-    roots = components(wide_links(distinct, similarity, sets_of, crowd).unionByName(copies))
+    roots = components(wide_links(distinct, similarity, sets_of, crowd, cut).unionByName(copies))
     named = stored(distinct.join(roots, distinct["id"] == roots["node"], "left").select("id", "rep", F.coalesce("root", "id").alias("root")), "wide-roots")
     least = named.groupBy("root").agg(F.min("rep").alias("keeper"))
     named = named.join(least, "root").select("id", "keeper")

@@ -186,3 +186,27 @@ def test_isolated_pairs_at_the_limit(spark):
     found = sum(keeper[i + 1] == i for i in range(0, 600, 2))
     print("found", found, "of 300")
     assert found >= 0.97 * 300 and all(keeper[i] == i for i in range(600, 800))
+
+
+def test_blocks_follow_the_number_of_documents(spark):
+    """Wider blocks for more documents, and so many that pairs at the limit still meet."""
+    assert s.cut_for(0) == s.cut_for(1 << 24) == s.CUT == (25, 160) and s.cut_for((1 << 24) + 1).bits == 26
+    for n in (10**6, 10**8, 10**10):
+        cut = s.cut_for(n)
+        assert n / 2**cut.bits < 1 and 1 - (1 - s.agreement(0.8) ** cut.bits) ** (2 * cut.count) >= 0.995
+    assert s.cut_for(10**6, 0.95).wide >= s.HEAD * 64
+    rng, texts = np.random.default_rng(17), []
+    for _ in range(100):
+        w = [f"i{rng.integers(1 << 40)}" for _ in range(274)]
+        texts += [" ".join(w), " ".join(w[:-30] + [f"j{rng.integers(1 << 40)}" for _ in range(30)])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    keeper = {r.d: r.keeper for r in s.near_groups(df, cut=s.cut_for(1 << 28)).collect()}
+    assert sum(keeper[i + 1] == i for i in range(0, 200, 2)) >= 97
+
+
+def test_repeated_lines_are_copies(spark):
+    """Texts with the same lines in the same order of first places are one group, whatever their shingles; other orders and lines are not."""
+    line = lambda k: " ".join(f"l{k}x{i}" for i in range(7))
+    texts = [line(0), f"{line(0)}\n{line(0)}", f"{line(1)}\n{line(2)}\n{line(1)}\n{line(2)}", f"{line(1)}\n{line(2)}", f"{line(2)}\n{line(3)}\n{line(4)}", None, "\n\n"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.keeper for r in s.near_groups(df).orderBy("d").collect()] == [0, 0, 2, 2, 4, 5, 5]
