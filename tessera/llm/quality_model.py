@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import col, mapped, stored
+from tessera.llm.common import col, fresh, mapped, stored
 
 #: Labelled rows that a fit takes at most.
 MOST_LABELLED = 20_000
@@ -80,15 +80,16 @@ def features(text: str) -> list[float]:
 
 
 def measured(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` and the features of each text as an array ``features``."""
+    """The columns ``keep`` and, last, the features of each text as an array ``features`` (a free name)."""
+    name = fresh(docs.select(*map(col, keep)), "features")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = np.array([features(x or "") for x in batch.column(len(keep)).to_pylist()], float).reshape(-1, len(FEATURES))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(got) + 1) * len(FEATURES), pa.int32()), pa.array(got.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], lists], [*keep, "features"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], lists], [*keep, name])
 
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("features", T.ArrayType(T.DoubleType()))])
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(name, T.ArrayType(T.DoubleType()))])
     return mapped(docs.select(*map(col, keep), col(text)), run, schema)
 
 
@@ -207,9 +208,10 @@ def remainder(doc_id: str = "doc_id"):
 
 
 def train(measures: DataFrame, labels: DataFrame, label: str = "quality", most: int = MOST_LABELLED) -> Additive:
-    """A model from ``measures`` (doc_id, features) and ``labels``; of more than ``most`` labelled rows a share by hash is taken."""
+    """A model from ``measures`` (doc_id, and the features last) and ``labels``; of more than ``most`` labelled rows a share by hash is taken."""
     given = labels.select("doc_id", col(label).cast("double").alias("y")).filter("y IS NOT NULL")
-    rows = stored(measures.join(given, "doc_id").select(F.xxhash64("doc_id").alias("h"), "features", "y"), "quality-labelled")
+    rows = measures.select("doc_id", col(measures.columns[-1]).alias("features"))
+    rows = stored(rows.join(given, "doc_id").select(F.xxhash64("doc_id").alias("h"), "features", "y"), "quality-labelled")
     n = rows.count()
     if n > most:  # a little less than the share, so that chance does not lead above it
         rows = rows.filter(F.pmod("h", F.lit(1 << 20)) < int((most - 4 * most**0.5) / n * (1 << 20)))
@@ -220,12 +222,13 @@ def train(measures: DataFrame, labels: DataFrame, label: str = "quality", most:
 
 
 def scored(measures: DataFrame, model: Additive, name: str = "score") -> DataFrame:
-    """``measures`` with the model's score instead of the features."""
-    kept = [c for c in measures.columns if c != "features"]
+    """``measures`` with the model's score (a free name) instead of the features, their last column."""
+    *kept, features = measures.columns
+    name = fresh(measures.select(*map(col, kept)), name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column(batch.schema.get_field_index("features")).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
+            x = batch.column(batch.schema.get_field_index(features)).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*batch.select(kept).columns, pa.array(model.score(x))], [*kept, name])
 
     return mapped(measures, run, T.StructType([measures.schema[c] for c in kept] + [T.StructField(name, T.DoubleType())]))

@@ -47,6 +47,8 @@ END = b"\r\n\r\n"
 RECORD = "record_id string, type string, uri string, date string, ip string, content_type string, payload_digest string, payload_bytes long, head binary, payload binary"
 COLUMNS = [x.split()[0] for x in RECORD.split(", ")]
 LIMIT = 1 << 23
+#: Bytes of records in a WARC file, before compression.
+FILE_BYTES = 256 << 20
 
 
 # --- ARC ---
@@ -196,8 +198,18 @@ def with_revisits(records: DataFrame, narrow: DataFrame, key: Column, least_byte
     return records.join(again, "record_id", "left")
 
 
-def write_warc(records: DataFrame, path: str) -> None:
-    """Write :data:`RECORD` rows as gzip-compressed WARC files, one or more for each partition; rows with ``refers_to`` as revisits."""
+def per_file(narrow: DataFrame, size: int = FILE_BYTES) -> int:
+    """So many records of these payload_bytes make a file of about ``size`` bytes."""
+    mean = narrow.agg(F.avg("payload_bytes")).first()[0] or 0.0  # one number
+    return max(1, int(size / (mean + 1000)))
+
+
+def write_warc(records: DataFrame, path: str, most: int = 0) -> None:
+    """Write :data:`RECORD` rows as gzip-compressed WARC files; rows with ``refers_to`` as revisits.
+
+    A partition is a file, or several of at most ``most`` records: a file is
+    read as a whole by one task, and none may be larger than two gigabytes.
+    """
     for c in ("refers_to", "refers_uri", "refers_date"):
         records = records if c in records.columns else records.withColumn(c, F.lit(None).cast("string"))
     again = F.col("refers_to").isNotNull()
@@ -216,7 +228,7 @@ def write_warc(records: DataFrame, path: str) -> None:
         line("Content-Type", F.col("content_type")), line("Content-Length", F.octet_length(block).cast("string")), F.lit("\r\n"),
     )
     # The sink ends each row with lineSep, which is how a WARC record ends; the bytes of a row pass as they are.
-    records.select(F.concat(head.cast("binary"), block).cast("string").alias("value")).write.option("lineSep", END.decode()).option("compression", "gzip").text(path)
+    records.select(F.concat(head.cast("binary"), block).cast("string").alias("value")).write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
 
 
 def _inflated(data: bytes) -> Iterator[bytes]:
@@ -312,7 +324,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     arcs = to_arc(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     narrow = stored(convert(arcs, payloads=False).drop("payload").withColumn("key", page_key()).drop("head"), "warc-narrow")
     path = scratch_path(spark, "warc")
-    write_warc(with_revisits(convert(arcs), narrow, F.col("key")), path)
+    write_warc(with_revisits(convert(arcs), narrow, F.col("key")), path, per_file(narrow))
     found = stored(read_warc(spark, path, payloads=False).drop("payload").withColumn("page_id", page_key()).drop("head"), "warc-read")
     found = found.filter(F.col("type").isin("response", "revisit"))
     first = found.filter(F.col("type") == "response").select(F.col("record_id").alias("id"), F.col("page_id").alias("first"), F.col("payload_bytes").alias("bytes"), F.col("payload_digest").alias("digest"))

@@ -103,3 +103,21 @@ def test_edge_rows(spark, sf):
     for _, stage in c.STAGES:
         nothing = stored(stage(spark, nothing, sf), "t")
     assert nothing.count() == 0
+
+
+def test_edge_rows_by_stage(spark, sf):
+    """What each stage gives for nulls, blank and long texts, repeated rows, missing ids and clashing names."""
+    docs = edge.documents(spark)
+    stage = dict(c.STAGES)
+    ids = lambda df: sorted(((r.doc_id is None, r.doc_id or 0) for r in df.collect()))
+    assert stage["quality rules"](spark, docs, sf).count() == 0  # too few words, or one word over and over
+    lines = stage["line dedup"](spark, docs, sf)
+    assert lines.columns == docs.columns and ids(lines) == ids(docs)
+    left = {r.doc_id: r.text for r in lines.collect()}
+    assert left[3] == left[5] == "" and left[7] == "one line of more than twenty characters" and left[1] is None
+    near = stage["simhash near-dedup"](spark, docs, sf)
+    assert near.columns == docs.columns and (True, 0) in ids(near) and len(ids(near)) == len(set(ids(near)))
+    mixed = stage["mixing"](spark, docs, sf)
+    assert mixed.columns == docs.columns and set(ids(mixed)) <= set(ids(docs)) and ids(mixed).count((False, 3)) % 2 == 0
+    tokens = stage["byte bpe"](spark, docs, sf)
+    assert ids(tokens) == ids(docs) and {r.n_tokens for r in tokens.collect() if r.doc_id in (1, 2)} == {0} and tokens.columns[: len(docs.columns) - 1] == [x for x in docs.columns if x != "text"]

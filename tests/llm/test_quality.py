@@ -135,3 +135,33 @@ def test_limits_as_given_remove_lines_and_documents(spark):
     got = {x.doc_id: x.quality for x in r.judged(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
     assert all(got[i].kept and got[i].left_text == own[i] for i in range(180))
     assert all(not got[200 + i].kept and not got[200 + i].base_failed for i in range(90))
+
+
+def test_model_by_hand(spark, sf):
+    """The query's scores from features, bins and tables by loops; the tree's cuts by trying all of them."""
+    import bisect
+    import math
+    import zlib
+
+    docs = {x.doc_id: x.text or "" for x in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labels = {x.doc_id: x.quality for x in spark.read.parquet(f"{sf}/labels.parquet").collect() if zlib.crc32(str(x.doc_id).encode()) % 4 != 2 and x.quality is not None and x.doc_id in docs}
+    seen = spark.createDataFrame([(i, list(map(float, m.features(docs[i]))), y) for i, y in labels.items()], "doc_id long, features array<double>, y int")
+    model = m.train(seen.select("doc_id", "features"), seen.select("doc_id", F.col("y").alias("quality")))
+    for x in m.op8_quality_model(spark, sf).collect():
+        f = m.features(docs[x.doc_id])
+        raw = model.bias + sum(t[bisect.bisect_right(e, v)] for v, e, t in zip(f, map(list, model.edges), model.tables))
+        raw += sum(t[bisect.bisect_right(list(a), f[i]), bisect.bisect_right(list(b), f[j])] for i, j, a, b, t in model.pairs)
+        assert x.score == pytest.approx(1 / (1 + math.exp(-raw)), abs=1e-9) and x.predicted == int(x.score >= 0.7)
+    rng = np.random.default_rng(2)
+    g, h = rng.normal(size=9), rng.uniform(0.1, 1, 9)
+    part = lambda a, b: g[a:b].sum() ** 2 / (h[a:b].sum() + m.LEAST_WEIGHT)
+    best = max(range(1, 9), key=lambda c: part(0, c) + part(c, 9))
+    assert m._best(g, h) == (pytest.approx(part(0, best) + part(best, 9) - part(0, 9)), best)
+
+
+def test_kept_columns_of_the_models_names(spark):
+    """Columns of any name stay, very long texts and ids that are null or repeated have scores."""
+    docs = edge.documents(spark).withColumn("features", F.lit("mine"))
+    got = m.scored(m.measured(docs, keep=("doc_id", "features", "score", "text")), m.fit(np.zeros((0, len(m.FEATURES))), np.zeros(0)))
+    assert got.columns == ["doc_id", "features", "score", "text", "_score"] and got.count() == docs.count()
+    assert {(x.features, x["score"]) for x in got.collect()} == {("mine", 0.5)} and all(x["_score"] == 0.5 for x in got.collect())

@@ -59,3 +59,16 @@ def test_round_trip(spark, tmp_path, version):
     if version == 1:
         one = gzip.open(next((tmp_path / "out").glob("part-*"))).read()
         assert one.startswith(b"WARC/1.1\r\nWARC-Type: ") and one.endswith(b"\r\n\r\n")
+
+
+def test_files_have_a_size(spark, tmp_path):
+    """Files end after so many records, whatever the partitions; all records are read back."""
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"page {i} " * 30) for i in range(95)], "page_id long, url string, html string").coalesce(1)
+    arcs = w.to_arc(pages)
+    narrow = w.stored(w.convert(arcs, payloads=False).drop("payload"), "t")
+    assert w.per_file(narrow, 10_000) < 10 and w.per_file(narrow.limit(0)) > 1 and w.per_file(narrow, 1) == 1
+    path = str(tmp_path / "out")
+    w.write_warc(w.convert(arcs), path, 10)
+    assert len(list((tmp_path / "out").glob("part-*"))) == 10
+    got = [r for r in w.read_warc(spark, path).withColumn("page", w.page_key()).collect() if r.type == "response"]
+    assert sorted((r.page, bytes(r.payload).decode()) for r in got) == [(i, f"page {i} " * 30) for i in range(95)]
