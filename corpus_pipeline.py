@@ -3,6 +3,9 @@
 Each stage is (name, function); a function takes (spark, docs, sf_dir) and
 returns a DataFrame, which is written as Parquet and read as the next one's
 docs. All stages but the last return the columns of documents.
+
+Defined results: other columns stay, of any name, and an empty table gives an
+empty result in every stage. Documents without an id are documents of their own.
 """
 
 from __future__ import annotations
@@ -19,27 +22,27 @@ from tessera.llm.simhash import dedup_near
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go; lines above the limits go from the others."""
+    """Documents that the rules reject go; lines above the limits go from the others. A null text fails; repeated rows have one verdict."""
     return filter_quality(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in three documents or more stay in the one of the largest id."""
+    """Lines found in three documents or more stay in the one of the largest id. A null text stays null; no document goes; rows of one id lose the same lines."""
     return dedup_lines(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that is alike to 0.8 on shingles of five words."""
+    """One document of each group that is alike to 0.8 on shingles of five words: that of the least id, and of repeated rows one. Null and blank texts are one group."""
     return dedup_near(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources in their target weights; a document that is taken twice is there twice."""
+    """Sources in their target weights; a document that is taken twice is there twice. Repeated rows share their fate; a null source is the last one."""
     return mix(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, decoded again for a digest of the bytes; clashing names get a leading underscore."""
+    """Token ids of each document, decoded again for a digest of the bytes; clashing names get a leading underscore. A null text has no tokens."""
     path = vocabulary_path()
     ids, offsets, decoded, n, sha, back = (fresh(docs, x) for x in ("ids", "offsets", "decoded", "n_tokens", "ids_sha256", "decoded_sha256"))
     out = encode(docs, path, keep_text=False, decoded="decoded").withColumn(n, F.size(col(ids)).cast("long"))
