@@ -200,12 +200,6 @@ def factor_table(spark: SparkSession, d: str) -> DataFrame:
     return rounded(markers.factor_table(c, markers.chi_square(c)))
 
 
-@query()
-def de_pvalues(spark: SparkSession, d: str) -> DataFrame:
-    """The tests with p-values and logarithms of tails."""
-    return markers.with_pvalues(markers.ranked(markers.chi_square(labelled(spark, d))))
-
-
 @query(f"WITH {LABELLED.replace('labelled AS', 'l0 AS')}, labelled AS (SELECT * FROM l0 WHERE gene IN (SELECT CAST(p_partkey % 25 AS VARCHAR) FROM part)), " + DE.split(LABELLED + ", ")[1] + " SELECT gene, factor, round(chi2, 6) AS chi2, round(fold, 6) AS fold, gene_total FROM de")
 def de_gene_set(spark: SparkSession, d: str) -> DataFrame:
     listed = table(spark, d, "part").select((F.col("p_partkey") % 25).cast("string").alias("gene"))

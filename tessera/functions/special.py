@@ -62,7 +62,7 @@ def chi2_tail(x: float) -> float:
 
 def neglog10_tail(x: float) -> float:
     """-log10 of the tail; by its asymptotic form where the tail is too small for a double."""
-    if x <= 100:
+    if x <= 1000:
         return -math.log10(chi2_tail(x))
     return x / (2 * math.log(10)) + 0.5 * math.log10(math.pi * x / 2) - math.log10(1 - 1 / x + 3 / (x * x))
 

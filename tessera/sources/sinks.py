@@ -94,8 +94,8 @@ def write_matrix(dge: DataFrame, features: DataFrame, path: str, symbol: str = "
     f.orderBy("gene_idx").select(F.concat_ws("\t", "gene", "gene", F.lit(symbol))).coalesce(1).write.mode("overwrite").option("compression", "gzip").text(f"{path}/features")
     u.orderBy("barcode_idx").select("barcode").write.mode("overwrite").option("compression", "gzip").text(f"{path}/barcodes")
     size = f"%%MatrixMarket matrix coordinate integer general\n%\n{f.count()} {u.count()} {e.count()}"
-    write_bytes(spark, f"{path}/matrix/part-head.txt", (size + "\n").encode())
-    e.select(F.concat_ws(" ", "gene_idx", "barcode_idx", "n")).write.mode("append").text(f"{path}/matrix")
+    e.select(F.concat_ws(" ", "gene_idx", "barcode_idx", "n")).write.mode("overwrite").text(f"{path}/matrix")
+    write_bytes(spark, f"{path}/matrix/head.txt", (size + "\n").encode())  # first in the order of names
 
 
 def geojson(rings: list[list[tuple[float, float]]]) -> str:

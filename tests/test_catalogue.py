@@ -2,9 +2,9 @@
 
 import pytest
 
-from tessera.catalogue import bins, models
+from tessera.catalogue import bins, models, pieces
 
-Q, S = bins.Q | models.Q, bins.S | models.S
+Q, S = bins.Q | models.Q | pieces.Q, bins.S | models.S | pieces.S
 
 
 @pytest.mark.parametrize("name", sorted(S))

@@ -52,7 +52,8 @@ def test_sparse_matrix_round_trip(spark, tmp_path):
     p = spark.createDataFrame([(float(i % 40), float(i % 23), f"g{i % 4}", 1) for i in range(300)], "X double, Y double, gene string, Count int")
     cells = b.hex_units(p, 12.0, 1, min_ct=1, centre="mean").select(*b.HEX, "x", "y")
     dge = b.dge(p, 12.0, 1, min_ct=1).join(cells, b.HEX)
-    sinks.write_matrix(dge, p, str(tmp_path / "m"))
+    for _ in range(2):  # the second time instead of the first
+        sinks.write_matrix(dge, p, str(tmp_path / "m"))
     m = readers.matrix_market(spark, str(tmp_path / "m" / "matrix"))
     assert m.agg(F.sum("Count")).first()[0] == 300 and m.agg(F.max("gene_idx")).first()[0] == 4
     assert spark.read.text(str(tmp_path / "m" / "barcodes")).count() == m.agg(F.max("barcode_idx")).first()[0]
