@@ -1,13 +1,13 @@
 """Line deduplication over levelled sorted runs of line hashes, in DataFrame operations only.
 
 The store holds runs: tables bucketed and sorted by line hash. A new batch is
-merge-anti-joined with the runs, bucket by bucket and without a shuffle of the
+merge-joined with the runs once, bucket by bucket and without a shuffle of the
 runs; lines that no run has are new, and become a run of their own at level 0.
 So a line hash is in one run only. When a level has ``fan_in`` runs they are
-compacted into one run of the next level, which keeps the number of runs at the
-logarithm of the number of batches. Lines that a run has already are counted in
-small tables beside the runs. With all batches in, a line's documents are its
-run's count and those of later batches.
+merged into one run of the next level, again by buckets without a shuffle, which
+keeps the number of runs at the logarithm of the number of batches. Lines that a
+run has already are kept beside the batch's run. With all batches in, a line's
+documents are its run's count and those of later batches.
 
 Lines are keyed by two independent 64-bit hashes, with which no two lines of a
 corpus of 100 TB are expected to collide.
@@ -34,26 +34,33 @@ LEAST = -(1 << 63)
 
 
 class LineRuns:
-    """Levelled sorted runs of (h1, h2, n_docs, last_doc), on the shared folder."""
+    """Levelled sorted runs of (h1, h2, n_docs, last_doc), on the shared folder.
+
+    A batch is one table in two parts by ``known``: its new lines, which are a
+    run, and the lines that a run has already.
+    """
 
     def __init__(self, spark: SparkSession, fan_in: int = FAN_IN):
         self.spark, self.fan_in, self.buckets = spark, fan_in, partitions(spark)
         self.levels: list[list[str]] = []
-        self.again: list[tuple[str, DataFrame]] = []
         self.paths: dict[str, str] = {}
 
     def _write(self, df: DataFrame) -> str:
         name, path = f"tessera_run_{uuid.uuid4().hex}", scratch_path(self.spark, "line-run")
-        df.repartition(self.buckets, "h1", "h2").write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").format("parquet").option("path", path).saveAsTable(name)
+        df.write.partitionBy("known").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").format("parquet").option("path", path).saveAsTable(name)
         self.paths[name] = path
         return name
 
-    def _drop(self, name: str) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        drop_path(self.spark, self.paths.pop(name))
+    def _run(self, name: str) -> DataFrame:
+        return self.spark.table(name).filter(~F.col("known")).drop("known")
 
     def runs(self) -> list[DataFrame]:
-        return [self.spark.table(x) for level in self.levels for x in level]
+        return [self._run(x) for level in self.levels for x in level]
+
+    def again(self) -> list[DataFrame]:
+        """The lines of each batch that a run had already, of merged runs too."""
+        schema = "h1 long, h2 long, n_docs long, last_doc long, known boolean"
+        return [self.spark.read.schema(schema).parquet(x).filter("known").drop("known") for x in self.paths.values()]
 
     def add(self, lines: DataFrame) -> DataFrame:
         """Take a batch of (h1, h2, n_docs, last_doc), one row a line hash.
@@ -61,48 +68,46 @@ class LineRuns:
         Returns the lines that no earlier batch had, as a table that stands until the next batch.
         """
         self._compact()
-        new = lines
+        marked = lines.repartition(self.buckets, "h1", "h2").withColumn("known", F.lit(False))
         for run in self.runs():
-            new = new.join(run.select("h1", "h2"), ["h1", "h2"], "left_anti")
-        known = [lines.join(run.select("h1", "h2"), ["h1", "h2"], "left_semi") for run in self.runs()]
-        if known:  # a hash is in one run, so it is known once
-            path = scratch_path(self.spark, "line-again")
-            reduce(DataFrame.unionByName, known).write.parquet(path)
-            self.again.append((path, self.spark.read.schema(lines.schema).parquet(path)))
-        name = self._write(new)
+            marked = marked.join(run.select("h1", "h2", F.lit(True).alias("_seen")), ["h1", "h2"], "left").withColumn("known", F.col("known") | F.col("_seen").isNotNull()).drop("_seen")
+        name = self._write(marked.select("h1", "h2", "n_docs", "last_doc", "known"))
         self.levels = self.levels or [[]]
         self.levels[0].append(name)
-        return self.spark.table(name)
+        return self._run(name)
 
     def _compact(self) -> None:
         k = 0
         while k < len(self.levels):
             if len(self.levels[k]) >= self.fan_in:
                 old = self.levels[k]
-                name = self._write(reduce(DataFrame.unionByName, [self.spark.table(x) for x in old]))
+                name = self._write(reduce(_merged, [self._run(x) for x in old]).withColumn("known", F.lit(False)))
                 if k + 1 == len(self.levels):
                     self.levels.append([])
                 self.levels[k], _ = [], self.levels[k + 1].append(name)
-                for x in old:
-                    self._drop(x)
+                for x in old:  # what was known stays until the end
+                    self.spark.sql(f"DROP TABLE IF EXISTS {x}")
+                    drop_path(self.spark, f"{self.paths[x]}/known=false")
             k += 1
 
     def frequent(self, min_docs: int) -> DataFrame:
         """(h1, h2, n_docs, last_doc) of the lines found in at least so many documents."""
-        runs = reduce(DataFrame.unionByName, self.runs())
-        if not self.again:
-            return runs.filter(F.col("n_docs") >= min_docs)
-        later = reduce(DataFrame.unionByName, [x for _, x in self.again]).groupBy("h1", "h2").agg(F.sum("n_docs").alias("more"), F.max("last_doc").alias("later"))
+        later = reduce(DataFrame.unionByName, self.again()).groupBy("h1", "h2").agg(F.sum("n_docs").alias("more"), F.max("last_doc").alias("later"))
         both = [x.join(later, ["h1", "h2"], "left") for x in self.runs()]
         return reduce(DataFrame.unionByName, both).select("h1", "h2", (F.col("n_docs") + F.coalesce("more", F.lit(0))).alias("n_docs"), F.greatest("last_doc", "later").alias("last_doc")).filter(F.col("n_docs") >= min_docs)
 
     def close(self) -> None:
         """Delete the runs."""
-        for x in list(self.paths):
-            self._drop(x)
-        for path, _ in self.again:
+        for name, path in self.paths.items():
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
             drop_path(self.spark, path)
-        self.levels, self.again = [], []
+        self.levels, self.paths = [], {}
+
+
+def _merged(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two runs as one: a merge bucket by bucket without a shuffle. A line is in one of them only."""
+    both = a.join(b.select("h1", "h2", F.col("n_docs").alias("_n"), F.col("last_doc").alias("_d")), ["h1", "h2"], "full")
+    return both.select("h1", "h2", F.coalesce("n_docs", "_n").alias("n_docs"), F.coalesce("last_doc", "_d").alias("last_doc"))
 
 
 def occurrences(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_chars: int = MIN_CHARS) -> DataFrame:
