@@ -21,6 +21,8 @@ columns stay.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,6 +35,18 @@ BATCHES, FAN_IN = 4, 2
 LEAST = -(1 << 63)
 
 
+@contextmanager
+def _in_order(spark: SparkSession) -> Iterator[None]:
+    """Jobs within take the order of bucketed tables as it is; a part of a run has one file a bucket, which Spark checks."""
+    key = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 class LineRuns:
     """Levelled sorted runs of (h1, h2, n_docs, last_doc), on the shared folder.
 
@@ -47,7 +61,8 @@ class LineRuns:
 
     def _write(self, df: DataFrame) -> str:
         name, path = f"tessera_run_{uuid.uuid4().hex}", scratch_path(self.spark, "line-run")
-        df.write.partitionBy("known").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").format("parquet").option("path", path).saveAsTable(name)
+        with _in_order(self.spark):
+            df.write.partitionBy("known").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").format("parquet").option("path", path).saveAsTable(name)
         self.paths[name] = path
         return name
 
@@ -131,7 +146,8 @@ def dropped_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", m
     runs = LineRuns(spark, fan_in)
     for b in range(batches):
         runs.add(occ.filter(F.col("batch") == b).groupBy("h1", "h2").agg(F.sum(F.col("first").cast("long")).alias("n_docs"), F.max("d").alias("last_doc")))
-    frequent = stored(runs.frequent(min_docs).select("h1", "h2", "last_doc"), "line-frequent")
+    with _in_order(spark):
+        frequent = stored(runs.frequent(min_docs).select("h1", "h2", "last_doc"), "line-frequent")
     runs.close()
     hits = occ.join(frequent, ["h1", "h2"]).filter(F.col("d") < F.col("last_doc"))
     return hits.groupBy("d", "th").agg(F.collect_set("pos").alias("gone"))
