@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import byte_bpe, chat_format, line_dedup, mixing, quality_model, quality_rules, simhash, syncmers, url_filter, warc
+from tessera.llm import byte_bpe, chat_format, divergence, line_dedup, mixing, quality_model, quality_rules, simhash, syncmers, url_filter, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_quality_model": quality_model.op8_quality_model,
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_mix": mixing.op10_mix,
+        "op11_divergence": divergence.op11_divergence,
     }
 
 
@@ -27,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_chat_format": chat_format.SQL,
         "op9_quality_rules": quality_rules.SQL,
         "op10_mix": mixing.SQL,
+        "op11_divergence": divergence.SQL,
     }
