@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import byte_bpe, chat_format, divergence, line_dedup, mixing, quality_model, quality_rules, simhash, syncmers, url_filter, warc
+from tessera.llm import byte_bpe, chat_format, divergence, line_dedup, mixing, quality_model, quality_rules, simhash, syncmers, time_partitions, url_filter, warc
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_mix": mixing.op10_mix,
         "op11_divergence": divergence.op11_divergence,
+        "op12_time_partitions": time_partitions.op12_time_partitions,
     }
 
 
