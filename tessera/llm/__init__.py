@@ -1,4 +1,4 @@
-"""Training-data operators: ten operators over documents, pages and conversations.
+"""Training-data operators: thirteen operators over documents, pages, conversations and clicks.
 
 Nothing else in the library imports this subpackage.
 """

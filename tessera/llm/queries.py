@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import byte_bpe, chat_format, divergence, line_dedup, mixing, quality_model, quality_rules, simhash, syncmers, time_partitions, url_filter, warc
+from tessera.llm import byte_bpe, chat_format, divergence, jaccard_join, line_dedup, mixing, quality_model, quality_rules, simhash, syncmers, time_partitions, url_filter, warc
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_mix": mixing.op10_mix,
         "op11_divergence": divergence.op11_divergence,
         "op12_time_partitions": time_partitions.op12_time_partitions,
+        "op13_jaccard_join": jaccard_join.op13_jaccard_join,
     }
 
 
