@@ -64,6 +64,15 @@ def block_scan(spark: SparkSession, d: str) -> DataFrame:
     return rounded(readers.blocks(spark, path, (250.0, 650.0, 100.0, 900.0))[0])
 
 
+@query(f"""WITH {PX}, {PIXEL_TOP} SELECT CAST(greatest(floor((X - 10) / 200::DOUBLE), 0) * 200 AS BIGINT) AS BLOCK, greatest(trunc((X - 10) * 100::DOUBLE), 0) / 100.0::DOUBLE + 10 AS X, greatest(trunc((Y - 20) * 100::DOUBLE), 0) / 100.0::DOUBLE + 20 AS Y, K1, K2, round(P1, 6) AS P1, round(P2, 6) AS P2
+FROM pt WHERE greatest(trunc((X - 10) * 100::DOUBLE), 0) / 100.0::DOUBLE + 10 BETWEEN 250 AND 650 AND greatest(trunc((Y - 20) * 100::DOUBLE), 0) / 100.0::DOUBLE + 20 BETWEEN 100 AND 900""")
+def block_scan_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """The same box from block-compressed files by their indexes: only the members that it needs are read."""
+    path = _folder(spark, d, "blocks-indexed")
+    sinks.write_blocks_indexed(_pixel_top(spark, d), path, 4, 2, 200, 100, 10.0, 20.0)
+    return rounded(readers.blocks_indexed(spark, path, (250.0, 650.0, 100.0, 900.0))[0])
+
+
 MODEL = f"""{PX}, gn AS (SELECT gene, sum(Count)::DOUBLE AS n FROM px GROUP BY gene), model AS (SELECT gene, CAST(k.range AS INT) AS factor, n * CASE WHEN CAST(gene AS INT) % 4 = k.range THEN 0.85::DOUBLE ELSE 0.05::DOUBLE END AS lam FROM gn, range(4) k)"""
 
 

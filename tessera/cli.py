@@ -15,7 +15,7 @@ from tessera.operators import binning, filters, markers, rasters, regions, spati
 from tessera.operators.decode import decode
 from tessera.operators.lda import Lda
 from tessera.plans import workflow
-from tessera.sources import readers, sinks
+from tessera.sources import bgzf, readers, sinks
 
 #: What all raster images can be shown by: corner of the origin, exchanged axes, a box.
 VIEW = {"origin": "upper", "transpose": False, "xmin": "", "xmax": "", "ymin": "", "ymax": ""}
@@ -23,7 +23,7 @@ OPTIONS = {
     "filter_by_density": {"radius": 15.0, "n_move": 2, "quartile": 2, "least": 0.02, "least_dense": 0.1, "outlines": False},
     "filter_by_density_windows": {"width": 24.0, "n_move": 2, "least": 0.02, "least_dense": 0.1, "windows": 1, "axis": "Y", "precision": 0.0, "hard": 0.0},
     "filter_by_boundary": {"boundary": "", "unit": 1.0, "dx": 0.0, "dy": 0.0, "transpose": False},
-    "make_spatial_minibatch": {"batch_size": 500.0, "batch_buff": 50.0, "mu_scale": 26.67, "min_pixel": 100},
+    "make_spatial_minibatch": {"batch_size": 500.0, "batch_buff": 50.0, "mu_scale": 26.67, "min_pixel": 100, "region": "", "region_um": ""},
     "make_dge": {"n_move": 3, "hex_width": 24.0, "min_ct": 20.0, "density": 0.2, "key": "Count", "mu_scale": 1.0, "boundary": "", "group_within": "", "debug": 0},
     "make_sge_by_hexagon": {"hex_width": 24.0, "n_move": 1, "density": 0.1, "key": "Count", "boundary": "", "overlap": 0.0},
     "fit_model": {"norm": "none", "by_epoch": False, "alpha": 1.0, "n_factor": 12, "restarts": 5, "epochs": 1, "train": 0.5, "min_ct_unit": 50, "min_ct_feature": 50, "seed": 0},
@@ -37,7 +37,7 @@ OPTIONS = {
     "plot_pixel_full": {"colours": "", "um": 1.0, "top": 3, "top_only": False, "category": "", "names": "", "background": "#000000", **VIEW},
     "plot_pixel_multi": {"channels": "", "um": 1.0, "top": 3, "cut": 0.1},
     "plot_pixel_single": {"n_factor": 12, "um": 1.0, "top": 3, "least": 100},
-    "block_index": {"n_factor": 12, "top": 3, "block": 2000.0, "scale": 100.0, "off_x": 0.0, "off_y": 0.0},
+    "block_index": {"indexed": False, "n_factor": 12, "top": 3, "block": 2000.0, "scale": 100.0, "off_x": 0.0, "off_y": 0.0},
     "format": {"platform": "xenium", "scale": 0.12, "quality": 13.0, "positions": "", "barcodes": "", "features": ""},
     "init_model_from_pseudobulk": {"model": "", "epochs": 0, "scale": 0.0, "reorder": False, "min_ct_unit": 50, "min_ct_feature": 50},
     "run_together": {"train_widths": "12", "n_factors": "12", "restarts": 10, "epochs": 3, "n_move": 2, "top": 3, "dry_run": False, "jobs": 1},
@@ -103,7 +103,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     elif a.verb == "filter_by_boundary":
         save(spatial.within(readers.pixels(spark, a.input), edges_of(spark, a.boundary, a.unit, a.dx, a.dy, a.transpose)))
     elif a.verb == "make_spatial_minibatch":
-        p = readers.pixels(spark, a.input)
+        if a.region or a.region_um:  # parts of a block-compressed table, by its index
+            ask = [(n, lo, hi) for n, lo, hi in bgzf.regions_of(a.region)] + [(n, lo * a.mu_scale, hi * a.mu_scale) for n, lo, hi in bgzf.regions_of(a.region_um)]
+            p = readers.pixels_indexed(spark, a.input, ask)
+        else:
+            p = readers.pixels(spark, a.input)
         save(binning.tiled(p, a.batch_size * a.mu_scale, a.batch_buff * a.mu_scale, a.min_pixel))
     elif a.verb == "make_dge":
         groups = tuple(x for x in a.group_within.split(",") if x)
@@ -179,7 +183,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
             one = maps.filter(F.col("factor") == r.factor).select("px", "py", *(F.col("p").alias(c) for c in "rgb"))
             sinks.write_bytes(spark, f"{a.output}/factor_{r.factor}.png", sinks.png(rasters.image(one)))
     elif a.verb == "block_index":
-        sinks.write_blocks(read(a.input), a.output, a.n_factor, a.top, a.block, a.scale, a.off_x, a.off_y)
+        (sinks.write_blocks_indexed if a.indexed else sinks.write_blocks)(read(a.input), a.output, a.n_factor, a.top, a.block, a.scale, a.off_x, a.off_y)
     elif a.verb == "format":
         table = lambda path: spark.read.parquet(path) if path.rstrip("/").endswith(".parquet") else spark.read.option("header", True).option("inferSchema", True).csv(path)
         if a.platform == "visium":  # the input is the matrix, its names are lists without a header

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import re
 import struct
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.filters import without
 from tessera.schema import factor_columns, micrometres, normalised, theta
+from tessera.sources import bgzf
 
 #: Control probes of the imaging platforms: fixed values.
 CONTROLS = {"cosmx": "negprb|negative|systemcontrol|falsecode", "vizgen": "blank", "xenium": "blank|negcontrol|antisense|unassigned|deprecated"}
@@ -147,23 +149,65 @@ def block_meta(lines: list[str]) -> tuple[dict, list[str]]:
     return meta, header
 
 
+def _block_kinds(header: list[str]) -> list[tuple[str, str]]:
+    return [(c, "long" if c in ("BLOCK", "X", "Y") else "int" if re.match(r"K\d", c) else "double" if re.match(r"P\d", c) else "string") for c in header]
+
+
+def _blocks_touched(meta: dict, box: tuple[float, float, float, float]) -> tuple[int, int]:
+    """The first and last BLOCK that a box (xmin, xmax, ymin, ymax) touches; 0 and -1 if there are no blocks."""
+    size, along = float(meta.get("BLOCK_SIZE", 0)), 0 if meta.get("BLOCK_AXIS", "X") == "X" else 2
+    off = float(meta.get("OFFSET_Y" if along else "OFFSET_X", 0))
+    return tuple(int(max(0, v - off) // size * size) for v in box[along : along + 2]) if size else (0, -1)
+
+
+def _placed(df: DataFrame, meta: dict, box: tuple[float, float, float, float] | None) -> DataFrame:
+    """Scaled integers as micrometres; rows in the box, bounds included."""
+    scale, ox, oy = float(meta.get("SCALE", 1)), float(meta.get("OFFSET_X", 0)), float(meta.get("OFFSET_Y", 0))
+    df = df.withColumns({"X": F.col("X") / F.lit(scale) + F.lit(ox), "Y": F.col("Y") / F.lit(scale) + F.lit(oy)})
+    return df.filter((F.col("X") >= box[0]) & (F.col("X") <= box[1]) & (F.col("Y") >= box[2]) & (F.col("Y") <= box[3])) if box else df
+
+
 def blocks(spark: SparkSession, path: str, box: tuple[float, float, float, float] | None = None, where: str | None = None) -> tuple[DataFrame, dict]:
     """(rows in micrometres, metadata) of block-indexed results; a box (xmin, xmax, ymin, ymax), bounds included, selects blocks and then rows."""
     lines = [r.value for r in spark.read.text(path).filter(F.col("value").startswith("#")).collect()]  # four lines
     meta, header = block_meta(lines)
-    kinds = ["long" if c in ("BLOCK", "X", "Y") else "int" if re.match(r"K\d", c) else "double" if re.match(r"P\d", c) else "string" for c in header]
-    df = spark.read.option("sep", "\t").option("comment", "#").schema(", ".join(f"`{c}` {k}" for c, k in zip(header, kinds))).csv(path)
-    scale, ox, oy = float(meta.get("SCALE", 1)), float(meta.get("OFFSET_X", 0)), float(meta.get("OFFSET_Y", 0))
+    df = spark.read.option("sep", "\t").option("comment", "#").schema(", ".join(f"`{c}` {k}" for c, k in _block_kinds(header))).csv(path)
     if box:
-        size, axis = float(meta.get("BLOCK_SIZE", 0)), meta.get("BLOCK_AXIS", "X")
-        lo, hi = (box[0] - ox, box[1] - ox) if axis == "X" else (box[2] - oy, box[3] - oy)
-        if size:
-            df = df.filter((F.col("BLOCK") >= int(max(0, lo) // size * size)) & (F.col("BLOCK") <= int(max(0, hi) // size * size)))
-    df = df.filter(where) if where else df
-    df = df.withColumns({"X": F.col("X") / F.lit(scale) + F.lit(ox), "Y": F.col("Y") / F.lit(scale) + F.lit(oy)})
-    if box:
-        df = df.filter((F.col("X") >= box[0]) & (F.col("X") <= box[1]) & (F.col("Y") >= box[2]) & (F.col("Y") <= box[3]))
-    return df, meta
+        lo, hi = _blocks_touched(meta, box)
+        df = df.filter(F.col("BLOCK").between(lo, hi)) if hi >= lo else df
+    return _placed(df.filter(where) if where else df, meta, box), meta
+
+
+def block_regions(meta: dict, box: tuple[float, float, float, float]) -> list[tuple[str, int, int]]:
+    """The regions (block, least, greatest position) of an index that a box needs."""
+    lo, hi = _blocks_touched(meta, box)
+    along, off = (2, "OFFSET_Y") if meta.get("BLOCK_AXIS", "X") == "X" else (0, "OFFSET_X")
+    ends = [(v - float(meta.get(off, 0))) * float(meta.get("SCALE", 1)) for v in box[along : along + 2]]
+    # A scaled place is rounded down, and one below the offset is 0.
+    ends = max(0, math.floor(ends[0]) - 1), max(0, math.ceil(ends[1]) + 1)
+    return [(str(b), *ends) for b in range(lo, hi + 1, int(meta["BLOCK_SIZE"]))] if hi >= lo else []
+
+
+def blocks_indexed(spark: SparkSession, path: str, box: tuple[float, float, float, float] | None = None, where: str | None = None) -> tuple[DataFrame, dict]:
+    """The same as :func:`blocks` for block-compressed files with an index of positions: only what the box needs is read."""
+    meta, header = block_meta(bgzf.head(path))
+    rows = bgzf.lines(spark, path, block_regions(meta, box) if box else None)
+    df = rows.select(*(F.get("parts", F.lit(i)).cast(k).alias(c) for i, (c, k) in enumerate(_block_kinds(header))))
+    return _placed(df.filter(where) if where else df, meta, box), meta
+
+
+def pixels_indexed(spark: SparkSession, path: str, regions: list[tuple[str, float, float]], mu_scale: float = 1.0, key: str = "Count") -> DataFrame:
+    """Pixels of regions (name, from, to) of a block-compressed table with an index; its first line has the names of columns.
+
+    Regions are in the table's own units; positions are then micrometres.
+    """
+    first = bgzf.head(path)[0]
+    header = first.lstrip("#").strip().split("\t")
+    rows = bgzf.lines(spark, path, [(n, math.floor(lo), math.ceil(hi)) for n, lo, hi in regions]).filter(F.col("value") != first)
+    out = normalised(rows.select(*(F.get("parts", F.lit(i)).alias(c) for i, c in enumerate(header))), "xy")
+    kinds = {"X": "double", "Y": "double", key: "int"}
+    out = out.select(*(F.col(c).cast(kinds.get(c, "string")).alias(c) for c in out.columns))
+    return micrometres(out, mu_scale) if mu_scale != 1 else out
 
 
 def lane_regions(df: DataFrame, regions: list[tuple[str, float, float]], lane: str = "lane", y: str = "Y") -> DataFrame:
