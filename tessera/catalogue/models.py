@@ -14,7 +14,7 @@ from tessera.functions import special
 from tessera.functions import vectors as v
 from tessera.functions.hexgrid import radius_of
 from tessera.operators import binning as b
-from tessera.operators import filters, markers, matrix, rasters, regions
+from tessera.operators import filters, markers, matrix, quadtree, rasters, regions
 from tessera.operators import spatial as sp
 from tessera.operators.decode import decode
 from tessera.operators.lda import Lda
@@ -378,9 +378,21 @@ def hex_boundary(spark: SparkSession, d: str) -> DataFrame:
 COARSE = f"WITH {PX}, {hexed_sql(240.0, 1)}, far AS (SELECT hx, hy, {centre_sql(240.0, 1)[0]} AS ax, {centre_sql(240.0, 1)[1]} AS ay FROM hexed GROUP BY ox, oy, hx, hy)"
 
 
+@query(f"""WITH {PX}, e AS (SELECT min(X) AS x0, min(Y) AS y0, floor(greatest(max(X) - min(X), max(Y) - min(Y)) / 10) + 1 AS many FROM px),
+d AS (SELECT min(range) AS depth FROM range(31), e WHERE 2 ** range >= many), c AS (SELECT CAST(floor((X - x0) / 10) AS BIGINT) AS cx, CAST(floor((Y - y0) / 10) AS BIGINT) AS cy FROM px, e),
+n AS (SELECT range AS level, cx >> range AS qx, cy >> range AS qy, count(*) AS n FROM c, range(31), d WHERE range <= depth GROUP BY ALL)
+SELECT CAST(n.level AS INT) AS level, n.qx, n.qy, n.n FROM n, d LEFT JOIN n u ON u.level = n.level + 1 AND u.qx = n.qx >> 1 AND u.qy = n.qy >> 1 WHERE (n.n <= 300 OR n.level = 0) AND (n.level = depth OR u.n > 300)""")
+def adaptive_tiles(spark: SparkSession, d: str) -> DataFrame:
+    """Square tiles of at most 300 pixels, and their number."""
+    p = px(spark, d)
+    cells = quadtree.Cells.over(b.extent(p), 10.0)
+    found = quadtree.leaves(p, cells, 300)
+    return p.select(*cells.numbers(F.col("X"), F.col("Y"))).join(found, ["cx", "cy"]).groupBy(*quadtree.NODE).agg(F.count("*").alias("n"))
+
+
 @query(COARSE + ", c AS (SELECT DISTINCT X, Y FROM px), k AS (SELECT X, Y, hx, hy, row_number() OVER (PARTITION BY X, Y ORDER BY sqrt((X - ax) * (X - ax) + (Y - ay) * (Y - ay)), hx, hy) AS rank FROM c, far) SELECT X, Y, hx, hy, CAST(rank AS INT) AS rank FROM k WHERE rank <= 3")
 def knn_any(spark: SparkSession, d: str) -> DataFrame:
-    """The three nearest of few far-off points for each place, found in widening rings."""
+    """The three nearest of few far-off points for each place, found by a pyramid of counts."""
     p = px(spark, d)
     far = b.hex_units(p, 240.0, 1, min_ct=0).select("hx", "hy", "x", "y", F.struct("hx", "hy").alias("tie"))
     places = p.select("X", "Y").distinct().withColumn("key", F.struct("X", "Y"))

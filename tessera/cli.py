@@ -28,7 +28,7 @@ OPTIONS = {
     "make_sge_by_hexagon": {"hex_width": 24.0, "n_move": 1, "density": 0.1, "key": "Count", "boundary": "", "overlap": 0.0},
     "fit_model": {"norm": "none", "by_epoch": False, "alpha": 1.0, "n_factor": 12, "restarts": 5, "epochs": 1, "train": 0.5, "min_ct_unit": 50, "min_ct_feature": 50, "seed": 0},
     "transform": {"model": "", "norm": "none", "n_move": 3, "hex_width": 24.0, "min_ct": 20.0},
-    "slda_decode": {"model": "", "anchors": "", "radius": 25.0, "halflife": 0.7, "side": 500.0, "halo": 50.0, "share": 0.2, "top": 3},
+    "slda_decode": {"model": "", "anchors": "", "radius": 25.0, "halflife": 0.7, "side": 500.0, "halo": 50.0, "share": 0.2, "top": 3, "most": 0, "precision": 0.1},
     "de_bulk": {"min_ct": 50.0, "p": 1e-3, "fold": 1.5, "min_output": 10},
     "factor_report": {"markers": "", "colours": "", "n_top": 20, "min_top": 10},
     "choose_color": {"n_factor": 12, "width": 24.0, "n_move": 1, "seed": 0, "circle": False, "even": False, "top_color": "#fcd217"},
@@ -131,7 +131,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         save(theta, "/anchors")
         save(posterior_counts(theta.select("unit", "theta"), counts), "/posterior")
     elif a.verb == "slda_decode":
-        got = decode(readers.pixels(spark, a.input), read(a.anchors).select("x", "y", "theta"), Lda.load(spark, a.model).matrix(spark), a.side, a.halo, a.radius, a.halflife, a.share)
+        p = readers.pixels(spark, a.input)
+        p = binning.collapsed_truncating(p, a.precision) if a.precision > 0 else p
+        got = decode(p, read(a.anchors).select("x", "y", "theta"), Lda.load(spark, a.model).matrix(spark), a.side, a.halo, a.radius, a.halflife, a.share, most=a.most)
         save(with_top(got, a.top))
     elif a.verb == "de_bulk":
         save(markers.with_pvalues(markers.ranked(markers.chi_square(read(a.input), a.min_ct), a.p, a.fold, a.min_output)))

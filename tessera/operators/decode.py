@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.special import expected_log, grid_pairs
+from tessera.operators import quadtree
 from tessera.operators.binning import extent, owner, tiled
 
 LEAST_ANCHORS = 10
@@ -72,18 +73,19 @@ def prior(theta: np.ndarray, share: float = 0.2) -> np.ndarray:
     return t / t.sum(1, keepdims=True)
 
 
-def decode(pixels: DataFrame, anchors: DataFrame, model: DataFrame, side: float = 500, halo: float = 50, r: float = 25, halflife: float = 0.7, share: float = 0.2, rounds: int = 30, least: int = LEAST_ANCHORS) -> DataFrame:
+def decode(pixels: DataFrame, anchors: DataFrame, model: DataFrame, side: float = 500, halo: float = 50, r: float = 25, halflife: float = 0.7, share: float = 0.2, rounds: int = 30, least: int = LEAST_ANCHORS, most: int = 0) -> DataFrame:
     """(X, Y, theta): factor probabilities of pixels (X, Y, gene, Count) that have anchors (x, y, theta) within r.
 
     ``model`` is (gene, factor, lambda), floored at 0.5; it is collected once:
     its size is features times factors. Tiles with fewer than ``least`` anchors
-    are left out.
+    are left out. With ``most`` tiles follow the pixels: none has more rows of its
+    own, down to tiles as wide as the halo.
     """
 
     def out(tile: Solved) -> pd.DataFrame:
         return pd.DataFrame({"X": tile.xy[tile.own, 0], "Y": tile.xy[tile.own, 1], "theta": list(tile.phi[tile.own])})
 
-    return _tiles(pixels, anchors, model, out, "X double, Y double, theta array<double>", side, halo, r, halflife, share, rounds, least)
+    return _tiles(pixels, anchors, model, out, "X double, Y double, theta array<double>", side, halo, r, halflife, share, rounds, least, most)
 
 
 def decoded_anchors(pixels: DataFrame, anchors: DataFrame, model: DataFrame, side: float = 500, halo: float = 50, r: float = 25, halflife: float = 0.7, share: float = 0.2, rounds: int = 30, least: int = LEAST_ANCHORS) -> DataFrame:
@@ -115,7 +117,7 @@ class Solved:
     bound: float
 
 
-def _tiles(pixels: DataFrame, anchors: DataFrame, model: DataFrame, out: Callable[[Solved], pd.DataFrame], schema: str, side: float, halo: float, r: float, halflife: float, share: float, rounds: int, least: int) -> DataFrame:
+def _tiles(pixels: DataFrame, anchors: DataFrame, model: DataFrame, out: Callable[[Solved], pd.DataFrame], schema: str, side: float, halo: float, r: float, halflife: float, share: float, rounds: int, least: int, most: int = 0) -> DataFrame:
     """``out`` of each tile after inference."""
     rows = model.toPandas()
     wide = rows.pivot_table(index="gene", columns="factor", values="lambda", aggfunc="sum", fill_value=0.0)
@@ -125,13 +127,21 @@ def _tiles(pixels: DataFrame, anchors: DataFrame, model: DataFrame, out: Callabl
     if box[0] is None:
         return pixels.sparkSession.createDataFrame([], schema)
     x0, x1, y0, y1 = box
-    p = tiled(pixels.select("X", "Y", F.col("gene").cast("string").alias("gene"), F.col("Count").cast("double").alias("n")), side, halo, box=box)
-    p = p.withColumn("own", (F.col("tx") == owner(F.col("X"), x0, x1, side, halo)) & (F.col("ty") == owner(F.col("Y"), y0, y1, side, halo)))
+    p = pixels.select("X", "Y", F.col("gene").cast("string").alias("gene"), F.col("Count").cast("double").alias("n"))
     # Anchors reach a tile from r around it.
     a = anchors.select(F.col("x").alias("ax"), F.col("y").alias("ay"), "theta").filter(F.col("ax").between(x0 - r, x1 + r) & F.col("ay").between(y0 - r, y1 + r))
-    hold = lambda c, lo, hi: F.least(F.greatest(c, F.lit(lo)), F.lit(hi))
-    near = F.array(*(F.struct(hold(F.col("ax") + dx, x0, x1).alias("X"), hold(F.col("ay") + dy, y0, y1).alias("Y")) for dx in (-r, 0.0, r) for dy in (-r, 0.0, r)))
-    spread = tiled(a.select("*", F.inline(F.array_distinct(near))), side, halo, box=box).dropDuplicates(["tx", "ty", "ax", "ay"])
+    if most:
+        cells = quadtree.Cells.over(box, max(halo, r))
+        found = quadtree.leaves(p, cells, most).persist()
+        p, spread = (quadtree.spread(t, quadtree.around(found, cells, d), cells, d, *at_) for t, d, at_ in ((p, halo, ("X", "Y")), (a, halo + r, ("ax", "ay"))))
+        tile_of = quadtree.NODE
+    else:
+        p = tiled(p, side, halo, box=box)
+        p = p.withColumn("own", (F.col("tx") == owner(F.col("X"), x0, x1, side, halo)) & (F.col("ty") == owner(F.col("Y"), y0, y1, side, halo)))
+        hold = lambda c, lo, hi: F.least(F.greatest(c, F.lit(lo)), F.lit(hi))
+        near = F.array(*(F.struct(hold(F.col("ax") + dx, x0, x1).alias("X"), hold(F.col("ay") + dy, y0, y1).alias("Y")) for dx in (-r, 0.0, r) for dy in (-r, 0.0, r)))
+        spread = tiled(a.select("*", F.inline(F.array_distinct(near))), side, halo, box=box).dropDuplicates(["tx", "ty", "ax", "ay"])
+        tile_of = ["tx", "ty"]
     names, kinds = zip(*(x.split() for x in schema.split(", ")))
 
     def one(key, tile: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
@@ -162,7 +172,7 @@ def _tiles(pixels: DataFrame, anchors: DataFrame, model: DataFrame, out: Callabl
         done = Solved(key, xy[linked], np.bincount(place, counts, len(xy))[linked], phi, own[linked], near[["ax", "ay"]].to_numpy(float), gamma, renumber[px], ax, psi, stats, trail[-1])
         return out(done)[[*names]]
 
-    return p.groupBy("tx", "ty").cogroup(spread.groupBy("tx", "ty")).applyInPandas(one, schema)
+    return p.groupBy(*tile_of).cogroup(spread.groupBy(*tile_of)).applyInPandas(one, schema)
 
 
 def decontaminated(lam: np.ndarray, theta: np.ndarray, links: np.ndarray, zeta: float, rounds: int = 30, tol: float = 1e-4) -> np.ndarray:

@@ -49,32 +49,47 @@ def nearest(left: DataFrame, right: DataFrame, r: float, key: str, tie: str, k:
     return radius_join(left, right, r, **names).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` without its lineage, in the checkpoint folder; kept in memory where none is set, which serves a few rounds only."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+#: Cells on either side within which the k nearest are once 3 x 3 cells hold k points: the farthest of these is two diagonals away.
+REACH = 3
+
+
+def search_levels(left: DataFrame, right: DataFrame, r: float, k: int, depth: int) -> DataFrame:
+    """(_cx, _cy, _level): for each occupied cell of ``left``, the least level of a count pyramid on which 3 x 3 cells around hold k points of ``right``.
+
+    Both sides are tables of cells (_cx, _cy) of width r, ``right`` with the
+    points _n of each; cells of level i are 2 ** i as wide. Where the whole of
+    ``right`` has fewer than k points the level is ``depth``.
+    """
+    levels = F.array(*(F.struct(F.lit(i).alias("_level"), F.shiftright("_cx", i).alias("_bx"), F.shiftright("_cy", i).alias("_by")) for i in range(depth + 1)))
+    counts = right.select("_n", F.inline(levels)).groupBy("_level", "_bx", "_by").agg(F.sum("_n").alias("_n"))
+    steps = F.array(*(F.struct((F.col("_bx") + i).alias("_bx"), (F.col("_by") + j).alias("_by")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    full = counts.select("_level", "_n", F.inline(steps)).groupBy("_level", "_bx", "_by").agg(F.sum("_n").alias("_n")).filter(F.col("_n") >= k).drop("_n")
+    found = left.select("_cx", "_cy", F.inline(levels)).join(full, ["_level", "_bx", "_by"]).groupBy("_cx", "_cy").agg(F.min("_level").alias("_level"))
+    return left.join(found, ["_cx", "_cy"], "left").withColumn("_level", F.coalesce("_level", F.lit(depth)))
 
 
 def nearest_any(left: DataFrame, right: DataFrame, r: float, key: str, tie: str, k: int = 1, x: str = "X", y: str = "Y", rx: str = "x", ry: str = "y") -> DataFrame:
     """The k nearest points of ``right`` for each ``key`` of ``left`` however far they are, with d and rank; equal distances by ``tie``.
 
-    Rows that have k points within r are done; the others look again within
-    twice the distance, until it spans the extent of both sides.
+    A pyramid of counts gives each point the width of cells among which its
+    neighbours are before anything is joined; then one equi-join, in which a
+    bucket is as wide as the points around need. ``r`` is the least width.
     """
     ends = [t.agg(F.min(a), F.max(a), F.min(b), F.max(b)).first() for t, a, b in ((left, x, y), (right, rx, ry))]
     if None in (ends[0][0], ends[1][0]):
         return nearest(left, right, r, key, tie, k, x=x, y=y, rx=rx, ry=ry)
-    span = math.hypot(*(max(e[i + 1] for e in ends) - min(e[i] for e in ends) for i in (0, 2)))
-    left, right, out = cut(left), cut(right), None
-    while True:
-        got = cut(nearest(left, right, r, key, tie, k, x=x, y=y, rx=rx, ry=ry))
-        if r >= span:
-            return got if out is None else out.unionByName(got)
-        full = got.filter(F.col("rank") == k).select(key)
-        done = got.join(full, key, "left_semi")
-        out = done if out is None else out.unionByName(done)
-        left, r = cut(left.join(full, key, "left_anti")), 2 * r
-        if left.isEmpty():
-            return out
+    span = max(max(e[i + 1] for e in ends) - min(e[i] for e in ends) for i in (0, 2))
+    depth = max(0, math.ceil(math.log2(max(span / r, 1.0)))) + 1
+    left = left.withColumns({"_cx": bucket(F.col(x), r), "_cy": bucket(F.col(y), r)})
+    right = right.withColumnsRenamed({rx: "_rx", ry: "_ry"}).withColumns({"_cx": bucket(F.col("_rx"), r), "_cy": bucket(F.col("_ry"), r)})
+    levels = search_levels(left.select("_cx", "_cy").distinct(), right.groupBy("_cx", "_cy").agg(F.count("*").alias("_n")), r, k, depth).persist()
+    used = sorted(row[0] for row in levels.select("_level").distinct().collect())  # at most ``depth`` numbers
+    a = left.join(levels, ["_cx", "_cy"]).withColumns({"_bx": F.expr("shiftright(_cx, _level)"), "_by": F.expr("shiftright(_cy, _level)")}).drop("_cx", "_cy")
+    cells = [F.struct(F.lit(i).alias("_level"), (F.shiftright("_cx", i) + p).alias("_bx"), (F.shiftright("_cy", i) + q).alias("_by")) for i in used for p in range(-REACH, REACH + 1) for q in range(-REACH, REACH + 1)]
+    b = right.select("*", F.inline(F.array(*cells))).drop("_cx", "_cy")
+    dx, dy = F.col(x) - F.col("_rx"), F.col(y) - F.col("_ry")
+    both = a.join(b, ["_level", "_bx", "_by"]).withColumn("d", F.sqrt(dx * dx + dy * dy)).drop("_level", "_bx", "_by", "_rx", "_ry")
+    return both.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("d", tie))).filter(F.col("rank") <= k)
 
 
 def edge_weight(d: Column, r: float, nu: float) -> Column:
