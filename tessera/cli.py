@@ -9,36 +9,37 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import hexgrid
-from tessera.functions.colours import from_hex
+from tessera.functions.colours import from_hex, to_bytes
 from tessera.functions.vectors import posterior_counts, with_top
 from tessera.operators import binning, filters, markers, rasters, regions, spatial
 from tessera.operators.decode import decode
 from tessera.operators.lda import Lda
 from tessera.plans import workflow
-from tessera.sources import bgzf, readers, sinks
+from tessera.sources import bgzf, images, readers, sinks
 
 #: What all raster images can be shown by: corner of the origin, exchanged axes, a box.
 VIEW = {"origin": "upper", "transpose": False, "xmin": "", "xmax": "", "ymin": "", "ymax": ""}
 OPTIONS = {
     "filter_by_density": {"radius": 15.0, "n_move": 2, "quartile": 2, "least": 0.02, "least_dense": 0.1, "outlines": False},
     "filter_by_density_windows": {"width": 24.0, "n_move": 2, "least": 0.02, "least_dense": 0.1, "windows": 1, "axis": "Y", "precision": 0.0, "hard": 0.0},
-    "filter_by_boundary": {"boundary": "", "unit": 1.0, "dx": 0.0, "dy": 0.0, "transpose": False},
+    "filter_by_boundary": {"boundary": "", "unit": 1.0, "dx": 0.0, "dy": 0.0, "transpose": False, "buffer": -1.0},
     "make_spatial_minibatch": {"batch_size": 500.0, "batch_buff": 50.0, "mu_scale": 26.67, "min_pixel": 100, "region": "", "region_um": ""},
-    "make_dge": {"n_move": 3, "hex_width": 24.0, "min_ct": 20.0, "density": 0.2, "key": "Count", "mu_scale": 1.0, "boundary": "", "group_within": "", "debug": 0},
-    "make_sge_by_hexagon": {"hex_width": 24.0, "n_move": 1, "density": 0.1, "key": "Count", "boundary": "", "overlap": 0.0},
-    "fit_model": {"norm": "none", "by_epoch": False, "alpha": 1.0, "n_factor": 12, "restarts": 5, "epochs": 1, "train": 0.5, "min_ct_unit": 50, "min_ct_feature": 50, "seed": 0},
-    "transform": {"model": "", "norm": "none", "n_move": 3, "hex_width": 24.0, "min_ct": 20.0},
+    "make_dge": {"n_move": 3, "hex_width": 24.0, "min_ct": 20.0, "density": 0.2, "key": "Count", "mu_scale": 1.0, "boundary": "", "buffer": -1.0, "group_within": "", "debug": 0, "axis": "X", "untrimmed": False},
+    "make_sge_by_hexagon": {"hex_width": 24.0, "n_move": 1, "density": 0.1, "key": "Count", "boundary": "", "buffer": -1.0, "overlap": 0.0},
+    "fit_model": {"norm": "none", "by_epoch": False, "alpha": 1.0, "tau": 9.0, "kappa": 0.7, "n_factor": 12, "restarts": 5, "epochs": 1, "train": 0.5, "min_ct_unit": 50, "min_ct_feature": 50, "seed": 0},
+    "transform": {"model": "", "norm": "none", "n_move": 3, "hex_width": 24.0, "min_ct": 20.0, "precision": 1, "axis": "X", "untrimmed": False},
     "slda_decode": {"model": "", "anchors": "", "radius": 25.0, "halflife": 0.7, "side": 500.0, "halo": 50.0, "share": 0.2, "top": 3, "most": 0, "precision": 0.1},
     "de_bulk": {"min_ct": 50.0, "p": 1e-3, "fold": 1.5, "min_output": 10},
-    "factor_report": {"markers": "", "colours": "", "n_top": 20, "min_top": 10},
+    "factor_report": {"markers": "", "colours": "", "annotation": "", "n_top": 20, "min_top": 10},
     "choose_color": {"n_factor": 12, "width": 24.0, "n_move": 1, "seed": 0, "circle": False, "even": False, "top_color": "#fcd217"},
     "plot_base": {"colours": "", "um": 1.0, "fill": 0, "top_image": False, "by_factor": False, "category": "", "names": "", **VIEW},
     "plot_hexagon": {"colours": "", "um": 1.0, "width": 24.0, **VIEW},
     "plot_pixel_full": {"colours": "", "um": 1.0, "top": 3, "top_only": False, "category": "", "names": "", "background": "#000000", **VIEW},
-    "plot_pixel_multi": {"channels": "", "um": 1.0, "top": 3, "cut": 0.1},
-    "plot_pixel_single": {"n_factor": 12, "um": 1.0, "top": 3, "least": 100},
+    "plot_pixel_multi": {"channels": "", "um": 1.0, "top": 3, "cut": 0.1, "colours": "", **VIEW},
+    "plot_pixel_single": {"n_factor": 12, "um": 1.0, "top": 3, "least": 100, "factors": "", **VIEW},
+    "plot_boundary": {"unit": 1.0, "dx": 0.0, "dy": 0.0, "um": 1.0, "ink": "#ffffff", "transpose": False},
     "block_index": {"indexed": False, "n_factor": 12, "top": 3, "block": 2000.0, "scale": 100.0, "off_x": 0.0, "off_y": 0.0},
-    "format": {"platform": "xenium", "scale": 0.12, "quality": 13.0, "positions": "", "barcodes": "", "features": ""},
+    "format": {"platform": "xenium", "scale": 0.12, "quality": 13.0, "positions": "", "barcodes": "", "features": "", "image": ""},
     "init_model_from_pseudobulk": {"model": "", "epochs": 0, "scale": 0.0, "reorder": False, "min_ct_unit": 50, "min_ct_feature": 50},
     "run_together": {"train_widths": "12", "n_factors": "12", "restarts": 10, "epochs": 3, "n_move": 2, "top": 3, "dry_run": False, "jobs": 1},
 }
@@ -67,10 +68,8 @@ def boxed(df, a: argparse.Namespace, x: str, y: str):
 
 
 def painted(spark: SparkSession, a: argparse.Namespace, cells, path: str) -> None:
-    """One image of cells (px, py, r, g, b)."""
-    ground = from_hex(getattr(a, "background", "#000000"))
-    image = rasters.image(cells, ground, origin=getattr(a, "origin", "upper"))
-    sinks.write_bytes(spark, path, sinks.png(rasters.oriented(image, getattr(a, "transpose", False))))
+    """One image of cells (px, py, r, g, b), a PNG or by its name a TIFF."""
+    images.write(cells, path, from_hex(getattr(a, "background", "#000000")), a.origin, a.transpose)
 
 
 def category_cells(spark: SparkSession, a: argparse.Namespace, df, colours, x: str, y: str):
@@ -80,10 +79,17 @@ def category_cells(spark: SparkSession, a: argparse.Namespace, df, colours, x: s
     return rasters.with_colours(by, colours, "category").select("px", "py", *(F.col(c).alias(c.lower()) for c in "RGB"))
 
 
-def edges_of(spark: SparkSession, path: str, unit: float = 1.0, dx: float = 0.0, dy: float = 0.0, transpose: bool = False):
-    """The edges of a boundary file's polygons, their coordinates times ``unit`` and then moved."""
-    shapes = readers.boundary(readers.text_of(spark, path))
-    return readers.polygon_edges(spark, [readers.scaled(r, unit, dx / unit, dy / unit, transpose) for r in shapes])
+def shapes_of(spark: SparkSession, path: str, unit: float = 1.0, dx: float = 0.0, dy: float = 0.0, transpose: bool = False) -> tuple[list, float]:
+    """(polygons, buffer) of a boundary file, coordinates times ``unit`` and then moved."""
+    text = readers.text_of(spark, path)
+    return [readers.scaled(r, unit, dx / unit, dy / unit, transpose) for r in readers.boundary(text)], readers.buffer_of(text) * unit
+
+
+def in_boundary(df, a: argparse.Namespace, x: str = "X", y: str = "Y", **moved):
+    """Rows in a boundary file's polygons, or within the buffer that the file or the options name."""
+    shapes, buffer = shapes_of(df.sparkSession, a.boundary, **moved)
+    edges = readers.polygon_edges(df.sparkSession, shapes)
+    return spatial.within_buffered(df, edges, a.buffer if a.buffer >= 0 else buffer, x, y)
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
@@ -97,11 +103,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         sinks.write_bytes(spark, f"{a.output}/cutoffs.json", json.dumps(cut.__dict__).encode())
         if a.outlines:
             for name, tri in zip(("lenient", "strict"), regions.dense_triangles(readers.pixels(spark, a.input), cut, radius=a.radius, n_move=a.n_move, least=a.least)):
-                sinks.write_bytes(spark, f"{a.output}/{name}.geojson", sinks.geojson(regions.outline(tri)).encode())
+                sinks.write_bytes(spark, f"{a.output}/{name}.geojson", sinks.geojson(regions.outline(tri), a.radius).encode())
     elif a.verb == "filter_by_density_windows":
         save(regions.filter_by_anchors(readers.pixels(spark, a.input), a.width, a.n_move, a.least, least_dense=a.least_dense, windows=a.windows, axis=a.axis, precision=a.precision, hard=a.hard))
     elif a.verb == "filter_by_boundary":
-        save(spatial.within(readers.pixels(spark, a.input), edges_of(spark, a.boundary, a.unit, a.dx, a.dy, a.transpose)))
+        save(in_boundary(readers.pixels(spark, a.input), a, unit=a.unit, dx=a.dx, dy=a.dy, transpose=a.transpose))
     elif a.verb == "make_spatial_minibatch":
         if a.region or a.region_um:  # parts of a block-compressed table, by its index
             ask = [(n, lo, hi) for n, lo, hi in bgzf.regions_of(a.region)] + [(n, lo * a.mu_scale, hi * a.mu_scale) for n, lo, hi in bgzf.regions_of(a.region_um)]
@@ -113,20 +119,26 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         groups = tuple(x for x in a.group_within.split(",") if x)
         p = filters.limited(readers.pixels(spark, a.input, a.key, a.mu_scale, keep=groups), a.debug)
         out = binning.centred(binning.dge(p, a.hex_width, a.n_move, a.key, groups=groups, min_ct=a.min_ct, density=a.density), a.hex_width, a.n_move)
-        out = spatial.within(out, edges_of(spark, a.boundary), x="x", y="y") if a.boundary else out
+        out = in_boundary(out, a, "x", "y") if a.boundary else out
+        if not a.untrimmed:  # cells at both ends of the axis are not whole
+            inner = binning.edge_trimmed(p, binning.hexed(p, a.hex_width, a.n_move), a.hex_width, a.axis, groups)
+            out = out.join(inner, [*groups, *binning.HEX], "left_semi")
         save(out.withColumn("unit", binning.unit_id(*groups, *binning.HEX)))
     elif a.verb == "make_sge_by_hexagon":
         p, moves = readers.pixels(spark, a.input, a.key), binning.moves_for_overlap(a.overlap) if a.overlap else a.n_move
         cells = binning.hex_units(p, a.hex_width, moves, a.key, min_ct=0, density=a.density, centre="mean").select(*binning.HEX, "x", "y")
-        cells = spatial.within(cells, edges_of(spark, a.boundary), x="x", y="y") if a.boundary else cells
+        cells = in_boundary(cells, a, "x", "y") if a.boundary else cells
         sinks.write_matrix(binning.dge(p, a.hex_width, moves, a.key, min_ct=0, density=a.density).join(cells, binning.HEX), p, a.output)
     elif a.verb == "fit_model":
-        o = workflow.DEFAULTS | {k: getattr(a, k) for k in ("restarts", "epochs", "train", "min_ct_unit", "min_ct_feature", "seed", "norm", "by_epoch", "alpha")}
+        o = workflow.DEFAULTS | {k: getattr(a, k) for k in ("restarts", "epochs", "train", "min_ct_unit", "min_ct_feature", "seed", "norm", "by_epoch", "alpha", "tau", "kappa")}
         model, scores = workflow.fit(read(a.input).select("unit", "gene", F.col("n").cast("double").alias("n")), a.n_factor, o)
         model.save(spark, f"{a.output}/model")
         save(scores, "/coherence")
     elif a.verb == "transform":
-        counts = workflow.counts_of(readers.pixels(spark, a.input), a.hex_width, a.n_move, a.min_ct)
+        p = readers.pixels(spark, a.input)
+        counts = workflow.counts_of(p, a.hex_width, a.n_move, a.min_ct)
+        counts = counts if a.untrimmed else binning.centre_trimmed(counts, p, a.hex_width, a.axis)
+        counts = counts.withColumns({c: F.round(c, a.precision) for c in "xy"}) if a.precision >= 0 else counts
         theta = workflow.transform(Lda.load(spark, a.model), counts, spark, a.min_ct, a.norm)
         save(theta, "/anchors")
         save(posterior_counts(theta.select("unit", "theta"), counts), "/posterior")
@@ -138,9 +150,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     elif a.verb == "de_bulk":
         save(markers.with_pvalues(markers.ranked(markers.chi_square(read(a.input), a.min_ct), a.p, a.fold, a.min_output)))
     elif a.verb == "factor_report":
-        table = markers.factor_table(read(a.input), read(a.markers), a.n_top, min_top=a.min_top)
+        counts = read(a.input)
+        table = markers.factor_table(counts, read(a.markers), a.n_top, min_top=a.min_top)
         save(table, "/table")
-        sinks.write_bytes(spark, f"{a.output}/report.html", sinks.report([r.asDict() for r in table.orderBy(F.desc("weight")).collect()]).encode())
+        names = {r["From"]: r["To"] for r in readers.category_map(spark, a.annotation).collect()} if a.annotation else {}
+        rgb = {str(r.Name): ",".join(str(int(v)) for v in to_bytes([r.R, r.G, r.B])) for r in read(a.colours).collect()} if a.colours else {}
+        rows = [{"factor": names.get(r.factor, r.factor)} | ({"RGB": rgb.get(r.factor, "128,128,128")} if rgb else {}) | {k: v for k, v in r.asDict().items() if k != "factor"} for r in table.orderBy(F.desc("weight")).collect()]
+        tree = markers.factor_tree(counts, names)
+        sinks.write_bytes(spark, f"{a.output}/tree.nwk", tree.encode())
+        sinks.write_bytes(spark, f"{a.output}/report.html", sinks.report(rows, newick=tree).encode())
     elif a.verb == "choose_color":
         save(spark.createDataFrame(workflow.factor_colours(read(a.input), a.n_factor, a.width, a.n_move, a.seed, a.circle, a.even, a.top_color), "Name string, Color_index int, R double, G double, B double"))
     elif a.verb in ("plot_base", "plot_hexagon", "plot_pixel_full"):
@@ -177,13 +195,18 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
             cells = cells.select("px", "py", *(F.get("rgb", F.lit(i)).alias(c) for i, c in enumerate("rgb")))
         painted(spark, a, cells, a.output)
     elif a.verb == "plot_pixel_multi":
-        chosen = [(int(k), from_hex(c)) for k, c in (x.split(":") for x in a.channels.split(","))]
-        sinks.write_bytes(spark, a.output, sinks.png(rasters.image(rasters.channels(read(a.input), a.um, chosen, a.top, a.cut))))
+        # A factor without a colour of its own has that of the table.
+        table = {str(r.Name): (r.R, r.G, r.B) for r in read(a.colours).collect()} if a.colours else {}
+        chosen = [(int(k), from_hex(c) if c else table[k]) for k, _, c in (x.partition(":") for x in a.channels.split(","))]
+        painted(spark, a, rasters.channels(boxed(read(a.input), a, "X", "Y"), a.um, chosen, a.top, a.cut), a.output)
     elif a.verb == "plot_pixel_single":
-        maps = rasters.single_factors(read(a.input), a.um, a.n_factor, a.top, a.least).persist()
+        maps = rasters.single_factors(boxed(read(a.input), a, "X", "Y"), a.um, a.n_factor, a.top, a.least)
+        maps = (maps.filter(F.col("factor").isin([int(x) for x in a.factors.split(",")])) if a.factors else maps).persist()
         for r in maps.select("factor").distinct().collect():  # one image a factor
-            one = maps.filter(F.col("factor") == r.factor).select("px", "py", *(F.col("p").alias(c) for c in "rgb"))
-            sinks.write_bytes(spark, f"{a.output}/factor_{r.factor}.png", sinks.png(rasters.image(one)))
+            painted(spark, a, maps.filter(F.col("factor") == r.factor).select("px", "py", *(F.col("p").alias(c) for c in "rgb")), f"{a.output}/factor_{r.factor}.png")
+    elif a.verb == "plot_boundary":
+        rings = [r for shape in shapes_of(spark, a.input, a.unit, a.dx, a.dy, a.transpose)[0] for r in shape]
+        sinks.write_bytes(spark, a.output, sinks.png(rasters.outlines(rings, a.um, tuple(int(255 * c) for c in from_hex(a.ink)))))
     elif a.verb == "block_index":
         (sinks.write_blocks_indexed if a.indexed else sinks.write_blocks)(read(a.input), a.output, a.n_factor, a.top, a.block, a.scale, a.off_x, a.off_y)
     elif a.verb == "format":
@@ -196,7 +219,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
             made = readers.visium(table(a.positions), barcodes, features, readers.matrix_market(spark, a.input), a.scale)
         else:
             made = {"cosmx": lambda r: readers.cosmx(r, a.scale), "vizgen": readers.vizgen, "xenium": lambda r: readers.xenium(r, a.quality)}[a.platform](table(a.input))
-        save(made, "/pixels"), save(readers.feature_totals(made), "/features"), save(binning.bounding_box(made), "/bbox")
+        save(made, "/pixels"), save(readers.feature_totals(made), "/features"), save(readers.image_box(spark, a.image) if a.image else binning.bounding_box(made), "/bbox")
     elif a.verb == "init_model_from_pseudobulk":
         counts = read(a.input).select("unit", "gene", F.col("n").cast("double").alias("n"))
         model, theta, post = workflow.from_pseudobulk_counts(readers.model(spark, a.model), counts, a.epochs, a.scale, a.min_ct_feature, a.min_ct_unit, a.reorder)

@@ -50,10 +50,13 @@ def hex_units(pixels: DataFrame, width: float = 24.0, n_move: int = 3, key: str
     return centred(out, width, n_move) if centre == "lattice" else out
 
 
-def edge_trimmed(pixels: DataFrame, hexed_pixels: DataFrame, width: float, axis: str = "X") -> DataFrame:
-    """The cells whose least coordinate on the axis is inside the data's range by half a width."""
+def edge_trimmed(pixels: DataFrame, hexed_pixels: DataFrame, width: float, axis: str = "X", groups: tuple[str, ...] = ()) -> DataFrame:
+    """The cells whose least coordinate on the axis is inside the data's range, of their group, by half a width."""
+    least = hexed_pixels.groupBy(*groups, *HEX).agg(F.min(axis).alias("least"))
+    if groups:
+        ends = pixels.groupBy(*groups).agg(F.min(axis).alias("_lo"), F.max(axis).alias("_hi"))
+        return least.join(ends, list(groups)).filter((F.col("least") > F.col("_lo") + width / 2) & (F.col("least") < F.col("_hi") - width / 2)).drop("_lo", "_hi")
     lo, hi = pixels.agg(F.min(axis), F.max(axis)).first()
-    least = hexed_pixels.groupBy(*HEX).agg(F.min(axis).alias("least"))
     return least.filter((F.col("least") > lo + width / 2) & (F.col("least") < hi - width / 2)) if lo is not None else least
 
 

@@ -6,10 +6,11 @@ back; the test is a closed form, so all of it stays in expressions.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.special import chi2_pvalue, critical, neglog10_pvalue
+from tessera.functions.special import chi2_pvalue, critical, linkage, neglog10_pvalue, newick
 
 
 def chi_square(counts: DataFrame, min_ct: float = 50, genes: DataFrame | None = None) -> DataFrame:
@@ -78,6 +79,18 @@ def factor_table(counts: DataFrame, tests: DataFrame, n: int = 20, least: float
     return out.select("factor", "weight", "post_umi", *(F.coalesce(c, F.lit(".")).alias(c) for c in ("top_chi2", "top_fold", "top_weight")))
 
 
+def factor_tree(counts: DataFrame, names: dict[str, str] | None = None) -> str:
+    """Factors by complete linkage of their genes' shares (1 - the cosine of square roots), as Newick text: K x K sums come to the driver."""
+    by = counts.groupBy(F.col("factor").cast("string").alias("a"), "gene").agg(F.sum("n").cast("double").alias("n"))
+    share = by.select("a", "gene", F.sqrt(F.col("n") / F.sum("n").over(Window.partitionBy("a"))).alias("p"))
+    other = share.select(F.col("a").alias("b"), "gene", F.col("p").alias("q"))
+    sums = share.join(other, "gene").groupBy("a", "b").agg(F.sum(F.col("p") * F.col("q")).alias("w")).toPandas()
+    order = sorted(set(sums["a"]), key=lambda x: (len(x), x))
+    at, d = {x: i for i, x in enumerate(order)}, np.ones((len(order), len(order)))
+    d[sums["a"].map(at), sums["b"].map(at)] = 1 - sums["w"]
+    return newick(linkage(d), [(names or {}).get(x, x) for x in order])
+
+
 def coherence(counts: DataFrame, theta: DataFrame, markers: DataFrame) -> DataFrame:
     """(factor, score0, score): co-occurrence of each factor's markers.
 

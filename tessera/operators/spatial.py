@@ -179,3 +179,29 @@ def within(df: DataFrame, edges: DataFrame, height: float | None = None, x: str
     cross = ((F.col("_y") < F.col("y1")) != (F.col("_y") < F.col("y2"))) & (F.col("_x") < at)
     odd = places.join(listed, ["_s", "_c"]).filter(cross).groupBy("_x", "_y", "polygon").agg(F.count("*").alias("_n")).filter("_n % 2 = 1")
     return df.join(odd.select("_x", "_y"), (F.col(x) == F.col("_x")) & (F.col(y) == F.col("_y")), "left_semi")
+
+
+def near_edges(df: DataFrame, edges: DataFrame, r: float, x: str = "X", y: str = "Y") -> DataFrame:
+    """Rows within a distance of any edge (x1, y1, x2, y2): edges are listed under the buckets that their box, wider by r, touches.
+
+    Buckets are as wide as the mean edge and r are together, so that an edge has a few of them.
+    """
+    long = edges.agg(F.avg(F.greatest(F.abs(F.col("x1") - F.col("x2")), F.abs(F.col("y1") - F.col("y2"))))).first()[0]  # one number
+    wide = max(r + (long or 0.0), 1e-9)
+    cells = [F.explode(F.sequence(bucket(F.least(f"{c}1", f"{c}2") - F.lit(float(r)), wide), bucket(F.greatest(f"{c}1", f"{c}2") + F.lit(float(r)), wide))) for c in "xy"]
+    listed = edges.select("x1", "y1", "x2", "y2").withColumn("_cx", cells[0]).withColumn("_cy", cells[1])
+    ux, uy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    px, py = F.col(x) - F.col("x1"), F.col(y) - F.col("y1")
+    along = F.least(F.greatest((px * ux + py * uy) / F.greatest(ux * ux + uy * uy, F.lit(1e-30)), F.lit(0.0)), F.lit(1.0))
+    near = F.hypot(px - along * ux, py - along * uy) <= F.lit(float(r))
+    at = df.withColumns({"_bx": bucket(F.col(x), wide), "_by": bucket(F.col(y), wide)})
+    return at.join(listed, (F.col("_bx") == F.col("_cx")) & (F.col("_by") == F.col("_cy")) & near, "left_semi").drop("_bx", "_by")
+
+
+def within_buffered(df: DataFrame, edges: DataFrame, buffer: float = 0.0, x: str = "X", y: str = "Y") -> DataFrame:
+    """Rows in the polygons of :func:`within`, or within ``buffer`` of their edges: the region grown by the buffer."""
+    if buffer <= 0:
+        return within(df, edges, x=x, y=y)
+    places = df.select(F.col(x).alias("_ax"), F.col(y).alias("_ay")).distinct()
+    kept = within(places, edges, x="_ax", y="_ay").unionByName(near_edges(places, edges, buffer, "_ax", "_ay")).distinct()
+    return df.join(kept, (F.col(x) == F.col("_ax")) & (F.col(y) == F.col("_ay")), "left_semi")

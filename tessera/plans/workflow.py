@@ -15,7 +15,7 @@ from tessera.operators.decode import decode, pixel_posterior_counts
 from tessera.operators.lda import Lda, from_pseudobulk, restarts
 from tessera.operators.spatial import on_lattice, proximity
 from tessera.plans.stages import Graph
-from tessera.sources import readers, sinks
+from tessera.sources import images, readers, sinks
 
 #: Defaults of the whole run.
 DEFAULTS = {"train_widths": [12.0], "n_factors": [12], "fit_width": None, "anchor_res": 4.0, "n_move": 2, "restarts": 10, "epochs": 3, "top": 3, "min_ct_unit": 50, "min_ct_feature": 50, "radius": 25.0, "side": 500.0, "halo": 50.0, "train": 0.5, "um": 1.0, "seed": 0}
@@ -50,17 +50,17 @@ def fit(counts: DataFrame, k: int, o: dict) -> tuple[Lda, DataFrame]:
     further ones go on with the others in turn; the first is taken up where the
     restarts left it, with the share that they held back.
     """
-    o = DEFAULTS | {"norm": "none", "by_epoch": False, "alpha": 1.0} | o
+    o = DEFAULTS | {"norm": "none", "by_epoch": False, "alpha": 1.0, "tau": 9.0, "kappa": 0.7} | o
     index = matrix.features(counts, o["min_ct_feature"]).persist()
     genes = [r.gene for r in index.orderBy("idx").select("gene").collect()]  # some tens of thousands of names
     units = model_units(counts, index, o["min_ct_unit"], o["norm"]).persist()
     if not o["by_epoch"]:
-        model, scores = restarts(units, counts, genes, k, o["restarts"], o["train"], 1, o["seed"], alpha=o["alpha"])
+        model, scores = restarts(units, counts, genes, k, o["restarts"], o["train"], 1, o["seed"], alpha=o["alpha"], tau=o["tau"], kappa=o["kappa"])
         return model.fit(units, o["epochs"]).relabelled(), scores
     marked = matrix.epochs(units)
     passes = [r.epoch for r in marked.select("epoch").distinct().orderBy("epoch").collect()]  # one a lattice offset
     first = marked.filter(F.col("epoch") == passes[0]).drop("epoch").persist()
-    model, scores = restarts(first, counts, genes, k, o["restarts"], o["train"], 1, o["seed"], alpha=o["alpha"])
+    model, scores = restarts(first, counts, genes, k, o["restarts"], o["train"], 1, o["seed"], alpha=o["alpha"], tau=o["tau"], kappa=o["kappa"])
     done, at = 0.0, 0
     while done < o["epochs"]:
         part = first if at == 0 else marked.filter(F.col("epoch") == passes[at]).drop("epoch")
@@ -168,7 +168,7 @@ def graph(spark: SparkSession, pixels_path: str, out: str, **options) -> Graph:
             def draw(d=decoded, n=name, k=k) -> None:
                 c = read(f"{n}/colours").withColumn("factor", F.col("Name").cast("int"))
                 cells = rasters.top_rgb(read(d), o["um"], c, min(o["top"], k))
-                sinks.write_bytes(spark, f"{n}/pixels.png", sinks.png(rasters.image(cells)))
+                images.write(cells, f"{n}/pixels.png")
 
             def tell(n=name) -> None:
                 rgb = {r.Name: ",".join(str(int(v)) for v in colours.to_bytes([r.R, r.G, r.B])) for r in read(f"{n}/colours").collect()}
@@ -188,8 +188,3 @@ def graph(spark: SparkSession, pixels_path: str, out: str, **options) -> Graph:
 
 def targets(out: str, train_widths: list[float], n_factors: list[int]) -> list[str]:
     return [f"{out}/nF{k}.d_{w:g}/report.html" for w, k in product(train_widths, n_factors)]
-
-
-def theta_counts(anchors: DataFrame, counts: DataFrame) -> DataFrame:
-    """Expected counts of units, each unit once."""
-    return posterior_counts(anchors.dropDuplicates(["unit"]), counts)

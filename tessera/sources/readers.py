@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import io
 import json
 import math
 import re
 import struct
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -244,6 +246,14 @@ def polygons(text: str) -> list[list[list[tuple[float, float]]]]:
     return [[ring(r) for r in polygon] for polygon in found(json.loads(text))]
 
 
+def buffer_of(text: str) -> float:
+    """The greatest property ``buffer`` of a boundary file's features, 0 if there is none."""
+    if not text.lstrip().startswith("{"):
+        return 0.0
+    data = json.loads(text)
+    return max((float((f.get("properties") or {}).get("buffer") or 0) for f in data.get("features", [data])), default=0.0)
+
+
 def geojson(text: str) -> list[list[tuple[float, float]]]:
     """The rings of all polygons of a GeoJSON text."""
     return [r for polygon in polygons(text) for r in polygon]
@@ -322,21 +332,31 @@ def polygon_edges(spark: SparkSession, shapes: list[list[list[tuple[float, float
 # --- images ---
 
 
-def tiff_extent(data: bytes) -> dict[str, float]:
-    """width and height in pixels of a TIFF's first image, and xmax and ymax in micrometres if an OME description gives pixel sizes."""
-    order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    if order is None or struct.unpack(order + "H", data[2:4])[0] != 42:
+def tiff_extent(file) -> dict[str, float]:
+    """width and height in pixels of a TIFF's first image, and xmax and ymax in micrometres if an OME description gives pixel sizes.
+
+    ``file`` is the bytes of the file, or an open one, of which the tags alone are read.
+    """
+    file = io.BytesIO(file) if isinstance(file, bytes) else file
+
+    def at(offset: int, n: int) -> bytes:
+        file.seek(offset)
+        return file.read(n)
+
+    head = at(0, 8)
+    order = {b"II": "<", b"MM": ">"}.get(head[:2])
+    if order is None or struct.unpack(order + "H", head[2:4])[0] != 42:
         raise ValueError("no classic TIFF")
-    at = struct.unpack(order + "I", data[4:8])[0]
+    first = struct.unpack(order + "I", head[4:8])[0]
     tags = {}
-    for i in range(struct.unpack(order + "H", data[at : at + 2])[0]):
-        entry = data[at + 2 + 12 * i : at + 14 + 12 * i]
-        tag, kind, n = struct.unpack(order + "HHI", entry[:8])
+    entries = at(first + 2, 12 * struct.unpack(order + "H", at(first, 2))[0])
+    for i in range(0, len(entries), 12):
+        tag, kind, n = struct.unpack(order + "HHI", entries[i : i + 8])
         if tag in (256, 257):
-            tags[tag] = struct.unpack(order + ("H" if kind == 3 else "I"), entry[8 : 10 if kind == 3 else 12])[0]
+            tags[tag] = struct.unpack(order + ("H" if kind == 3 else "I"), entries[i + 8 : i + (10 if kind == 3 else 12)])[0]
         elif tag == 270:
-            start = struct.unpack(order + "I", entry[8:12])[0]
-            tags[tag] = data[start : start + n].decode("utf-8", "replace") if n > 4 else ""
+            start = struct.unpack(order + "I", entries[i + 8 : i + 12])[0]
+            tags[tag] = at(start, n).decode("utf-8", "replace") if n > 4 else ""
     out = {"width": float(tags[256]), "height": float(tags[257])}
     for axis, size in (("X", "width"), ("Y", "height")):
         found = re.search(rf'PhysicalSize{axis}="([0-9.eE+-]+)"', tags.get(270, ""))
@@ -345,6 +365,14 @@ def tiff_extent(data: bytes) -> dict[str, float]:
     return out
 
 
+def image_box(spark: SparkSession, path: str) -> DataFrame:
+    """One row (xmin, xmax, ymin, ymax) of an image's extent: micrometres if it has pixel sizes, and else pixels."""
+    where, name = fs.FileSystem.from_uri(path)
+    with where.open_input_file(name) as f:
+        e = tiff_extent(f)
+    return spark.createDataFrame([(0.0, e.get("xmax", e["width"]), 0.0, e.get("ymax", e["height"]))], "xmin double, xmax double, ymin double, ymax double")
+
+
 # --- chip layout ---
 
 

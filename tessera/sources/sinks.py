@@ -111,9 +111,34 @@ def write_matrix(dge: DataFrame, features: DataFrame, path: str, symbol: str = "
     write_bytes(spark, f"{path}/matrix/head.txt", (size + "\n").encode())  # first in the order of names
 
 
-def geojson(rings: list[list[tuple[float, float]]]) -> str:
-    """Rings as a multipolygon."""
-    return json.dumps({"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {}, "geometry": {"type": "MultiPolygon", "coordinates": [[[list(p) for p in [*r, r[0]]]] for r in rings if r]}}]})
+def nested(rings: list[list[tuple[float, float]]]) -> list[list[list[tuple[float, float]]]]:
+    """Rings as polygons: those inside of an even number of others are outlines, the others holes of the least outline around them."""
+
+    def inside(ring: list, other: np.ndarray) -> bool:
+        # Rings do not cross but may touch in corners: the middles of the edges decide.
+        middle = (np.array(ring) + np.roll(np.array(ring), -1, 0)) / 2
+        (x1, y1), (x2, y2) = other.T, np.roll(other, -1, 0).T
+        x, y = middle[:, :1], middle[:, 1:]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            cross = ((y < y1) != (y < y2)) & (x < (x2 - x1) * (y - y1) / (y2 - y1) + x1)
+        return bool((cross.sum(1) % 2).mean() > 0.5)
+
+    rings = [r for r in rings if r]
+    each = [np.array(r, float) for r in rings]
+    size = [abs(float(np.sum(p[:, 0] * np.roll(p[:, 1], -1) - p[:, 1] * np.roll(p[:, 0], -1)))) / 2 for p in each]
+    boxes = [(*p.min(0), *p.max(0)) for p in each]
+    around = [[j for j, o in enumerate(each) if j != i and size[j] > size[i] and boxes[j][0] <= boxes[i][0] and boxes[j][1] <= boxes[i][1] and boxes[j][2] >= boxes[i][2] and boxes[j][3] >= boxes[i][3] and inside(rings[i], o)] for i in range(len(rings))]
+    out = {i: [rings[i]] for i in range(len(rings)) if len(around[i]) % 2 == 0}
+    for i, outer in enumerate(around):
+        if i not in out:
+            out[min((j for j in outer if len(around[j]) == len(outer) - 1), key=lambda j: size[j])].append(rings[i])
+    return list(out.values())
+
+
+def geojson(rings: list[list[tuple[float, float]]], buffer: float = 0.0) -> str:
+    """Rings as a multipolygon with holes; the property ``buffer`` says how far beyond the outlines the region reaches."""
+    shapes = [[[list(p) for p in [*r, r[0]]] for r in polygon] for polygon in nested(rings)]
+    return json.dumps({"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {"buffer": buffer} if buffer else {}, "geometry": {"type": "MultiPolygon", "coordinates": shapes}}]})
 
 
 def png(image: np.ndarray) -> bytes:
@@ -128,7 +153,7 @@ def png(image: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows, 6)) + chunk(b"IEND", b"")
 
 
-def report(table: list[dict], title: str = "Factors", tree: bytes | None = None) -> str:
+def report(table: list[dict], title: str = "Factors", tree: bytes | None = None, newick: str = "") -> str:
     """A page with one row a factor; text on colours is black or white by their luminance."""
     import base64
 
@@ -147,4 +172,4 @@ def report(table: list[dict], title: str = "Factors", tree: bytes | None = None)
                 style = f" style='background:rgb({r},{g},{b});color:{ink}'"
             cells.append(f"<td{style}>{html.escape(str(row[n]))}</td>")
         out.append("<tr>" + "".join(cells) + "</tr>")
-    return "".join([*out, "</table></body></html>"])
+    return "".join([*out, "</table>", f"<pre>{html.escape(newick)}</pre>" if newick else "", "</body></html>"])
