@@ -136,6 +136,15 @@ def svg_scan(spark: SparkSession, d: str) -> DataFrame:
     return sp.within(px(spark, d), readers.polygon_edges(spark, shapes)).select("X", "Y", "gene", "Count")
 
 
+@query(f"WITH {PX} SELECT X, Y, gene, Count FROM px WHERE X BETWEEN 250 AND 420 AND Y BETWEEN 100 AND 333")
+def curve_scan(spark: SparkSession, d: str) -> DataFrame:
+    """A box of pixels that were written along a space-filling curve: files outside of its ranges are left out by their footers."""
+    path, p = _folder(spark, d, "curve"), px(spark, d).select("X", "Y", "gene", "Count")
+    extent = b.extent(p)
+    sinks.write_curve(p, path, 5.0, extent)
+    return readers.curve(spark, path, (250.0, 420.0, 100.0, 333.0), 5.0, extent)
+
+
 @query(f"WITH {PX} SELECT X, Y, gene, Count, grp FROM px WHERE (grp = 'A' AND Y BETWEEN 100 AND 300) OR (grp = 'N' AND Y BETWEEN 500 AND 900)")
 def region_scan(spark: SparkSession, d: str) -> DataFrame:
     return readers.lane_regions(px(spark, d), [("A", 100.0, 300.0), ("N", 500.0, 900.0)], "grp")

@@ -163,6 +163,56 @@ def blocked(pixels: DataFrame, block: float = 2000, scale: float = 100, off_x: f
     })
 
 
+#: The column of places on a curve, and the bits of a cell's number along an axis.
+CURVE, CURVE_BITS = "curve", 20
+
+
+def curve_cell(value: Column, low: float, cell: float) -> Column:
+    """The number of a value's cell from ``low``, held within the curve."""
+    return F.least(F.greatest(F.floor((value - F.lit(float(low))) / F.lit(float(cell))), F.lit(0)), F.lit((1 << CURVE_BITS) - 1)).cast("long")
+
+
+def curve_key(x: Column, y: Column, cell: float, box: tuple[float, float, float, float]) -> Column:
+    """A place's number on a Z curve over cells: the bits of its cell's numbers in turn, those of x the higher ones."""
+
+    def apart(c: Column) -> Column:  # each bit moves to twice its place
+        for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+            c = c.bitwiseOR(F.shiftleft(c, shift)).bitwiseAND(F.lit(mask))
+        return c
+
+    return F.shiftleft(apart(curve_cell(x, box[0], cell)), 1).bitwiseOR(apart(curve_cell(y, box[2], cell)))
+
+
+def curve_ranges(cells: tuple[int, int, int, int], most: int = 64) -> list[tuple[int, int]]:
+    """Ranges of a Z curve that cover cells (first and last along x, and along y), bounds included: at most about ``most``, the rest being too much and not too little.
+
+    Squares of the curve are divided while they are partly covered and there is room.
+    """
+    x0, x1, y0, y1 = cells
+    open_, whole = [(CURVE_BITS, 0, 0)], []
+    while open_ and len(open_) + len(whole) < most:
+        level, qx, qy = max(open_)
+        open_.remove((level, qx, qy))
+        if level == 0:
+            whole.append((level, qx, qy))
+            continue
+        for i in (0, 1):
+            for j in (0, 1):
+                k, a, b = level - 1, 2 * qx + i, 2 * qy + j
+                if a << k > x1 or ((a + 1) << k) - 1 < x0 or b << k > y1 or ((b + 1) << k) - 1 < y0:
+                    continue
+                inside = x0 <= a << k and ((a + 1) << k) - 1 <= x1 and y0 <= b << k and ((b + 1) << k) - 1 <= y1
+                (whole if inside else open_).append((k, a, b))
+    out: list[tuple[int, int]] = []
+    for lo, level in sorted((sum(((a >> i & 1) << 2 * i + 1) | ((b >> i & 1) << 2 * i) for i in range(CURVE_BITS)) << 2 * k, k) for k, a, b in whole + open_):
+        hi = lo + (1 << 2 * level) - 1
+        if out and out[-1][1] + 1 == lo:
+            out[-1] = (out[-1][0], hi)
+        else:
+            out.append((lo, hi))
+    return out
+
+
 def bounding_box(pixels: DataFrame, mu_scale: float = 1.0) -> DataFrame:
     """One row (xmin, xmax, ymin, ymax) in micrometres."""
     s = F.lit(float(mu_scale))

@@ -2,10 +2,10 @@
 
 The model is a small K x M matrix on the driver. A step sends it to the tasks,
 which infer the units of one batch, a block at a time, and return expected
-counts by factor and gene; these are summed by Spark, and only the K x M sums
-come back. Batches are hash buckets of units; a group of batches is held in
-memory while its steps are made, so that an epoch reads the units once. Random
-starts are hashes of seed, step and unit: a model does not depend on how units
+counts by factor and gene as arrays by ranges of genes; these are summed by Spark,
+and only the K x M sums come back. Batches are hash buckets of units, held in
+memory in their order, and an epoch has at most ``STEPS`` of them. Several models
+learn in one pass. Random starts are hashes of seed, step and unit: a model does not depend on how units
 are partitioned, nor on executors that are lost.
 """
 
@@ -29,8 +29,8 @@ from tessera.operators.matrix import parts
 EPS = 1e-100
 #: Units inferred together by a task.
 BLOCK = 512
-#: Batches whose units are held in memory together.
-GROUP = 64
+#: Genes whose sums are added up in one place, and batches of an epoch at most.
+RANGE, STEPS = 2048, 64
 
 
 def starts(keys: np.ndarray, k: int) -> np.ndarray:
@@ -110,6 +110,72 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield batch.iloc[a : a + BLOCK]
 
 
+def expected_all(models: list[Lda], units: DataFrame) -> tuple[np.ndarray, int]:
+    """(sums R x K x M, number of units): one expectation step of R models of the same genes in one pass over ``units``.
+
+    An ambient profile takes part as a fixed factor. A task sends its sums as
+    arrays by ranges of genes, each of which is added up in one place, so that a
+    step moves M / RANGE rows a task and not one for each factor and gene.
+    """
+    k, m, seen = models[0].k, len(models[0].genes), []
+    for x in models:
+        beta = x.beta()
+        if x.ambient is not None:  # as sure of itself as the factors are on average
+            beta = np.vstack([beta, np.exp(expected_log(x.ambient[None] * x.lam.sum(1).mean() + EPS))])
+        seen.append((beta, x.alpha))
+    r = len(models)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, n = np.zeros((r, k, m)), 0
+        for b in _blocks(batches):
+            rows, cols, vals = _coo(b)
+            first = np.array(b["h"].to_list(), np.int64).reshape(len(b), r)
+            for i, (beta, alpha) in enumerate(seen):
+                total[i] += infer(rows, cols, vals, len(b), beta, alpha, starts(first[:, i], len(beta)))[1][:k]
+            n += len(b)
+        parts = [total[:, :, a : a + RANGE] for a in range(0, m, RANGE)]
+        yield pd.DataFrame({"part": range(len(parts)), "n": n, "v": [x.tobytes() for x in parts]})
+
+    def add(part: pd.DataFrame) -> pd.DataFrame:
+        v = np.zeros(len(part["v"].iloc[0]) // 8)
+        for x in part["v"]:
+            v += np.frombuffer(x)
+        return pd.DataFrame({"part": part["part"].iloc[:1], "n": [int(part["n"].sum())], "v": [v.tobytes()]})
+
+    first = F.array(*(F.xxhash64(F.lit(x.seed), F.lit(x.step), "unit") for x in models)).alias("h")
+    schema = "part long, n long, v binary"
+    got = units.select("idx", "cnt", first).mapInPandas(run, schema).groupBy("part").applyInPandas(add, schema).collect()  # as large as the models
+    sums, n = np.zeros((r, k, m)), 0
+    for row in got:
+        here = sums[:, :, row.part * RANGE : (row.part + 1) * RANGE]
+        here += np.frombuffer(bytes(row.v)).reshape(here.shape)
+        n = row.n
+    return sums, n
+
+
+def fit_all(models: list[Lda], units: DataFrame, epochs: float = 1, batch_size: int = 512, total: int | None = None) -> None:
+    """Stochastic learning of several models of the same genes: a step is one pass over a batch for all of them, in the order of the first one's seed.
+
+    An epoch has at most ``STEPS`` batches, so that a step has work for all cores
+    however many units there are. Units are held in the order of their batches.
+    """
+    spark, seed = units.sparkSession, models[0].seed
+    cores = max(spark.sparkContext.defaultParallelism, 1)
+    dealt = units.repartition(max(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))), "unit").persist()
+    n = total or dealt.count()
+    batches = max(1, min(n // batch_size, STEPS))
+    held = dealt.withColumn("_b", F.pmod(F.xxhash64(F.lit(seed), "unit"), F.lit(batches))).sortWithinPartitions("_b").persist()
+    epoch, left = 0, max(1, round(epochs * batches)) if epochs > 0 else 0
+    while left > 0:
+        order = np.random.Generator(np.random.PCG64([seed, epoch])).permutation(batches)[:left]
+        for b in order:
+            sums, got = expected_all(models, held.filter(F.col("_b") == int(b)) if batches > 1 else held)
+            for x, v in zip(models, sums):
+                x.moved(v, got, n)
+        left, epoch = left - len(order), epoch + 1
+    held.unpersist(), dealt.unpersist()
+
+
 @dataclass
 class Lda:
     """A model of ``k`` factors over the genes of an index; ``lam`` is its Dirichlet parameter, K x M."""
@@ -143,37 +209,23 @@ class Lda:
     # --- learning ---
 
     def expected(self, units: DataFrame) -> tuple[np.ndarray, int]:
-        """(sums K x M, number of units): one expectation step over all of ``units``. An ambient profile takes part as a fixed factor."""
-        beta, alpha, k, m = self.beta(), self.alpha, self.k, len(self.genes)
-        if self.ambient is not None:  # as sure of itself as the factors are on average
-            beta = np.vstack([beta, np.exp(expected_log(self.ambient[None] * self.lam.sum(1).mean() + EPS))])
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total, n = np.zeros((k, m)), 0
-            for b in _blocks(batches):
-                rows, cols, vals = _coo(b)
-                total += infer(rows, cols, vals, len(b), beta, alpha, starts(b["h"].to_numpy(), len(beta)))[1][:k]
-                n += len(b)
-            i, j = np.nonzero(total)
-            yield pd.DataFrame({"k": np.append(i, -1), "idx": np.append(j, 0), "v": np.append(total[i, j], float(n))})
-
-        first = F.xxhash64(F.lit(self.seed), F.lit(self.step), "unit").alias("h")
-        got = units.select("idx", "cnt", first).mapInPandas(run, "k long, idx long, v double").groupBy("k", "idx").agg(F.sum("v").alias("v")).toPandas()
-        n = int(got.loc[got.k < 0, "v"].sum())
-        got = got[got.k >= 0]
-        sums = np.zeros((k, m))
-        sums[got.k.to_numpy(), got.idx.to_numpy()] = got.v.to_numpy()
-        return sums, n
+        """(sums K x M, number of units): one expectation step over all of ``units``."""
+        sums, n = expected_all([self], units)
+        return sums[0], n
 
-    def update(self, units: DataFrame, total: float) -> int:
-        """One stochastic step with the units of a batch, of ``total`` units in all."""
-        sums, n = self.expected(units)
+    def moved(self, sums: np.ndarray, n: int, total: float) -> None:
+        """One stochastic step by the sums of n units, of ``total`` in all."""
         if n:
             if self.penalty > 0 and self.step > 3:
                 sums = unmixed(sums, self.lam, self.penalty, self.ambient, self.ambient_only)
             self.step += 1
             rho = (self.tau + self.step) ** -self.kappa
             self.lam = (1 - rho) * self.lam + rho * (self.eta + total / n * sums)
+
+    def update(self, units: DataFrame, total: float) -> int:
+        """One stochastic step with the units of a batch, of ``total`` units in all."""
+        sums, n = self.expected(units)
+        self.moved(sums, n, total)
         return n
 
     def batch_update(self, units: DataFrame) -> int:
@@ -184,32 +236,8 @@ class Lda:
         return n
 
     def fit(self, units: DataFrame, epochs: float = 1, batch_size: int = 512, total: int | None = None) -> Lda:
-        """Stochastic learning: every epoch visits all batches, in another order; a fraction of an epoch visits that share of them.
-
-        Units are spread over all cores. Groups of batches follow each other in
-        random order, and so do the batches of a group.
-        """
-        spark = units.sparkSession
-        cores = max(spark.sparkContext.defaultParallelism, 1)
-        dealt = units.repartition(max(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))), "unit").persist()
-        n = total or dealt.count()
-        batches = max(1, n // batch_size)
-        dealt = dealt.withColumn("_b", F.pmod(F.xxhash64(F.lit(self.seed), "unit"), F.lit(batches)))
-        epoch, left = 0, max(1, round(epochs * batches)) if epochs > 0 else 0
-        while left > 0:
-            rng = np.random.Generator(np.random.PCG64([self.seed, epoch]))
-            for g in rng.permutation(-(-batches // GROUP)):
-                mine = rng.permutation(np.arange(g * GROUP, min(batches, (g + 1) * GROUP)))[:left]
-                if not len(mine):
-                    break
-                held = dealt if batches <= GROUP else dealt.filter(F.col("_b").between(int(g) * GROUP, int(g) * GROUP + GROUP - 1)).persist()
-                for b in mine:
-                    self.update(held.filter(F.col("_b") == int(b)) if batches > 1 else held, n)
-                if held is not dealt:
-                    held.unpersist()
-                left -= len(mine)
-            epoch += 1
-        dealt.unpersist()
+        """Stochastic learning: every epoch visits all batches, in another order; a fraction of an epoch visits that share of them."""
+        fit_all([self], units, epochs, batch_size, total)
         return self
 
     # --- use ---
@@ -293,17 +321,17 @@ def restarts(units: DataFrame, counts: DataFrame, genes: list, k: int, r: int =
     """(best model, coherence (R, factor, score0, score)): r starts on a share of the units, scored on the rest."""
     fitting, testing = parts(units, train, seed)
     fitting, testing = fitting.persist(), testing.persist()
-    scores, models = [], []
+    scores = []
     names = units.sparkSession.createDataFrame([(str(g), i) for i, g in enumerate(genes)], "gene string, idx int")
     held = testing.select("unit", F.explode(F.arrays_zip("idx", "cnt")).alias("z")).select("unit", F.col("z.idx").alias("idx"), F.col("z.cnt").alias("n")).join(names, "idx").select("unit", "gene", "n")
-    for i in range(r):
-        model = Lda(genes, k, seed=seed + i, **options).fit(fitting, epochs)
+    models = [Lda(genes, k, seed=seed + i, **options) for i in range(r)]
+    fit_all(models, fitting, epochs)  # all starts in one pass a step
+    for i, model in enumerate(models):
         theta = model.transform(testing).persist()
         post = posterior_counts(theta, held).withColumnRenamed("cnt", "n")
         tests = chi_square(post, 0)
         best = tests.withColumn("_r", F.row_number().over(Window.partitionBy("factor").orderBy(F.col("chi2").desc(), "gene"))).filter(F.col("_r") <= top).select(F.col("factor").cast("int").alias("factor"), "gene")
         scores.append(coherence(held, long(theta).select("unit", "factor", "p"), best).toPandas().assign(R=i))
-        models.append(model)
         theta.unpersist()
     fitting.unpersist(), testing.unpersist()
     every = pd.concat(scores)

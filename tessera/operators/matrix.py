@@ -31,6 +31,41 @@ def units(counts: DataFrame, index: DataFrame, min_ct: float = 50) -> DataFrame:
     return packed.select("unit", F.col("v.idx").alias("idx"), F.col("v.n").alias("cnt"), "tot")
 
 
+#: Sums that come to the driver from one histogram.
+BUCKETS = 4096
+
+
+def at_rank(df: DataFrame, column: str, rank: int) -> float | None:
+    """The value of a column that has ``rank`` others before it: histograms, each of the bucket of the last one that holds the rank.
+
+    A bucket goes on between its least and greatest values, so that it ends with
+    one value however they lie; what comes to the driver is a bucket's counts.
+    """
+    c = F.col(column).cast("double")
+    low, high = df.agg(F.min(c), F.max(c)).first()
+    while low is not None and low < high:
+        wide = (high / BUCKETS) - (low / BUCKETS)
+        place = F.least(F.floor((c - F.lit(low)) / F.lit(wide)), F.lit(BUCKETS - 1)) if wide > 0 else (c > F.lit(low)).cast("long")
+        rows = df.filter(c.between(low, high)).groupBy(place.alias("k")).agg(F.count("*").alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi")).orderBy("k").collect()
+        for r in rows:
+            if rank < r.n or r is rows[-1]:
+                break
+            rank -= r.n
+        low, high = r.lo, r.hi
+    return low
+
+
+def quantile(df: DataFrame, column: str, q: float) -> float | None:
+    """The exact quantile of a column's values that are not null, linear between the two ranks around it."""
+    known = df.filter(F.col(column).isNotNull())
+    n = known.count()
+    if not n:
+        return None
+    at = q * (n - 1)
+    low = at_rank(known, column, int(at))
+    return low if at == int(at) else low + (at_rank(known, column, int(at) + 1) - low) * (at - int(at))
+
+
 def log_normalised(counts: DataFrame, size_factor: bool = False) -> DataFrame:
     """(unit, gene, x): logarithms of scaled counts.
 
@@ -39,8 +74,10 @@ def log_normalised(counts: DataFrame, size_factor: bool = False) -> DataFrame:
     in a unit of the 95 % quantile.
     """
     sums = counts.groupBy("unit").agg(F.sum("n").cast("double").alias("s"))
-    q95, mean = sums.agg(F.percentile("s", 0.95), F.avg("s")).first()  # two numbers
     both = counts.join(sums, "unit")
+    held = sums.select("s").persist()  # one number a unit
+    q95, mean = quantile(held, "s", 0.95), held.agg(F.avg("s")).first()[0]
+    held.unpersist()
     if q95 is None:
         return both.select("unit", "gene", F.lit(0.0).alias("x"))
     if size_factor:

@@ -12,6 +12,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import binning
 from tessera.operators.filters import without
 from tessera.schema import factor_columns, micrometres, normalised, theta
 from tessera.sources import bgzf
@@ -212,6 +213,20 @@ def pixels_indexed(spark: SparkSession, path: str, regions: list[tuple[str, floa
     return micrometres(out, mu_scale) if mu_scale != 1 else out
 
 
+def curve(spark: SparkSession, path: str, box: tuple[float, float, float, float], cell: float, extent: tuple[float, float, float, float], x: str = "X", y: str = "Y") -> DataFrame:
+    """Rows in a box (xmin, xmax, ymin, ymax), bounds included, of a table on a Z curve: its ranges are pushed to the footers of the files.
+
+    ``cell`` and ``extent`` are those that the table was written with.
+    """
+    top = (1 << binning.CURVE_BITS) - 1
+    cells = [min(max(math.floor((v - extent[i // 2 * 2]) / cell), 0), top) for i, v in enumerate(box)]
+    df, keep = spark.read.parquet(path), F.lit(False)
+    for lo, hi in binning.curve_ranges(tuple(cells)):
+        keep = keep | F.col(binning.CURVE).between(lo, hi)
+    inside = F.col(x).between(box[0], box[1]) & F.col(y).between(box[2], box[3])
+    return df.filter(keep).filter(inside).drop(binning.CURVE)
+
+
 def lane_regions(df: DataFrame, regions: list[tuple[str, float, float]], lane: str = "lane", y: str = "Y") -> DataFrame:
     """Rows of regions (lane, from, to), bounds included; on a table partitioned by lane this prunes."""
     keep = F.lit(False)

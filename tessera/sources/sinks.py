@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.binning import blocked
+from tessera.operators.binning import CURVE, blocked, curve_key
 from tessera.sources import bgzf
 
 
@@ -78,6 +78,13 @@ def block_table(decoded: DataFrame, path: str, **options) -> None:
     blocked(decoded, **options).repartition("BLOCK").sortWithinPartitions("Y", "X").write.mode("overwrite").partitionBy("BLOCK").parquet(path)
 
 
+def write_curve(df: DataFrame, path: str, cell: float, box: tuple[float, float, float, float], x: str = "X", y: str = "Y") -> None:
+    """Rows in the order of a Z curve over cells, in files of a range of it each, so that a box needs few of them: see :func:`readers.curve`."""
+    key = curve_key(F.col(x), F.col(y), cell, box)
+    out = df.withColumn(CURVE, key).repartitionByRange(CURVE).sortWithinPartitions(CURVE, x, y)
+    out.write.mode("overwrite").parquet(path)
+
+
 def sparse_matrix(dge: DataFrame, features: DataFrame, precision: int = 2) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(features, barcodes, entries) of a unit by gene table with x and y: names and indices from 1, in the order of names.
 
@@ -102,8 +109,9 @@ def numbered(df: DataFrame, name: str, *keys: str) -> DataFrame:
 
 def write_matrix(dge: DataFrame, features: DataFrame, path: str, symbol: str = "Gene Expression") -> None:
     """features.tsv, barcodes.tsv and matrix.mtx folders in the layout of single-cell tools."""
-    f, u, e = sparse_matrix(dge, features)
     spark = dge.sparkSession
+    dge.write.mode("overwrite").parquet(f"{path}/counts")  # binned once, and read for the units, the entries and their numbers
+    f, u, e = sparse_matrix(spark.read.parquet(f"{path}/counts"), features)
     f.orderBy("gene_idx").select(F.concat_ws("\t", "gene", "gene", F.lit(symbol))).coalesce(1).write.mode("overwrite").option("compression", "gzip").text(f"{path}/features")
     u.orderBy("barcode_idx").select("barcode").write.mode("overwrite").option("compression", "gzip").text(f"{path}/barcodes")
     size = f"%%MatrixMarket matrix coordinate integer general\n%\n{f.count()} {u.count()} {e.count()}"
