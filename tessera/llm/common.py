@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,8 +39,8 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{scratch_root(spark)}/tessera/{tag}-{uuid.uuid4().hex}"
 
 
-#: Paths written within each open :func:`finished`, which deletes them.
-_scopes: list[list[str]] = []
+#: Paths written within the open :func:`finished` of this thread, which deletes them.
+_scope: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
 
 def written(df: DataFrame, path: str, *partition_by: str) -> DataFrame:
@@ -54,21 +55,22 @@ def stored(df: DataFrame, tag: str, *partition_by: str) -> DataFrame:
     This cuts lineage: later passes read the table and survive lost executors.
     """
     path = scratch_path(df.sparkSession, tag)
-    for scope in _scopes[-1:]:
+    if (scope := _scope.get()) is not None:
         scope.append(path)
     return written(df, path, *partition_by)
 
 
 def finished(spark: SparkSession, tag: str, make: Callable[[], DataFrame]) -> DataFrame:
     """The stored result of ``make``; the tables that were stored on the way are deleted, as nothing reads them any more."""
-    path = scratch_path(spark, tag)
-    for scope in _scopes[-1:]:
-        scope.append(path)
-    _scopes.append([])
+    path, own = scratch_path(spark, tag), []
+    if (outer := _scope.get()) is not None:
+        outer.append(path)
+    token = _scope.set(own)
     try:
         return written(make(), path)
     finally:
-        for x in _scopes.pop():
+        _scope.reset(token)
+        for x in own:
             drop_path(spark, x)
 
 

@@ -13,7 +13,7 @@ Lines are keyed by two independent 64-bit hashes, with which no two lines of a
 corpus of 100 TB are expected to collide.
 
 Defined results: a null text is one empty line; a null doc_id sorts below all
-others; repeated rows count as documents of their own and lose the same lines;
+others, and ids are whole numbers; repeated rows count as documents of their own and lose the same lines;
 lines of one document count once; an empty table gives an empty result; other
 columns stay.
 """
@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import closing, contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -143,12 +143,11 @@ def dropped_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", m
     """(d, th, gone): the places of the lines that a document loses, for documents that lose any."""
     spark = docs.sparkSession
     occ = stored(occurrences(docs, text, doc_id, min_chars).withColumn("batch", F.pmod(F.xxhash64("d"), F.lit(batches)).cast("int")), "line-occurrences", "batch")
-    runs = LineRuns(spark, fan_in)
-    for b in range(batches):
-        runs.add(occ.filter(F.col("batch") == b).groupBy("h1", "h2").agg(F.sum(F.col("first").cast("long")).alias("n_docs"), F.max("d").alias("last_doc")))
-    with _in_order(spark):
-        frequent = stored(runs.frequent(min_docs).select("h1", "h2", "last_doc"), "line-frequent")
-    runs.close()
+    with closing(LineRuns(spark, fan_in)) as runs:
+        for b in range(batches):
+            runs.add(occ.filter(F.col("batch") == b).groupBy("h1", "h2").agg(F.sum(F.col("first").cast("long")).alias("n_docs"), F.max("d").alias("last_doc")))
+        with _in_order(spark):
+            frequent = stored(runs.frequent(min_docs).select("h1", "h2", "last_doc"), "line-frequent")
     hits = occ.join(frequent, ["h1", "h2"]).filter(F.col("d") < F.col("last_doc"))
     return hits.groupBy("d", "th").agg(F.collect_set("pos").alias("gone"))
 

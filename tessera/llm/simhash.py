@@ -21,51 +21,50 @@ bit at most. A pair of Jaccard similarity j, whose bits agree with probability
 p = 1 - acos(2j / (1 + j)) / pi, shares a block with a probability of about
 1 - (1 - p ** BLOCK_BITS) ** (2 * BLOCK_COUNT): 0.995 for j = 0.8, above 0.999
 from 0.82. Pairs that share a block are candidates if their first ``HEAD`` longs
-differ in no more bits than 0.8 does with four standard errors, which loses one
-in 30,000 at 0.8; the exact Jaccard similarity of their shingles then decides.
-Two texts with nothing in common share a block by chance once in 2 **
+differ in no more bits than 0.8 does with five standard errors, which loses one
+in three million at 0.8; the exact Jaccard similarity of their shingles then
+decides. Two texts with nothing in common share a block by chance once in 2 **
 BLOCK_BITS. From 2 ** 24 documents on, :func:`cut_for` takes a bit more for each
 doubling, so that a document still meets less than one by chance in a block, and
 as many blocks more as keep the probability for pairs at the limit.
 
-Blocks that more than ``crowd`` fingerprints share are worked off by leaders. In
-the first round a block's leader is the one that is in most of such blocks, and
-all others are compared with it. The links so far, those of small blocks
-included, make groups; members of one group need no further link, so that a
-block of copies costs its size and not its square. Only those outside of a
-block's greatest group go on: drawn as leaders, they are compared with all of the
-block's other groups, and those similar to a leader are settled. Leaders are
-doubled each round until none is left. Two of different groups that different
-leaders settled are not compared in that block; this is the one place where
-pairs that share a block may be missed.
+Blocks move as (key, id), counted before they are joined, and pairs as (u, v); a
+fingerprint's head is fetched for different pairs only. Blocks that more than
+``crowd`` fingerprints share are worked off as in :mod:`tessera.llm.jaccard_join`:
+held against a leader each, which links copies to it, a few times over; rows of
+one component need no further link, and rows outside of a block's greatest
+component are compared with all others of the block tile by tile. So every pair
+that shares a block is decided, or is in one group already.
 
 Texts that are the same but for lines they repeat are copies to
 :func:`near_groups`, whatever their shingles say: both have the same lines in
-the same order of first places.
+the same order of first places. Texts, their lines and fingerprints are told
+apart by two 64-bit hashes each.
 
 Defined results: a null or blank text has fingerprint zero, linked like any
 other; texts of fewer words than a shingle are one shingle; repeated rows share
 a component; documents without an id never are a component's id unless all of it
-lacks ids; an empty table gives an empty result; other columns stay.
+lacks ids, which are whole numbers; an empty table gives an empty result; other
+columns stay.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from functools import reduce
 from itertools import combinations
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.common import col, fresh, mapped, stored, text_or_empty
 from tessera.llm.components import components
+from tessera.llm.jaccard_join import alike, leader_pairs, open_links
 
 SEED = 42
 ONES = [1 << i for i in range(63)] + [-(1 << 63)]
@@ -149,7 +148,7 @@ def grouped(prints: DataFrame, bits: int = 2, blocks: int = BLOCKS, crowd: int =
 # --- wide fingerprints, for a similarity on shingles ---
 
 #: Blocks of a wide fingerprint in one cut, and their bits; longs that candidates are found by.
-BLOCK_COUNT, BLOCK_BITS, HEAD = 160, 25, 62
+BLOCK_COUNT, BLOCK_BITS, HEAD = 160, 25, 8
 
 
 class Cut(NamedTuple):
@@ -171,7 +170,8 @@ CUT = Cut()
 WIDE, LONGS = CUT.wide, CUT.longs
 #: The probability with which a pair at the limit shares no block.
 MISSED = 0.005
-WIDE_CROWD, LAST = 8, 8
+#: Fingerprints of a block that are compared as pairs, and leaders that a block has one after the other.
+WIDE_CROWD, ROUNDS = 8, 3
 #: Rows of a table that is broadcast at most.
 BROADCAST_IDS = 200_000
 _LANES = np.uint64(0x0101010101010101)
@@ -197,9 +197,9 @@ def cut_for(n: int, similarity: float = 0.8) -> Cut:
 
 
 def most_bits(similarity: float) -> int:
-    """The Hamming distance of ``HEAD`` longs up to which a pair of a Jaccard similarity is a candidate: the mean and four standard errors."""
+    """The Hamming distance of ``HEAD`` longs up to which a pair of a Jaccard similarity is a candidate: the mean and five standard errors."""
     share, n = 1 - agreement(similarity), HEAD * 64
-    return int(n * share + 4 * np.sqrt(n * share * (1 - share)))
+    return int(n * share + 5 * np.sqrt(n * share * (1 - share)))
 
 
 def _added(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -286,117 +286,116 @@ def _blocks(distinct: DataFrame, cut: Cut = CUT) -> DataFrame:
     return mapped(distinct.select("id", "wide"), run, "key long, id long")
 
 
-def _distance(a: str, b: str) -> Column:
-    """The bits in which the heads of two wide fingerprints differ."""
-    return sum((F.bit_count(F.get(F.col(a), F.lit(i)).bitwiseXOR(F.get(F.col(b), F.lit(i)))) for i in range(1, HEAD)), F.bit_count(F.get(F.col(a), F.lit(0)).bitwiseXOR(F.get(F.col(b), F.lit(0)))))
+def close(pairs: DataFrame, heads: DataFrame, most: int) -> DataFrame:
+    """Those of different pairs (u, v) whose heads (id, head) differ in at most so many bits."""
+    x, y = (heads.select(F.col("id").alias(c), F.col("head").alias(h)) for c, h in (("u", "x"), ("v", "y")))
+    bits = sum((F.bit_count(F.get("x", F.lit(i)).bitwiseXOR(F.get("y", F.lit(i)))) for i in range(1, HEAD)), F.bit_count(F.get("x", F.lit(0)).bitwiseXOR(F.get("y", F.lit(0)))))
+    return pairs.join(x, "u").join(y, "v").filter(bits <= most).select("u", "v")
 
 
 def _sets(texts: DataFrame, k: int) -> DataFrame:
-    """(id, shingles): the distinct shingle hashes of texts (id, text)."""
+    """(id, n, grams): the distinct shingle hashes of texts (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 64):
                 part = batch.slice(a, 64)
                 sets = [np.unique(np.array(shingle_hashes(x or "", k), np.uint64)).view(np.int64) for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int32()), pa.array(sets, pa.list_(pa.int64()))], ["id", "n", "grams"])
 
-    return mapped(texts.select("id", "text"), run, "id long, shingles array<long>")
-
-
-def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of different pairs (u, v) whose sets have at least a Jaccard similarity. Narrow pairs meet v first, which may be a leader."""
-    both = pairs.join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("y")), "v").join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("x")), "u")
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.filter(shared / (F.size("x") + F.size("y") - shared) >= F.lit(float(similarity))).select("u", "v")
+    return mapped(texts.select("id", "text"), run, "id long, n int, grams array<long>")
 
 
 def wide_links(distinct: DataFrame, similarity: float, sets_of: Callable[[DataFrame], DataFrame], crowd: int = WIDE_CROWD, cut: Cut = CUT) -> DataFrame:
-    """(u, v): links between the ids of different wide fingerprints (id, wide) whose shingles are alike.
+    """(u, v): links between the ids of different wide fingerprints (id, wide) whose shingles are alike, as many as join their groups.
 
-    Blocks move as (key, id). Fingerprints are fetched for the members of small
-    blocks, where the distance is a condition of the join, so that pairs which
-    only share a block are never rows; and for different pairs of member and
-    leader, of which near copies have one and not one a block. ``sets_of`` gives
-    (id, shingles) for a table of ids: those of candidates and of crowded blocks.
+    ``sets_of`` gives (id, n, grams), the shingles of a table of ids: those of
+    candidates, and of crowded blocks that leaders did not make one group.
     """
-    bits, head = most_bits(similarity), distinct.select("id", F.slice("wide", 1, HEAD).alias("wide"))
-
-    by_key = Window.partitionBy("key")
-    met = stored(_blocks(distinct, cut).withColumn("n", F.count("*").over(by_key)).filter("n > 1"), "wide-met")
-    few = stored(met.filter(F.col("n") <= crowd).join(head, "id").select("key", "id", "wide"), "wide-few")
-    pairs = few.select("key", F.col("id").alias("u"), F.col("wide").alias("x")).join(few.select("key", F.col("id").alias("v"), F.col("wide").alias("y")), "key")
-    pairs = stored(pairs.filter((F.col("u") < F.col("v")) & (_distance("x", "y") <= bits)).select("u", "v").distinct(), "wide-pairs")
-    crowded = met.filter(F.col("n") > crowd).select("key", "id")
-    often = crowded.withColumn("deg", F.count("*").over(Window.partitionBy("id")))
-    led = stored(often.withColumn("leader", F.max(F.struct("deg", "id")).over(by_key)["id"]), "wide-led")
-    first = led.filter("id <> leader").select(F.col("id").alias("u"), F.col("leader").alias("v")).distinct().join(head.toDF("u", "x"), "u").join(head.toDF("v", "y"), "v")
-    first = stored(first.filter(_distance("x", "y") <= bits).select("u", "v"), "wide-close")
-    ids = [x.select(F.col(c).alias("id")) for x in (pairs, first) for c in "uv"]
-    sets = sets_of(reduce(DataFrame.unionByName, ids, crowded.select("id")).distinct())
-    links = stored(_alike(pairs.unionByName(first).distinct(), sets, similarity), "wide-links")
-    if led.isEmpty():
+    bits, percent = most_bits(similarity), round(100 * similarity)
+    heads = stored(distinct.select("id", F.slice("wide", 1, HEAD).alias("head")), "wide-heads")
+    keyed = _blocks(distinct, cut).withColumnRenamed("key", "g")
+    shared = keyed.groupBy("g").agg(F.count("*").alias("all")).filter(F.col("all") > 1)
+    met = stored(keyed.join(shared, "g"), "wide-met")
+
+    def decided(pairs: DataFrame) -> DataFrame:
+        near = stored(close(pairs, heads, bits), "wide-close")
+        sets = sets_of(near.select(F.inline(F.array(F.struct(F.col("u").alias("id")), F.struct(F.col("v").alias("id"))))).distinct())
+        return stored(alike(near, sets, percent).filter("links").select("u", "v"), "wide-links")
+
+    few = met.filter(F.col("all") <= crowd).drop("all")
+    pairs = few.select("g", F.col("id").alias("u")).join(few.select("g", F.col("id").alias("v")), "g").filter("u < v").select("u", "v").distinct()
+    links = decided(pairs)
+    crowded = met.filter(F.col("all") > crowd).select("g", "id", F.lit(1).alias("n"))
+    crowded = stored(crowded.join(crowded.groupBy("id").agg(F.count("*").alias("deg")), "id"), "wide-crowded")
+    if crowded.isEmpty():
         return links
-    # Members of one group need no further link: a block is open to those that are not of its greatest group.
-    roots = components(links)
-    marked = led.join(roots, F.col("id") == F.col("node"), "left").select("key", "id", "deg", F.coalesce("root", "id").alias("root"))
-    marked = stored(marked, "wide-marked")
-    groups = marked.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("groups"))
-    groups = groups.filter("groups > 1").select("key", F.col("main.root").alias("main"))
-    left = stored(marked.join(groups, "key").filter("root <> main").select("key", "id", "deg", "root"), "wide-open")
-    turn = 0
-    while not left.isEmpty():
-        draw = F.pmod(F.xxhash64("id", "key", F.lit(turn)), F.lit(1 << 30))
-        sizes = left.groupBy("key").agg(F.count("*").alias("open"), F.max(F.struct("deg", "id")).alias("first"))
-        drawn = (F.col("open") <= LAST) | (draw * F.col("open") < F.lit((1 << min(turn, 30)) << 30))
-        leaders = left.join(sizes, "key").filter((F.col("id") == F.col("first.id")) | drawn).select("key", "id", "root")
-        leaders = stored(leaders.join(head, "id").select("key", F.col("id").alias("leader"), F.col("root").alias("other"), F.col("wide").alias("y")), "wide-leaders")
-        block = marked.join(leaders.select("key").distinct(), "key", "left_semi").select("key", "id", "root").join(head, "id")
-        found = block.join(leaders, "key").filter((F.col("root") != F.col("other")) & (_distance("wide", "y") <= bits))
-        found = stored(found.select("key", "id", "leader"), "wide-found")
-        near = stored(_alike(found.select(F.col("id").alias("u"), F.col("leader").alias("v")).distinct(), sets, similarity), "wide-near")
-        settled = found.join(near, (F.col("id") == F.col("u")) & (F.col("leader") == F.col("v")), "left_semi").select("key", "id").unionByName(leaders.select("key", F.col("leader").alias("id")))
-        left = stored(left.join(settled.distinct(), ["key", "id"], "left_anti"), "wide-open")
-        links, turn = links.unionByName(near), turn + 1
-    return links.distinct()
-
-
-def once_lines(text: Column) -> Column:
-    """The hash of a text's different lines in the order of their first places."""
-    return F.xxhash64(F.array_join(F.array_distinct(F.split(text, "\n", -1)), "\n"))
+
+    def rooted() -> DataFrame:
+        roots = components(links)
+        return stored(crowded.join(roots, crowded["id"] == roots["node"], "left").withColumn("root", F.coalesce("root", "id")).drop("node"), "wide-rooted")
+
+    tested = None
+    for _ in range(ROUNDS):
+        now = stored(leader_pairs(rooted(), 0), "wide-leaders")
+        new = decided(now if tested is None else now.join(tested, ["u", "v"], "left_anti"))
+        links, tested = links.unionByName(new), now if tested is None else tested.unionByName(now)
+        if new.isEmpty():
+            break
+    left = rooted()
+    several = left.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("g")
+    left = stored(left.join(several, "g"), "wide-open")
+    return links.unionByName(open_links(left, sets_of(left.select("id").distinct()), tested, percent, crowd=0))
+
+
+def _side(df: DataFrame) -> DataFrame:
+    """A stored table, to be broadcast if it is counted to be small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
+def _two(c: Column) -> list[Column]:
+    """Two independent 64-bit hashes."""
+    return [F.xxhash64(c), F.xxhash64(F.lit(1), c)]
+
+
+def _named(docs: DataFrame, text: str, doc_id: str, names: list[str]) -> DataFrame:
+    """``docs`` with what tells a document: its id, the greatest number if it has none, and its text by two hashes."""
+    return docs.withColumns(dict(zip(names, [F.coalesce(col(doc_id).cast("long"), F.lit((1 << 63) - 1)), *_two(text_or_empty(text))])))
+
+
+NAME, STAYS = ["d", "t1", "t2"], ["keeper", "k1", "k2"]
 
 
 def near_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id", crowd: int = WIDE_CROWD, cut: Cut | None = None) -> DataFrame:
-    """(d, th, keeper, keeper_th): for each document, by id and text hash, the one of its group that stays, the least."""
-    rows = docs.select(F.coalesce(col(doc_id).cast("long"), F.lit((1 << 63) - 1)).alias("d"), F.xxhash64(text_or_empty(text)).alias("th"), col(text).alias("text"), once_lines(text_or_empty(text)).alias("once"))
+    """(d, t1, t2, keeper, k1, k2): for each document, by id and text hashes, the same of the one of its group that stays, the least."""
+    lines = F.array_join(F.array_distinct(F.split(text_or_empty(text), "\n", -1)), "\n")  # different ones, in the order of their first places
+    rows = _named(docs.select(col(doc_id).alias("doc_id"), col(text).alias("text"), *(c.alias(n) for n, c in zip(("l1", "l2"), _two(lines)))), "text", "doc_id", NAME).drop("doc_id")
     cut = cut or cut_for(docs.count(), similarity)
-    prints = stored(wide_fingerprints(rows, k, cut=cut), "wide-prints")
-    mark = F.xxhash64("wide")  # two fingerprints with one mark, if there ever are such, are one
-    distinct = stored(prints.groupBy(mark.alias("id")).agg(F.any_value("wide").alias("wide"), F.min(F.struct("d", "th")).alias("rep")), "wide-distinct")
-
-    def sets_of(ids: DataFrame) -> DataFrame:
-        wanted = stored(ids.join(distinct.select("id", "rep"), "id").select("id", "rep.d", "rep.th"), "wide-wanted")
-        wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-        return stored(_sets(rows.join(wanted, ["d", "th"]).select("id", "text").dropDuplicates(["id"]), k), "wide-sets")
-
-    lines = prints.select("once", mark.alias("id")).distinct()
-    several = lines.groupBy("once").agg(F.min("id").alias("u"), F.max("id").alias("top")).filter("u < top").select("once", "u")
-    copies = lines.join(several, "once").select("u", F.col("id").alias("v")).filter("u <> v")
-    roots = components(wide_links(distinct, similarity, sets_of, crowd, cut).unionByName(copies))
-    named = stored(distinct.join(roots, distinct["id"] == roots["node"], "left").select("id", "rep", F.coalesce("root", "id").alias("root")), "wide-roots")
+    prints = stored(wide_fingerprints(rows, k, cut=cut).withColumns(dict(zip(("f1", "f2"), _two(F.col("wide"))))), "wide-prints")
+    distinct = prints.groupBy("f1", "f2").agg(F.any_value("wide").alias("wide"), F.min(F.struct(*NAME)).alias("rep"))
+    distinct = stored(distinct.withColumn("id", F.monotonically_increasing_id()), "wide-distinct")
+    ids = stored(prints.drop("wide").join(distinct.select("f1", "f2", "id"), ["f1", "f2"]).select(*NAME, "l1", "l2", "id"), "wide-ids")
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        wanted = _side(stored(distinct.join(_side(stored(wanted, "wide-wanted")), "id", "left_semi").select("id", "rep.*"), "wide-wanted"))
+        return stored(_sets(rows.join(wanted, NAME).select("id", "text").dropDuplicates(["id"]), k), "wide-sets")
+
+    same = ids.select("l1", "l2", "id").distinct()
+    several = same.groupBy("l1", "l2").agg(F.min("id").alias("u"), F.max("id").alias("top")).filter("u < top").drop("top")
+    copies = same.join(several, ["l1", "l2"]).select("u", F.col("id").alias("v")).filter("u <> v")
+    roots = components(wide_links(distinct.select("id", "wide"), similarity, sets_of, crowd, cut).unionByName(copies))
+    named = stored(distinct.select("id", "rep").join(roots, distinct["id"] == roots["node"], "left").select("id", "rep", F.coalesce("root", "id").alias("root")), "wide-roots")
     least = named.groupBy("root").agg(F.min("rep").alias("keeper"))
-    named = named.join(least, "root").select("id", "keeper")
-    return prints.select("d", "th", mark.alias("id")).join(named, "id").select("d", "th", F.col("keeper.d").alias("keeper"), F.col("keeper.th").alias("keeper_th"))
+    stays = named.join(least, "root").select("id", *(F.col("keeper")[x].alias(n) for x, n in zip(NAME, STAYS)))
+    return ids.select(*NAME, "id").join(stays, "id").select(*NAME, *STAYS)
 
 
 def dedup_near(docs: DataFrame, k: int = 5, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id", crowd: int = WIDE_CROWD) -> DataFrame:
     """One document of each group of near-duplicates: that of the least id, and one row of it."""
-    d, th, turn = (fresh(docs, x) for x in ("near_d", "near_th", "near_turn"))
-    stay = near_groups(docs, k, similarity, text, doc_id, crowd).select(F.col("keeper").alias(d), F.col("keeper_th").alias(th)).distinct()
-    keyed = docs.withColumns({d: F.coalesce(col(doc_id).cast("long"), F.lit((1 << 63) - 1)), th: F.xxhash64(text_or_empty(text))})
-    out = keyed.join(stored(stay, "near-stay"), [d, th], "left_semi")
-    once = F.row_number().over(Window.partitionBy(col(d), col(th)).orderBy(col(d)))
-    return out.withColumn(turn, once).filter(col(turn) == 1).select(*map(col, docs.columns))
+    names = [fresh(docs, f"near_{x}") for x in NAME]
+    stay = near_groups(docs, k, similarity, text, doc_id, crowd).select(*(F.col(x).alias(n) for x, n in zip(STAYS, names))).distinct()
+    out = _named(docs, text, doc_id, names).join(stored(stay, "near-stay"), names, "left_semi")
+    return out.dropDuplicates(names).select(*map(col, docs.columns))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -191,11 +191,13 @@ def in_order(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     before = {p: used[i - 1] for i, p in enumerate(used)}  # the first part is after the last
     parts = range(len(bounds) + 1)
     lead = [_numbers([firsts.get(p, (None, None))[i] for p in parts]) for i in (0, 1)]
-    own = F.struct(F.col("part"), F.lit(False).alias("extra"))
-    other = F.struct(F.get(_numbers([before.get(p) for p in parts]), F.col("part")).cast("int").alias("part"), F.lit(True).alias("extra"))
-    leads = (F.col("d") == F.get(lead[0], F.col("part"))) & (F.col("h") == F.get(lead[1], F.col("part")))
     placed = d.withColumn("part", part)
-    moved = placed.select("d", "h", "doc_id", "text", F.inline(F.when(leads, F.array(own, other)).otherwise(F.array(own))))
+    # Of the rows that are equal to a part's first one, one goes to the part before as well.
+    leads = placed.filter((F.col("d") == F.get(lead[0], F.col("part"))) & (F.col("h") == F.get(lead[1], F.col("part"))))
+    one = F.row_number().over(Window.partitionBy("part").orderBy("d", "h"))
+    other = F.get(_numbers([before.get(p) for p in parts]), F.col("part")).cast("int")
+    extra = leads.withColumn("one", one).filter("one = 1").select("d", "h", "doc_id", "text", other.alias("part"), F.lit(True).alias("extra"))
+    moved = placed.select("d", "h", "doc_id", "text", "part", F.lit(False).alias("extra")).unionByName(extra)
     return moved.repartitionById(max(n, 1), F.col("part")).sortWithinPartitions("part", "extra", "d", "h", "text").select("part", "extra", "doc_id", "text")
 
 
