@@ -210,3 +210,21 @@ def test_repeated_lines_are_copies(spark):
     texts = [line(0), f"{line(0)}\n{line(0)}", f"{line(1)}\n{line(2)}\n{line(1)}\n{line(2)}", f"{line(1)}\n{line(2)}", f"{line(2)}\n{line(3)}\n{line(4)}", None, "\n\n"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert [r.keeper for r in s.near_groups(df).orderBy("d").collect()] == [0, 0, 2, 2, 4, 5, 5]
+
+
+@pytest.mark.parametrize("families", [(60, 3), (120, 2)])
+def test_blocks_crowded_by_many_groups(spark, families):
+    """Families of one template, so that blocks are shared by many groups: the crowd as shipped loses no pair that shares a block."""
+    rng = np.random.default_rng(families[0])
+    template, texts = [f"t{i}" for i in range(220)], []
+    for _ in range(families[0]):
+        base = list(template)
+        for i in rng.choice(len(base), 14, replace=False):
+            base[i] = f"own{rng.integers(1 << 30)}"
+        texts += variants(rng, families[1], base, 4)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    keeper = {r.d: r.keeper for r in s.near_groups(df).collect()}
+    near = [(a, b) for a, b in combinations(range(len(texts)), 2) if jaccard(texts[a], texts[b]) >= 0.8]
+    assert len(near) >= families[0] / 2 and sum(keeper[a] == keeper[b] for a, b in near) >= 0.99 * len(near)
+    sure = grouped(range(len(texts)), lambda a, b: jaccard(texts[a], texts[b]) >= 0.8)
+    assert all(sure[a] == sure[k] for a, k in keeper.items())

@@ -131,3 +131,11 @@ def test_place_is_a_count(spark):
     rows = [(d, h) for d in (-(1 << 63), 2, 3, 5, 8, 9, 10) for h in (-(1 << 63), -1, 0, 1 << 62, (1 << 63) - 1)]
     got = spark.createDataFrame(rows, "d long, h long").select("d", "h", s._place(F.col("d"), F.col("h"), bounds).alias("p")).collect()
     assert [r.p for r in got] == [sum(b <= (r.d, r.h) for b in bounds) for r in got] and len(bounds) == 5
+
+
+def test_copies_of_a_first_row_move_once(spark):
+    """Half of all rows without an id and empty: each comes once, and each part has one successor."""
+    rows = [(None if i % 2 else i, "" if i % 2 else f"text {i}") for i in range(8000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = s.in_order(df).groupBy("part").agg(F.count_if(~F.col("extra")).alias("own"), F.count_if("extra").alias("more")).collect()
+    assert sum(r.own for r in got) == 8000 and {r.more for r in got} == {1}
