@@ -27,6 +27,8 @@ OPTIONS = {
     "make_dge": {"n_move": 3, "hex_width": 24.0, "min_ct": 20.0, "density": 0.2, "key": "Count", "mu_scale": 1.0, "boundary": "", "buffer": -1.0, "group_within": "", "debug": 0, "axis": "X", "untrimmed": False},
     "make_sge_by_hexagon": {"hex_width": 24.0, "n_move": 1, "density": 0.1, "key": "Count", "boundary": "", "buffer": -1.0, "overlap": 0.0},
     "fit_model": {"norm": "none", "by_epoch": False, "alpha": 1.0, "tau": 9.0, "kappa": 0.7, "n_factor": 12, "restarts": 5, "epochs": 1, "train": 0.5, "min_ct_unit": 50, "min_ct_feature": 50, "seed": 0},
+    "lda": {"n_factor": 10, "prior": "", "rescale": 0.0, "total": 1e4, "shift_log": False, "scale": 0.0, "epochs": 1, "epoch_length": 0, "min_ct_feature": 1, "min_ct_unit": 20, "alpha": 1.0, "tau": 9.0, "kappa": 0.7, "seed": 0},
+    "impute": {"decoded": "", "radius": 5.0, "k": 1, "halflife": 0.7, "include_self": False, "sparsify": 0.0, "indexed": False},
     "transform": {"model": "", "norm": "none", "n_move": 3, "hex_width": 24.0, "min_ct": 20.0, "precision": 1, "axis": "X", "untrimmed": False},
     "slda_decode": {"model": "", "anchors": "", "radius": 25.0, "halflife": 0.7, "side": 500.0, "halo": 50.0, "share": 0.2, "top": 3, "most": 0, "precision": 0.1},
     "de_bulk": {"min_ct": 50.0, "p": 1e-3, "fold": 1.5, "min_output": 10},
@@ -134,6 +136,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         model, scores = workflow.fit(read(a.input).select("unit", "gene", F.col("n").cast("double").alias("n")), a.n_factor, o)
         model.save(spark, f"{a.output}/model")
         save(scores, "/coherence")
+    elif a.verb == "lda":
+        counts = read(a.input).select("unit", "gene", F.col("n").cast("double").alias("n"))
+        model, theta = workflow.fit_from_prior(counts, a.n_factor, {k: getattr(a, k) for k in OPTIONS["lda"] if k not in ("n_factor", "prior")}, readers.model(spark, a.prior) if a.prior else None)
+        model.save(spark, f"{a.output}/model")
+        save(theta, "/theta")
+    elif a.verb == "impute":
+        p = readers.pixels(spark, a.input).select("X", "Y").distinct().withColumn("at", F.struct("X", "Y"))
+        got = spatial.factor_lookup(p, readers.factors(spark, a.decoded, indexed=a.indexed), "at", a.radius, a.k, a.halflife, a.include_self, a.sparsify)
+        save(with_top(got.select("at.*", "theta"), 3))
     elif a.verb == "transform":
         p = readers.pixels(spark, a.input)
         counts = workflow.counts_of(p, a.hex_width, a.n_move, a.min_ct)

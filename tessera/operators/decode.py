@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.special import expected_log, grid_pairs
+from tessera.functions.special import expected_log, gammaln, grid_pairs
 from tessera.operators import quadtree
 from tessera.operators.binning import extent, owner, tiled
 
@@ -101,7 +101,7 @@ def decoded_anchors(pixels: DataFrame, anchors: DataFrame, model: DataFrame, sid
 
 @dataclass
 class Solved:
-    """A tile after inference: linked pixels (place, counts, phi, whether the tile owns them), anchors and edges, sums by factor and gene, and the last bound."""
+    """A tile after inference: linked pixels (place, counts, phi, whether the tile owns them), anchors and edges, sums by factor and gene, the last bound and its pieces."""
 
     key: tuple
     xy: np.ndarray
@@ -115,6 +115,7 @@ class Solved:
     psi: np.ndarray
     stats: np.ndarray
     bound: float
+    pieces: dict[str, float]
 
 
 def _tiles(pixels: DataFrame, anchors: DataFrame, model: DataFrame, out: Callable[[Solved], pd.DataFrame], schema: str, side: float, halo: float, r: float, halflife: float, share: float, rounds: int, least: int, most: int = 0) -> DataFrame:
@@ -163,18 +164,40 @@ def _tiles(pixels: DataFrame, anchors: DataFrame, model: DataFrame, out: Callabl
         renumber[linked] = np.arange(len(linked))
         xb = _sums(place, counts[:, None] * log_beta.T[genes], len(xy))[linked]
         phi, gamma, psi, trail = couple(renumber[px], ax, w, len(linked), theta, xb, rounds)
+        pixel, log_theta = float((phi * xb).sum()), expected_log(gamma)
+        pieces = {"pixel": pixel, "patch": trail[-1] - pixel, "gamma": float(((theta - gamma) * log_theta + gammaln(gamma)).sum() - gammaln(gamma.sum(1)).sum())}
         own = np.zeros(len(xy), bool)
         own[place] = tile.own.to_numpy()
         mine = renumber[place]
         used = mine >= 0
         used[used] &= own[linked][mine[used]]
         stats = np.stack([np.bincount(genes[used], counts[used] * phi[mine[used], k], len(at)) for k in range(theta.shape[1])])
-        done = Solved(key, xy[linked], np.bincount(place, counts, len(xy))[linked], phi, own[linked], near[["ax", "ay"]].to_numpy(float), gamma, renumber[px], ax, psi, stats, trail[-1])
+        done = Solved(key, xy[linked], np.bincount(place, counts, len(xy))[linked], phi, own[linked], near[["ax", "ay"]].to_numpy(float), gamma, renumber[px], ax, psi, stats, trail[-1], pieces)
         return out(done)[[*names]]
 
     return p.groupBy(*tile_of).cogroup(spread.groupBy(*tile_of)).applyInPandas(one, schema)
 
 
+def bound_pieces(pixels: DataFrame, anchors: DataFrame, model: DataFrame, eta: float = 0.1, side: float = 500, halo: float = 50, r: float = 25, halflife: float = 0.7, share: float = 0.2, rounds: int = 30, least: int = LEAST_ANCHORS, most: int = 0) -> DataFrame:
+    """(piece, value): the parts of the bound over all tiles, up to constants.
+
+    ``pixel``: the pixels' counts given their factors; ``patch``: the pixels'
+    factors and anchors given the anchors' mixtures; ``gamma``: the mixtures given
+    their prior; ``beta``: the genes' shares given ``eta``; and their ``total``.
+    Pixels in the halo of several tiles count in each.
+    """
+
+    def out(tile: Solved) -> pd.DataFrame:
+        return pd.DataFrame({"piece": list(tile.pieces), "value": list(tile.pieces.values())})
+
+    by = _tiles(pixels, anchors, model, out, "piece string, value double", side, halo, r, halflife, share, rounds, least, most).groupBy("piece").agg(F.sum("value").alias("value"))
+    wide = model.toPandas().pivot_table(index="gene", columns="factor", values="lambda", aggfunc="sum", fill_value=0.0)
+    lam = np.maximum(wide.to_numpy(float), 0.5).T
+    beta = float(((eta - lam) * expected_log(lam) + gammaln(lam)).sum() - gammaln(lam.sum(1)).sum())
+    every = by.unionByName(pixels.sparkSession.createDataFrame([("beta", beta)], "piece string, value double"))
+    return every.unionByName(every.agg(F.sum("value").alias("value")).select(F.lit("total").alias("piece"), "value"))
+
+
 def decontaminated(lam: np.ndarray, theta: np.ndarray, links: np.ndarray, zeta: float, rounds: int = 30, tol: float = 1e-4) -> np.ndarray:
     """Factor by gene sums less a share ``zeta`` of what spatial neighbours may have leaked into them.
 

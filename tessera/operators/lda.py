@@ -162,8 +162,8 @@ def fit_all(models: list[Lda], units: DataFrame, epochs: float = 1, batch_size:
     spark, seed = units.sparkSession, models[0].seed
     cores = max(spark.sparkContext.defaultParallelism, 1)
     dealt = units.repartition(max(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))), "unit").persist()
-    n = total or dealt.count()
-    batches = max(1, min(n // batch_size, STEPS))
+    here = dealt.count()
+    n, batches = total or here, max(1, min(here // batch_size, STEPS))
     held = dealt.withColumn("_b", F.pmod(F.xxhash64(F.lit(seed), "unit"), F.lit(batches))).sortWithinPartitions("_b").persist()
     epoch, left = 0, max(1, round(epochs * batches)) if epochs > 0 else 0
     while left > 0:

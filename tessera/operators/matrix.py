@@ -66,24 +66,25 @@ def quantile(df: DataFrame, column: str, q: float) -> float | None:
     return low if at == int(at) else low + (at_rank(known, column, int(at) + 1) - low) * (at - int(at))
 
 
-def log_normalised(counts: DataFrame, size_factor: bool = False) -> DataFrame:
+def log_normalised(counts: DataFrame, size_factor: bool = False, q: float = 0.95, scale: float = 0.0) -> DataFrame:
     """(unit, gene, x): logarithms of scaled counts.
 
     Counts are divided by their unit's sum, or with ``size_factor`` by that sum
     over the mean sum; the first are divided by the same logarithm of one count
-    in a unit of the 95 % quantile.
+    in a unit of the quantile ``q``, or by ``scale`` if it is given.
     """
     sums = counts.groupBy("unit").agg(F.sum("n").cast("double").alias("s"))
     both = counts.join(sums, "unit")
     held = sums.select("s").persist()  # one number a unit
-    q95, mean = quantile(held, "s", 0.95), held.agg(F.avg("s")).first()[0]
+    mean = held.agg(F.avg("s")).first()[0]
+    high = None if mean is None or size_factor or scale > 0 else quantile(held, "s", q)
     held.unpersist()
-    if q95 is None:
+    if mean is None:
         return both.select("unit", "gene", F.lit(0.0).alias("x"))
     if size_factor:
         x = F.log(F.col("n") / (F.col("s") / F.lit(mean)) + F.lit(1.0))
     else:
-        x = F.log(F.col("n") / F.col("s") + F.lit(1.0)) / F.log(F.lit(1.0) / F.lit(q95) + F.lit(1.0))
+        x = F.log(F.col("n") / F.col("s") + F.lit(1.0)) / (F.lit(float(scale)) if scale > 0 else F.log(F.lit(1.0) / F.lit(high) + F.lit(1.0)))
     return both.select("unit", "gene", x.alias("x"))
 
 

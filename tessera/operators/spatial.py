@@ -104,6 +104,19 @@ def imputed(edges: DataFrame, key: str, weight: str, value: str) -> DataFrame:
     return sums.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_v"))), lambda x: x["_v"]).alias(value))
 
 
+def factor_lookup(points: DataFrame, decoded: DataFrame, key: str, r: float = 5.0, k: int = 1, halflife: float = 0.7, include_self: bool = False, sparsify: float = 0.0, value: str = "theta", x: str = "X", y: str = "Y") -> DataFrame:
+    """(key, value): factor probabilities at places, from the k nearest decoded places (x, y, value) nearer than r.
+
+    Weights are 1 - (d / r) ** nu, one half at ``halflife`` of r, and sum to one.
+    Probabilities below ``sparsify`` count as none; without ``include_self`` a
+    decoded place that is the point itself is passed over, though it is one of the k.
+    """
+    ref = decoded.select("x", "y", F.transform(value, lambda p: F.when(p < sparsify, F.lit(0.0)).otherwise(p)).alias(value)).withColumn("_tie", F.struct("x", "y"))
+    near = nearest(points.select(key, F.col(x).alias("X"), F.col(y).alias("Y")), ref, r, key, "_tie", k)
+    near = near.filter((F.col("d") < F.lit(float(r))) & (F.lit(include_self) | (F.col("d") > 0)))
+    return imputed(near.withColumn("_w", edge_weight(F.col("d"), r, math.log(0.5) / math.log(halflife))), key, "_w", value)
+
+
 def lattice_neighbours(points: DataFrame, key: str, x: str = "x", y: str = "y", reach: float = 1.0, slack: float = 0.5) -> DataFrame:
     """(key, other): points next to each other on a lattice.
 

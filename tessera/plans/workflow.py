@@ -70,6 +70,45 @@ def fit(counts: DataFrame, k: int, o: dict) -> tuple[Lda, DataFrame]:
     return model.relabelled(), scores
 
 
+def fit_from_prior(counts: DataFrame, k: int, o: dict, prior: DataFrame | None = None) -> tuple[Lda, DataFrame]:
+    """(model, theta): one fit over all units, from a table (gene, factor, lambda) of Dirichlet parameters if there is one.
+
+    The prior's factors and those of its genes that have enough counts make the
+    model; ``rescale`` makes its weights sum to that share of ``total`` units.
+    With ``shift_log`` units are logarithms of their shares, over ``scale`` or else
+    over the logarithm of one count in a unit of the 98 % quantile. ``epoch_length``
+    characters of a unit's id are its epoch, and the first ``epochs`` of these are seen.
+    """
+    o = {"min_ct_feature": 1, "min_ct_unit": 20, "epochs": 1, "alpha": 1.0, "tau": 9.0, "kappa": 0.7, "seed": 0, "total": 1e4, "rescale": 0.0, "shift_log": False, "scale": 0.0, "epoch_length": 0} | o
+    spark = counts.sparkSession
+    genes = [r.gene for r in matrix.features(counts, o["min_ct_feature"]).orderBy("idx").select("gene").collect()]
+    lam = None
+    if prior is not None:
+        wide = prior.toPandas().pivot_table(index="gene", columns="factor", values="lambda", aggfunc="sum", fill_value=0.0)  # as large as a model
+        genes = [g for g in genes if g in wide.index]
+        lam = wide.loc[genes].to_numpy(float).T
+        k = len(lam)
+        if o["rescale"] > 0:
+            lam *= o["total"] * o["rescale"] / lam.sum()
+    model = Lda(genes, k, alpha=o["alpha"], tau=o["tau"], kappa=o["kappa"], seed=o["seed"], lam=lam)
+    index = spark.createDataFrame([(g, i) for i, g in enumerate(genes)], "gene string, idx int")
+    if o["shift_log"]:
+        known = counts.join(index.select("gene"), "gene", "left_semi")
+        enough = known.groupBy("unit").agg(F.sum("n").alias("s")).filter(F.col("s") >= o["min_ct_unit"]).select("unit")
+        shares = matrix.log_normalised(known.join(enough, "unit", "left_semi").select("unit", "gene", "n"), q=0.98, scale=o["scale"])
+        units = matrix.units(shares.withColumnRenamed("x", "n"), index, 0).persist()
+    else:
+        units = matrix.units(counts, index, o["min_ct_unit"]).persist()
+    if o["epoch_length"] > 0:
+        marked = matrix.epochs(units, length=o["epoch_length"])
+        for r in marked.select("epoch").distinct().orderBy("epoch").limit(o["epochs"]).collect():  # one a pass over the tissue
+            model.fit(marked.filter(F.col("epoch") == r.epoch).drop("epoch"), total=o["total"])
+    else:
+        model.fit(units, o["epochs"], total=o["total"])
+    model = model.relabelled()
+    return model, model.transform(units)
+
+
 def from_pseudobulk_counts(model: DataFrame, counts: DataFrame, epochs: int = 0, scale: float = 0.0, min_ct_feature: float = 50, min_ct_unit: float = 50, reorder: bool = False, seed: int = 0) -> tuple[Lda, DataFrame, DataFrame]:
     """(model, theta, posterior counts) from a pseudobulk table (gene, factor, lambda).
 

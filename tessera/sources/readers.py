@@ -213,6 +213,14 @@ def pixels_indexed(spark: SparkSession, path: str, regions: list[tuple[str, floa
     return micrometres(out, mu_scale) if mu_scale != 1 else out
 
 
+def factors(spark: SparkSession, path: str, box: tuple[float, float, float, float] | None = None, indexed: bool = False) -> DataFrame:
+    """(x, y, theta) of block-indexed results: the K stored factors of a place as an array of all of them."""
+    rows, meta = (blocks_indexed if indexed else blocks)(spark, path, box)
+    top = [(f"K{i + 1}", f"P{i + 1}") for i in range(int(meta["TOPK"]))]
+    share = lambda f: sum((F.when(F.col(k) == f, F.col(p)).otherwise(0.0) for k, p in top), F.lit(0.0))
+    return rows.select(F.col("X").alias("x"), F.col("Y").alias("y"), F.array(*(share(f) for f in range(int(meta["K"])))).alias("theta"))
+
+
 def curve(spark: SparkSession, path: str, box: tuple[float, float, float, float], cell: float, extent: tuple[float, float, float, float], x: str = "X", y: str = "Y") -> DataFrame:
     """Rows in a box (xmin, xmax, ymin, ymax), bounds included, of a table on a Z curve: its ranges are pushed to the footers of the files.
 

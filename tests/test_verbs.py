@@ -110,3 +110,60 @@ def test_views(spark, here):
     from tessera.sources import readers
 
     assert tuple(readers.image_box(spark, str(here / "full.tif")).first()) == (0.0, 20.0, 0.0, 20.0)
+
+
+def test_lookup_of_factors(spark, here):
+    """Places between decoded ones: the weighted mean of the nearest, from block-indexed results with an index or without."""
+    r = np.random.default_rng(8)
+    decoded = np.round(r.uniform(0, 60, (300, 2)) * 4) / 4
+    decoded = np.unique(decoded, axis=0)
+    rows = [(float(x), float(y), i % 3, (i + 1) % 3, 0.75, 0.25) for i, (x, y) in enumerate(decoded)]
+    spark.createDataFrame(rows, "X double, Y double, K1 int, K2 int, P1 double, P2 double").write.parquet(str(here / "top2"))
+    for name, flags in (("plain", {}), ("tabled", {"indexed": True})):
+        run(spark, here, "block_index", f"blocks_{name}", "top2", n_factor=3, top=2, block=20, **flags)
+        run(spark, here, "impute", f"imputed_{name}", decoded=here / f"blocks_{name}", radius=4, k=3, **flags)
+    theta = np.zeros((len(rows), 3))
+    for i, row in enumerate(rows):
+        theta[i, row[2]], theta[i, row[3]] = 0.75, 0.25
+    want, nu = {}, math.log(0.5) / math.log(0.7)
+    for p in spark.read.parquet(str(here / "p.parquet")).select("X", "Y").distinct().collect():
+        d = np.hypot(*(decoded - [p.X, p.Y]).T)
+        near = [j for j in np.lexsort((decoded[:, 1], decoded[:, 0], d))[:3] if 0 < d[j] < 4]
+        if near:
+            w = 1 - (d[near] / 4) ** nu
+            want[p.X, p.Y] = w @ theta[near] / w.sum()
+    for name in ("plain", "tabled"):
+        got = {(x.X, x.Y): x.theta for x in spark.read.parquet(str(here / f"imputed_{name}")).collect()}
+        assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+
+
+def test_fit_from_a_prior(spark, here):
+    counts = [(f"{u % 3}0{u}", f"g{(u % 2) * 3 + i}", 4.0 + (u + i) % 3) for u in range(90) for i in range(3)]
+    spark.createDataFrame(counts, "unit string, gene string, n double").write.parquet(str(here / "cnt"))
+    prior = [(f"g{g}", k, 50.0 if (g < 3) == (k == 0) else 1.0) for g in range(5) for k in range(2)] + [("absent", 0, 9.0)]
+    spark.createDataFrame(prior, "gene string, factor int, `lambda` double").write.parquet(str(here / "prior.parquet"))
+    options = dict(min_ct_unit=3, n_factor=7)
+    for name, more in (("l0", {}), ("l1", {"rescale": 0.5, "total": 90.0}), ("l2", {"shift_log": True}), ("l3", {"epoch_length": 1, "epochs": 2}), ("l4", {"shift_log": True, "scale": 0.01})):
+        run(spark, here, "lda", name, "cnt", prior=here / "prior.parquet", **options, **more)
+        model = Lda.load(spark, str(here / name / "model"))
+        assert model.k == 2 and model.genes == [f"g{i}" for i in range(5)] and model.step == (2 if name == "l3" else 1)
+        theta = {r.unit: np.argmax(r.theta) for r in spark.read.parquet(str(here / name / "theta")).collect()}
+        assert len(theta) == 90 and len({(int(u[2:]) % 2, k) for u, k in theta.items()}) == 2  # the two kinds of units are the two factors
+    run(spark, here, "lda", "free", "cnt", min_ct_unit=3, n_factor=3)
+    assert Lda.load(spark, str(here / "free" / "model")).k == 3
+
+
+def test_pieces_of_the_bound(spark, here):
+    """Two tiles apart from each other: the pieces of both are the sums of each by itself, and their total what they say."""
+    from tessera.operators.decode import bound_pieces
+
+    r = np.random.default_rng(1)
+    part = lambda dx: ([(float(x + dx), float(y), f"g{i % 4}", 1 + i % 2) for i, (x, y) in enumerate(np.round(r.uniform(0, 40, (60, 2)), 1))], [(float(x + dx), float(y), [0.6, 0.4]) for x, y in np.round(r.uniform(0, 40, (14, 2)), 1)])
+    near, far = part(0), part(3000)
+    model = spark.createDataFrame([(f"g{g}", k, 1.0 + 5 * (g % 2 == k)) for g in range(4) for k in range(2)], "gene string, factor int, `lambda` double")
+    frame = lambda p, a: (spark.createDataFrame(p, "X double, Y double, gene string, Count int"), spark.createDataFrame(a, "x double, y double, theta array<double>"))
+    of = lambda p, a: {x.piece: x.value for x in bound_pieces(*frame(p, a), model).collect()}
+    one, two, both = of(*near), of(*far), of(near[0] + far[0], near[1] + far[1])
+    assert set(both) == {"pixel", "patch", "gamma", "beta", "total"} and both["beta"] == one["beta"] and both["pixel"] < 0
+    assert all(both[k] == pytest.approx(one[k] + two[k], rel=1e-6) for k in ("pixel", "patch", "gamma"))
+    assert both["total"] == pytest.approx(sum(v for k, v in both.items() if k != "total"))
