@@ -64,7 +64,6 @@ from pyspark.sql import types as T
 
 from tessera.llm.common import col, fresh, mapped, stored, text_or_empty
 from tessera.llm.components import components
-from tessera.llm.jaccard_join import alike, leader_pairs, open_links
 
 SEED = 42
 ONES = [1 << i for i in range(63)] + [-(1 << 63)]
@@ -171,7 +170,7 @@ WIDE, LONGS = CUT.wide, CUT.longs
 #: The probability with which a pair at the limit shares no block.
 MISSED = 0.005
 #: Fingerprints of a block that are compared as pairs, and leaders that a block has one after the other.
-WIDE_CROWD, ROUNDS = 8, 3
+WIDE_CROWD, ROUNDS = 8, 2
 #: Rows of a table that is broadcast at most.
 BROADCAST_IDS = 200_000
 _LANES = np.uint64(0x0101010101010101)
@@ -256,9 +255,9 @@ def wide_fingerprints(docs: DataFrame, k: int = 5, text: str = "text", name: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, out = batch.column(batch.schema.get_field_index(text)).to_pylist(), [np.zeros(0, np.int64)]
-            for a in range(0, len(texts), 64):
-                bits = np.packbits(wide_bits([list(set(shingle_hashes(x or "", k))) for x in texts[a : a + 64]], cut), axis=1)
+            texts, out = batch.column(batch.schema.get_field_index(text)), [np.zeros(0, np.int64)]
+            for a in range(0, len(texts), 16):
+                bits = np.packbits(wide_bits([list(set(shingle_hashes(x or "", k))) for x in texts.slice(a, 16).to_pylist()], cut), axis=1)
                 row = np.zeros((len(bits), cut.longs * 8), np.uint8)
                 row[:, : bits.shape[1]] = bits
                 out.append(row.view(">i8").astype(np.int64).ravel())
@@ -312,6 +311,8 @@ def wide_links(distinct: DataFrame, similarity: float, sets_of: Callable[[DataFr
     ``sets_of`` gives (id, n, grams), the shingles of a table of ids: those of
     candidates, and of crowded blocks that leaders did not make one group.
     """
+    from tessera.llm.jaccard_join import alike, leader_pairs, open_links  # here, so that workers do not load what it needs
+
     bits, percent = most_bits(similarity), round(100 * similarity)
     heads = stored(distinct.select("id", F.slice("wide", 1, HEAD).alias("head")), "wide-heads")
     keyed = _blocks(distinct, cut).withColumnRenamed("key", "g")
@@ -345,6 +346,8 @@ def wide_links(distinct: DataFrame, similarity: float, sets_of: Callable[[DataFr
     left = rooted()
     several = left.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("g")
     left = stored(left.join(several, "g"), "wide-open")
+    if left.isEmpty():
+        return links
     return links.unionByName(open_links(left, sets_of(left.select("id").distinct()), tested, percent, crowd=0))
 
 
