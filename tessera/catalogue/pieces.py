@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import os
 from collections.abc import Iterator
 
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.catalogue import bins, models
-from tessera.catalogue.adapters import PX, THETA, UNITS, centre_sql, hexed_sql, labelled, px, rounded, table, theta0, unit_counts
+from tessera.catalogue.adapters import PX, THETA, UNITS, anchors, anchors_sql, centre_sql, hexed_sql, labelled, px, rounded, table, theta0, unit_counts
 from tessera.catalogue.models import DE, HOLED, MARK, PIXEL_TOP, RANKED, RING, _any_of, _inside_sql, _model, _pixel_top
 from tessera.functions import colours, special
 from tessera.functions import vectors as v
@@ -20,6 +21,7 @@ from tessera.functions.hexgrid import area_of, moves, radius_of
 from tessera.operators import binning as b
 from tessera.operators import filters, markers, matrix, rasters, regions, simulation
 from tessera.operators import spatial as sp
+from tessera.operators.decode import decode
 from tessera.operators.lda import Lda
 from tessera.schema import pixel_key, wide
 from tessera.sources import readers, sinks
@@ -320,3 +322,23 @@ def lda_bound(spark: SparkSession, d: str) -> DataFrame:
     model = _given(spark, d)
     s, p = model.bound(_given_units(spark, d, model))
     return spark.createDataFrame([(round(s, 2), round(p, 6))], "bound double, perplexity double")
+
+
+@query(f"""WITH {MODEL}, {anchors_sql()},
+ps AS (SELECT factor, {_psi('sum(greatest(lam, 0.5::DOUBLE))')} AS ps FROM model GROUP BY factor), flo AS (SELECT gene, factor, greatest(lam, 0.5::DOUBLE) AS lam FROM model),
+lb AS (SELECT gene, factor, {_psi('lam')} - ps AS lb FROM flo JOIN ps USING (factor)),
+xb AS (SELECT X, Y, factor, sum(Count * lb) AS xb FROM px JOIN lb USING (gene) GROUP BY ALL),
+raw AS (SELECT hx, hy, CAST(k.range AS INT) AS factor, (((hx * 7 + hy * 3 + k.range * 2) % 5 + 5) % 5 + 0.1)::DOUBLE AS t FROM anchors, range(4) k),
+clipped AS (SELECT hx, hy, factor, least(greatest(t / sum(t) OVER (PARTITION BY hx, hy), 0.05::DOUBLE), 0.95::DOUBLE) AS t FROM raw), prior AS (SELECT hx, hy, factor, t / sum(t) OVER (PARTITION BY hx, hy) AS t FROM clipped),
+lt AS (SELECT hx, hy, factor, {_psi('t')} - ({_psi('1.0::DOUBLE')}) AS lt FROM prior),
+near AS (SELECT c.X, c.Y, hx, hy, sqrt((c.X - ax) * (c.X - ax) + (c.Y - ay) * (c.Y - ay)) AS d FROM (SELECT DISTINCT X, Y FROM px) c JOIN anchors ON c.X BETWEEN ax - 25 AND ax + 25 AND c.Y BETWEEN ay - 25 AND ay + 25),
+w AS (SELECT X, Y, hx, hy, least(greatest(1 - pow(d / 25, {math.log(0.5) / math.log(0.7)!r}::DOUBLE), 0.05::DOUBLE), 0.95::DOUBLE) AS w FROM near WHERE d < 25),
+z AS (SELECT X, Y, factor, s + xb AS z FROM (SELECT X, Y, factor, sum(w / total * lt) AS s FROM (SELECT *, sum(w) OVER (PARTITION BY X, Y) AS total FROM w) JOIN lt USING (hx, hy) GROUP BY ALL) JOIN xb USING (X, Y, factor)),
+e AS (SELECT X, Y, factor, exp(z - max(z) OVER (PARTITION BY X, Y)) AS e FROM z)
+SELECT X, Y, factor, round(e / sum(e) OVER (PARTITION BY X, Y), 6) AS p FROM e""")
+def decode_step(spark: SparkSession, d: str) -> DataFrame:
+    """The first round of decoding with given anchors and a given model, in adaptive tiles: each pixel's factors."""
+    t = F.array(*(F.pmod(F.col("hx") * 7 + F.col("hy") * 3 + 2 * k, F.lit(5)) + F.lit(0.1) for k in range(4)))
+    a = anchors(spark, d).withColumn("t", t).select("x", "y", F.transform("t", lambda v: v / F.aggregate("t", F.lit(0.0), lambda s, u: s + u)).alias("theta"))
+    got = decode(px(spark, d), a, _model(spark, d), halo=50, r=25, rounds=1, least=1, most=4000)
+    return rounded(v.long(got).withColumn("factor", F.col("factor").cast("int")))

@@ -20,6 +20,7 @@ file with its index. Files are opened by their URI through pyarrow, in tasks.
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 import zlib
@@ -156,15 +157,24 @@ def merged(parts: list[tuple[int, int]], split: int = SPLIT) -> list[tuple[int,
 
 
 def _opened(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path, which may be a local one with or without a scheme, and the path in it."""
+    if path.startswith("file:") or "://" not in path:
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").strip("/") if path.startswith(("file:", "/")) else os.path.abspath(path)
     return fs.FileSystem.from_uri(path)
 
 
+def opened(path: str):
+    """A file to read and seek in, on any file system that pyarrow knows."""
+    where, at = _opened(path)
+    return where.open_input_file(at)
+
+
 def files_of(path: str) -> list[str]:
     """The compressed files of a path, which is one or a folder of them."""
     where, at = _opened(path)
     if where.get_file_info(at).type == fs.FileType.File:
         return [path]
-    prefix = path[: len(path) - len(at)] if path.endswith(at) else ""
+    prefix = path[: len(path) - len(at)] if "://" in path and not path.startswith("file:") and path.endswith(at) else ""
     return sorted(f"{prefix}{i.path}" for i in where.get_file_info(fs.FileSelector(at)) if i.path.endswith(".gz"))
 
 

@@ -8,7 +8,6 @@ import math
 import re
 import struct
 
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -390,8 +389,7 @@ def tiff_extent(file) -> dict[str, float]:
 
 def image_box(spark: SparkSession, path: str) -> DataFrame:
     """One row (xmin, xmax, ymin, ymax) of an image's extent: micrometres if it has pixel sizes, and else pixels."""
-    where, name = fs.FileSystem.from_uri(path)
-    with where.open_input_file(name) as f:
+    with bgzf.opened(path) as f:
         e = tiff_extent(f)
     return spark.createDataFrame([(0.0, e.get("xmax", e["width"]), 0.0, e.get("ymax", e["height"]))], "xmin double, xmax double, ymin double, ymax double")
 
