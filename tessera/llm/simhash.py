@@ -332,20 +332,21 @@ def wide_links(distinct: DataFrame, similarity: float, sets_of: Callable[[DataFr
     if crowded.isEmpty():
         return links
 
-    def rooted() -> DataFrame:
+    def still_open(blocks: DataFrame) -> DataFrame:
+        """Those of some blocks that are not in one group yet, with the groups so far; groups only grow, so the others are done."""
         roots = components(links)
-        return stored(crowded.join(roots, crowded["id"] == roots["node"], "left").withColumn("root", F.coalesce("root", "id")).drop("node"), "wide-rooted")
+        now = stored(blocks.join(roots, blocks["id"] == roots["node"], "left").withColumn("root", F.coalesce("root", "id")).drop("node"), "wide-rooted")
+        several = now.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("g")
+        return stored(now.join(several, "g"), "wide-open")
 
-    tested = None
+    tested, left = None, still_open(crowded)
     for _ in range(ROUNDS):
-        now = stored(leader_pairs(rooted(), 0), "wide-leaders")
+        now = stored(leader_pairs(left, 0), "wide-leaders")
         new = decided(now if tested is None else now.join(tested, ["u", "v"], "left_anti"))
         links, tested = links.unionByName(new), now if tested is None else tested.unionByName(now)
         if new.isEmpty():
             break
-    left = rooted()
-    several = left.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("g")
-    left = stored(left.join(several, "g"), "wide-open")
+        left = still_open(left.drop("root"))
     if left.isEmpty():
         return links
     return links.unionByName(open_links(left, sets_of(left.select("id").distinct()), tested, percent, crowd=0))
