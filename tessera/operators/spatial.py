@@ -144,13 +144,21 @@ def on_lattice(points: DataFrame, key: str, spacing: float, x: str = "x", y: str
     return at.select(key, F.inline(F.array(*steps))).join(at.withColumnRenamed(key, "other"), ["_q", "_r"]).select(key, "other")
 
 
-def proximity(neighbours: DataFrame, theta: DataFrame, key: str, value: str = "theta") -> DataFrame:
-    """(a, b, w): for factors a and b, the sum over neighbouring points of their products."""
+def proximity(neighbours: DataFrame, theta: DataFrame, key: str, value: str = "theta", n: int | None = None) -> DataFrame:
+    """(a, b, w): for factors a and b, the sum over neighbouring points of their products; ``n`` factors, by default as many as the longest array has.
+
+    The neighbours' arrays are summed for each point first, place by place, so
+    that one row of n sums a point is shuffled and products are by point.
+    """
+    n = theta.agg(F.max(F.size(value))).first()[0] if n is None else n
+    if not n or n < 0:
+        return theta.sparkSession.createDataFrame([], "a int, b int, w double")
     t = theta.select(F.col(key), F.col(value).alias("_t"))
     u = theta.select(F.col(key).alias("other"), F.col(value).alias("_u"))
-    # The neighbours' arrays are summed for each point first, so that products are by point and not by pair.
-    long = neighbours.join(u, "other").select(key, F.posexplode("_u").alias("b", "_v")).groupBy(key, "b").agg(F.sum("_v").alias("_v"))
-    return long.join(t, key).select("b", "_v", F.posexplode("_t").alias("a", "_s")).groupBy("a", "b").agg(F.sum(F.col("_s") * F.col("_v")).alias("w"))
+    sums = [f"_{b}" for b in range(n)]
+    by_point = neighbours.join(u, "other").groupBy(key).agg(*(F.sum(F.get("_u", F.lit(b))).alias(c) for b, c in enumerate(sums)))
+    by_factor = by_point.join(t, key).select(*sums, F.posexplode("_t").alias("a", "_s")).groupBy("a").agg(*(F.sum(F.col("_s") * F.col(c)).alias(c) for c in sums))
+    return by_factor.select("a", F.posexplode(F.array(*sums)).alias("b", "w"))
 
 
 # --- polygons ---
