@@ -105,6 +105,56 @@ def polya_gamma_mean(b: float, c: np.ndarray) -> np.ndarray:
     return np.where(np.abs(c) < 1e-8, b / 4, b / (2 * safe) * np.tanh(safe / 2))
 
 
+def nearest_point(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, r: float) -> np.ndarray:
+    """For each place the number of the nearest point nearer than r, or -1; equal distances by px, then py.
+
+    Points lie in rows, in the order of px. The neighbours along the rows around a
+    place give a bound; the points within that bound are then compared exactly.
+    """
+    out, x, y, px, py = np.full(len(x), -1), *(np.asarray(v, float) for v in (x, y, px, py))
+    if not len(x) or not len(px):
+        return out
+    x0, y0 = min(x.min(), px.min()), py.min()
+    wide, high = max(x.max(), px.max()) - x0, py.max() - y0
+    h = min(max(math.sqrt(max(wide, r) * max(high, r) / len(px)), r / 32), r)
+    row, stride = np.floor((py - y0) / h), wide + 4 * r
+    key = row * stride + (px - x0)
+    order = np.argsort(key, kind="stable")
+    key, slack = key[order], 1e-12 * (np.abs(key).max() + stride)
+    steps = sorted(range(-int(r // h) - 2, int(r // h) + 3), key=abs)
+    for a in range(0, len(x), 1 << 15):
+        qx, qy = x[a : a + (1 << 15)], y[a : a + (1 << 15)]
+        line, best = np.floor((qy - y0) / h), np.full(len(qx), float(r))
+
+        def apart(s: int, i: np.ndarray) -> np.ndarray:  # of the row s steps on
+            return np.maximum((s * h - (qy[i] - y0 - line[i] * h) if s > 0 else qy[i] - y0 - (line[i] + s + 1) * h if s < 0 else np.zeros(len(i))) - slack, 0.0)
+
+        every = np.arange(len(qx))
+        for s in steps:
+            i = every[apart(s, every) < best]
+            at = np.searchsorted(key, (line[i] + s) * stride + (qx[i] - x0))
+            for j in (np.maximum(at - 1, 0), np.minimum(at, len(key) - 1)):
+                dx, dy = qx[i] - px[order[j]], qy[i] - py[order[j]]
+                best[i] = np.minimum(best[i], np.sqrt(dx * dx + dy * dy))
+        pairs = []
+        for s in steps:
+            gap = apart(s, every)
+            i = every[gap <= best]
+            reach, middle = np.sqrt(best[i] ** 2 - gap[i] ** 2) + slack, (line[i] + s) * stride + (qx[i] - x0)
+            lo, hi = np.searchsorted(key, middle - reach - slack), np.searchsorted(key, middle + reach + slack, "right")
+            n = hi - lo
+            i, j = np.repeat(i, n), order[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            dx, dy = qx[i] - px[j], qy[i] - py[j]
+            d = np.sqrt(dx * dx + dy * dy)
+            keep = (d <= best[i]) & (d < r)
+            pairs.append((i[keep], j[keep], d[keep]))
+        i, j, d = (np.concatenate(v) for v in zip(*pairs))
+        first = np.lexsort((py[j], px[j], d, i))
+        i, at = np.unique(i[first], return_index=True)
+        out[a + i] = j[first][at]
+    return out
+
+
 def assignment(gain: np.ndarray) -> list[tuple[int, int]]:
     """The assignment of rows to columns with the greatest sum: shortest augmenting paths, O(n^3)."""
     gain = np.asarray(gain, float)

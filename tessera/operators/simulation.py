@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.special import assignment
 from tessera.functions.vectors import confusion
-from tessera.operators.spatial import nearest
+from tessera.operators.spatial import nearest_one
 
 SHAPES = ("circle", "rod", "diamond")
 
@@ -65,9 +65,9 @@ def tissue(spark: SparkSession, extent: float = 120.0, density: float = 4.0, typ
 
 def matched(results: DataFrame, truth: DataFrame, tol: float = 0.5, factor: str = "K1") -> DataFrame:
     """Results (X, Y, factor) with the label of the nearest true pixel within a tolerance."""
-    left = results.withColumn("key", F.struct("X", "Y"))
-    right = truth.select(F.col("X").alias("tx"), F.col("Y").alias("ty"), F.struct("X", "Y").alias("tie"), "cell_label", "cell_shape")
-    return nearest(left, right, tol, "key", "tie", rx="tx", ry="ty").filter(F.col("d") < tol).select("X", "Y", factor, "cell_label", "cell_shape")
+    left = results.select("X", "Y", factor)
+    right = truth.select(F.col("X").alias("tx"), F.col("Y").alias("ty"), "cell_label", "cell_shape")
+    return nearest_one(left, right, tol, rx="tx", ry="ty").select("X", "Y", factor, "cell_label", "cell_shape")
 
 
 def scored(joined: DataFrame, factor: str = "K1") -> tuple[float, dict[int, str], pd.DataFrame]:

@@ -11,10 +11,14 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessera.functions.hexgrid import pixel_to_hex, radius_of
+from tessera.functions.special import nearest_point
+from tessera.operators import quadtree
 
 
 def bucket(c: Column, width: float) -> Column:
@@ -49,6 +53,34 @@ def nearest(left: DataFrame, right: DataFrame, r: float, key: str, tie: str, k:
     return radius_join(left, right, r, **names).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+#: Rows of both sides that a task holds together, the levels of squares above the least, and cells that are sent to all tasks.
+CROWD, LEVELS, BROADCAST_CELLS = 100_000, 8, 100_000
+
+
+def nearest_one(left: DataFrame, right: DataFrame, r: float, x: str = "X", y: str = "Y", rx: str = "x", ry: str = "y", most: int = CROWD) -> DataFrame:
+    """Each row of ``left`` that has a point of ``right`` nearer than r, with the nearest one's columns; equal distances by rx, then ry.
+
+    Both sides meet in squares that follow their rows (at most ``most`` of both,
+    down to a width of 2 r), ``right`` also around them, and are searched there:
+    the work of a row does not grow with the points within r, and no pairs are shuffled.
+    """
+    cells = quadtree.Cells(0.0, 0.0, 2.0 * r, LEVELS)
+    every = left.select(F.col(x).alias("X"), F.col(y).alias("Y")).unionAll(right.select(F.col(rx).alias("X"), F.col(ry).alias("Y")))
+    found = quadtree.leaves(every, cells, most).persist()
+    small = F.broadcast if found.count() <= BROADCAST_CELLS else lambda t: t
+    own, spread = (quadtree.spread(t, small(quadtree.around(found, cells, d)), cells, d, *at).drop("own") for t, d, at in ((left, 0.0, (x, y)), (right, r, (rx, ry))))
+    schema = StructType([*left.schema.fields, *right.schema.fields])
+    mine, theirs = left.columns, right.columns
+
+    def one(here: pa.Table, there: pa.Table) -> pa.Table:
+        at = nearest_point(*(here[c].to_numpy() for c in (x, y)), *(there[c].to_numpy() for c in (rx, ry)), r)
+        has = pa.array((at >= 0).nonzero()[0])
+        here, there = here.select(mine).take(has), there.select(theirs).take(pa.array(at[at >= 0]))
+        return pa.Table.from_arrays([*here.columns, *there.columns], names=[*mine, *theirs])
+
+    return own.groupBy(*quadtree.NODE).cogroup(spread.groupBy(*quadtree.NODE)).applyInArrow(one, schema)
+
+
 #: Cells on either side within which the k nearest are once 3 x 3 cells hold k points: the farthest of these is two diagonals away.
 REACH = 3
 
