@@ -52,12 +52,18 @@ def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hex_units(px(spark, sf_dir), 24.0, 1).select("hx", "hy", "x", "y", "tot")
 
 
+def words(spark: SparkSession, sf_dir: str, dealt: bool = True) -> DataFrame:
+    """A row unit, gene, n = 1 for each word of each document; ``dealt``: documents go by their unit first, so that what follows by unit needs no shuffle."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("unit"), "text")
+    docs = docs.repartition("unit") if dealt else docs
+    return docs.select("unit", F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("gene"), F.lit(1).cast("long").alias("n")).filter("gene <> ''")
+
+
 def tokens(spark: SparkSession, sf_dir: str, least: int = 50) -> DataFrame:
     """Counts unit, gene, n of words in documents; words with at least ``least`` in all."""
-    words = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("unit"), F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("gene")).filter("gene <> ''")
-    n = words.groupBy("unit", "gene").agg(F.count("*").alias("n"))
-    kept = n.groupBy("gene").agg(F.sum("n").alias("t")).filter(F.col("t") >= least)
-    return n.join(kept, "gene", "left_semi")
+    every = words(spark, sf_dir)
+    kept = words(spark, sf_dir, False).groupBy("gene").agg(F.sum("n").alias("t")).filter(F.col("t") >= least)
+    return every.join(kept, "gene", "left_semi").groupBy("unit", "gene").agg(F.sum("n").alias("n"))
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:

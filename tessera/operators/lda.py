@@ -29,6 +29,8 @@ from tessera.operators.matrix import parts
 EPS = 1e-100
 #: Units inferred together by a task.
 BLOCK = 512
+#: Entries of units that are inferred as one dense product.
+ENTRIES = 1 << 14
 #: Genes whose sums are added up in one place, and batches of an epoch at most.
 RANGE, STEPS = 2048, 64
 
@@ -61,36 +63,55 @@ def unmixed(stats: np.ndarray, lam: np.ndarray, penalty: float, ambient: np.ndar
     return np.maximum((stats - leak * from_others) / (1 - penalty), EPS)
 
 
-def infer(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, n: int, beta: np.ndarray, alpha: float | np.ndarray, start: np.ndarray | None = None, rounds: int = 100, tol: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """(gamma n x K, sums K x M): the variational posterior of units with exp(E[log beta]) given.
+def _bundles(begins: np.ndarray, size: np.ndarray, cols: np.ndarray, vals: np.ndarray, by_gene: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(units, their genes' rows U x L x K, their counts U x L): units of about one length, filled up with zeros."""
+    order = np.argsort(size, kind="stable")
+    lengths = size[order]
+    a = int(np.searchsorted(lengths, 0, "right"))
+    while a < len(order):
+        most = int(lengths[a] + lengths[a] // 4 + 4)
+        e = min(int(np.searchsorted(lengths, most, "right")), a + max(1, ENTRIES // most))
+        live, steps = order[a:e], np.arange(lengths[e - 1])
+        inside = steps < size[live][:, None]
+        at = np.where(inside, begins[live][:, None] + steps, begins[live][:, None])
+        yield live, by_gene[cols[at]] * inside[:, :, None], vals[at] * inside
+        a = e
 
-    Entries are in the order of units. A unit stops by itself when its mean
+
+def infer(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, n: int, beta: np.ndarray, alpha: float | np.ndarray, start: np.ndarray | None = None, rounds: int = 100, tol: float = 1e-3, expect: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+    """(gamma n x K, sums K x M): the variational posterior of units with exp(E[log beta]) given; without ``expect`` no sums.
+
+    Entries are in the order of units. Units of about one length are inferred
+    together as small dense products; a unit stops by itself when its mean
     absolute change is below ``tol``.
     """
     k, m = beta.shape
     gamma = np.ones((n, k)) if start is None else start.copy()
-    theta = np.exp(expected_log(gamma))
-    by_entry = beta.T[cols]
-    begins = np.searchsorted(rows, np.arange(n))
-    has = np.append(begins[1:], len(rows)) > begins
-    open_ = has.copy()
-    gamma[~has] = alpha
+    begins, by_gene = np.searchsorted(rows, np.arange(n + 1)), np.ascontiguousarray(beta.T)
+    size = np.diff(begins)
+    gamma[size == 0] = alpha
+    theta, sums, open_ = np.exp(expected_log(gamma)), np.zeros((n, k)), size > 0
+    bundles = list(_bundles(begins, size, cols, vals, by_gene))
     for _ in range(rounds):
         if not open_.any():
             break
-        pick = open_[rows]
-        r, b, v = rows[pick], by_entry[pick], vals[pick]
+        for i, (live, b, v) in enumerate(bundles):
+            left = open_[live]
+            if 2 * left.sum() <= len(live):  # else the places of those that stopped stay
+                live, b, v = bundles[i] = (live[left], b[left], v[left])
+            share = v / (np.matmul(b, theta[live][:, :, None])[:, :, 0] + EPS)
+            sums[live] = np.matmul(share[:, None, :], b)[:, 0]
         live = np.flatnonzero(open_)
-        share = v / (np.einsum("ij,ij->i", theta[r], b) + EPS)
-        sums = np.add.reduceat(share[:, None] * b, np.searchsorted(r, live), axis=0)
-        new = alpha + theta[live] * sums
+        new = alpha + theta[live] * sums[live]
         change = np.abs(new - gamma[live]).mean(1)
         gamma[live] = new
         theta[live] = np.exp(expected_log(new))
         open_[live[change < tol]] = False
-    theta = np.exp(expected_log(gamma))
+    if not expect:
+        return gamma, None
     stats = np.zeros((k, m))
     if len(rows):
+        by_entry = by_gene[cols]
         share = vals / (np.einsum("ij,ij->i", theta[rows], by_entry) + EPS)
         weighted = theta[rows] * share[:, None]
         for i in range(k):
@@ -153,6 +174,19 @@ def expected_all(models: list[Lda], units: DataFrame) -> tuple[np.ndarray, int]:
     return sums, n
 
 
+def _by_batch(units: DataFrame, rows: int) -> DataFrame:
+    """``units`` held in the order of _b, in pieces of about the ``rows`` that a partition has of a batch: a step passes over the other pieces by their bounds."""
+    conf, name = units.sparkSession.conf, "spark.sql.inMemoryColumnarStorage.batchSize"
+    before = conf.get(name)
+    conf.set(name, str(min(max(rows, 16), int(before))))
+    try:
+        held = units.sortWithinPartitions("_b").persist()
+    finally:
+        conf.set(name, before)
+    held.count()
+    return held
+
+
 def fit_all(models: list[Lda], units: DataFrame, epochs: float = 1, batch_size: int = 512, total: int | None = None) -> None:
     """Stochastic learning of several models of the same genes: a step is one pass over a batch for all of them, in the order of the first one's seed.
 
@@ -164,7 +198,8 @@ def fit_all(models: list[Lda], units: DataFrame, epochs: float = 1, batch_size:
     dealt = units.repartition(max(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))), "unit").persist()
     here = dealt.count()
     n, batches = total or here, max(1, min(here // batch_size, STEPS))
-    held = dealt.withColumn("_b", F.pmod(F.xxhash64(F.lit(seed), "unit"), F.lit(batches))).sortWithinPartitions("_b").persist()
+    held = _by_batch(dealt.withColumn("_b", F.pmod(F.xxhash64(F.lit(seed), "unit"), F.lit(batches))), here // (batches * dealt.rdd.getNumPartitions()))
+    dealt.unpersist()
     epoch, left = 0, max(1, round(epochs * batches)) if epochs > 0 else 0
     while left > 0:
         order = np.random.Generator(np.random.PCG64([seed, epoch])).permutation(batches)[:left]
@@ -173,7 +208,7 @@ def fit_all(models: list[Lda], units: DataFrame, epochs: float = 1, batch_size:
             for x, v in zip(models, sums):
                 x.moved(v, got, n)
         left, epoch = left - len(order), epoch + 1
-    held.unpersist(), dealt.unpersist()
+    held.unpersist()
 
 
 @dataclass
@@ -248,7 +283,7 @@ class Lda:
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in _blocks(batches):
-                gamma, _ = infer(*_coo(b), len(b), beta, alpha)
+                gamma, _ = infer(*_coo(b), len(b), beta, alpha, expect=False)
                 out = b[list(keep)].copy()
                 out["theta"] = list(gamma / gamma.sum(1, keepdims=True))
                 yield out
@@ -265,7 +300,7 @@ class Lda:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in _blocks(batches):
                 rows, cols, vals = _coo(b)
-                gamma, _ = infer(rows, cols, vals, len(b), beta, alpha)
+                gamma, _ = infer(rows, cols, vals, len(b), beta, alpha, expect=False)
                 log_theta = expected_log(gamma)
                 score = float((vals * logsumexp(log_theta[rows] + log_beta.T[cols], 1)).sum()) if len(rows) else 0.0
                 score += float(((alpha - gamma) * log_theta + gammaln(gamma) - gammaln(alpha)).sum() + (gammaln(alpha * k) - gammaln(gamma.sum(1))).sum())

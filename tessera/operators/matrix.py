@@ -26,7 +26,7 @@ def features(counts: DataFrame, min_ct: float = 50, listed: DataFrame | None = N
 
 def units(counts: DataFrame, index: DataFrame, min_ct: float = 50) -> DataFrame:
     """(unit, idx array, cnt array, tot): units with at least ``min_ct`` of the indexed features, duplicates summed."""
-    known = counts.filter("n > 0").join(index.select("gene", "idx"), "gene").groupBy("unit", "idx").agg(F.sum("n").cast("double").alias("n"))
+    known = counts.filter("n > 0").join(F.broadcast(index.select("gene", "idx")), "gene").groupBy("unit", "idx").agg(F.sum("n").cast("double").alias("n"))
     packed = known.groupBy("unit").agg(F.array_sort(F.collect_list(F.struct("idx", "n"))).alias("v"), F.sum("n").alias("tot")).filter(F.col("tot") >= min_ct)
     return packed.select("unit", F.col("v.idx").alias("idx"), F.col("v.n").alias("cnt"), "tot")
 

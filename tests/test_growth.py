@@ -3,6 +3,8 @@
 import math
 
 import numpy as np
+from pyspark.sql import functions as F
+
 from tessera.operators import simulation
 from tessera.operators import spatial as sp
 
@@ -28,3 +30,25 @@ def test_nearest_truth_of_crowded_places_without_pairs(spark):
     assert sorted(map(tuple, df.collect())) == sorted(want) and 0 < len(want) < len(at)
     assert "Window" not in _plan(df)  # which had all pairs within the tolerance
     assert simulation.matched(results.limit(0), truth).count() == simulation.matched(results, truth.limit(0)).count() == 0
+
+
+def test_words_of_units_are_shuffled_once(spark, sf):
+    from tessera.catalogue import models
+
+    units, genes = models._units(spark, sf)
+    plan = units._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("InMemoryTableScan")[0].count("Exchange hashpartitioning") <= 1 and len(genes) > 0  # documents by unit, no pairs of unit and word
+
+
+def test_units_are_held_in_pieces_of_batches(spark):
+    from tessera.operators import lda
+
+    name = "spark.sql.inMemoryColumnarStorage.batchSize"
+    before = spark.conf.get(name)
+    held = lda._by_batch(spark.range(0, 6400, 1, 2).withColumn("_b", F.col("id") % 32), 100)
+    scan = held.filter("_b = 5")
+    assert spark.conf.get(name) == before and {r.id % 32 for r in scan.collect()} == {5}
+    assert held._jdf.queryExecution().withCachedData().cacheBuilder().serializer() is not None
+    pieces = held._jdf.queryExecution().withCachedData().cacheBuilder().cachedColumnBuffers().count()
+    assert pieces >= 64  # two partitions of 3200 rows: a step reads one piece of each
+    held.unpersist()
