@@ -52,9 +52,9 @@ def _knn_join(pixels: DataFrame, a: DataFrame) -> DataFrame:
 
 
 def _knn_impute(pixels: DataFrame, a: DataFrame) -> DataFrame:
-    p = pixels.select("X", "Y").distinct().withColumn("key", F.struct("X", "Y"))
-    e = sp.radius_join(p, a, 20.0, strict=True).withColumn("w", sp.edge_weight(F.col("d"), 20.0, NU)).withColumn("value", F.array(F.col("tot").cast("double")))
-    return rounded(sp.imputed(e, "key", "w", "value").select("key.X", "key.Y", F.get("value", F.lit(0)).alias("value")))
+    p = pixels.select("X", "Y").distinct()
+    near = a.select("x", "y", F.array(F.col("tot").cast("double")).alias("value"))
+    return rounded(sp.imputed_around(p, near, 20.0, NU, "value").select("X", "Y", F.get("value", F.lit(0)).alias("value")))
 
 
 @query(A + " SELECT X, Y, gene, Count FROM px WHERE EXISTS (SELECT 1 FROM anchors WHERE (X - ax) * (X - ax) + (Y - ay) * (Y - ay) < 49.3::DOUBLE AND abs(X - ax) < 8)")

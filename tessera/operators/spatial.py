@@ -47,10 +47,40 @@ def near_any(left: DataFrame, right: DataFrame, r: float, x: str = "X", y: str =
     return a.join(b, (F.col("_bx") == F.col("_cx")) & (F.col("_by") == F.col("_cy")) & (dx * dx + dy * dy < F.lit(float(r) * float(r))), "left_semi").drop("_bx", "_by")
 
 
+def _met(left: DataFrame, right: DataFrame, on: list[str], x: str, y: str, r: float | None = None, strict: bool = False) -> DataFrame:
+    """``left`` once for each row, with ``_near``: an array of (d, the columns of ``right``) of the points of its bucket, within r if given.
+
+    ``right`` (with places _rx, _ry) is gathered by bucket before the join, so that no row is made for a pair.
+    """
+    cols = [c for c in right.columns if c not in {*on, "_rx", "_ry"}]
+    listed = right.groupBy(*on).agg(F.collect_list(F.struct("_rx", "_ry", *cols)).alias("_near"))
+
+    def far(p: Column) -> Column:
+        dx, dy = F.col(x) - p["_rx"], F.col(y) - p["_ry"]
+        return F.struct(F.sqrt(dx * dx + dy * dy).alias("d"), *(p[c].alias(c) for c in cols))
+
+    near = F.transform("_near", far)
+    if r is not None:
+        near = F.filter(near, lambda p: p["d"] < r if strict else p["d"] <= r)
+    return left.join(listed, on).withColumn("_near", near).drop(*on)
+
+
+def _first(met: DataFrame, tie: str, k: int) -> DataFrame:
+    """The k first of ``_near`` by d and ``tie``, a row each, with rank."""
+    cols = [f.name for f in met.schema["_near"].dataType.elementType.fields]
+    ordered = F.transform("_near", lambda p: F.struct(p["d"].alias("d"), p[tie].alias(tie), *(p[c].alias(c) for c in cols if c not in ("d", tie))))
+    out = met.withColumn("_near", F.slice(F.array_sort(ordered), 1, k)).select("*", F.posexplode("_near").alias("_i", "_p")).drop("_near")
+    return out.select(*(c for c in out.columns if c not in ("_i", "_p")), *(F.col("_p")[c].alias(c) for c in cols if c != "d"), F.col("_p.d").alias("d"), (F.col("_i") + 1).alias("rank"))
+
+
+def _within_reach(left: DataFrame, right: DataFrame, r: float, x: str = "X", y: str = "Y", rx: str = "x", ry: str = "y", strict: bool = False) -> DataFrame:
+    a = left.withColumns({"_bx": bucket(F.col(x), r), "_by": bucket(F.col(y), r)})
+    return _met(a, _around(right.withColumnsRenamed({rx: "_rx", ry: "_ry"}), r, "_rx", "_ry"), ["_bx", "_by"], x, y, r, strict)
+
+
 def nearest(left: DataFrame, right: DataFrame, r: float, key: str, tie: str, k: int = 1, **names) -> DataFrame:
-    """The k nearest points of ``right`` within r for each ``key`` of ``left``, with d and rank; equal distances by ``tie``."""
-    w = Window.partitionBy(key).orderBy("d", tie)
-    return radius_join(left, right, r, **names).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    """The k nearest points of ``right`` within r for each row of ``left``, whose ``key`` is its own, with d and rank; equal distances by ``tie``."""
+    return _first(_within_reach(left, right, r, **names), tie, k)
 
 
 #: Rows of both sides that a task holds together, the levels of squares above the least, and cells that are sent to all tasks.
@@ -119,9 +149,7 @@ def nearest_any(left: DataFrame, right: DataFrame, r: float, key: str, tie: str,
     a = left.join(levels, ["_cx", "_cy"]).withColumns({"_bx": F.expr("shiftright(_cx, _level)"), "_by": F.expr("shiftright(_cy, _level)")}).drop("_cx", "_cy")
     cells = [F.struct(F.lit(i).alias("_level"), (F.shiftright("_cx", i) + p).alias("_bx"), (F.shiftright("_cy", i) + q).alias("_by")) for i in used for p in range(-REACH, REACH + 1) for q in range(-REACH, REACH + 1)]
     b = right.select("*", F.inline(F.array(*cells))).drop("_cx", "_cy")
-    dx, dy = F.col(x) - F.col("_rx"), F.col(y) - F.col("_ry")
-    both = a.join(b, ["_level", "_bx", "_by"]).withColumn("d", F.sqrt(dx * dx + dy * dy)).drop("_level", "_bx", "_by", "_rx", "_ry")
-    return both.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("d", tie))).filter(F.col("rank") <= k)
+    return _first(_met(a, b, ["_level", "_bx", "_by"], x, y), tie, k)
 
 
 def edge_weight(d: Column, r: float, nu: float) -> Column:
@@ -136,6 +164,14 @@ def imputed(edges: DataFrame, key: str, weight: str, value: str) -> DataFrame:
     return sums.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_v"))), lambda x: x["_v"]).alias(value))
 
 
+def imputed_around(left: DataFrame, right: DataFrame, r: float, nu: float, value: str, **names) -> DataFrame:
+    """Each row of ``left`` with points of ``right`` nearer than r, and the mean of their arrays ``value`` by :func:`edge_weight`."""
+    met = _within_reach(left, right, r, strict=True, **names).filter(F.size("_near") > 0)
+    total = F.aggregate("_near", F.lit(0.0), lambda s, p: s + edge_weight(p["d"], r, nu))
+    mean = F.transform(F.sequence(F.lit(0), F.size(F.col("_near")[0][value]) - 1), lambda i: F.aggregate("_near", F.lit(0.0), lambda s, p: s + edge_weight(p["d"], r, nu) * F.get(p[value], i)) / total)
+    return met.withColumn(value, mean).drop("_near")
+
+
 def factor_lookup(points: DataFrame, decoded: DataFrame, key: str, r: float = 5.0, k: int = 1, halflife: float = 0.7, include_self: bool = False, sparsify: float = 0.0, value: str = "theta", x: str = "X", y: str = "Y") -> DataFrame:
     """(key, value): factor probabilities at places, from the k nearest decoded places (x, y, value) nearer than r.
 

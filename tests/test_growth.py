@@ -52,3 +52,14 @@ def test_units_are_held_in_pieces_of_batches(spark):
     pieces = held._jdf.queryExecution().withCachedData().cacheBuilder().cachedColumnBuffers().count()
     assert pieces >= 64  # two partitions of 3200 rows: a step reads one piece of each
     held.unpersist()
+
+
+def test_neighbours_are_found_without_rows_of_pairs(spark):
+    at = [(float(x), float(y)) for x, y in np.random.default_rng(4).integers(0, 40, (60, 2))]
+    left = spark.createDataFrame([(*q, i) for i, q in enumerate(at)], "X double, Y double, key int")
+    right = spark.createDataFrame([(*q, j) for j, q in enumerate(at[:30])], "x double, y double, tie int")
+    for df, r in ((sp.nearest(left, right, 15.0, "key", "tie", 3), 15.0), (sp.nearest_any(left, right, 5.0, "key", "tie", 3), math.inf)):
+        near = lambda q: sorted((math.dist(p, q), j) for j, p in enumerate(at[:30]))[:3]
+        want = [(i, n + 1, j) for i, q in enumerate(at) for n, (d, j) in enumerate(near(q)) if d <= r]
+        assert sorted((x.key, x["rank"], x.tie) for x in df.collect()) == sorted(want)
+        assert "Window" not in _plan(df)  # which had all pairs in reach
