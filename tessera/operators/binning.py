@@ -47,7 +47,10 @@ def hex_units(pixels: DataFrame, width: float = 24.0, n_move: int = 3, key: str
     floor = max(min_ct, density * area_of(width))
     more = {"lattice": [], "mean": [F.avg("X").alias("x"), F.avg("Y").alias("y")], "median": [F.median("X").alias("x"), F.median("Y").alias("y")]}[centre]
     out = hexed(pixels, width, n_move).groupBy(*groups, *HEX).agg(F.sum(key).alias("tot"), *more).filter(F.col("tot") >= floor)
-    return centred(out, width, n_move) if centre == "lattice" else out
+    if centre != "lattice":
+        return out
+    # A centre follows from the group's keys: only by its total is a filter on it kept above the aggregation, and not put before it for each pixel and offset.
+    return centred(out, width, n_move).withColumns({c: F.when(F.col("tot") >= floor, F.col(c)) for c in ("x", "y")})
 
 
 def edge_trimmed(pixels: DataFrame, hexed_pixels: DataFrame, width: float, axis: str = "X", groups: tuple[str, ...] = ()) -> DataFrame:

@@ -5,6 +5,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
+from tessera.operators import binning as b
 from tessera.operators import simulation
 from tessera.operators import spatial as sp
 
@@ -63,3 +64,14 @@ def test_neighbours_are_found_without_rows_of_pairs(spark):
         want = [(i, n + 1, j) for i, q in enumerate(at) for n, (d, j) in enumerate(near(q)) if d <= r]
         assert sorted((x.key, x["rank"], x.tie) for x in df.collect()) == sorted(want)
         assert "Window" not in _plan(df)  # which had all pairs in reach
+
+
+def test_filters_on_centres_stay_above_the_aggregation(spark):
+    p = spark.createDataFrame([(float(i % 97), float(i % 89), 1) for i in range(900)], "X double, Y double, Count int")
+    u = b.hex_units(p, 12.0, 3, min_ct=2)
+    kept = b.centre_trimmed(u, p, 12.0)
+    plan = _plan(kept)
+    assert "Aggregate" in plan and "Filter" not in plan.split("Aggregate", 1)[1]  # it was put below, for each pixel and offset
+    margin = b.radius_of(12.0) * 3**0.5 / 2
+    want = sorted(tuple(r) for r in u.collect() if 0.0 + margin < r.x < 96.0 - margin)
+    assert sorted(map(tuple, kept.collect())) == want and 0 < len(want) < u.count()
