@@ -2,6 +2,8 @@
 
 Pixels and anchors of a tile are grouped together; the size of a tile bounds
 what a task holds. A pixel in the overlap of tiles belongs to one of them only.
+Genes are summed by place before tiles are made, so that a tile has a row of as
+many numbers as factors for each place, however many rows of genes there are.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from tessera.operators import quadtree
 from tessera.operators.binning import extent, owner, tiled
 
 LEAST_ANCHORS = 10
+#: Places of a tile that are inferred together where places do not depend on each other.
+SLICE = 50_000
 
 
 def _sums(place: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
@@ -79,13 +83,14 @@ def decode(pixels: DataFrame, anchors: DataFrame, model: DataFrame, side: float
     ``model`` is (gene, factor, lambda), floored at 0.5; it is collected once:
     its size is features times factors. Tiles with fewer than ``least`` anchors
     are left out. With ``most`` tiles follow the pixels: none has more rows of its
-    own, down to tiles as wide as the halo.
+    own, down to tiles as wide as the halo. In one round (``rounds``) no pixel depends
+    on another, so tiles have their own pixels only, and infer some at a time.
     """
 
     def out(tile: Solved) -> pd.DataFrame:
         return pd.DataFrame({"X": tile.xy[tile.own, 0], "Y": tile.xy[tile.own, 1], "theta": list(tile.phi[tile.own])})
 
-    return _tiles(pixels, anchors, model, out, "X double, Y double, theta array<double>", side, halo, r, halflife, share, rounds, least, most)
+    return _tiles(pixels, anchors, model, out, "X double, Y double, theta array<double>", side, halo, r, halflife, share, rounds, least, most, alone=rounds == 1)
 
 
 def decoded_anchors(pixels: DataFrame, anchors: DataFrame, model: DataFrame, side: float = 500, halo: float = 50, r: float = 25, halflife: float = 0.7, share: float = 0.2, rounds: int = 30, least: int = LEAST_ANCHORS) -> DataFrame:
@@ -101,7 +106,7 @@ def decoded_anchors(pixels: DataFrame, anchors: DataFrame, model: DataFrame, sid
 
 @dataclass
 class Solved:
-    """A tile after inference: linked pixels (place, counts, phi, whether the tile owns them), anchors and edges, sums by factor and gene, the last bound and its pieces."""
+    """A tile after inference: linked pixels (place, counts, phi, whether the tile owns them), anchors and edges, sums by factor and gene (if asked for), the last bound and its pieces."""
 
     key: tuple
     xy: np.ndarray
@@ -113,67 +118,79 @@ class Solved:
     px: np.ndarray
     ax: np.ndarray
     psi: np.ndarray
-    stats: np.ndarray
+    stats: np.ndarray | None
     bound: float
     pieces: dict[str, float]
 
 
-def _tiles(pixels: DataFrame, anchors: DataFrame, model: DataFrame, out: Callable[[Solved], pd.DataFrame], schema: str, side: float, halo: float, r: float, halflife: float, share: float, rounds: int, least: int, most: int = 0) -> DataFrame:
-    """``out`` of each tile after inference."""
-    rows = model.toPandas()
-    wide = rows.pivot_table(index="gene", columns="factor", values="lambda", aggfunc="sum", fill_value=0.0)
+def _tiles(pixels: DataFrame, anchors: DataFrame, model: DataFrame, out: Callable[[Solved], pd.DataFrame], schema: str, side: float, halo: float, r: float, halflife: float, share: float, rounds: int, least: int, most: int = 0, alone: bool = False, by_gene: bool = False) -> DataFrame:
+    """``out`` of each tile after inference, and of some of its own pixels at a time if these are ``alone``; ``by_gene`` for sums by factor and gene."""
+    wide = model.toPandas().pivot_table(index="gene", columns="factor", values="lambda", aggfunc="sum", fill_value=0.0)
     log_beta = expected_log(np.maximum(wide.to_numpy(float), 0.5).T)
-    at = {str(g): i for i, g in enumerate(wide.index)}
+    genes, sums = [str(g) for g in wide.index], [f"b{k}" for k in range(len(log_beta))]
     box = extent(pixels)
     if box[0] is None:
         return pixels.sparkSession.createDataFrame([], schema)
     x0, x1, y0, y1 = box
-    p = pixels.select("X", "Y", F.col("gene").cast("string").alias("gene"), F.col("Count").cast("double").alias("n"))
+    rows = pixels.select("X", "Y", F.col("gene").cast("string").alias("gene"), F.col("Count").cast("double").alias("n"))
+    known = pixels.sparkSession.createDataFrame(pd.DataFrame({"gene": genes, "i": np.arange(len(genes))} | dict(zip(sums, log_beta))), "gene string, i int" + "".join(f", {b} double" for b in sums))
+    p = rows.join(F.broadcast(known), "gene")
+    if by_gene:
+        p = p.groupBy("X", "Y", "i").agg(F.sum("n").alias("n"), *(F.first(b).alias(b) for b in sums))
+    else:
+        p = p.groupBy("X", "Y").agg(F.sum("n").alias("n"), *(F.sum(F.col("n") * F.col(b)).alias(b) for b in sums))
     # Anchors reach a tile from r around it.
     a = anchors.select(F.col("x").alias("ax"), F.col("y").alias("ay"), "theta").filter(F.col("ax").between(x0 - r, x1 + r) & F.col("ay").between(y0 - r, y1 + r))
     if most:
         cells = quadtree.Cells.over(box, max(halo, r))
-        found = quadtree.leaves(p, cells, most).persist()
-        p, spread = (quadtree.spread(t, quadtree.around(found, cells, d), cells, d, *at_) for t, d, at_ in ((p, halo, ("X", "Y")), (a, halo + r, ("ax", "ay"))))
+        found = quadtree.leaves(rows, cells, most).persist()
+        p, spread = (quadtree.spread(t, quadtree.around(found, cells, d), cells, d, *at_) for t, d, at_ in ((p, 0.0 if alone else halo, ("X", "Y")), (a, halo + r, ("ax", "ay"))))
         tile_of = quadtree.NODE
     else:
         p = tiled(p, side, halo, box=box)
         p = p.withColumn("own", (F.col("tx") == owner(F.col("X"), x0, x1, side, halo)) & (F.col("ty") == owner(F.col("Y"), y0, y1, side, halo)))
+        p = p.filter("own") if alone else p
         hold = lambda c, lo, hi: F.least(F.greatest(c, F.lit(lo)), F.lit(hi))
         near = F.array(*(F.struct(hold(F.col("ax") + dx, x0, x1).alias("X"), hold(F.col("ay") + dy, y0, y1).alias("Y")) for dx in (-r, 0.0, r) for dy in (-r, 0.0, r)))
         spread = tiled(a.select("*", F.inline(F.array_distinct(near))), side, halo, box=box).dropDuplicates(["tx", "ty", "ax", "ay"])
         tile_of = ["tx", "ty"]
     names, kinds = zip(*(x.split() for x in schema.split(", ")))
 
-    def one(key, tile: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({c: np.zeros(0, {"double": float, "int": int}.get(t, object)) for c, t in zip(names, kinds)})
-        if len(near) < least or not len(tile):
-            return none
-        near, tile = near.sort_values(["ax", "ay"]), tile.sort_values(["X", "Y", "gene"])
-        tile = tile.assign(i=tile.gene.map(at)).dropna(subset=["i"])
-        if not len(tile):
-            return none
-        place, points = pd.factorize(pd.MultiIndex.from_frame(tile[["X", "Y"]]))
-        xy, genes, counts = np.array([*points]), tile.i.to_numpy(int), tile.n.to_numpy()
-        theta = prior(np.array(near.theta.tolist(), float), share)
-        px, ax, w = edges(xy, near[["ax", "ay"]].to_numpy(float), r, halflife)
+    def solved(key, xy: np.ndarray, own: np.ndarray, count: np.ndarray, xb: np.ndarray, near: np.ndarray, theta: np.ndarray, sums_of: Callable[[np.ndarray, np.ndarray], np.ndarray] | None) -> Solved | None:
+        px, ax, w = edges(xy, near, r, halflife)
         linked = np.unique(px)
         if not len(linked):
-            return none
+            return None
         renumber = np.full(len(xy), -1)
         renumber[linked] = np.arange(len(linked))
-        xb = _sums(place, counts[:, None] * log_beta.T[genes], len(xy))[linked]
-        phi, gamma, psi, trail = couple(renumber[px], ax, w, len(linked), theta, xb, rounds)
+        px, xb = renumber[px], xb[linked]
+        phi, gamma, psi, trail = couple(px, ax, w, len(linked), theta, xb, rounds)
         pixel, log_theta = float((phi * xb).sum()), expected_log(gamma)
         pieces = {"pixel": pixel, "patch": trail[-1] - pixel, "gamma": float(((theta - gamma) * log_theta + gammaln(gamma)).sum() - gammaln(gamma.sum(1)).sum())}
-        own = np.zeros(len(xy), bool)
-        own[place] = tile.own.to_numpy()
-        mine = renumber[place]
-        used = mine >= 0
-        used[used] &= own[linked][mine[used]]
-        stats = np.stack([np.bincount(genes[used], counts[used] * phi[mine[used], k], len(at)) for k in range(theta.shape[1])])
-        done = Solved(key, xy[linked], np.bincount(place, counts, len(xy))[linked], phi, own[linked], near[["ax", "ay"]].to_numpy(float), gamma, renumber[px], ax, psi, stats, trail[-1], pieces)
-        return out(done)[[*names]]
+        stats = sums_of(np.where(own, renumber, -1), phi) if sums_of else None
+        return Solved(key, xy[linked], count[linked], phi, own[linked], near, gamma, px, ax, psi, stats, trail[-1], pieces)
+
+    def one(key, tile: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({c: np.zeros(0, {"double": float, "int": int}.get(t, object)) for c, t in zip(names, kinds)})
+        if len(near) < least or not len(tile):
+            return none
+        near = near.sort_values(["ax", "ay"])
+        theta, near = prior(np.array(near.theta.tolist(), float), share), near[["ax", "ay"]].to_numpy(float)
+        tile = tile.iloc[np.lexsort((*((tile.i,) if by_gene else ()), tile.Y, tile.X))]
+        xy, own, count, xb, sums_of = tile[["X", "Y"]].to_numpy(float), tile.own.to_numpy(bool), tile.n.to_numpy(float), tile[sums].to_numpy(float), None
+        if by_gene:
+            first = np.append(True, (xy[1:] != xy[:-1]).any(1))
+            place, gene, counts = np.cumsum(first) - 1, tile.i.to_numpy(int), count
+            xy, own, count, xb = xy[first], own[first], np.bincount(place, counts), _sums(place, counts[:, None] * xb, int(first.sum()))
+
+            def sums_of(mine: np.ndarray, phi: np.ndarray) -> np.ndarray:
+                used = mine[place] >= 0
+                at, which, n = mine[place][used], gene[used], counts[used]
+                return np.stack([np.bincount(which, n * phi[at, k], len(genes)) for k in range(phi.shape[1])])
+
+        step = SLICE if alone else len(xy)
+        every = (solved(key, xy[i : i + step], own[i : i + step], count[i : i + step], xb[i : i + step], near, theta, sums_of) for i in range(0, len(xy), step))
+        return pd.concat([out(done)[[*names]] for done in every if done] or [none])
 
     return p.groupBy(*tile_of).cogroup(spread.groupBy(*tile_of)).applyInPandas(one, schema)
 
@@ -241,7 +258,7 @@ def learned(pixels: DataFrame, anchors: DataFrame, model: DataFrame, steps: int
 
     for step in range(steps):
         rows = model.toPandas().pivot_table(index="gene", columns="factor", values="lambda", aggfunc="sum", fill_value=0.0)
-        got = _tiles(pixels, anchors, model, sums, "factor int, gene int, v double", side, halo, r, **o).groupBy("factor", "gene").agg(F.sum("v").alias("v")).toPandas()
+        got = _tiles(pixels, anchors, model, sums, "factor int, gene int, v double", side, halo, r, by_gene=True, **o).groupBy("factor", "gene").agg(F.sum("v").alias("v")).toPandas()
         bounds.append(float(got.loc[got.factor < 0, "v"].sum()))
         got, new = got[got.factor >= 0], np.zeros(rows.shape)
         new[got.gene.to_numpy(), got.factor.to_numpy()] = got.v.to_numpy()

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.operators import binning as b
-from tessera.operators import simulation
+from tessera.operators import decode, simulation
 from tessera.operators import spatial as sp
 
 
@@ -66,6 +66,28 @@ def test_neighbours_are_found_without_rows_of_pairs(spark):
         assert "Window" not in _plan(df)  # which had all pairs in reach
 
 
+def test_one_round_of_decoding_takes_each_place_once(spark):
+    rng = np.random.default_rng(5)
+    rows = [(float(x), float(y), str(g), int(n)) for x, y, g, n in zip(*rng.integers(0, 160, (2, 3000)), rng.integers(0, 4, 3000), rng.integers(1, 5, 3000))]
+    at = [(float(x), float(y), [0.25 + x % 3 / 8, 0.75 - x % 3 / 8]) for x in range(0, 170, 15) for y in range(0, 170, 15)]
+    lam = [[30.0, 5.0], [5.0, 30.0], [20.0, 20.0], [1.0, 9.0]]
+    pixels, anchors = spark.createDataFrame(rows, "X double, Y double, gene string, Count int"), spark.createDataFrame(at, "x double, y double, theta array<double>")
+    model = spark.createDataFrame([(str(g), k, v) for g, vs in enumerate(lam) for k, v in enumerate(vs)], "gene string, factor int, `lambda` double")
+    places = sorted({r[:2] for r in rows})
+    log_beta, log_theta = decode.expected_log(np.array(lam).T), decode.expected_log(decode.prior(np.array([t for *_, t in at])))
+    want = []
+    for p in places:
+        d = np.array([math.dist(p, a[:2]) for a in at])
+        w = np.where(d < 25, np.clip(1 - (d / 25) ** (math.log(0.5) / math.log(0.7)), 0.05, 0.95), 0)
+        z = (w / w.sum()) @ log_theta + sum(n * log_beta[:, int(g)] for x, y, g, n in rows if (x, y) == p)
+        want.append(np.exp(z - z.max()) / np.exp(z - z.max()).sum())
+    for most in (0, 100):
+        got = {(r.X, r.Y): r.theta for r in decode.decode(pixels, anchors, model, side=60, halo=50, r=25, rounds=1, least=1, most=most).collect()}
+        assert sorted(got) == places and np.allclose([got[p] for p in places], want, atol=1e-9)
+    sizes = decode._tiles(pixels, anchors, model, lambda t: decode.pd.DataFrame({"n": [len(t.xy)]}), "n int", 60, 50, 25, 0.7, 0.2, 1, 1, 100, alone=True)
+    assert sizes.agg(F.sum("n")).first()[0] == len(places)  # halos had most of them nine times, and genes rows of their own
+
+
 def test_filters_on_centres_stay_above_the_aggregation(spark):
     p = spark.createDataFrame([(float(i % 97), float(i % 89), 1) for i in range(900)], "X double, Y double, Count int")
     u = b.hex_units(p, 12.0, 3, min_ct=2)
