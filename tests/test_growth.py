@@ -97,3 +97,17 @@ def test_filters_on_centres_stay_above_the_aggregation(spark):
     margin = b.radius_of(12.0) * 3**0.5 / 2
     want = sorted(tuple(r) for r in u.collect() if 0.0 + margin < r.x < 96.0 - margin)
     assert sorted(map(tuple, kept.collect())) == want and 0 < len(want) < u.count()
+
+
+def test_rows_meet_few_edges_without_a_shuffle(spark):
+    from tessera.catalogue.models import HOLED
+    from tessera.sources import readers
+
+    at = [(float(x), float(y), i) for i, (x, y) in enumerate(np.random.default_rng(6).integers(-20, 1000, (2000, 2)))]
+    at += [(*q[:2], i) for i, q in enumerate(at[:300])] + [(250.0, 250.0, -1), (50.0, 50.0, -2), (None, 1.0, -3)]
+    p, e = spark.createDataFrame(at, "X double, Y double, id int"), readers.polygon_edges(spark, [*HOLED, [[(0.0, 0.0), (300.0, 0.0), (300.0, 300.0)]]])
+    few, many = sp.within(p, e), sp.within(p, e, most=0)
+    assert few.columns == p.columns and sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect())) and few.count() > 300
+    left = few._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
+    assert "BroadcastHashJoin" in left and "Exchange" not in left  # pixels were shuffled for their distinct places and for their own
+    assert sp.within(p, e.limit(0)).count() == sp.within(p.limit(0), e).count() == 0
