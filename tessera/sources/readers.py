@@ -171,7 +171,7 @@ def _placed(df: DataFrame, meta: dict, box: tuple[float, float, float, float] |
 
 def blocks(spark: SparkSession, path: str, box: tuple[float, float, float, float] | None = None, where: str | None = None) -> tuple[DataFrame, dict]:
     """(rows in micrometres, metadata) of block-indexed results; a box (xmin, xmax, ymin, ymax), bounds included, selects blocks and then rows."""
-    lines = [r.value for r in spark.read.text(path).filter(F.col("value").startswith("#")).collect()]  # four lines
+    lines = [r.value for r in spark.read.text(path).filter(F.col("value").startswith("#")).distinct().collect()]  # four lines, the same in each file
     meta, header = block_meta(lines)
     df = spark.read.option("sep", "\t").option("comment", "#").schema(", ".join(f"`{c}` {k}" for c, k in _block_kinds(header))).csv(path)
     if box:

@@ -51,25 +51,30 @@ def write_tsv(df: DataFrame, path: str, fmt: str | None = None, compress: bool =
     out.write.mode("overwrite").option("sep", "\t").option("header", True).option("compression", "gzip" if compress else "none").csv(path)
 
 
-def _block_lines(decoded: DataFrame, k: int, top: int, block: float, scale: float, off_x: float, off_y: float, size_x: float, size_y: float) -> tuple[DataFrame, str]:
-    """(rows with BLOCK, X, Y and their line ``value``, the lines before them)."""
+def _block_lines(rows: DataFrame, k: int, top: int, block: float, scale: float, off_x: float, off_y: float, size_x: float, size_y: float) -> tuple[DataFrame, str]:
+    """(rows with BLOCK, X and Y and their line ``value``, the lines before them)."""
     cols = ["BLOCK", "X", "Y", *(f"K{i + 1}" for i in range(top)), *(f"P{i + 1}" for i in range(top))]
     head = [f"##K={k};TOPK={top}", f"##BLOCK_SIZE={block:g};BLOCK_AXIS=X;INDEX_AXIS=Y", f"##OFFSET_X={off_x:g};OFFSET_Y={off_y:g};SIZE_X={size_x:g};SIZE_Y={size_y:g};SCALE={scale:g}", "#" + "\t".join(cols)]
-    out = formatted(blocked(decoded, block, scale, off_x, off_y), "%.2e", [f"P{i + 1}" for i in range(top)])
+    out = formatted(rows, "%.2e", [f"P{i + 1}" for i in range(top)])
     return out.withColumn("value", F.concat_ws("\t", *(F.col(c).cast("string") for c in cols))), "\n".join(head) + "\n"
 
 
 def write_blocks(decoded: DataFrame, path: str, k: int, top: int, block: float = 2000, scale: float = 100, off_x: float = 0.0, off_y: float = 0.0, size_x: float = 0.0, size_y: float = 0.0) -> None:
-    """Block-indexed results: metadata, then rows sorted by block and Y. Every file has the metadata, so each can be read by itself."""
-    out, head = _block_lines(decoded, k, top, block, scale, off_x, off_y, size_x, size_y)
-    out = out.repartitionByRange("BLOCK").sortWithinPartitions("BLOCK", "Y", "X").select("value")
+    """Block-indexed results: metadata, then rows sorted by block and Y. Every file has the metadata, so each can be read by itself; a block may be several files.
+
+    Numbers are sorted, and become lines where they are written.
+    """
+    keys = ["BLOCK", "Y", "X"]
+    kept = [*keys, *(f"{c}{i + 1}" for c in "KP" for i in range(top))]
+    rows = blocked(decoded, block, scale, off_x, off_y).select(*kept).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    out, head = _block_lines(rows, k, top, block, scale, off_x, off_y, size_x, size_y)
     first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
     out.select(F.when(first, F.concat(F.lit(head), F.col("value"))).otherwise(F.col("value")).alias("value")).write.mode("overwrite").option("compression", "gzip").text(path)
 
 
 def write_blocks_indexed(decoded: DataFrame, path: str, k: int, top: int, block: float = 2000, scale: float = 100, off_x: float = 0.0, off_y: float = 0.0, size_x: float = 0.0, size_y: float = 0.0) -> None:
     """The same, block-compressed and with an index of BLOCK and Y beside each file, from which a box can be read alone."""
-    out, head = _block_lines(decoded, k, top, block, scale, off_x, off_y, size_x, size_y)
+    out, head = _block_lines(blocked(decoded, block, scale, off_x, off_y), k, top, block, scale, off_x, off_y, size_x, size_y)
     bgzf.write(out, path, "BLOCK", "Y", "value", head, (1, 3))
 
 

@@ -111,3 +111,18 @@ def test_rows_meet_few_edges_without_a_shuffle(spark):
     left = few._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
     assert "BroadcastHashJoin" in left and "Exchange" not in left  # pixels were shuffled for their distinct places and for their own
     assert sp.within(p, e.limit(0)).count() == sp.within(p.limit(0), e).count() == 0
+
+
+def test_a_block_is_sorted_by_several_tasks_as_numbers(spark, tmp_path):
+    from tessera.sources import readers, sinks
+
+    df = spark.range(4000).select((F.col("id") % 61 + 0.5).alias("X"), (F.col("id") % 997 / 4).alias("Y"), F.lit(1).alias("K1"), F.lit(2).alias("K2"), F.lit(0.75).alias("P1"), F.lit(0.25).alias("P2"))
+    conf, before = "spark.sql.adaptive.coalescePartitions.enabled", spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set(conf, "false")
+    try:
+        sinks.write_blocks(df, str(tmp_path / "b"), 4, 2, block=1000)
+    finally:
+        spark.conf.set(conf, before)
+    assert len(list((tmp_path / "b").glob("part-*.gz"))) > 1  # one block was one task and one file
+    got, meta = readers.blocks(spark, str(tmp_path / "b"))
+    assert meta["K"] == 4 and sorted((r.X, r.Y) for r in got.collect()) == sorted((r.X, r.Y) for r in df.collect())
