@@ -74,6 +74,12 @@ def members(file, at: int, to: int) -> Iterator[tuple[int, bytes]]:
         at += size
 
 
+def runs_of(name: np.ndarray, window: np.ndarray) -> list[tuple[int, int]]:
+    """The rows (first, one after the last) of each run of one name and window."""
+    first = np.nonzero(np.concatenate([[True], (np.diff(name) != 0) | (np.diff(window) != 0)]))[0].tolist() if len(name) else []
+    return list(zip(first, [*first[1:], len(name)]))
+
+
 @dataclass
 class Index:
     """The stretches of a file by name and bin, and the least offset by name and window of 2 ** 14 positions."""
@@ -88,9 +94,8 @@ class Index:
     def of(cls, names: list[str], name: np.ndarray, pos: np.ndarray, start: np.ndarray, end: np.ndarray, columns: tuple[int, int, int]) -> Index:
         """The index of sorted lines: numbers of their names, positions from 0, and virtual offsets."""
         window = pos >> LEVELS[-1][1]
-        first = np.nonzero(np.concatenate([[True], (np.diff(name) != 0) | (np.diff(window) != 0)]))[0] if len(name) else np.zeros(0, int)
         bins, windows = {n: {} for n in names}, {n: [] for n in names}
-        for a, b in zip(first.tolist(), [*first.tolist()[1:], len(name)]):
+        for a, b in runs_of(name, window):
             n, w = names[name[a]], int(window[a])
             bins[n].setdefault(LEVELS[-1][0] + w, []).append((int(start[a]), int(end[b - 1])))
             windows[n] += [windows[n][-1] if windows[n] else 0] * (w - len(windows[n])) + [int(start[a])]
@@ -267,8 +272,8 @@ class _Writer(DataSourceArrowWriter):
         where, folder = _opened(self.path)
         name = f"{folder}/part-{context.partitionId():05d}-{context.taskAttemptId()}-{self.run}.tsv.gz"
         names: dict[str, int] = {}
-        which, places, ends, text, offsets, written = [], [], [], bytearray(self.head.encode()), [0], 0
-        start, rows = len(text), 0
+        # Lines are kept as runs of a name and a window of the index: (name, position, start, end), in bytes of the text.
+        runs, text, offsets, written = [], bytearray(self.head.encode()), [0], 0
         with where.open_output_stream(name, compression=None) as out:
 
             def flushed(all_: bool) -> None:
@@ -280,20 +285,24 @@ class _Writer(DataSourceArrowWriter):
                     del text[:MEMBER]
 
             for batch in batches:
-                for n, p, v in zip(*(c.to_pylist() for c in batch.columns)):
-                    which.append(names.setdefault(n, len(names)))
-                    places.append(p)
-                    text += v.encode() + b"\n"
-                    ends.append(written + len(text))
-                    rows += 1
+                which = np.array([names.setdefault(n, len(names)) for n in batch.column(0).to_pylist()], np.int64)
+                pos, lines = batch.column(1).to_numpy(zero_copy_only=False), [v.encode() + b"\n" for v in batch.column(2).to_pylist()]
+                ends = written + len(text) + np.cumsum([len(v) for v in lines], dtype=np.int64)
+                window = pos >> LEVELS[-1][1]
+                for a, b in runs_of(which, window):
+                    start = int(ends[a - 1]) if a else written + len(text)
+                    if runs and runs[-1][0] == which[a] and runs[-1][1] >> LEVELS[-1][1] == window[a]:
+                        runs[-1] = (*runs[-1][:3], int(ends[b - 1]))
+                    else:
+                        runs.append((int(which[a]), int(pos[a]), start, int(ends[b - 1])))
+                text += b"".join(lines)
                 flushed(False)
             flushed(True)
             out.write(LAST)
         where_at = np.array(offsets, np.int64)
         place = lambda u: (where_at[u // MEMBER] << 16) | (u % MEMBER)
-        end = np.array(ends, np.int64)
-        begin = np.concatenate([[start], end])[:-1].astype(np.int64)
-        index = Index.of(list(names), np.array(which, np.int64), np.array(places, np.int64), place(begin), place(end), self.columns)
+        which, places, begin, end = np.array(runs, np.int64).reshape(-1, 4).T
+        index = Index.of(list(names), which, places, place(begin), place(end), self.columns)
         with where.open_output_stream(name + ".tbi", compression=None) as out:
             out.write(index.packed())
         return _Written(name)

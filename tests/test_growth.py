@@ -126,3 +126,31 @@ def test_a_block_is_sorted_by_several_tasks_as_numbers(spark, tmp_path):
     assert len(list((tmp_path / "b").glob("part-*.gz"))) > 1  # one block was one task and one file
     got, meta = readers.blocks(spark, str(tmp_path / "b"))
     assert meta["K"] == 4 and sorted((r.X, r.Y) for r in got.collect()) == sorted((r.X, r.Y) for r in df.collect())
+
+
+def test_an_index_is_made_of_runs_and_not_of_rows(tmp_path, monkeypatch):
+    import pyarrow as pa
+    import pyspark
+
+    from tessera.sources import bgzf
+
+    context = type("Context", (), {"partitionId": lambda self: 0, "taskAttemptId": lambda self: 0})
+    monkeypatch.setattr(pyspark.TaskContext, "get", classmethod(lambda cls: context()))
+    rows = sorted((str(n), int(p), f"{n}\t{p}\t{i}") for i, (n, p) in enumerate(np.random.default_rng(8).integers(0, [3, 70_000], (9000, 2))))
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i : i + 1000])], ["name", "pos", "value"]) for i in range(0, 9000, 1000)]
+    seen, of = [], bgzf.Index.of
+    monkeypatch.setattr(bgzf.Index, "of", classmethod(lambda cls, names, name, *more: seen.append(len(name)) or of(names, name, *more)))
+    written = bgzf._Writer({"path": str(tmp_path), "head": "#h\n"}, True).write(iter(batches))
+    assert seen == [15]  # names by windows of 2 ** 14; there was an entry of three lists for each row
+    whole = of(["0", "1", "2"], *_virtual(bgzf, written.name, rows), (1, 2, 2))
+    index = bgzf.index_of(written.name)
+    assert index.bins == whole.bins and index.windows == whole.windows
+
+
+def _virtual(bgzf, path, rows):
+    """(number of the name, position, virtual start and end) of each line of a file, found by reading it."""
+    with open(path, "rb") as f:
+        members = list(bgzf.members(f, 0, 1 << 40))
+    offsets, ends = np.array([at for at, _ in members]), 3 + np.cumsum([len(v) + 1 for *_, v in rows])
+    place = lambda u: (offsets[u // bgzf.MEMBER] << 16) | (u % bgzf.MEMBER)
+    return np.array([int(n) for n, *_ in rows]), np.array([p for _, p, _ in rows]), place(np.append(3, ends[:-1])), place(ends)
