@@ -97,10 +97,15 @@ def factor_proximity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _anchor_theta(spark: SparkSession, d: str) -> DataFrame:
-    """Anchors key, x, y, theta: mixtures of four factors by gene number."""
-    g = b.hexed(px(spark, d), 24.0).groupBy("hx", "hy", (F.col("gene").cast("int") % 4).alias("factor")).agg(F.sum("Count").cast("double").alias("n"))
-    p = g.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("hx", "hy")))
-    return v.arrayed(p, ["hx", "hy"], "factor", "p", 4).join(anchors(spark, d), ["hx", "hy"]).select(F.struct("hx", "hy").alias("key"), "x", "y", "theta")
+    """Anchors key, x, y, theta: mixtures of four factors by gene number.
+
+    One aggregation has both a cell's total and its mixture. A join of the two put a
+    filter on the cell's numbers, which are long expressions, below both aggregations.
+    """
+    g = b.hexed(px(spark, d), 24.0).groupBy(*b.HEX, (F.col("gene").cast("int") % 4).alias("factor")).agg(F.sum("Count").cast("double").alias("n"))
+    p = g.withColumn("tot", F.sum("n").over(Window.partitionBy(*b.HEX))).withColumn("p", F.col("n") / F.col("tot"))
+    units = b.centres_of(v.arrayed(p, [*b.HEX, "tot"], "factor", "p", 4), 24.0, 1, 20)
+    return units.filter("x IS NOT NULL").select(F.struct("hx", "hy").alias("key"), "x", "y", "theta")
 
 
 @query(A + " SELECT a.hx, a.hy, b.hx AS nx, b.hy AS ny, round(sqrt((a.ax - b.ax) * (a.ax - b.ax) + (a.ay - b.ay) * (a.ay - b.ay)), 6) AS d FROM anchors a JOIN anchors b ON b.hx BETWEEN a.hx - 4 AND a.hx + 4 AND b.hy BETWEEN a.hy - 4 AND a.hy + 4 WHERE sqrt((a.ax - b.ax) * (a.ax - b.ax) + (a.ay - b.ay) * (a.ay - b.ay)) <= 50")
@@ -524,7 +529,7 @@ def _model(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def decode_pixels(spark: SparkSession, d: str) -> DataFrame:
     """Factor probabilities of pixels from a model and anchors."""
-    got = decode(b.collapsed_truncating(px(spark, d), 0.1), _anchor_theta(spark, d).select("x", "y", "theta"), _model(spark, d), side=200, halo=50, r=25)
+    got = decode(b.truncated(px(spark, d), 0.1), _anchor_theta(spark, d).select("x", "y", "theta"), _model(spark, d), side=200, halo=50, r=25)
     return v.with_top(got, 3).drop("theta")
 
 

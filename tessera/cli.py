@@ -155,7 +155,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         save(posterior_counts(theta.select("unit", "theta"), counts), "/posterior")
     elif a.verb == "slda_decode":
         p = readers.pixels(spark, a.input)
-        p = binning.collapsed_truncating(p, a.precision) if a.precision > 0 else p
+        # Places are summed by the decoder; adaptive tiles count rows by place and gene.
+        p = (binning.collapsed_truncating if a.most else binning.truncated)(p, a.precision) if a.precision > 0 else p
         got = decode(p, read(a.anchors).select("x", "y", "theta"), Lda.load(spark, a.model).matrix(spark), a.side, a.halo, a.radius, a.halflife, a.share, most=a.most)
         save(with_top(got, a.top))
     elif a.verb == "de_bulk":

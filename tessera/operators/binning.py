@@ -39,6 +39,15 @@ def centred(units: DataFrame, width: float, n_move: int = 1) -> DataFrame:
     return units.withColumns({"x": x, "y": y})
 
 
+def centres_of(units: DataFrame, width: float, n_move: int, floor: float) -> DataFrame:
+    """Units with the centre x, y of their cell, null where their ``tot`` is below the floor.
+
+    A centre follows from the group's keys: only by its total is a filter on it kept above
+    the aggregation, and not put before it for each pixel and offset.
+    """
+    return centred(units, width, n_move).withColumns({c: F.when(F.col("tot") >= floor, F.col(c)) for c in ("x", "y")})
+
+
 def hex_units(pixels: DataFrame, width: float = 24.0, n_move: int = 3, key: str = "Count", groups: tuple[str, ...] = (), min_ct: float = 20, density: float = 0.0, centre: str = "lattice") -> DataFrame:
     """Units (groups, ox, oy, hx, hy, tot, x, y) with at least max(min_ct, density * area) of ``key``.
 
@@ -47,10 +56,7 @@ def hex_units(pixels: DataFrame, width: float = 24.0, n_move: int = 3, key: str
     floor = max(min_ct, density * area_of(width))
     more = {"lattice": [], "mean": [F.avg("X").alias("x"), F.avg("Y").alias("y")], "median": [F.median("X").alias("x"), F.median("Y").alias("y")]}[centre]
     out = hexed(pixels, width, n_move).groupBy(*groups, *HEX).agg(F.sum(key).alias("tot"), *more).filter(F.col("tot") >= floor)
-    if centre != "lattice":
-        return out
-    # A centre follows from the group's keys: only by its total is a filter on it kept above the aggregation, and not put before it for each pixel and offset.
-    return centred(out, width, n_move).withColumns({c: F.when(F.col("tot") >= floor, F.col(c)) for c in ("x", "y")})
+    return out if centre != "lattice" else centres_of(out, width, n_move, floor)
 
 
 def edge_trimmed(pixels: DataFrame, hexed_pixels: DataFrame, width: float, axis: str = "X", groups: tuple[str, ...] = ()) -> DataFrame:
@@ -143,11 +149,15 @@ def owner(value: Column, lo: float, hi: float, side: float, halo: float) -> Colu
 # --- collapses, blocks, rasters ---
 
 
+def truncated(pixels: DataFrame, precision: float) -> DataFrame:
+    """``pixels`` with coordinates truncated toward zero to a precision, a row each as before."""
+    cell = {c: F.col(c).cast("double") / F.lit(float(precision)) for c in ("X", "Y")}
+    return pixels.withColumns({c: v.cast("long") * F.lit(float(precision)) for c, v in cell.items()})
+
+
 def collapsed_truncating(pixels: DataFrame, precision: float, keys: tuple[str, ...] = ("gene",), key: str = "Count") -> DataFrame:
     """Counts by coordinates truncated toward zero to a precision."""
-    cell = {c: F.col(c).cast("double") / F.lit(float(precision)) for c in ("X", "Y")}
-    binned = pixels.withColumns({c: v.cast("long") * F.lit(float(precision)) for c, v in cell.items()})
-    return binned.groupBy(*keys, "X", "Y").agg(F.sum(key).alias(key))
+    return truncated(pixels, precision).groupBy(*keys, "X", "Y").agg(F.sum(key).alias(key))
 
 
 def collapsed_rounding(pixels: DataFrame, precision: float, keys: tuple[str, ...] = (), key: str = "Count") -> DataFrame:

@@ -9,7 +9,7 @@ many numbers as factors for each place, however many rows of genes there are.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,17 +24,14 @@ from tessera.operators.binning import extent, owner, tiled
 LEAST_ANCHORS = 10
 #: Places of a tile that are inferred together where places do not depend on each other.
 SLICE = 50_000
+#: Pixels whose inference is one step of array operations.
+PART = 8192
 
 
 def _sums(place: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return np.column_stack([np.bincount(place, values[:, k], n) for k in range(values.shape[1])]) if values.shape[1] else np.zeros((n, 0))
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    e = np.exp(x - x.max(1, keepdims=True))
-    return e / e.sum(1, keepdims=True)
-
-
 def edges(pixels: np.ndarray, anchors: np.ndarray, r: float, halflife: float = 0.7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(pixel, anchor, weight): 1 - (d / r) ** nu, clipped to [.05, .95]; nu makes it one half at ``halflife`` of the radius."""
     i, j, d = grid_pairs(pixels, anchors, r)
@@ -43,30 +40,62 @@ def edges(pixels: np.ndarray, anchors: np.ndarray, r: float, halflife: float = 0
     return i[keep], j[keep], np.clip(w[keep], 0.05, 0.95)
 
 
+def _parts(px: np.ndarray, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(pixels, their edges): up to ``PART`` pixels with equally many edges, and the numbers of these, a column a pixel."""
+    order, many = np.argsort(px, kind="stable"), np.bincount(px, minlength=n)
+    first, out = np.cumsum(many) - many, []
+    for m in np.unique(many[many > 0]):
+        alike = np.flatnonzero(many == m)
+        for i in range(0, len(alike), PART):
+            at = alike[i : i + PART]
+            out.append((at, order[first[at] + np.arange(m)[:, None]]))
+    return out
+
+
 def couple(px: np.ndarray, ax: np.ndarray, w: np.ndarray, n: int, theta: np.ndarray, xb: np.ndarray, rounds: int = 30, tol: float = 1e-4) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[float]]:
     """(phi of pixels, gamma of anchors, psi of edges, bound by round).
 
     ``theta`` is the anchors' prior, ``xb`` the pixels' counts times E[log beta].
     phi: the pixel's factor; psi: the anchor it belongs to; gamma: the anchor's mixture.
+    Each pixel has an edge. Pixels with equally many go together, a few thousand at a
+    time, so that all steps are on whole rows of numbers that stay in a cache.
     """
-    total = np.bincount(px, w, n)
-    psi, log_w = w / total[px], np.log(w)
+    k, parts = theta.shape[1], _parts(px, n)
+    held = []
+    for at, of in parts:
+        mine = w[of]
+        held.append((at, of, ax[of], np.log(mine), np.ascontiguousarray(xb[at].T), mine / mine.sum(0)))
     gamma, trail = theta.copy(), []
-    phi = np.zeros((n, theta.shape[1]))
+    phi, psi = np.zeros((n, k)), np.zeros(len(px))
     for _ in range(rounds):
-        log_theta = expected_log(gamma)
-        phi = _softmax(_sums(px, psi[:, None] * log_theta[ax], n) + xb)
-        score = (phi[px] * log_theta[ax]).sum(1) + log_w
-        top = np.full(n, -np.inf)
-        np.maximum.at(top, px, score)
-        e = np.exp(score - top[px])
-        psi = e / np.bincount(px, e, n)[px]
-        new = theta + _sums(ax, psi[:, None] * phi[px], len(theta))
-        trail.append(float((psi * score).sum() + (phi * xb).sum() - (phi * np.log(phi + 1e-300)).sum() - (psi * np.log(psi + 1e-300)).sum()))
-        change = np.abs(new - gamma).max(1).mean()
-        gamma = new
+        log_theta = np.ascontiguousarray(expected_log(gamma).T)
+        new, bound = theta.T.copy(), 0.0
+        for i, (at, of, anchor, log_w, b, share) in enumerate(held):
+            lt = log_theta.take(anchor, axis=1)
+            s = (lt * share).sum(1)
+            z = b + s
+            most = z.max(0)
+            z = np.exp(z - most)
+            all_z = z.sum(0)
+            z /= all_z
+            score = (lt * z[:, None]).sum(0) + log_w
+            top = score.max(0)
+            share = np.exp(score - top)
+            all_share = share.sum(0)
+            share /= all_share
+            for f in range(k):
+                new[f] += np.bincount(anchor.ravel(), (share * z[f]).ravel(), len(theta))
+            # Expected scores and entropies of a place: the logarithms of what divides its two softmaxes.
+            bound += float((top + np.log(all_share) + most + np.log(all_z)).sum() - (z * s).sum())
+            held[i] = (at, of, anchor, log_w, b, share)
+            phi[at] = z.T
+        trail.append(bound)
+        change = np.abs(new.T - gamma).max(1).mean()
+        gamma = np.ascontiguousarray(new.T)
         if change <= tol:
             break
+    for at, of, *_, share in held:
+        psi[of] = share
     return phi, gamma, psi, trail
 
 
@@ -87,8 +116,8 @@ def decode(pixels: DataFrame, anchors: DataFrame, model: DataFrame, side: float
     on another, so tiles have their own pixels only, and infer some at a time.
     """
 
-    def out(tile: Solved) -> pd.DataFrame:
-        return pd.DataFrame({"X": tile.xy[tile.own, 0], "Y": tile.xy[tile.own, 1], "theta": list(tile.phi[tile.own])})
+    def out(tile: Solved) -> dict[str, np.ndarray]:
+        return {"X": tile.xy[tile.own, 0], "Y": tile.xy[tile.own, 1], "theta": tile.phi[tile.own]}
 
     return _tiles(pixels, anchors, model, out, "X double, Y double, theta array<double>", side, halo, r, halflife, share, rounds, least, most, alone=rounds == 1)
 
@@ -96,10 +125,10 @@ def decode(pixels: DataFrame, anchors: DataFrame, model: DataFrame, side: float
 def decoded_anchors(pixels: DataFrame, anchors: DataFrame, model: DataFrame, side: float = 500, halo: float = 50, r: float = 25, halflife: float = 0.7, share: float = 0.2, rounds: int = 30, least: int = LEAST_ANCHORS) -> DataFrame:
     """(tx, ty, x, y, avg_size, theta): anchors of each tile after decoding, with the counts of the pixels that belong to them."""
 
-    def out(tile: Solved) -> pd.DataFrame:
+    def out(tile: Solved) -> dict[str, np.ndarray]:
         t = np.exp(expected_log(tile.gamma))
         size = np.bincount(tile.ax, tile.psi * tile.count[tile.px], len(t))
-        return pd.DataFrame({"x": tile.anchors[:, 0], "y": tile.anchors[:, 1], "avg_size": size, "theta": list(t / t.sum(1, keepdims=True))}).assign(tx=tile.key[0], ty=tile.key[1])
+        return {"x": tile.anchors[:, 0], "y": tile.anchors[:, 1], "avg_size": size, "theta": t / t.sum(1, keepdims=True)} | {c: np.full(len(t), v) for c, v in zip(("tx", "ty"), tile.key)}
 
     return _tiles(pixels, anchors, model, out, "x double, y double, avg_size double, theta array<double>, tx int, ty int", side, halo, r, halflife, share, rounds, least)
 
@@ -123,8 +152,12 @@ class Solved:
     pieces: dict[str, float]
 
 
-def _tiles(pixels: DataFrame, anchors: DataFrame, model: DataFrame, out: Callable[[Solved], pd.DataFrame], schema: str, side: float, halo: float, r: float, halflife: float, share: float, rounds: int, least: int, most: int = 0, alone: bool = False, by_gene: bool = False) -> DataFrame:
-    """``out`` of each tile after inference, and of some of its own pixels at a time if these are ``alone``; ``by_gene`` for sums by factor and gene."""
+def _tiles(pixels: DataFrame, anchors: DataFrame, model: DataFrame, out: Callable[[Solved], Mapping], schema: str, side: float, halo: float, r: float, halflife: float, share: float, rounds: int, least: int, most: int = 0, alone: bool = False, by_gene: bool = False) -> DataFrame:
+    """``out`` of each tile after inference, and of some of its own pixels at a time if these are ``alone``; ``by_gene`` for sums by factor and gene.
+
+    What ``out`` gives for an array of the schema is a matrix with a column for each
+    factor: these leave Python as columns of numbers, and not as an object for each row.
+    """
     wide = model.toPandas().pivot_table(index="gene", columns="factor", values="lambda", aggfunc="sum", fill_value=0.0)
     log_beta = expected_log(np.maximum(wide.to_numpy(float), 0.5).T)
     genes, sums = [str(g) for g in wide.index], [f"b{k}" for k in range(len(log_beta))]
@@ -154,7 +187,9 @@ def _tiles(pixels: DataFrame, anchors: DataFrame, model: DataFrame, out: Callabl
         near = F.array(*(F.struct(hold(F.col("ax") + dx, x0, x1).alias("X"), hold(F.col("ay") + dy, y0, y1).alias("Y")) for dx in (-r, 0.0, r) for dy in (-r, 0.0, r)))
         spread = tiled(a.select("*", F.inline(F.array_distinct(near))), side, halo, box=box).dropDuplicates(["tx", "ty", "ax", "ay"])
         tile_of = ["tx", "ty"]
-    names, kinds = zip(*(x.split() for x in schema.split(", ")))
+    fields = [x.split() for x in schema.split(", ")]
+    flat = [(f"{c}_{k}" if t == "array<double>" else c, t.removeprefix("array<").removesuffix(">")) for c, t in fields for k in range(len(sums) if t == "array<double>" else 1)]
+    whole = [F.array(*(f"{c}_{k}" for k in range(len(sums)))).alias(c) if t == "array<double>" else F.col(c) for c, t in fields]
 
     def solved(key, xy: np.ndarray, own: np.ndarray, count: np.ndarray, xb: np.ndarray, near: np.ndarray, theta: np.ndarray, sums_of: Callable[[np.ndarray, np.ndarray], np.ndarray] | None) -> Solved | None:
         px, ax, w = edges(xy, near, r, halflife)
@@ -171,7 +206,7 @@ def _tiles(pixels: DataFrame, anchors: DataFrame, model: DataFrame, out: Callabl
         return Solved(key, xy[linked], count[linked], phi, own[linked], near, gamma, px, ax, psi, stats, trail[-1], pieces)
 
     def one(key, tile: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({c: np.zeros(0, {"double": float, "int": int}.get(t, object)) for c, t in zip(names, kinds)})
+        none = pd.DataFrame({c: np.zeros(0, {"double": float, "int": int}.get(t, object)) for c, t in flat})
         if len(near) < least or not len(tile):
             return none
         near = near.sort_values(["ax", "ay"])
@@ -190,9 +225,13 @@ def _tiles(pixels: DataFrame, anchors: DataFrame, model: DataFrame, out: Callabl
 
         step = SLICE if alone else len(xy)
         every = (solved(key, xy[i : i + step], own[i : i + step], count[i : i + step], xb[i : i + step], near, theta, sums_of) for i in range(0, len(xy), step))
-        return pd.concat([out(done)[[*names]] for done in every if done] or [none])
+        return pd.concat([columns(out(done)) for done in every if done] or [none])
+
+    def columns(got: Mapping) -> pd.DataFrame:
+        return pd.DataFrame({f"{c}_{k}" if t == "array<double>" else c: v for c, t in fields for k, v in (enumerate(got[c].T) if t == "array<double>" else [(0, got[c])])})
 
-    return p.groupBy(*tile_of).cogroup(spread.groupBy(*tile_of)).applyInPandas(one, schema)
+    tiles = p.drop("tile_id").groupBy(*tile_of).cogroup(spread.drop("tile_id").groupBy(*tile_of))
+    return tiles.applyInPandas(one, ", ".join(f"{c} {t}" for c, t in flat)).select(*whole)
 
 
 def bound_pieces(pixels: DataFrame, anchors: DataFrame, model: DataFrame, eta: float = 0.1, side: float = 500, halo: float = 50, r: float = 25, halflife: float = 0.7, share: float = 0.2, rounds: int = 30, least: int = LEAST_ANCHORS, most: int = 0) -> DataFrame:

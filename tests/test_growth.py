@@ -88,6 +88,66 @@ def test_one_round_of_decoding_takes_each_place_once(spark):
     assert sizes.agg(F.sum("n")).first()[0] == len(places)  # halos had most of them nine times, and genes rows of their own
 
 
+def test_pixels_are_decoded_without_a_sum_by_gene_before(spark, sf, monkeypatch):
+    from tessera.catalogue import models
+
+    taken = []
+    monkeypatch.setattr(models, "decode", lambda p, *more, **options: taken.append((p, more, options)) or decode.decode(p, *more, **options))
+    got = {(r.X, r.Y): (r.K1, r.P1, r.P2, r.P3) for r in models.decode_pixels(spark, sf).collect()}
+    [(p, more, options)] = taken
+    assert "Aggregate" not in _plan(p)  # rows were summed by gene and place for the extent, and again for the places
+    by_gene = b.collapsed_truncating(models.px(spark, sf), 0.1)
+    want = {(r.X, r.Y): (r.K1, r.P1, r.P2, r.P3) for r in models.v.with_top(decode.decode(by_gene, *more, **options), 3).collect()}
+    assert got.keys() == want.keys() and len(want) > 1000 and np.allclose([got[q] for q in want], list(want.values()), atol=1e-9)
+
+
+def test_anchors_are_one_aggregation_without_a_filter_below(spark, sf):
+    from tessera.catalogue import models
+
+    a = models._anchor_theta(spark, sf)
+    plan = _plan(a.filter(F.col("x").between(0.0, 500.0)))
+    assert plan.count("Relation") == 1 and "Filter" not in plan.split("Window", 1)[1]  # cells were asked for nulls by their long expressions, row by row, on both sides of a join
+    rows, units = a.collect(), {(r.hx, r.hy): (r.x, r.y) for r in models.anchors(spark, sf).collect()}
+    assert len(rows) == len(units) > 0 and {tuple(r.key): (r.x, r.y) for r in rows} == units
+    by = b.hexed(models.px(spark, sf), 24.0).groupBy("hx", "hy").agg(*(F.sum(F.when(F.col("gene").cast("int") % 4 == k, F.col("Count")).otherwise(0)).alias(f"n{k}") for k in range(4)))
+    counts = {(r.hx, r.hy): np.array(r[2:], float) for r in by.collect()}
+    assert all(np.allclose(r.theta, counts[tuple(r.key)] / counts[tuple(r.key)].sum()) for r in rows)
+
+
+def test_inference_of_a_tile_by_hand_and_within_its_edges_memory(monkeypatch):
+    import tracemalloc
+
+    rng = np.random.default_rng(9)
+    xy, at = rng.uniform(0, 60, (90, 2)), rng.uniform(0, 60, (14, 2))
+    px, ax, w = decode.edges(xy, at, 25)
+    theta, xb = decode.prior(rng.dirichlet(np.ones(3), 14)), -rng.uniform(0, 9, (90, 3))
+    mix = lambda z: np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    gamma, of = theta.copy(), [np.flatnonzero(px == i) for i in range(90)]
+    psi, phi, trail = np.concatenate([w[[e]] / w[px == px[e]].sum() for e in range(len(px))]), np.zeros((90, 3)), []
+    for _ in range(12):
+        log_theta, new, bound = decode.expected_log(gamma), theta.copy(), 0.0
+        for i, e in enumerate(of):
+            phi[i] = mix(xb[i] + psi[e] @ log_theta[ax[e]])
+            score = log_theta[ax[e]] @ phi[i] + np.log(w[e])
+            psi[e] = mix(score)
+            np.add.at(new, ax[e], psi[e][:, None] * phi[i])
+            bound += psi[e] @ (score - np.log(psi[e])) + phi[i] @ (xb[i] - np.log(phi[i]))
+        gamma = new
+        trail.append(bound)
+    for part in (8192, 7):
+        monkeypatch.setattr(decode, "PART", part)
+        got = decode.couple(px, ax, w, 90, theta, xb, 12, 0.0)
+        assert all(np.allclose(g, v, atol=1e-10) for g, v in zip(got, (phi, gamma, psi, trail)))
+    monkeypatch.undo()
+    n, k = 60_000, 12
+    px, ax = np.repeat(np.arange(n), 4), (np.arange(4 * n) * 7 % 101).astype(np.int64)
+    tracemalloc.start()
+    decode.couple(px, ax, rng.uniform(0.1, 0.9, 4 * n), n, decode.prior(rng.dirichlet(np.ones(k), 101)), -rng.uniform(0, 9, (n, k)), 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * n * k * 8 * 2  # several arrays of all edges by all factors were held at once
+
+
 def test_filters_on_centres_stay_above_the_aggregation(spark):
     p = spark.createDataFrame([(float(i % 97), float(i % 89), 1) for i in range(900)], "X double, Y double, Count int")
     u = b.hex_units(p, 12.0, 3, min_ct=2)
