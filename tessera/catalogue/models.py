@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera import streaming
-from tessera.catalogue.adapters import LABELLED, PX, THETA, UNITS, anchors, anchors_sql, centre_sql, hexed_sql, labelled, px, rounded, table, theta0, theta_long, unit_counts, words
+from tessera.catalogue.adapters import LABELLED, PX, THETA, UNITS, anchors, anchors_sql, centre_sql, hexed_sql, labelled, px, rounded, table, theta0, theta_long, unit_counts
 from tessera.functions import special
 from tessera.functions import vectors as v
 from tessera.functions.hexgrid import radius_of
@@ -501,8 +501,9 @@ def rank_ties(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _units(spark: SparkSession, d: str) -> tuple[DataFrame, list]:
-    index = matrix.features(words(spark, d, False), 50).persist()
-    return matrix.units(words(spark, d), index, 20), [r.gene for r in index.orderBy("idx").select("gene").collect()]
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("unit"), "text")
+    genes = [r.gene for r in matrix.features(matrix.word_totals(docs), 50).orderBy("idx").select("gene").collect()]
+    return matrix.word_units(docs, genes, 20), genes
 
 
 @query()

@@ -2,9 +2,11 @@
 
 The model is a small K x M matrix on the driver. A step sends it to the tasks,
 which infer the units of one batch, a block at a time, and return expected
-counts by factor and gene as arrays by ranges of genes; these are summed by Spark,
-and only the K x M sums come back. Batches are hash buckets of units, held in
-memory in their order, and an epoch has at most ``STEPS`` of them. Several models
+counts by factor and gene, of the genes that they met, as arrays by ranges of genes;
+these are summed by Spark, and only the K x M sums come back. Batches are hash
+buckets of units, of which an epoch has at most ``STEPS``. They are held in
+memory in their order, or from ``HELD`` units on in a folder each of the shared
+scratch, so that a step reads its own batch only. Several models
 learn in one pass. Random starts are hashes of seed, step and unit: a model does not depend on how units
 are partitioned, nor on executors that are lost.
 """
@@ -12,12 +14,15 @@ are partitioned, nor on executors that are lost.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,8 +36,10 @@ EPS = 1e-100
 BLOCK = 512
 #: Entries of units that are inferred as one dense product.
 ENTRIES = 1 << 14
-#: Genes whose sums are added up in one place, and batches of an epoch at most.
+#: Genes whose sums are added up in one place at least, and batches of an epoch at most.
 RANGE, STEPS = 2048, 64
+#: Units that are held in memory at most, and units of a task that writes them by batch.
+HELD, WRITTEN = 1 << 17, 1 << 16
 
 
 def starts(keys: np.ndarray, k: int) -> np.ndarray:
@@ -134,41 +141,49 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def expected_all(models: list[Lda], units: DataFrame) -> tuple[np.ndarray, int]:
     """(sums R x K x M, number of units): one expectation step of R models of the same genes in one pass over ``units``.
 
-    An ambient profile takes part as a fixed factor. A task sends its sums as
+    An ambient profile takes part as a fixed factor. A block is inferred with the
+    rows of its own genes, and a task sends the sums of the genes that it met as
     arrays by ranges of genes, each of which is added up in one place, so that a
-    step moves M / RANGE rows a task and not one for each factor and gene.
+    step's work follows its units and moves a row a task for each of M / RANGE ranges, or of two a core, and not one for each factor and gene.
     """
-    k, m, seen = models[0].k, len(models[0].genes), []
+    spark, k, m, seen = units.sparkSession, models[0].k, len(models[0].genes), []
+    width = max(RANGE, -(-m // (2 * max(spark.sparkContext.defaultParallelism, 1))))
     for x in models:
         beta = x.beta()
         if x.ambient is not None:  # as sure of itself as the factors are on average
             beta = np.vstack([beta, np.exp(expected_log(x.ambient[None] * x.lam.sum(1).mean() + EPS))])
-        seen.append((beta, x.alpha))
-    r = len(models)
+        seen.append((np.ascontiguousarray(beta.T), x.alpha))
+    r, sent = len(models), spark.sparkContext.broadcast(seen)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, n = np.zeros((r, k, m)), 0
         for b in _blocks(batches):
             rows, cols, vals = _coo(b)
+            met, cols = np.unique(cols, return_inverse=True)
             first = np.array(b["h"].to_list(), np.int64).reshape(len(b), r)
-            for i, (beta, alpha) in enumerate(seen):
-                total[i] += infer(rows, cols, vals, len(b), beta, alpha, starts(first[:, i], len(beta)))[1][:k]
+            for i, (by_gene, alpha) in enumerate(sent.value):
+                total[i][:, met] += infer(rows, cols, vals, len(b), by_gene[met].T, alpha, starts(first[:, i], by_gene.shape[1]))[1][:k]
             n += len(b)
-        parts = [total[:, :, a : a + RANGE] for a in range(0, m, RANGE)]
-        yield pd.DataFrame({"part": range(len(parts)), "n": n, "v": [x.tobytes() for x in parts]})
+        parts = [total[:, :, a : a + width] for a in range(0, m, width)]
+        met = [np.flatnonzero(x.any((0, 1))) for x in parts]
+        yield pd.DataFrame({"part": range(len(parts)), "n": n, "met": [g.astype(np.int32).tobytes() for g in met], "v": [x[:, :, g].tobytes() for x, g in zip(parts, met)]})
 
     def add(part: pd.DataFrame) -> pd.DataFrame:
-        v = np.zeros(len(part["v"].iloc[0]) // 8)
-        for x in part["v"]:
-            v += np.frombuffer(x)
+        v = np.zeros((r * k, min(width, m - int(part["part"].iloc[0]) * width)))
+        for g, x in zip(part["met"], part["v"]):
+            g = np.frombuffer(g, np.int32)
+            v[:, g] += np.frombuffer(x).reshape(r * k, len(g))
         return pd.DataFrame({"part": part["part"].iloc[:1], "n": [int(part["n"].sum())], "v": [v.tobytes()]})
 
     first = F.array(*(F.xxhash64(F.lit(x.seed), F.lit(x.step), "unit") for x in models)).alias("h")
-    schema = "part long, n long, v binary"
-    got = units.select("idx", "cnt", first).mapInPandas(run, schema).groupBy("part").applyInPandas(add, schema).collect()  # as large as the models
+    by_task = units.select("idx", "cnt", first).mapInPandas(run, "part long, n long, met binary, v binary")
+    try:
+        got = by_task.groupBy("part").applyInPandas(add, "part long, n long, v binary").collect()  # as large as the models
+    finally:
+        sent.destroy()
     sums, n = np.zeros((r, k, m)), 0
     for row in got:
-        here = sums[:, :, row.part * RANGE : (row.part + 1) * RANGE]
+        here = sums[:, :, row.part * width : (row.part + 1) * width]
         here += np.frombuffer(bytes(row.v)).reshape(here.shape)
         n = row.n
     return sums, n
@@ -187,28 +202,50 @@ def _by_batch(units: DataFrame, rows: int) -> DataFrame:
     return held
 
 
+@contextmanager
+def _dealt(units: DataFrame, seed: int, batch_size: int) -> Iterator[tuple[int, int, Callable[[int], DataFrame]]]:
+    """(number of units, number of batches, the units of each): in memory, or more than ``HELD`` in a folder for each batch, which goes at the end."""
+    spark = units.sparkSession
+    cores = max(spark.sparkContext.defaultParallelism, 1)
+    once = units.select("unit", "idx", "cnt").persist(StorageLevel.DISK_ONLY)
+    here, path, held = once.count(), None, None
+    batches = max(1, min(here // batch_size, STEPS))
+    dealt = once.withColumn("_b", F.pmod(F.xxhash64(F.lit(seed), "unit"), F.lit(batches)).cast("int"))
+    try:
+        if here > HELD:
+            base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+            path = f"{base.rstrip('/')}/tessera-units-{uuid.uuid4().hex}"
+            dealt.coalesce(max(cores, here // WRITTEN)).write.partitionBy("_b").parquet(path)
+            kept = spark.read.schema(dealt.schema).parquet(path)
+        else:
+            kept = held = _by_batch(dealt.repartition(cores, "unit"), here // (batches * cores))
+        once.unpersist()
+        yield here, batches, lambda b: (kept.filter(F.col("_b") == int(b)) if batches > 1 else kept).coalesce(cores)
+    finally:
+        once.unpersist()
+        if held is not None:
+            held.unpersist()
+        if path is not None:
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def fit_all(models: list[Lda], units: DataFrame, epochs: float = 1, batch_size: int = 512, total: int | None = None) -> None:
     """Stochastic learning of several models of the same genes: a step is one pass over a batch for all of them, in the order of the first one's seed.
 
     An epoch has at most ``STEPS`` batches, so that a step has work for all cores
-    however many units there are. Units are held in the order of their batches.
+    however many units there are. A step has one task a core.
     """
-    spark, seed = units.sparkSession, models[0].seed
-    cores = max(spark.sparkContext.defaultParallelism, 1)
-    dealt = units.repartition(max(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))), "unit").persist()
-    here = dealt.count()
-    n, batches = total or here, max(1, min(here // batch_size, STEPS))
-    held = _by_batch(dealt.withColumn("_b", F.pmod(F.xxhash64(F.lit(seed), "unit"), F.lit(batches))), here // (batches * dealt.rdd.getNumPartitions()))
-    dealt.unpersist()
-    epoch, left = 0, max(1, round(epochs * batches)) if epochs > 0 else 0
-    while left > 0:
-        order = np.random.Generator(np.random.PCG64([seed, epoch])).permutation(batches)[:left]
-        for b in order:
-            sums, got = expected_all(models, held.filter(F.col("_b") == int(b)) if batches > 1 else held)
-            for x, v in zip(models, sums):
-                x.moved(v, got, n)
-        left, epoch = left - len(order), epoch + 1
-    held.unpersist()
+    seed = models[0].seed
+    with _dealt(units, seed, batch_size) as (here, batches, batch):
+        n, epoch, left = total or here, 0, max(1, round(epochs * batches)) if epochs > 0 else 0
+        while left > 0:
+            order = np.random.Generator(np.random.PCG64([seed, epoch])).permutation(batches)[:left]
+            for b in order:
+                sums, got = expected_all(models, batch(b))
+                for x, v in zip(models, sums):
+                    x.moved(v, got, n)
+            left, epoch = left - len(order), epoch + 1
 
 
 @dataclass
@@ -319,8 +356,8 @@ class Lda:
     def matrix(self, spark) -> DataFrame:
         """(gene, factor, lambda) as a table."""
         k, m = self.lam.shape
-        table = pa.table({"gene": [str(g) for g in np.tile(np.array(self.genes, object), k)], "factor": np.repeat(np.arange(k), m).astype(np.int32), "lambda": self.lam.ravel()})
-        return spark.createDataFrame(table.to_pandas())
+        table = pa.table({"gene": [str(g) for g in np.tile(np.array(self.genes, object), k)], "factor": np.repeat(np.arange(k), m), "lambda": self.lam.ravel()})
+        return spark.createDataFrame(table)
 
     def save(self, spark, path: str) -> None:
         """Parquet for the matrix, JSON for the rest; nothing is pickled."""

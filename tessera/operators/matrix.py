@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +36,74 @@ def units(counts: DataFrame, index: DataFrame, min_ct: float = 50) -> DataFrame:
     return packed.select("unit", F.col("v.idx").alias("idx"), F.col("v.n").alias("cnt"), "tot")
 
 
+#: In UTF-8, all bytes but those of lower-case letters as blanks.
+LETTERS = bytes(c if 97 <= c <= 122 else 32 for c in range(256))
+#: Texts that are taken apart at once.
+TEXTS = 2048
+
+
+def _words(texts: DataFrame, run: Callable[[pa.RecordBatch, pa.ListArray], pa.RecordBatch], schema: str) -> DataFrame:
+    """What ``run`` makes of some rows (unit, text) and the words of each: runs of a to z in lower case, and empty ones at blank ends."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (x.slice(a, TEXTS) for x in batches for a in range(0, x.num_rows, TEXTS)):
+            spaced = pa.array([x.translate(LETTERS) for x in b.column("text").to_pylist()], pa.binary()).cast(pa.string())
+            yield run(b, pc.ascii_split_whitespace(spaced))
+
+    return texts.filter("text IS NOT NULL").select("unit", F.lower("text").cast("binary").alias("text")).mapInArrow(split, schema)
+
+
+def word_totals(texts: DataFrame) -> DataFrame:
+    """(gene, n): counts of the words of texts (unit, text), counted in tasks: a word has one row or more from each."""
+
+    def run(_: pa.RecordBatch, words: pa.ListArray) -> pa.RecordBatch:
+        counted = pc.value_counts(words.flatten())
+        return pa.record_batch([counted.field("values"), counted.field("counts")], ["gene", "n"])
+
+    return _words(texts, run, "gene string, n long").filter("gene <> ''")
+
+
+def _packed(of: pa.DictionaryArray, key: np.ndarray, n: np.ndarray, m: int) -> pa.RecordBatch:
+    """A row for each unit: n by key, which is the unit's place in the dictionary times m and the gene's index, rising."""
+    at = key // m
+    ends = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(of.dictionary)))]).astype(np.int32)
+    idx, cnt = (pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in ((key % m).astype(np.int32), n.astype(float)))
+    return pa.record_batch([of.dictionary, idx, cnt, pa.array(np.bincount(at, n, len(of.dictionary)).astype(float))], ["unit", "idx", "cnt", "tot"])
+
+
+def word_units(texts: DataFrame, genes: list, min_ct: float = 50) -> DataFrame:
+    """(unit, idx array, cnt array, tot) as of :func:`units`, from texts (unit, text) and the words in the order of their index.
+
+    A text's words are counted in its task; what is shuffled is one row of arrays
+    a text, and texts of one unit are added up on the way, before and after.
+    """
+    m = max(len(genes), 1)
+
+    def pack(b: pa.RecordBatch, words: pa.ListArray) -> pa.RecordBatch:
+        of = b.column("unit").dictionary_encode("encode")
+        idx = pc.index_in(words.flatten(), pa.array(genes, pa.string())).fill_null(-1).to_numpy()
+        key = np.repeat(of.indices.to_numpy().astype(np.int64), words.value_lengths().to_numpy()) * m + idx
+        return _packed(of, *np.unique(key[idx >= 0], return_counts=True), m)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # whose unit may go on
+        for b in batches:
+            columns = [b.column("unit"), b.column("idx").cast(pa.list_(pa.int32())), b.column("cnt").cast(pa.list_(pa.float64())), b.column("tot")]
+            b = pa.record_batch(columns if last is None else [pa.concat_arrays(x) for x in zip(last.columns, columns)], b.schema.names)
+            of = b.column("unit").dictionary_encode("encode")
+            if len(of.dictionary) < len(of):
+                key = np.repeat(of.indices.to_numpy().astype(np.int64), b.column("idx").value_lengths().to_numpy()) * m + b.column("idx").flatten().to_numpy()
+                key, entry = np.unique(key, return_inverse=True)
+                b = _packed(of, key, np.bincount(entry, b.column("cnt").flatten().to_numpy(), len(key)), m)
+            last = b.slice(b.num_rows - 1)
+            yield b.slice(0, b.num_rows - 1)
+        if last is not None:
+            yield last
+
+    schema = f"unit {texts.schema['unit'].dataType.simpleString()}, idx array<int>, cnt array<double>, tot double"
+    return _words(texts, pack, schema).filter("tot > 0").repartition("unit").sortWithinPartitions("unit").mapInArrow(merge, schema).filter(F.col("tot") >= min_ct)
+
+
 #: Sums that come to the driver from one histogram.
 BUCKETS = 4096
 

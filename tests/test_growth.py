@@ -1,6 +1,8 @@
 """Work that grows with the rows and not with their pairs: crowded tables, against brute force."""
 
 import math
+import os
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -55,6 +57,59 @@ def test_units_are_held_in_pieces_of_batches(spark):
     held.unpersist()
 
 
+def test_words_are_counted_in_tasks(spark, sf, monkeypatch):
+    from tessera.catalogue import models
+    from tessera.operators import matrix
+
+    assert "Generate" not in _plan(models._units(spark, sf)[0])  # a row for each word of each text
+    some = ["ab", "Ab", "x", "\u00c9t\u00e9", "\u0131K", "\u212a", "\u0130x", "don't", "b1c", "zz", "", "\n", "\u0391\u03a3"]
+    rng = np.random.default_rng(8)
+    of, texts = [None, 1, 1, 1, *range(2, 12)], []
+    for i in range(400):
+        texts.append((of[rng.integers(len(of))], None if i % 19 == 0 else " ".join(rng.choice(some, rng.integers(0, 12)))))
+    docs = spark.createDataFrame(texts, "unit long, text string").repartition(5)
+    rows = docs.select("unit", F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("gene"), F.lit(1).cast("long").alias("n")).filter("gene <> ''")
+    index, got = matrix.features(rows, 20), matrix.features(matrix.word_totals(docs), 20)
+    by_name = lambda df: df.select("gene", "idx", "total").orderBy("idx").collect()
+    assert by_name(index) == by_name(got) and index.dtypes == got.dtypes
+    genes = [r.gene for r in by_name(got)]
+    for size in (matrix.TEXTS, 3):
+        monkeypatch.setattr(matrix, "TEXTS", size)
+        for least in (1, 90):
+            want, units = matrix.units(rows, index, least), matrix.word_units(docs, genes, least)
+            assert want.dtypes == units.dtypes and sorted(map(str, want.collect())) == sorted(map(str, units.collect()))
+    assert 0 < units.count() < matrix.word_units(docs, genes, 1).count() == len(set(of))
+    assert matrix.word_units(docs, [], 1).count() == matrix.word_units(docs.limit(0), genes, 1).count() == matrix.word_totals(docs.limit(0)).count() == 0
+
+
+def test_a_step_reads_the_files_of_its_batch_only(spark, monkeypatch):
+    from tessera.operators import lda
+
+    rng, m = np.random.default_rng(6), 5000
+    rows = [(i, *zip(*((int(g), float(rng.integers(1, 9))) for g in sorted(rng.choice(m, 12, False))))) for i in range(300)]
+    units = spark.createDataFrame(rows, "unit long, idx array<int>, cnt array<double>").repartition(3)
+    first, read = lda.expected_all, []
+    monkeypatch.setattr(lda, "expected_all", lambda models, batch: read.append(batch) or first(models, batch))
+    scans = lambda: [re.findall(r"PartitionFilters: \[.*?(_b#\d+ = \d+)", x._jdf.queryExecution().simpleString()) for x in read]
+    fitted = lambda: lda.Lda([f"g{i}" for i in range(m)], 3, seed=2).fit(units, 2, 60)
+    want = fitted()
+    assert not any(scans()) and want.step == 10
+    read.clear()
+    monkeypatch.setattr(lda, "HELD", 100)
+    got = fitted()
+    assert got.step == 10 and np.allclose(got.lam, want.lam, rtol=1e-9)
+    filters = [x.split("=")[1] for [x] in scans()]
+    assert len(filters) == 10 and len(set(filters)) == 5  # the folder of one batch a step
+    base = spark.conf.get("spark.checkpoint.dir")
+    assert read[0].inputFiles()[0].removeprefix("file://").startswith(base) and not [f for f in os.listdir(base) if f.startswith("tessera-units")]  # they go at the end
+    table = got.matrix(spark)
+    assert table.dtypes == [("gene", "string"), ("factor", "bigint"), ("lambda", "double")] and table.count() == 3 * m
+    sums, n = first([want], units)
+    beta, at = want.beta(), {r.unit: r for r in units.select("unit", F.xxhash64(F.lit(2), F.lit(10), "unit").alias("h")).collect()}
+    each = [lda.infer(np.zeros(12, int), np.array(g), np.array(c), 1, beta, want.alpha, lda.starts(np.array([at[i].h]), 3))[1] for i, g, c in rows]
+    assert n == 300 and np.allclose(sums[0], sum(each), atol=1e-9)
+
+
 def test_neighbours_are_found_without_rows_of_pairs(spark):
     at = [(float(x), float(y)) for x, y in np.random.default_rng(4).integers(0, 40, (60, 2))]
     left = spark.createDataFrame([(*q, i) for i, q in enumerate(at)], "X double, Y double, key int")
